@@ -162,7 +162,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '[/INST]', ''))) // 7
   + (length(text) - length(replace(text, '[INST', ''))) // 5 + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '<s>', ''))) // 3 AS n,
   length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, ']', '')) + (length(role) - length(replace(role, '[INST', ''))) // 5
-  + (length(role) - length(replace(role, '[/INST', ''))) // 6 - (length(role) - length(replace(role, '[/INST', ''))) // 6 + (length(role) - length(replace(role, '</s>', ''))) // 4 + (length(role) - length(replace(role, '<s>', ''))) // 3 AS m FROM c)
+  + (length(role) - length(replace(role, '</s>', ''))) // 4 + (length(role) - length(replace(role, '<s>', ''))) // 3 AS m FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -252,8 +252,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, text: each text without its spans. Texts without a hit stay as they are."""
+def remove(docs: DataFrame, benchmark: DataFrame, changed_only: bool = False, **options) -> DataFrame:
+    """doc_id, text: each text without its spans. Texts without a hit stay as they are, or with changed_only are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
@@ -261,7 +261,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             yield from out.add((doc, cut(text, [(s["a"], s["b"]) for s in spans]).decode("utf-8", "replace") if spans else text.decode("utf-8", "replace")), 64 + len(text))
         yield from out.flush()
 
-    return find(docs, benchmark, with_text=True, **options).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+    found = find(docs, benchmark, with_text=True, **options).select("doc_id", "text", "spans")
+    return (found.filter(F.size("spans") > 0) if changed_only else found).mapInArrow(run, "doc_id long, text string")
 
 
 ORACLE = r"""

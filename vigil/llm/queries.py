@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, decontaminate, ledger, lm, packing, quality, simhash, sstable, substring
+from vigil.llm import chat, decontaminate, html, ledger, lm, packing, quality, simhash, sstable, substring
 
 from vigil.llm.common import held_out
 
@@ -44,6 +44,10 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op6_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.apply_policy(ledger.ledger(_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,6 +67,6 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rule_ensemble, op2_bm25_packing, op3_simhash_trie, op4_anchor_dedup, op5_sstable, op7_rule_ledger, op8_chat_round_trip, op9_attention_lm, op10_fm_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rule_ensemble, op2_bm25_packing, op3_simhash_trie, op4_anchor_dedup, op5_sstable, op6_tree_extraction, op7_rule_ledger, op8_chat_round_trip, op9_attention_lm, op10_fm_decontamination)}
 
 ORACLES: dict[str, str] = {"op8_chat_round_trip": chat.ORACLE, "op4_anchor_dedup": substring.ORACLE, "op7_rule_ledger": ledger.ORACLE, "op10_fm_decontamination": decontaminate.ORACLE}
