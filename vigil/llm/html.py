@@ -261,7 +261,8 @@ def labelled_pages(n: int = 500, seed: int = 17) -> list[tuple[str, set[str]]]:
     count = iter(range(10**9))
 
     def words(a: int, b: int) -> str:
-        return f"{''.join(rnd.choice(syllables) for _ in range(3))}{next(count)} " + " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(a, b))) + rnd.choice([".", ".", ""])
+        some = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(a, b))]
+        return " ".join(["".join(rnd.choice(syllables) for _ in range(3)) + str(next(count)), *some]) + rnd.choice([".", ".", ""])
 
     def attr(*names: str) -> str:
         name = rnd.choice(names)
@@ -306,9 +307,10 @@ def labelled_pages(n: int = 500, seed: int = 17) -> list[tuple[str, set[str]]]:
                 return f"<pre>{own(2, 12)}</pre>"
             return f"<div>{own(3, 40)}</div>"
 
-        parts = ([f"<h1>{own(1, 8)}</h1>"] if rnd.random() < 0.8 else []) + [body() if rnd.random() < 0.88 else chrome("inside") for _ in range(rnd.choice([1, 1, 2, 3, 5, 8, 14]))]
-        if rnd.random() < 0.15:  # many short paragraphs
-            parts += [f"<p>{own(0, 0)}</p>" for _ in range(rnd.randint(10, 60))]
+        parts = ([f"<h1>{own(1, 8)}</h1>"] if rnd.random() < 0.8 else []) + [body() if rnd.random() < 0.88 else chrome("inside") for _ in range(rnd.choice([1, 1, 2, 3, 5, 8, 14, 30, 60]))]
+        if rnd.random() < 0.25:  # many paragraphs of one length
+            length = rnd.choice([(0, 0), (0, 2), (8, 20), (20, 60)])
+            parts += [f"<p>{own(*length)}</p>" for _ in range(rnd.randint(10, 90))]
         a, b = rnd.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div{attr('content', 'post', 'entry-content', 'article-body', 'story', 'main')}>", "</div>"), (f"<section{attr('content', 'article')}>", "</section>"), ("<div>", "</div>")])
         if rnd.random() < 0.3:
             a, b = f"<div{attr('wrapper', 'container', 'page')}>{a}", f"{b}</div>"
