@@ -314,6 +314,9 @@ def labelled_pages(n: int = 500, seed: int = 17) -> list[tuple[str, set[str]]]:
         a, b = rnd.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div{attr('content', 'post', 'entry-content', 'article-body', 'story', 'main')}>", "</div>"), (f"<section{attr('content', 'article')}>", "</section>"), ("<div>", "</div>")])
         if rnd.random() < 0.3:
             a, b = f"<div{attr('wrapper', 'container', 'page')}>{a}", f"{b}</div>"
+        if rnd.random() < 0.1:  # a fragment, without a page around it
+            out.append((f"{a}{''.join(parts)}{b}", good))
+            continue
         before = "".join(chrome("before") for _ in range(rnd.randint(0, 4)))
         after = "".join(chrome("after") for _ in range(rnd.randint(0, 4)))
         out.append((f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title><script>x</script></head><body>{before}{a}{''.join(parts)}{b}{after}</body></html>", good))
