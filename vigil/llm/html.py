@@ -232,7 +232,7 @@ class Forest:
         return p / p.sum(1, keepdims=True), edge
 
 
-def fit(pages: list[tuple[Page, np.ndarray]], steps: int = 200, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(pages: list[tuple[Page, np.ndarray]], steps: int = 260, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of greatest likelihood: observed counts less those expected under the messages' marginals."""
     forest = Forest([p for p, _ in pages])
     y = np.concatenate([l for _, l in pages]).astype(int)
@@ -254,7 +254,7 @@ def fit(pages: list[tuple[Page, np.ndarray]], steps: int = 200, decay: float = 1
     return w, pair
 
 
-def labelled_pages(n: int = 500, seed: int = 17) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 800, seed: int = 17) -> list[tuple[str, set[str]]]:
     """Generated pages: html, and the texts of the blocks that are content."""
     rnd = random.Random(seed)
     syllables = "ba ko ti re lan mor ves un da per si tol ech am ri".split()

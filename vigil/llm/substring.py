@@ -19,14 +19,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Out, mix, parts_for, rows_of, text_bytes, written
-from vigil.llm.exchange import HELD, bucket_of, unique_counts
+from vigil.llm.common import mix, parts_for, rows_of, text_bytes, written
+from vigil.llm.exchange import HELD, PACKED, PACKED_SCHEMA, bucket_of, buckets_of, packed, unique_counts
 
 WINDOW = 35
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -61,41 +60,36 @@ def block_size(window: int) -> int:
     return (window + 1) // 2
 
 
-PACKED = "p int, b int, n int, keys binary, counts binary"
-
-
-def _probes(window: int, buckets: int, parts: int):
-    """(doc_id, text, b) -> packed (partition, bucket, hashes, counts); in counts, bit 7 marks that a block of the index is among them."""
+def _probes(window: int, parts: int):
+    """(doc_id, text, b) -> packed hashes of every rolling window; in counts, bit 7 marks that a block of the index is among them."""
     size = block_size(window)
 
-    def send(held: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for keys, flags, b in held:
-            by.setdefault(b, []).append((keys, flags))
-        rows = []
-        for b, parts_of in by.items():
-            keys, n, block = unique_counts(np.concatenate([x[0] for x in parts_of]), np.ones(sum(len(x[0]) for x in parts_of), np.int64), np.concatenate([x[1] for x in parts_of]))
-            counts = (np.minimum(n, 2) | (block.astype(np.int64) << 7)).astype(np.uint8)
-            ends = np.searchsorted(keys, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-            for p, (k, c) in enumerate(zip(np.split(keys, ends), np.split(counts, ends), strict=True)):
-                if len(k):
-                    # the low 16 bits go: what is left tells apart far more hashes than a partition holds, and a rare false hit only costs a lookup
-                    rows.append((p, b, len(k), np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), c.tobytes()))
-        for at in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_pylist([dict(zip(("p", "b", "n", "keys", "counts"), r, strict=True)) for r in rows[at : at + 256]], schema=pa.schema([("p", pa.int32()), ("b", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    def send(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        keys, counts, bucket = [], [], []
+        for b, pieces in held.items():
+            k, n, block = unique_counts(np.concatenate([x[0] for x in pieces]), np.ones(sum(len(x[0]) for x in pieces), np.int64), np.concatenate([x[1] for x in pieces]))
+            keys.append(k)
+            counts.append((np.minimum(n, 2) | (block.astype(np.int64) << 7)).astype(np.uint8))
+            bucket.append(np.full(len(k), b, np.int32))
+        if keys:
+            k = np.concatenate(keys)
+            # the low 16 bits go: the rest tells apart far more hashes than a partition holds, and a rare false hit only costs a lookup
+            short = k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+            yield from packed(((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), np.concatenate(bucket), short, np.concatenate(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: dict[int, list] = {}
+        n = 0
         for _, text, b in rows_of(batches):
             words = text.split()
             if len(words) < window:
                 continue
             keys = rolling(word_hashes(words), size)
-            held.append((keys, np.arange(len(keys)) % size == 0, b))
+            held.setdefault(b, []).append((keys, np.arange(len(keys)) % size == 0))
             n += len(keys)
             if n >= HELD:
                 yield from send(held)
-                held, n = [], 0
+                held, n = {}, 0
         yield from send(held)
 
     return run
@@ -108,11 +102,11 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _answer(p: pa.Table, wide: bool, by_bucket: bool = True) -> pa.Table:
+def _answer(p: pa.Table, wide: bool) -> pa.Table:
     """What one hash partition answers: for each bucket, its hashes that occur twice or more (and, of narrow ones, that a block has)."""
     keys = np.concatenate([np.frombuffer(x.as_py(), "<u8").reshape(-1, 2) if wide else _unpack48(x.as_py()) for x in p["keys"]])
     raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in p["counts"]])
-    bucket = np.repeat(p["b"].to_numpy(), p["n"].to_numpy())
+    bucket = buckets_of(p)
     found, total, block = unique_counts(keys, (raw & 127).astype(np.int64), raw >> 7)
     good = found[(total > 1) & (wide | (block > 0))]
     if wide:
@@ -127,8 +121,8 @@ def _answer(p: pa.Table, wide: bool, by_bucket: bool = True) -> pa.Table:
     return pa.table({"b": pa.array(bucket[at].astype(np.int32)), "keys": pa.array([np.unique(k, axis=0).tobytes() for k in np.split(keys, at[1:])] if len(at) else [], pa.binary())}, schema=pa.schema([("b", pa.int32()), ("keys", pa.binary())]))
 
 
-def _answers(packed: DataFrame, wide: bool) -> DataFrame:
-    return packed.groupBy("p").applyInArrow(lambda t: _answer(t, wide), "b int, keys binary")
+def _answers(rows: DataFrame, wide: bool) -> DataFrame:
+    return rows.groupBy("p").applyInArrow(lambda t: _answer(t, wide), "b int, keys binary")
 
 
 def _keys_of(hits: pa.Table, wide: bool) -> np.ndarray:
@@ -149,9 +143,8 @@ def _extend(window: int, parts: int):
     low = np.uint64(_MASK ^ 0xFFFF)
 
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        schema = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
         if not docs.num_rows or not hits.num_rows:
-            return schema.empty_table()
+            return PACKED_SCHEMA.empty_table()
         known, out = _keys_of(hits, False), []
         for text in docs["text"]:
             words = text.as_py().split()
@@ -166,16 +159,12 @@ def _extend(window: int, parts: int):
                 starts = starts[(starts >= 0) & (starts < n)]
                 out.append(np.stack([rolling(h, window)[starts], rolling(h, window, _R2)[starts]], 1))
         if not out:
-            return schema.empty_table()
+            return PACKED_SCHEMA.empty_table()
         keys = np.concatenate(out)
         keys, n = unique_counts(keys, np.ones(len(keys), np.int64))
+        bucket = np.full(len(keys), docs["b"][0].as_py(), np.int32)
         part = (keys[:, 0] % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        keys, n, part = keys[order], np.minimum(n[order], 2).astype(np.uint8), part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        b = docs["b"][0].as_py()
-        ends = [*at[1:], len(part)]
-        return pa.Table.from_pylist([{"p": int(part[i]), "b": b, "n": int(j - i), "keys": keys[i:j].tobytes(), "counts": n[i:j].tobytes()} for i, j in zip(at, ends, strict=True)], schema=schema)
+        return pa.Table.from_batches(packed(part, bucket, keys.view(np.uint8).reshape(-1, 16), np.minimum(n, 2).astype(np.uint8)), PACKED_SCHEMA)
 
     return run
 
@@ -218,7 +207,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: str = "sha256") -> DataFr
     texts = text_bytes(docs)
     parts = parts_for(docs.select("text"))
     texts = texts.withColumn("b", bucket_of(parts))
-    hits = written(_answers(texts.mapInArrow(_probes(window, parts, parts), PACKED), False), "anchors")
+    hits = written(_answers(texts.mapInArrow(_probes(window, parts), PACKED), False), "anchors")
     grouped = texts.groupBy("b")
     candidates = grouped.cogroup(hits.groupBy("b")).applyInArrow(_extend(window, parts), PACKED)
     repeats = written(_answers(candidates, True), "repeats")
