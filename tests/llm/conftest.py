@@ -1,13 +1,4 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    s.sparkContext.setLogLevel("ERROR")
-    return s
-
 
 LONG = "id long, doc_id long, text string, score string, component_id int"
 NASTY = [None, "", " \t\n", "a", "one two", "é ü x", "</s> <|endoftext|> [INST]", "w " * 3000, "x" * 5000, "the same words again and again\n" * 40]
