@@ -3,7 +3,8 @@
 A shard file holds documents in ascending key order. A key is the document's id as 8 bytes, big endian, sign bit flipped, so
 bytes sort as ids do, and a 4-byte number that tells equal ids apart; a null id sorts first under an empty key.
 
-    block     entries: shared u8 | rest u8 | n_ids u32 | the key's last `rest` bytes | ids u32 each; first entry of a block: shared = 0
+    block     entries: shared u8 | rest u8 | width u8 (2 or 4) | n_ids u32 | the key's last `rest` bytes | ids, width bytes each;
+              first entry of a block: shared = 0
     index     per block: key length u8 | its first key | offset u64 | size u32 | entries u32
     filter    Bloom filter of the ids, 10 bits a key, 7 probes
     footer    index offset u64 | index size u64 | filter offset u64 | filter size u64 | documents u64 | ids u64 | magic
@@ -19,11 +20,13 @@ table gives no shard; other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,9 @@ from pyspark.sql import functions as F
 from vigil.llm.common import Out, parts_for, rows_of, shared_dir, text_bytes, written
 
 MAGIC, BLOCK_BYTES, FILE_BYTES = b"VIGILSST", 64 << 10, 64 << 20
-_FOOT, _ENTRY, _PLACE = struct.Struct("<QQQQQQ8s"), struct.Struct("<BBI"), struct.Struct("<QII")
+_FOOT, _ENTRY, _PLACE = struct.Struct("<QQQQQQ8s"), struct.Struct("<BBBI"), struct.Struct("<QII")
 END = 2
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def key_of(doc_id: int | None, number: int) -> bytes:
@@ -68,8 +72,9 @@ class Writer:
                 shared += 1
         else:
             self.first = key
-        raw = ids.astype("<u4").tobytes()
-        self.block += [_ENTRY.pack(shared, len(key) - shared, len(ids)), key[shared:], raw]
+        width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
+        raw = ids.astype(f"<u{width}").tobytes()
+        self.block += [_ENTRY.pack(shared, len(key) - shared, width, len(ids)), key[shared:], raw]
         self.size += len(raw) + 16
         self.entries, self.last = self.entries + 1, key
         self.documents, self.n_ids = self.documents + 1, self.n_ids + len(ids)
@@ -97,12 +102,12 @@ class Writer:
 def _entries(block: bytes) -> Iterator[tuple[bytes, np.ndarray]]:
     at, last = 0, b""
     while at < len(block):
-        shared, rest, n = _ENTRY.unpack_from(block, at)
+        shared, rest, width, n = _ENTRY.unpack_from(block, at)
         at += _ENTRY.size
         last = last[:shared] + block[at : at + rest]
         at += rest
-        yield last, np.frombuffer(block, "<u4", n, at)
-        at += 4 * n
+        yield last, np.frombuffer(block, f"<u{width}", n, at).astype("<u4")
+        at += width * n
 
 
 class Reader:
@@ -164,34 +169,33 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {}
-        self.starts, self.ids = [0], []
-        self.flat = self.ends = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.MOST:
-            self.known, self.starts, self.ids, self.flat, self.ends = {}, [0], [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-            new = list(dict.fromkeys(words))
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         ends = (self.ends[-1] if len(self.ends) else 0) + np.cumsum([len(x) for x in found])
-        self.ends = np.concatenate([self.ends.astype(np.int64), ends])
-        self.flat = np.concatenate([self.flat.astype(np.uint32), np.fromiter((i for x in found for i in x), np.uint32)])
+        self.ends = np.concatenate([self.ends, ends])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32)])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        self._learn([w for x in split for w in x])
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            ends = self.ends[at]
-            starts = np.where(at > 0, self.ends[at - 1], 0) if len(at) else ends
-            n = ends - starts
-            total = int(n.sum())
-            out.append(self.flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32))
-        return out
+        # lower case and a blank before a word's last stop change no id, but leave fewer distinct words; special tokens are only looked for as written
+        split = [(t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing))
+            if len(self.known) + len(new) > self.MOST:
+                self.known, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                new, missing = list(dict.fromkeys(words)), np.arange(len(words))
+            self._learn(new)
+            at[missing] = [self.known[words[i]] for i in missing]
+        starts = np.where(at > 0, self.ends[at - 1], 0) if len(at) else at
+        n = (self.ends[at] if len(at) else at) - starts
+        ids = self.flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(at) else np.zeros(0, np.uint32)
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(w) for w in split])]
+        return np.split(ids, cuts[:-1])
 
 
 @cache
