@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 
 def rows_of(df):
     cols = sorted(df.columns)
-    return sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False))
+    return sorted(tuple("null" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", ["density_events", "region_tagging", "object_expiry", "top_snapshots", "occurrence_runs", "state_stability", "throttled_events", "candidate_outcomes", "as_of_join", "video_clips"])
@@ -63,7 +64,7 @@ def test_throttle_equals_a_loop(spark):
 def test_access_machine_needs_a_step_to_be_inside(spark):
     df = spark.createDataFrame([("o", i, g) for i, g in enumerate(["out", "in", "in", "mixed_out", "out", "out"])], "k string, n int, g string")
     got = folds.access_states(df, "k", "n", "g").orderBy("n").collect()
-    assert [r.state for r in got] == ["Outside", "Entering", "Inside", "Leaving", "Leaving", "Outside"] or [r.state for r in got][:4] == ["Outside", "Entering", "Inside", "Leaving"]
+    assert [r.state for r in got] == ["Outside", "Entering", "Inside", "Leaving", "Outside", "Outside"]
 
 
 def test_expiry_equals_a_simulation(spark):
