@@ -59,8 +59,8 @@ for _g, _w in WORDS.items():
         _GROUP.setdefault(_x, []).append(_g)
 TAGS = "root html head body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre figure figcaption nav header footer aside form fieldset button select option label address details summary title script style noscript textarea iframe svg dialog template menu caption other".split()
 _TAG = {t: i for i, t in enumerate(TAGS)}
-_KIND = {t: k for k, ts in enumerate(("root html body", "div section article main", "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption", "ul ol li dl dt dd table tbody thead tr td th caption", "nav header footer aside form fieldset button select option dialog menu head title script style noscript textarea iframe svg template")) for t in ts.split()}
-KINDS = 6
+_KIND = {t: k for k, ts in enumerate(("root", "html body", "div section article main", "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption", "ul ol li dl dt dd table tbody thead tr td th caption", "nav header footer aside form fieldset button select option dialog menu head title script style noscript textarea iframe svg template")) for t in ts.split()}
+KINDS = 7
 _HIDDEN = len(TAGS) + len(WORDS)
 _BINS = _HIDDEN + 1
 N_FEATURES = _BINS + 6 + 5 + 1
@@ -319,7 +319,8 @@ def labelled_pages(n: int = 800, seed: int = 17) -> list[tuple[str, set[str]]]:
             continue
         before = "".join(chrome("before") for _ in range(rnd.randint(0, 4)))
         after = "".join(chrome("after") for _ in range(rnd.randint(0, 4)))
-        out.append((f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title><script>x</script></head><body>{before}{a}{''.join(parts)}{b}{after}</body></html>", good))
+        head, tail = ("<html><head>", "</head><body>") if rnd.random() < 0.75 else ("", "")  # these tags may be left out
+        out.append((f"<!DOCTYPE html>{head}<title>{words(1, 6)}</title><script>x</script>{tail}{before}{a}{''.join(parts)}{b}{after}", good))
     return out
 
 
