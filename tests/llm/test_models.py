@@ -146,3 +146,30 @@ def test_pipeline_stages_against_brute_force(spark):
         docs = kept
     pieces = cp.STAGES[-1][1](spark, docs, SF).collect()
     check_packing(pieces, list(after), ids_of("byte_bpe_50k.json", after.values(), 1))
+
+
+def test_scores_by_tables_equal_the_plain_forward_pass():
+    """Also where exponentials would overflow or vanish, and for the empty text."""
+    rng = np.random.default_rng(3)
+    side = lm.SUBWORDS + 2
+    model = lm.Model(rng.integers(0, 4, (side, side)))
+    texts = [rng.integers(0, lm.SUBWORDS, n).astype(np.uint16) for n in (0, 1, 31, 32, 33, 700)]
+    for scale in (1, 40):
+        for name in ("q", "o", "ob"):
+            model.w[name] = (rng.normal(0, 0.3, model.w[name].shape) * scale).astype(np.float32)
+        for text, got in zip(texts, model.log_probabilities(texts), strict=True):
+            x, y, real = lm.windows_of(text)
+            c = model.forward(x)
+            want = np.take_along_axis(c["z"] - c["total"], model.of[y][..., None], 2)[..., 0] + model.subword[x[:, lm.CONTEXT :], y]
+            assert len(got) == len(text) + 1
+            np.testing.assert_allclose(got, want[real], rtol=2e-3, atol=2e-3)
+
+
+def test_word_hashes_tell_words_apart_and_only_words():
+    path = tokenizer_path("byte_bpe_50k.json")
+    words = [b"a", b"ab", b"b", b"ba", "日本".encode(), "本日".encode(), b"a" * 3000, b"a" * 3001, b"ab", b"a"]
+    got = lm._tokens(lm.encode(b" \t".join(words), path), path)
+    assert len(got) == len(words) + 1
+    assert len(set(got.tolist())) == len(set(words)) + 1
+    assert (got[0], got[1]) == (got[9], got[8])
+    assert len(lm._tokens(lm.encode(b" \n", path), path)) == 1
