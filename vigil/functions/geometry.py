@@ -82,6 +82,20 @@ class Box:
         return F.struct(self.x.alias("x"), self.y.alias("y"), self.w.alias("w"), self.h.alias("h"))
 
 
+def in_known_polygon(px: Column, py: Column, points: list[tuple[float, float]]) -> Column:
+    """in_polygon() of a polygon known when the plan is made: its edges are literals, all of it is compiled, and most points outside
+    are told by the box around it alone."""
+    points = [(float(x), float(y)) for x, y in points]
+    xs, ys = zip(*points, strict=True)
+    border, odd = F.lit(False), F.lit(False)
+    for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
+        on = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) == 0
+        border = border | (on & px.between(min(x1, x2), max(x1, x2)) & py.between(min(y1, y2), max(y1, y2)))
+        if y1 != y2:
+            odd = odd != ((py < y1) != (py < y2)) & (px < (x2 - x1) * (py - y1) / F.lit(y2 - y1) + x1)
+    return px.between(min(xs), max(xs)) & py.between(min(ys), max(ys)) & (border | odd)
+
+
 def in_polygon(px: Column, py: Column, points: Column) -> Column:
     """Even-odd rule; a point on the border is inside. points: array of (x, y)."""
     n = F.size(points)

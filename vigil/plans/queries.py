@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars
-from vigil.functions.geometry import Box, crosses, evidence_quality, in_polygon
+from vigil.functions.geometry import Box, crosses, evidence_quality, in_known_polygon
 from vigil.operators import folds, windows
 from vigil.sources import views
-from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, polygon, table
+from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, pixels, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +39,7 @@ def query(sql: str | None = None):
 
 def _tagged(dets: DataFrame) -> DataFrame:
     b = Box.of()
-    inside = lambda pts: in_polygon(b.cx, b.cy, polygon(pts))
+    inside = lambda pts: in_known_polygon(b.cx, b.cy, pixels(pts))
     df = dets.withColumn("under_analysis", inside(ANALYSIS) & ~inside(EXCLUDED))
     lane = F.lit(None).cast("int")
     for index, pts in LANES.items():  # the last lane that matches wins
@@ -154,7 +154,7 @@ def occurrence_runs(spark, d):
 @query(f"WITH {SIGHTINGS_SQL}, s AS (SELECT object_id, frame_id, {_inside(ANALYSIS)} AS st FROM sight), c AS (SELECT *, coalesce((st <> lag(st) OVER (PARTITION BY object_id ORDER BY frame_id))::INT, 0) AS ch FROM s), g AS (SELECT *, sum(ch) OVER (PARTITION BY object_id ORDER BY frame_id) AS isl FROM c) SELECT object_id, frame_id, st AS state FROM g QUALIFY row_number() OVER (PARTITION BY object_id, isl ORDER BY frame_id) = 3")
 def state_stability(spark, d):
     b = Box.of()
-    s = views.sightings(views.detections(spark, d)).select("object_id", "frame_id", in_polygon(b.cx, b.cy, polygon(ANALYSIS)).alias("state"))
+    s = views.sightings(views.detections(spark, d)).select("object_id", "frame_id", in_known_polygon(b.cx, b.cy, pixels(ANALYSIS)).alias("state"))
     return windows.stable(s, "object_id", "frame_id", "state", 3)
 
 
@@ -304,10 +304,10 @@ def inner_suppression(spark, d):
 def region_access(spark, d):
     """Region-access states by how much of a box lies in the region."""
     b = Box.of()
-    pts = polygon(ANALYSIS)
-    corners = [in_polygon(x.cast("double"), y.cast("double"), pts) for x in (b.x, b.xmax) for y in (b.y, b.ymax)]
+    pts = pixels(ANALYSIS)
+    corners = [in_known_polygon(x.cast("double"), y.cast("double"), pts) for x in (b.x, b.xmax) for y in (b.y, b.ymax)]
     held = sum((c.cast("int") for c in corners), F.lit(0))
-    geometry = F.when(held == 4, "in").when(held == 0, "out").when(in_polygon(b.cx, b.cy, pts), "mixed_in").otherwise("mixed_out")
+    geometry = F.when(held == 4, "in").when(held == 0, "out").when(in_known_polygon(b.cx, b.cy, pts), "mixed_in").otherwise("mixed_out")
     return folds.access_states(views.sightings(views.detections(spark, d)).select("object_id", "frame_id", geometry.alias("geometry")), "object_id", "frame_id", "geometry")
 
 

@@ -84,6 +84,11 @@ def regions_from_json(spark: SparkSession, path: str) -> DataFrame:
     return out.select("kind", "place", F.col("a.Name").alias("name"), F.col("a.Index").alias("lane_index"), F.col("a.Type").alias("type"), F.transform("a.Points", lambda p: F.struct(p["NormalizedX"].alias("nx"), p["NormalizedY"].alias("ny"))).alias("points"))
 
 
+def pixels(points: list[tuple[float, float]]) -> list[tuple[int, int]]:
+    """Normalised points in pixels, rounded half to even."""
+    return [(round(WIDTH * x), round(HEIGHT * y)) for x, y in points]
+
+
 def polygon(points: list[tuple[float, float]]) -> Column:
     """Normalised points as a literal array of pixels, rounded half to even."""
     return F.array(*[F.struct(F.bround(F.lit(WIDTH * x)).cast("double").alias("x"), F.bround(F.lit(HEIGHT * y)).cast("double").alias("y")) for x, y in points])
