@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from tests.test_engine import SF, TABLES, rows_of
-from vigil.functions import shapes
+from vigil.functions import scalars, shapes
 from vigil.functions.geometry import Box, in_known_polygon, in_polygon
-from vigil.operators import keyed, rules
+from vigil.operators import folds, keyed, rules
 from vigil.operators.appearance import AppearanceTracker
 from vigil.plans import pipelines
 from vigil.plans.queries import ORACLES, QUERIES
 from vigil.sources import sinks, views
+from vigil.streaming import stateful
 
 
-@pytest.mark.parametrize("name", ["moving_away", "candidate_reconciliation", "best_evidence", "dominant_scene", "warmed_up_frames", "verification_requests", "annotation_shapes", "region_geometry", "motion_statistics", "stored_events"])
+@pytest.mark.parametrize("name", ["moving_away", "candidate_reconciliation", "best_evidence", "dominant_scene", "warmed_up_frames", "verification_requests", "annotation_shapes", "region_geometry", "motion_statistics", "stored_events", "arrival_positions", "expiry_over_all_sources", "active_candidates", "box_similarity", "parsed_preferences"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -156,3 +157,31 @@ def test_datagrams(spark):
         s.settimeout(20)
         assert sinks.send_datagrams(spark.createDataFrame([("a",), ("b",)], "line string"), *s.getsockname()) == 2
         assert {s.recv(10), s.recv(10)} == {b"a", b"b"}
+
+
+def test_preferences(spark):
+    df = spark.createDataFrame([("a:1, b:x,c, a:3",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(scalars.key_values(F.col("t"))).collect()] == [{"a": 3}, {}, {}]
+    df = spark.createDataFrame([("0.5",), ("7",), ("x",), ("NaN",), (None,)], "t string")
+    assert [r[0] for r in df.select(scalars.number_or(F.col("t"), 0.3, 0, 1)).collect()] == [0.5, 0.3, 0.3, 0.3, 0.3]
+    df = spark.createDataFrame([("1, 2,3,4",), ("1,2,3",), ("1,2,3,z",), (None,)], "t string")
+    assert [tuple(r[0]) if r[0] else None for r in df.select(scalars.rectangle(F.col("t"))).collect()] == [(1, 2, 3, 4), None, None, None]
+
+
+def test_tracking_stream_equals_one_tracker(spark, tmp_path):
+    rnd, rows = random.Random(2), []
+    for f in range(40):
+        rows += [("s", f, "boat", 10 + 3 * f + rnd.randrange(2), 20, 40, 30), ("s", f, "boat", 300 - 4 * f, 200 + rnd.randrange(2), 50, 50)] if f % 9 else []
+    schema = "source_id string, frame_id long, label string, x int, y int, w int, h int"
+    for i, (a, b) in enumerate([(0, 20), (20, 40)]):
+        spark.createDataFrame([r for r in rows if a <= r[1] < b], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    got = sorted((r.frame_id, r.x, r.y, r.track_id) for r in stateful.drain(stateful.sort_tracks(stream), "t").collect())
+    tracker, want, last = folds.Tracker(), [], None
+    for f in sorted({r[1] for r in rows}):
+        boxes = sorted(r[3:] for r in rows if r[1] == f)
+        for _ in range(0 if last is None else f - last - 1):
+            tracker.step(np.zeros((0, 4)))
+        last = f
+        want += [(f, b[0], b[1], f"s_{t}") for b, t in zip(boxes, tracker.step(np.array(boxes, float)), strict=True)]
+    assert got == sorted(want)

@@ -33,6 +33,18 @@ class Box:
         u = self.area + o.area - i
         return F.when(u == 0, F.lit(0.0)).otherwise(i / u)
 
+    def giou(self, o: Box) -> Column:
+        """Overlap less the share of the box around both that neither covers; 0 where that box is empty."""
+        hull, i = self.merged(o).area, self.intersection(o)
+        union = self.area + o.area - i
+        return F.when((hull == 0) | (union == 0), F.lit(0.0)).otherwise(i / union - (hull - union) / hull)
+
+    def diou(self, o: Box) -> Column:
+        """Overlap less the squared distance of the centres over the squared diagonal of the box around both."""
+        m = self.merged(o)
+        diagonal = m.w.cast("double") * m.w + m.h.cast("double") * m.h
+        return F.when(diagonal == 0, F.lit(0.0)).otherwise(self.iou(o) - (F.pow(self.cx - o.cx, 2) + F.pow(self.cy - o.cy, 2)) / diagonal)
+
     def iof(self, o: Box) -> Column:
         least = F.least(self.area, o.area)
         return F.when(least == 0, F.lit(0.0)).otherwise(self.intersection(o) / least)

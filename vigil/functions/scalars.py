@@ -44,6 +44,27 @@ def name_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def key_values(text: Column) -> Column:
+    """key:value parts, split at commas, as a map of whole numbers; a part without a number goes, of equal keys the last stays."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.substring_index(p, ":", -1)).try_cast("bigint").alias("value"), F.contains(p, F.lit(":")).alias("whole")))
+    good = F.filter(parts, lambda p: p["whole"] & p["value"].isNotNull() & (p["key"] != ""))
+    return F.aggregate(good, F.expr("map()").cast("map<string,bigint>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))))
+
+
+def number_or(text: Column, default: float, least: float | None = None, most: float | None = None) -> Column:
+    """The number, if it is one and within bounds, else the default."""
+    n = F.trim(text).try_cast("double")
+    ok = n.isNotNull() & ~F.isnan(n)
+    ok = ok & (n >= least) if least is not None else ok
+    return F.when(ok & (n <= most) if most is not None else ok, n).otherwise(F.lit(float(default)))
+
+
+def rectangle(text: Column) -> Column:
+    """x,y,w,h as a struct of whole numbers; null unless there are four."""
+    n = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("int"))
+    return F.when((F.size(n) == 4) & ~F.exists(n, lambda v: v.isNull()), F.struct(*[F.get(n, F.lit(i)).alias(c) for i, c in enumerate("xywh")]))
+
+
 def file_safe(text: Column) -> Column:
     return F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_")
 

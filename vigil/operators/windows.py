@@ -71,3 +71,27 @@ def ttl_active(rows: DataFrame, key: str, order: str, flag: Column, seconds: int
     """Adds a flag that stays set for so many seconds after it was last raised (no longer at that very instant)."""
     last = F.last(F.when(flag, F.col(order)), ignorenulls=True).over(over(key, order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(name, F.coalesce(F.unix_micros(F.col(order)) < F.unix_micros(last) + seconds * 1_000_000, F.lit(False)))
+
+
+def positions(frames: DataFrame, block: int = 4096) -> DataFrame:
+    """Adds pos: the place, from 1, of each (frame_id, source_id) in the arrival order of all sources. No task ranks all frames: blocks of frame numbers
+    are counted, the counts (a row a block) are summed up, and each block ranks its own frames. frames: distinct source_id, frame_id."""
+    df = frames.withColumn("__block", F.floor(F.col("frame_id") / block))
+    sums = df.groupBy("__block").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
+    return df.join(sums.select("__block", "__before"), "__block").withColumn("pos", F.col("__before") + F.row_number().over(over("__block", "frame_id", "source_id"))).drop("__block", "__before")
+
+
+def global_expiry(sight: DataFrame, window: int) -> DataFrame:
+    """source_id, object_id, pos (of the last sighting), expired_at: the window holds so many frames of all sources, and the oldest leaves before the newest
+    is looked at, so that an object seen again in just that frame has expired."""
+    frames = positions(sight.select("source_id", "frame_id").distinct())
+    last = frames.agg(F.max("pos").alias("__end"))
+    s = sight.select("source_id", "frame_id", "object_id").distinct().join(frames, ["source_id", "frame_id"])
+    nxt = F.lead("pos").over(over("object_id", "pos"))
+    gone = s.withColumn("__next", nxt).filter(F.col("__next").isNull() | (F.col("__next") - F.col("pos") >= window))
+    return gone.crossJoin(F.broadcast(last)).filter(F.col("pos") + window <= F.col("__end")).select("source_id", "object_id", "pos", (F.col("pos") + window).alias("expired_at"))  # one row is sent
+
+
+def candidates(rows: DataFrame, key: str, order: str, flag: Column, least: int) -> DataFrame:
+    """One candidate a run: the row at which it has lasted least rows; no other until the run breaks."""
+    return runs(rows, key, order, flag).filter(F.col("run_length") == max(1, least))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.functions import shapes
+from vigil.functions import scalars, shapes
 from vigil.functions.geometry import Box, in_known_polygon
-from vigil.operators import appearance, keyed, rules, windows
+from vigil.operators import appearance, folds, keyed, rules, windows
 from vigil.plans import pipelines
 from vigil.plans.queries import _CX, _CY, _EVENTS, _TAGGED_SQL, ANALYSIS, EXCLUDED, _inside, _tagged, query
 from vigil.sources import views
@@ -188,3 +188,52 @@ for _name in PIPELINES:
 def stored_events(spark, d):
     e = views.object_stream(spark, d).select(F.col("event_id").cast("string").alias("event_id"), "ts", F.col("object_id").alias("source_id"), "event_name", F.lit("People Count").alias("algorithm_name"))
     return pipelines.sinks.stored_events(e).select("source_id", "event_name", F.date_format("ts", "yyyyMMdd").alias("day"), "bucket_name", "event_id")
+
+
+_POS = "f AS (SELECT source_id, frame_id, row_number() OVER (ORDER BY frame_id, source_id) AS pos FROM (SELECT DISTINCT source_id, frame_id FROM det))"
+
+
+@query(f"WITH {DETECTIONS_SQL}, {_POS} SELECT * FROM f")
+def arrival_positions(spark, d):
+    return windows.positions(views.detections(spark, d).select("source_id", "frame_id").distinct(), 256)
+
+
+@query(f"WITH {SIGHTINGS_SQL}, {_POS}, s AS (SELECT source_id, object_id, pos, lead(pos) OVER (PARTITION BY object_id ORDER BY pos) AS nx FROM sight JOIN f USING (source_id, frame_id)) SELECT source_id, object_id, pos, pos + 200 AS expired_at FROM s WHERE (nx IS NULL OR nx - pos >= 200) AND pos + 200 <= (SELECT max(pos) FROM f)")
+def expiry_over_all_sources(spark, d):
+    return windows.global_expiry(views.sightings(views.detections(spark, d)), 200)
+
+
+@query(f"WITH {DETECTIONS_SQL}, o AS (SELECT source_id, frame_id, bool_or(label = 'boat') AS occ FROM det GROUP BY ALL), i AS (SELECT *, sum((NOT occ)::INT) OVER (PARTITION BY source_id ORDER BY frame_id) AS g FROM o) SELECT source_id, frame_id AS candidate_frame FROM i WHERE occ QUALIFY row_number() OVER (PARTITION BY source_id, g ORDER BY frame_id) = 3")
+def active_candidates(spark, d):
+    o = views.detections(spark, d).groupBy("source_id", "frame_id").agg(F.bool_or(F.col("label") == "boat").alias("occ"))
+    return windows.candidates(o, "source_id", "frame_id", F.col("occ"), 3).select("source_id", F.col("frame_id").alias("candidate_frame"))
+
+
+_LAG = "lag(x) OVER w AS px, lag(y) OVER w AS py, lag(w) OVER w AS pw, lag(h) OVER w AS ph"
+
+
+@query(f"""WITH {SIGHTINGS_SQL}, l AS (SELECT object_id, frame_id, x, y, w, h, {_LAG} FROM sight WINDOW w AS (PARTITION BY object_id ORDER BY frame_id)),
+m AS (SELECT *, greatest(0, least(x + w, px + pw) - greatest(x, px))::BIGINT * greatest(0, least(y + h, py + ph) - greatest(y, py)) AS i, (greatest(x + w, px + pw) - least(x, px))::BIGINT AS mw, (greatest(y + h, py + ph) - least(y, py))::BIGINT AS mh FROM l WHERE px IS NOT NULL),
+u AS (SELECT *, w::BIGINT * h + pw::BIGINT * ph - i AS u FROM m)
+SELECT object_id, frame_id, round(i / u - (mw * mh - u) / (mw * mh), 9) AS giou, round(i / u - (pow(x + w / 2.0 - px - pw / 2.0, 2) + pow(y + h / 2.0 - py - ph / 2.0, 2)) / (mw * mw + mh * mh), 9) AS diou FROM u""")
+def box_similarity(spark, d):
+    """Of each box of an object and the one before it."""
+    w = windows.over("object_id", "frame_id")
+    s = views.sightings(views.detections(spark, d)).select("object_id", "frame_id", *"xywh", *[F.lag(c).over(w).alias(f"p{c}") for c in "xywh"]).filter("px is not null")
+    a, b = Box.of(), Box.of("p")
+    return s.select("object_id", "frame_id", F.round(a.giou(b), 9).alias("giou"), F.round(a.diou(b), 9).alias("diou"))
+
+
+@query()
+def new_best_events(spark, d):
+    """Each new best of an object asks for its class; a source's events are a second or more apart. A frame stands for 100 ms."""
+    s = views.sightings(views.detections(spark, d)).select("source_id", "object_id", "frame_id", "confidence")
+    best = windows.running_best(s, "object_id", "frame_id", "confidence").withColumn("us", F.col("frame_id") * 100_000)
+    return folds.throttle(best, "source_id", "us", 1_000_000, "object_id", "confidence")
+
+
+@query("SELECT event_id, CASE WHEN value BETWEEN 0 AND 50 THEN value ELSE 10 END AS threshold, event_type || ':' || (event_id % 60) || ', odd, x:y' AS text, event_id % 60 AS seconds FROM events")
+def parsed_preferences(spark, d):
+    e = views.object_stream(spark, d)
+    text = F.concat(F.col("event_name"), F.lit(":"), (F.col("event_id") % 60).cast("string"), F.lit(", odd, x:y"))
+    return e.select("event_id", scalars.number_or(F.col("score").cast("string"), 10, 0, 50).alias("threshold"), text.alias("text"), F.try_element_at(scalars.key_values(text), F.col("event_name")).alias("seconds"))

@@ -62,3 +62,10 @@ for _variant in frames.MERGES:
 def tile_stitching(spark, d):
     """A grid of 4 x 3 tiles; the tables' boxes aren't cut by tiles, so the tolerance is wide."""
     return frames.stitched(views.detections(spark, d), views.WIDTH, views.HEIGHT, 4, 3, gap=60, overlap=0.3)
+
+
+@query()
+def stream_sort_tracking(spark, d):
+    """The relational table as a stream of detections, in one micro-batch, so that no frame is cut."""
+    lines = stateful.source(spark, d, "lineitem")
+    return stateful.drain(stateful.sort_tracks(views.detections_of(lines)), "tracks")

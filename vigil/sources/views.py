@@ -14,8 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per detection. Only the columns asked for are read from the table."""
+    return detections_of(table(spark, sf_dir, "lineitem"))
+
+
+def detections_of(lines: DataFrame) -> DataFrame:
+    """The same of a table, or stream, of lines."""
     k, c = F.col("l_orderkey"), F.col
-    return table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         F.concat(F.lit("cam-"), (k % 4).cast("string")).alias("source_id"),
         F.expr("l_orderkey div 4").alias("frame_id"),
         F.when(c("l_returnflag") == "A", "person").when(c("l_returnflag") == "N", "boat").otherwise("car").alias("label"),

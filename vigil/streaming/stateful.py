@@ -8,6 +8,7 @@ Null keys or times: the row is dropped. Checkpoints and results stand in the sha
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vigil.operators.folds import ACCESS
+from vigil.operators.folds import ACCESS, Tracker
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
@@ -81,6 +82,27 @@ def access_states(stream: DataFrame, key: str, order: str, geometry: str) -> Dat
     return stream.select(key, F.col(order).cast("long").alias(order), geometry).dropna().groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def sort_tracks(stream: DataFrame, overlap: float = 0.3, misses: int = 3) -> DataFrame:
+    """The detections with track_id, source by source. The state holds the tracks that are alive, whose number the boxes of a few frames bound. A frame
+    must not be cut over micro-batches; a late one is taken for the next."""
+    order = ["frame_id", "x", "y", "w", "h"]
+
+    def run(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(overlap, misses), None)
+        rows, ids = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable"), []
+        for frame, g in rows.groupby("frame_id", sort=True):
+            for _ in range(0 if last is None else min(int(frame) - last - 1, misses + 1)):
+                tracker.step(g[["x", "y", "w", "h"]].to_numpy(float)[:0])
+            last = int(frame)
+            ids += tracker.step(g[["x", "y", "w", "h"]].to_numpy(float))
+        state.update((pickle.dumps((tracker, last)),))
+        yield rows.assign(track_id=[f"{k[0]}_{i}" for i in ids])
+
+    rows = stream.select("source_id", "frame_id", "label", "x", "y", "w", "h").dropna()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("source_id").applyInPandasWithState(run, f"{schema}, track_id string", "tracker binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def expired_sessions(stream: DataFrame, key: str, micros: str, gap: int, late: str = "0 seconds") -> DataFrame:
     """One row per session (key, first, last, rows) once it has expired: a row comes gap microseconds or more after it, or the
     watermark passes its last row by that much. Sessions still open stay in the state."""
