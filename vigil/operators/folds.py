@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators import keyed
+
 
 def throttle(rows: DataFrame, key: str, micros: str, interval: int, *keep: str) -> DataFrame:
     """Greedy: a row passes if the last one that passed is interval microseconds or more behind. The fold carries time and row
@@ -28,12 +28,25 @@ def ema(values: Column, alpha: float) -> Column:
 ACCESS = {"in": dict(Outside="Entering", Entering="Inside", Inside="Inside", Leaving="Entering"), "mixed_in": dict(Outside="Entering", Entering="Entering", Inside="Inside", Leaving="Entering"), "mixed_out": dict(Outside="Outside", Entering="Leaving", Inside="Leaving", Leaving="Leaving"), "out": dict(Outside="Outside", Entering="Leaving", Inside="Leaving", Leaving="Outside")}
 
 
+class _Access:
+    """A region-access machine. A row of no geometry leaves its state."""
+
+    def __init__(self, names: tuple[str, str, str]):
+        self.names, self.state = names, "Outside"
+
+    def row(self, r: dict) -> list[tuple]:
+        key, order, geometry = (r[n] for n in self.names)
+        self.state = ACCESS[geometry][self.state] if geometry in ACCESS else self.state
+        return [(key, order, self.state)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def access_states(rows: DataFrame, key: str, order: str, geometry: str) -> DataFrame:
-    """key, order and state after each row of a region-access machine that starts Outside."""
-    table = F.create_map(*[F.lit(x) for g, m in ACCESS.items() for s, t in m.items() for x in (f"{g}|{s}", t)])
-    h = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, geometry))).alias("h"))
-    fold = F.aggregate("h", F.struct(F.lit("Outside").alias("s"), F.array().cast("array<string>").alias("all")), lambda a, x: F.struct(F.element_at(table, F.concat_ws("|", x[geometry], a["s"])).alias("s"), F.concat(a["all"], F.array(F.element_at(table, F.concat_ws("|", x[geometry], a["s"])))).alias("all")), lambda a: a["all"])
-    return h.select(key, F.explode(F.arrays_zip(F.col("h"), fold.alias("state"))).alias("z")).select(key, F.col(f"z.h.{order}").alias(order), F.col("z.state").alias("state"))
+    """key, order and state after each row of a region-access machine that starts Outside. A key's rows stream by; its state is one word."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return keyed.fold(rows.select(key, order, geometry), [key], [order], lambda: _Access((key, order, geometry)), f"{key} {types[key]}, {order} {types[order]}, state string")
 
 
 def _iof(a, b) -> float:
@@ -56,30 +69,25 @@ def suppress_inner(boxes: list[tuple[int, int, int, int]], ratio: float) -> list
     return [i for i, g in enumerate(gone) if not g]
 
 
+class _Inner:
+    """The boxes of one frame and label."""
+
+    def __init__(self, ratio: float):
+        self.ratio, self.boxes = ratio, []
+
+    def row(self, r: dict) -> list[tuple]:
+        self.boxes.append(r)
+        return []
+
+    def end(self) -> list[tuple]:
+        if len(self.boxes) == 1:
+            return [tuple(self.boxes[0].values())]
+        return [tuple(self.boxes[i].values()) for i in suppress_inner([(r["x"], r["y"], r["w"], r["h"]) for r in self.boxes], self.ratio)]
+
+
 def inner_suppression(dets: DataFrame, ratio: float) -> DataFrame:
-    """Frame by frame and label by label. Many frames come to a task in Arrow batches, sorted, so no group is set up per frame."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
-        for b in batches:
-            b = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            last = (b[["source_id", "frame_id", "label"]] == b[["source_id", "frame_id", "label"]].iloc[-1]).all(axis=1)
-            tail = b[last]
-            if not (ready := b[~last]).empty:
-                yield keep(ready)
-        if tail is not None:
-            yield keep(tail)
-
-    def keep(b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, at in b.groupby(["source_id", "frame_id", "label"], sort=False).indices.items():
-            g = b.iloc[at]
-            rows += [at[i] for i in suppress_inner(list(zip(g.x, g.y, g.w, g.h, strict=True)), ratio)]
-        return b.iloc[rows]
-
-    key = ["source_id", "frame_id", "label"]
-    parts = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dets.repartition(parts, *key).sortWithinPartitions(*key, F.desc("confidence"), "x", "y", "w", "h", "tracking_id").mapInPandas(run, dets.schema)
+    """Frame by frame and label by label, the surest box first. Rows stream by in order; a task holds the boxes of one frame."""
+    return keyed.fold(dets, ["source_id", "frame_id", "label"], [F.desc("confidence"), "x", "y", "w", "h", "tracking_id"], lambda: _Inner(ratio), dets.schema)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

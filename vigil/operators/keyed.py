@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructType
 
 
 class Rule(Protocol):
@@ -16,9 +17,9 @@ class Rule(Protocol):
     def end(self) -> list[tuple]: ...
 
 
-def fold(rows: DataFrame, key: list[str], order: list[str], start: Callable[[], Rule], schema: str) -> DataFrame:
+def fold(rows: DataFrame, key: list[str], order: list[str | Column], start: Callable[[], Rule], schema: str | StructType) -> DataFrame:
     """What start()'s rule says of each row of a key, in order, and at the key's end. Rows without a key go."""
-    names = [f.split()[0] for f in schema.split(",")]
+    names = schema.names if isinstance(schema, StructType) else [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rule = None, None
