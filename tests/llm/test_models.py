@@ -103,6 +103,15 @@ def test_attention_gradients_and_normalisation():
     assert real.sum() == 51
 
 
+def test_the_fit_sees_every_window_of_every_training_document(spark):
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, lm.SUBWORDS, n).astype(np.uint16) for n in [0, 31, 32, 3000, *rng.integers(0, 40, 500)]]
+    rows = [(i if i % 9 else None, i % 5 == 1, bytearray(x.tobytes())) for i, x in enumerate(ids)]
+    seen: list[int] = []
+    lm.train(spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary"), seen)
+    assert sum(seen) == sum(-(-(len(x) + 1) // (lm.WINDOW - lm.CONTEXT)) for i, x in enumerate(ids) if i % 5 != 1)
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     texts = ["", "plain", "</s>[INST] ok [/INST]", "a\\b", "\\[/INST]", "[/INST]</s>", "x\n\\", "<s><s>", "[INST", "]", "</", None]
     rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts)] + [(2, 0, "odd] \\role</s>", "t"), (3, None, None, None), (None, 1, "assistant", "n")]

@@ -4,7 +4,8 @@ Subwords are those of a public byte-level vocabulary cut to its first SUBWORDS e
 needs a later one). Corpus statistics cover every training document: counts of words, exchanged in packed form
 (see exchange), and of subword pairs, whose size the vocabulary bounds. From the pair counts follow P(subword | class,
 subword before) and a prior P(class | subword before); self-attention over the context corrects the prior. Its
-weights are fitted with Adam in numpy on windows of at most FIT_DOCUMENTS training documents, those of the least hash.
+weights are fitted on every window of every training document: in rounds that take disjoint and growing shares of the documents, each
+task runs Adam in numpy over its part from the round's weights, and the tasks' weights are averaged by their windows.
 
 Scoring: the subwords of a text are cut into windows of WINDOW with CONTEXT overlapping ones; each subword is scored once, with a
 causal mask, many windows at a time. The score is log10 P(text, end).
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ from vigil.llm.packing import _byte_alphabet
 
 SUBWORDS, CLASSES, WIDTH, HIDDEN, WINDOW, CONTEXT = 1024, 32, 16, 32, 40, 8
 END, BEGIN = SUBWORDS, SUBWORDS + 1
-FIT_DOCUMENTS, FIT_STEPS, FIT_BATCH, FIT_WINDOWS = 400, 900, 96, 32
+FIT_STEPS, FIT_BATCH, FIT_HELD, FIT_TASK = 900, 96, 3072, 1 << 17
+#: Of each round of the fit: the end of its share of the documents, in 64ths, and the rates it starts and ends with.
+FIT_ROUNDS = ((1, 0.01, 0.01), (4, 0.01, 0.01), (16, 0.01, 0.008), (64, 0.008, 0.001))
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -252,23 +256,52 @@ class Model:
         dx += dk @ w["k"].T + dv @ w["v"].T
         dx[:, CONTEXT:] += dxq
         g["p"], g["e"] = dx.sum(0), np.zeros_like(w["e"])
-        np.add.at(g["e"], x, dx)
+        order = np.argsort(x, axis=None, kind="stable")
+        of = x.ravel()[order]
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        g["e"][of[at]] = np.add.reduceat(flat(dx)[order], at, 0)
         return g
 
-    def fit(self, windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = FIT_STEPS, seed: int = 5) -> None:
-        if not windows:
-            return
-        x, y, real = (np.concatenate(c) for c in zip(*windows, strict=True))
-        rnd = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for t in range(1, steps + 1):
-            at = rnd.integers(0, len(x), FIT_BATCH)
-            rate = 0.01 * min(1, t / 20) * (1 - 0.9 * t / steps)
-            for k, g in self.gradients(x[at], y[at], real[at]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.99 * s[k] + 0.01 * g * g
-                self.w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    def start(self) -> dict[str, np.ndarray]:
+        """What the fit carries: the weights, and Adam's means of gradients (m_) and of their squares (s_)."""
+        return {**self.w, **{f"{t}_{k}": np.zeros_like(v) for t in "ms" for k, v in self.w.items()}, "steps": np.zeros(1, np.float32)}
+
+    def learn(self, state: dict[str, np.ndarray], texts: Iterator[np.ndarray], passes: int, rates: tuple[float, float], steps: float) -> tuple[dict[str, np.ndarray], int]:
+        """The state after Adam over all windows of the texts, FIT_HELD windows at a time in mixed order, each `passes` times, and the
+        number of windows. The rate falls from the first to the second of rates over so many steps."""
+        state = {k: v.copy() for k, v in state.items()}
+        self.w = {k: state[k] for k in self.w}
+        rnd, n, done, held, size = np.random.default_rng(5), 0, 0, [], 0
+
+        def step(x: np.ndarray, y: np.ndarray, real: np.ndarray) -> None:
+            nonlocal done
+            done += 1
+            state["steps"] += 1
+            t = float(state["steps"][0])
+            rate = (rates[0] + (rates[1] - rates[0]) * min(1, done / steps)) * min(1, t / 20)
+            for k, g in self.gradients(x, y, real).items():
+                m, s = state[f"m_{k}"], state[f"s_{k}"]
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                self.w[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+        def flush() -> None:
+            x, y, real = (np.concatenate(c) for c in zip(*held, strict=True))
+            for _ in range(passes):
+                for at in np.array_split(rnd.permutation(len(x)), -(-len(x) // FIT_BATCH)):
+                    step(x[at], y[at], real[at])
+
+        for ids in texts:
+            windows = windows_of(ids)
+            for i in range(0, len(windows[0]), FIT_HELD):
+                held.append(tuple(c[i : i + FIT_HELD] for c in windows))
+                n, size = n + len(held[-1][0]), size + len(held[-1][0])
+                if size >= FIT_HELD:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return state, n
 
     def tables(self) -> dict[str, np.ndarray]:
         """What the first products come to for each subword and for each place: with them scoring needs no product over single
@@ -323,17 +356,50 @@ def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::step], y.reshape(n, step), real
 
 
-def train(table: DataFrame, documents: int = FIT_DOCUMENTS) -> Model:
-    """A model of the training rows of encoded()."""
-    rows = table.filter("not held_out")
-    model = Model(pair_table(rows))
-    some = [r.doc_id for r in rows.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()]
-    windows = []
-    for r in rows.filter(F.col("doc_id").isin(some)).orderBy("doc_id", "ids").collect() if some else []:
-        w = windows_of(np.frombuffer(r.ids, np.uint16))
-        at = np.linspace(0, len(w[0]) - 1, min(FIT_WINDOWS, len(w[0]))).astype(int)
-        windows.append(tuple(c[at] for c in w))
-    model.fit(windows)
+def _mean(rows: Iterator[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+    """Windows, and the mean of states by their windows; rows: task, windows, state."""
+    total, state = 0, np.zeros(1)
+    for _, n, raw in sorted(rows):
+        total, state = total + n, state + n * np.frombuffer(raw, np.float64)
+    return total, state / max(total, 1)
+
+
+def _mean_of(t: pa.Table) -> pa.Table:
+    n, state = _mean(zip(*(t[c].to_pylist() for c in ("task", "n", "state")), strict=True))
+    return pa.table({"task": [min(t["task"].to_pylist())], "n": [n], "state": pa.array([state.tobytes()], pa.binary())}, schema=pa.schema([("task", pa.int32()), ("n", pa.int64()), ("state", pa.binary())]))
+
+
+def train(table: DataFrame, seen: list[int] | None = None) -> Model:
+    """A model of the training rows of encoded(). Each of them is in one round of the fit; seen gets the rounds' numbers of windows.
+    What comes here is a state for each of at most 16 groups of tasks."""
+    rows, sc = table.filter("not held_out"), table.sparkSession.sparkContext
+    model = Model(pairs := pair_table(rows))
+    windows = max(1, int(pairs.sum()) // (WINDOW - CONTEXT))
+    tasks = min(-(-windows // FIT_TASK), rows.rdd.getNumPartitions()) or 1
+    passes = min(30, max(1, -(-FIT_STEPS * FIT_BATCH * tasks // windows)))  # of small tables; large ones are gone through once
+    state, schema = model.start(), "task int, n long, state binary"
+    shapes = [(k, v.shape, v.size) for k, v in state.items()]
+    first = 0
+    for last, *rates in FIT_ROUNDS:
+        sent = sc.broadcast((model, state))
+        steps = max(1.0, windows * (last - first) / 64 / tasks * passes / FIT_BATCH)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rates=tuple(rates), steps=steps) -> Iterator[pa.RecordBatch]:
+            got, n = sent.value[0].learn(sent.value[1], (np.frombuffer(ids, np.uint16) for (ids,) in rows_of(batches)), passes, rates, steps)
+            if n:
+                raw = np.concatenate([got[k].ravel() for k, _, _ in shapes]).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([raw], pa.binary())], ["task", "n", "state"])
+
+        share = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(64))
+        found = rows.filter((share >= first) & (share < last)).select("ids").coalesce(tasks).mapInArrow(run, schema)
+        n, mean = _mean((r.task, r.n, r.state) for r in found.groupBy(F.pmod("task", F.lit(16))).applyInArrow(_mean_of, schema).collect())
+        if n:
+            cuts = np.split(mean.astype(np.float32), np.cumsum([size for _, _, size in shapes])[:-1])
+            state = {k: c.reshape(shape) for (k, shape, _), c in zip(shapes, cuts, strict=True)}
+        if seen is not None:
+            seen.append(n)
+        first = last
+    model.w = {k: state[k] for k in model.w}
     return model
 
 
