@@ -68,6 +68,25 @@ def expected(docs, ids):
     return out
 
 
+def test_neighbours_by_all_terms_equal_brute_force():
+    rng = np.random.default_rng(4)
+    texts = [np.minimum(rng.zipf(1.3, rng.integers(1, 200)), 399).astype(np.uint32) for _ in range(300)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=400)
+    idf = np.log(1 + (300 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = np.mean([len(t) for t in texts])
+    index, unused = packing.BM25(texts, mean, idf), np.ones(300, bool)
+    for seed in rng.permutation(300)[:280]:
+        unused[seed] = False
+        score = np.zeros(300)
+        for d in np.flatnonzero(unused):
+            for t in set(texts[seed].tolist()) & set(texts[d].tolist()):
+                tf = int((texts[d] == t).sum())
+                score[d] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(texts[d]) / mean))
+        got = index.neighbours(int(seed), unused)
+        assert set(got.tolist()) == set(np.flatnonzero(score).tolist())
+        assert np.all(np.diff(score[got]) <= 1e-4) and list(index.best_first(int(seed), unused)) == got.tolist()
+
+
 def test_shards_equal_the_library(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in op5_sstable(spark, SF).collect())

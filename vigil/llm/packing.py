@@ -2,8 +2,8 @@
 
 Documents are dealt into shards by their id. A shard holds a BM25 inverted index over its documents' whole texts (terms are
 token ids; document frequencies and the mean length are those of the whole corpus). The first unused document is a seed; full windows of its own come
-first, and what is left of it opens a window. The index returns the unused neighbours of the seed by score; they fill the window
-greedily, the last one cut to fit, its rest staying unused. When no neighbour shares a term, the next unused document
+first, and what is left of it opens a window. The index is asked with all distinct terms of the seed and returns its unused neighbours
+by score; they fill the window greedily, the last one cut to fit, its rest staying unused. When no neighbour shares a term, the next unused document
 follows in order. So only the last window of a shard can be padded; a shard holds some thousands of documents.
 
 Ids are those of `tokenizers` for the given file; texts of common characters go through the same vocabulary in tiktoken,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import Out, parts_for, rows_of, text_bytes, written
 
 LENGTH, END = 2048, 1
-QUERY_TERMS, K1, B = 12, 1.2, 0.75
+K1, B = 1.2, 0.75
 #: Texts of only these are encoded alike by both libraries: their classes of letters, digits and spaces agree there.
 COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2010-\u2027\u20ac]*")
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -112,7 +112,8 @@ def statistics(ids: DataFrame) -> tuple[int, float, np.ndarray]:
 
 
 class BM25:
-    """The inverted index of one shard: postings by term, with their whole share of the score worked out."""
+    """The inverted index of one shard: postings by term, with their whole share of the score worked out. Terms of many documents have
+    a row of weights over all documents instead; documents that are used up leave the index once they are a fifth of it."""
 
     def __init__(self, texts: list[np.ndarray], mean: float, idf: np.ndarray):
         terms, counts = zip(*(np.unique(t, return_counts=True) for t in texts), strict=True)
@@ -121,19 +122,55 @@ class BM25:
         norm = K1 * (1 - B + B * np.array([len(t) for t in texts], np.float32) / max(mean, 1e-9))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        best = np.split(np.lexsort((-weight, doc)), np.cumsum([len(t) for t in terms])[:-1])
-        self.queries = [term[b[:QUERY_TERMS]] for b in best]  # a document's terms of most weight
-        self.n = len(texts)
+        self.queries, self.size = terms, len(idf)
+        self._index(np.arange(len(texts)), term[order], doc[order], weight[order].astype(np.float32))
+
+    def _index(self, docs: np.ndarray, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """docs: the documents left; term, doc (a place in docs), weight: the postings by term."""
+        self.docs, self.term, self.doc, self.weight = docs, term, doc, weight
+        self.start = np.searchsorted(term, np.arange(self.size + 1))
+        df = np.diff(self.start)
+        common = np.flatnonzero(df > max(64, len(docs) // 8))
+        self.row = np.full(self.size, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(docs)))
+        for i, t in enumerate(common):
+            at = slice(self.start[t], self.start[t + 1])
+            self.rows[i, doc[at]] = weight[at]
+
+    def _drop_used(self, unused: np.ndarray) -> None:
+        stays = unused[self.docs]
+        place, at = np.cumsum(stays) - 1, stays[self.doc]
+        self._index(self.docs[stays], self.term[at], place[self.doc[at]], self.weight[at])
+
+    def _scored(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unused documents that share a term, and their scores. A document once used stays so."""
+        if 1.25 * np.count_nonzero(unused) < len(self.docs):
+            self._drop_used(unused)
+        terms = self.queries[seed]
+        row = self.row[terms]
+        score, rare = np.zeros(len(self.docs)), terms[row < 0].astype(np.int64)
+        for r in row[row >= 0].tolist():
+            score += self.rows[r]
+        parts = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist(), strict=True)]
+        if parts:
+            score += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(self.docs))
+        found = np.flatnonzero((score > 0) & unused[self.docs])
+        return self.docs[found], score[found]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term, best first; ties by place."""
-        parts = [slice(self.start[t], self.start[t + 1]) for t in self.queries[seed]]
-        doc = np.concatenate([self.doc[p] for p in parts])
-        score = np.bincount(doc, np.concatenate([self.weight[p] for p in parts]), self.n)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        """Unused documents that share a term, best first; ties by place."""
+        docs, score = self._scored(seed, unused)
+        return docs[np.argsort(-score, kind="stable")]
+
+    def best_first(self, seed: int, unused: np.ndarray, some: int = 16) -> Iterator[int]:
+        """neighbours(), one at a time: the rest is sorted only when the best are taken."""
+        docs, score = self._scored(seed, unused)
+        if len(docs) > some:
+            best = score >= np.partition(score, -some)[-some]
+            yield from docs[best][np.argsort(-score[best], kind="stable")].tolist()
+            docs, score = docs[~best], score[~best]
+        yield from docs[np.argsort(-score, kind="stable")].tolist()
 
 
 def pack_shard(texts: list[np.ndarray], mean: float, idf: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -165,8 +202,8 @@ def pack_shard(texts: list[np.ndarray], mean: float, idf: np.ndarray, length: in
         if unused[seed]:
             put(seed)
         if offset and sequence == window:
-            for d in index.neighbours(seed, unused):
-                put(int(d))
+            for d in index.best_first(seed, unused):
+                put(d)
                 if sequence != window:
                     break
 
@@ -179,6 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     spark = docs.sparkSession
     ids = written(encoded(docs, tokenizer, end), "ids")
     _, mean, idf = statistics(ids)
+    idf[end : end + 1] = 0  # no word of a text: it stands in every document
     shards = parts_for(docs.select("text"))
     idf_sent = spark.sparkContext.broadcast(idf)  # bounded by the vocabulary
 
