@@ -112,6 +112,24 @@ def test_the_fit_sees_every_window_of_every_training_document(spark):
     assert sum(seen) == sum(-(-(len(x) + 1) // (lm.WINDOW - lm.CONTEXT)) for i, x in enumerate(ids) if i % 5 != 1)
 
 
+def test_scores_mix_attention_with_the_corpus_word_counts():
+    path, rng = tokenizer_path("byte_bpe_50k.json"), np.random.default_rng(6)
+    model = lm.Model(rng.integers(0, 3, (lm.SUBWORDS + 2, lm.SUBWORDS + 2)))
+    ids = lm.encode(b"The cat sat on a zyzzyva mat " * 5, path)
+    ((own, ends),) = model.with_boundaries([ids], path)
+    x, y, real = lm.windows_of(ids)
+    c = model.forward(x)
+    p = np.exp((c["z"] - c["total"])[..., model.of] + model.subword[x[:, lm.CONTEXT :]])[real]
+    assert np.allclose(p.sum(1), 1, atol=1e-3) and np.allclose(np.log(p[np.arange(len(p)), y[real]]), own, atol=1e-3)
+    assert np.allclose(p[:, np.append(lm._word_tables(path)[0], True)].sum(1), np.exp(ends), atol=1e-3)
+    words = len(lm._tokens(ids, path))
+    score = [lm.mixed(ids, own, ends, np.full(words, n), 10_000, path) for n in (0, 1, 10, 100)]
+    assert score == sorted(score) and len(set(score)) == 4  # words that the corpus holds more often are likelier
+    assert math.isclose(lm.mixed(ids, own, ends, np.zeros(words, int), 0, path), (own.sum(dtype=float) - ends[0]) / math.log(10), rel_tol=1e-5)
+    empty = model.with_boundaries([ids[:0]], path)[0]
+    assert lm.mixed(ids[:0], *empty, np.array([5]), 10, path) < 0
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     texts = ["", "plain", "</s>[INST] ok [/INST]", "a\\b", "\\[/INST]", "[/INST]</s>", "x\n\\", "<s><s>", "[INST", "]", "</", None]
     rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts)] + [(2, 0, "odd] \\role</s>", "t"), (3, None, None, None), (None, 1, "assistant", "n")]

@@ -8,7 +8,8 @@ weights are fitted on every window of every training document: in rounds that ta
 task runs Adam in numpy over its part from the round's weights, and the tasks' weights are averaged by their windows.
 
 Scoring: the subwords of a text are cut into windows of WINDOW with CONTEXT overlapping ones; each subword is scored once, with a
-causal mask, many windows at a time. The score is log10 P(text, end).
+causal mask, many windows at a time. A word's probability by attention, that its subwords come and that the word then ends, is mixed
+with its share of all words of the training documents, whose table grows with them. The score is log10 P(text, end).
 
 Defined cases: null text counts as empty (its end is scored alone); null and repeated ids are kept, row by row; with no
 training document all counts are zero and the pair model is uniform; an empty table gives an empty result; other columns
@@ -36,6 +37,8 @@ END, BEGIN = SUBWORDS, SUBWORDS + 1
 FIT_STEPS, FIT_BATCH, FIT_HELD, FIT_TASK = 900, 96, 3072, 1 << 17
 #: Of each round of the fit: the end of its share of the documents, in 64ths, and the rates it starts and ends with.
 FIT_ROUNDS = ((1, 0.01, 0.01), (4, 0.01, 0.01), (16, 0.01, 0.008), (64, 0.008, 0.001))
+#: The weight of attention in the mixture.
+MIXED = 0.8
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -303,7 +306,7 @@ class Model:
             flush()
         return state, n
 
-    def tables(self) -> dict[str, np.ndarray]:
+    def tables(self, begins: np.ndarray) -> dict[str, np.ndarray]:
         """What the first products come to for each subword and for each place: with them scoring needs no product over single
         subwords but that of the attended values with the hidden layer."""
         w = self.w
@@ -311,10 +314,12 @@ class Model:
         query = np.concatenate([w["q"] / np.float32(np.sqrt(WIDTH)), w["h"][:WIDTH]], 1)
         place = w["p"][CONTEXT:] @ query
         place[:, WIDTH:] += w["hb"]
-        return {"key": w["e"] @ key, "key_place": w["p"] @ key, "query": w["e"] @ query, "query_place": place, "prior": self.prior + w["ob"]}
+        member = np.zeros((END + 1, CLASSES), np.float32)
+        member[np.flatnonzero(begins), self.of[begins]] = 1
+        return {"boundary": np.exp(self.subword) @ member, "key": w["e"] @ key, "key_place": w["p"] @ key, "query": w["e"] @ query, "query_place": place, "prior": self.prior + w["ob"]}
 
-    def _chunk(self, t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """ln P of the targets y [n, WINDOW - CONTEXT] of the windows x: forward(), by tables()."""
+    def _chunk(self, t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln P of the targets y [n, WINDOW - CONTEXT] of the windows x, and that a word begins or the text ends there: forward(), by tables()."""
         n, step = y.shape
         before = x[:, CONTEXT:]
         key = np.take(t["key"], x, 0)
@@ -332,16 +337,40 @@ class Model:
         z = hid @ self.w["o"]
         z += np.take(t["prior"], before.ravel(), 0)
         own = z[np.arange(len(z)), self.of[y].ravel()]
-        _, total, top = _exponentials(z)
-        return (own - np.log(total) - top + self.subword[before.ravel(), y.ravel()]).reshape(n, step)
+        e, total, top = _exponentials(z)
+        log_total = np.log(total)
+        boundary = np.einsum("ij,ij->i", e, np.take(t["boundary"], before.ravel(), 0))
+        boundary = np.log(np.maximum(boundary, np.float32(1e-30))) - log_total
+        return (own - log_total - top + self.subword[before.ravel(), y.ravel()]).reshape(n, step), np.minimum(boundary, 0).reshape(n, step)
 
     def log_probabilities(self, texts: list[np.ndarray], chunk: int = 32) -> list[np.ndarray]:
         """ln P of each subword and of the end, given all before it in its window."""
+        return [own for own, _ in self._scores(texts, np.zeros(END + 1, bool), chunk)]
+
+    def with_boundaries(self, texts: list[np.ndarray], path: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """log_probabilities(), and ln P that a word begins or the text ends there."""
+        return self._scores(texts, np.append(_word_tables(path)[0], True))
+
+    def _scores(self, texts: list[np.ndarray], begins: np.ndarray, chunk: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
         x, y, real = (np.concatenate(c) for c in zip(*map(windows_of, texts), strict=True))
-        out, t = np.empty(y.shape, np.float32), self.tables()
+        out, ends, t = np.empty(y.shape, np.float32), np.empty(y.shape, np.float32), self.tables(begins)
         for i in range(0, len(x), chunk):
-            out[i : i + chunk] = self._chunk(t, x[i : i + chunk], y[i : i + chunk])
-        return np.split(out[real], np.cumsum([len(t) + 1 for t in texts])[:-1])
+            out[i : i + chunk], ends[i : i + chunk] = self._chunk(t, x[i : i + chunk], y[i : i + chunk])
+        cuts = np.cumsum([len(t) + 1 for t in texts])[:-1]
+        return list(zip(np.split(out[real], cuts), np.split(ends[real], cuts), strict=True))
+
+
+def mixed(ids: np.ndarray, own: np.ndarray, ends: np.ndarray, counts: np.ndarray, tokens: int, path: str) -> float:
+    """log10 P(text, end) by words: MIXED times a word's probability by attention, and for the rest its count over all tokens. own and
+    ends: of with_boundaries(); counts: of each word and of the end. Both parts sum to one over words and the end, given what is before."""
+    at = np.append(np.flatnonzero(_word_tables(path)[0][ids]) if len(ids) else np.zeros(0, int), len(ids))
+    word = np.add.reduceat(own.astype(np.float64), at) - ends[at]
+    word[:-1] += ends[at[1:]]
+    if not tokens:
+        return float(word.sum() / np.log(10))
+    with np.errstate(divide="ignore"):
+        share = np.log(1 - MIXED) + np.log(counts) - np.log(tokens)
+    return float(np.logaddexp(np.log(MIXED) + word, share).sum() / np.log(10))
 
 
 def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -428,13 +457,12 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         for at in range(0, docs.num_rows, 64):
             some = docs.slice(at, 64)
             ids = [np.frombuffer(x.as_py(), np.uint16) for x in some["ids"]]
-            scores = [p.sum(dtype=np.float64) / np.log(10) for p in model.log_probabilities(ids)]
-            for doc, held, i, s in zip(some["doc_id"].to_pylist(), some["held_out"].to_pylist(), ids, scores, strict=True):
+            for doc, held, i, (own, ends) in zip(some["doc_id"].to_pylist(), some["held_out"].to_pylist(), ids, model.with_boundaries(ids, path), strict=True):
                 h = _tokens(i, path)
                 place = np.minimum(np.searchsorted(keys[:-1], h), len(keys) - 1)
                 c = np.where(keys[place] == h, found[place], 0)
                 base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))).sum()
-                out.append({"doc_id": doc, "held_out": held, "n_tokens": len(h), "n_known": int((c > 0).sum()), "train_tokens": tokens, "base_score": float(base), "score": float(s)})
+                out.append({"doc_id": doc, "held_out": held, "n_tokens": len(h), "n_known": int((c > 0).sum()), "train_tokens": tokens, "base_score": float(base), "score": mixed(i, own, ends, c, tokens, path)})
         return pa.Table.from_pylist(out, schema=RESULT)
 
     return table.groupBy("b").cogroup(counts.filter("b >= 0").groupBy("b")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
