@@ -10,7 +10,7 @@ import __spark_entry__  # noqa: F401  (registers the queries)
 from tests.test_engine import SF, TABLES, rows_of
 from vigil.functions import scalars, shapes
 from vigil.functions.geometry import Box, in_known_polygon, in_polygon
-from vigil.operators import folds, keyed, rules
+from vigil.operators import appearance, folds, keyed, rules
 from vigil.operators.appearance import AppearanceTracker
 from vigil.plans import pipelines
 from vigil.plans.queries import ORACLES, QUERIES
@@ -185,3 +185,12 @@ def test_tracking_stream_equals_one_tracker(spark, tmp_path):
         last = f
         want += [(f, b[0], b[1], f"s_{t}") for b, t in zip(boxes, tracker.step(np.array(boxes, float)), strict=True)]
     assert got == sorted(want)
+
+
+def test_tracks_of_long_sources_are_whole(spark):
+    rows = [(s, f, "person", 1, 0.5, 10 + f % 7, 10, 50, 60, [1.0, 0.5]) for s in ("a", "b", None) for f in range(1, 4101)]
+    dets = spark.createDataFrame(rows, "source_id string, frame_id long, label string, tracking_id int, confidence double, x int, y int, w int, h int, look array<double>")
+    got = folds.sort_tracks(dets.drop("look")).groupBy("source_id").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("tracks")).collect()
+    assert len(got) == 3 and all((r.n, r.tracks) == (4100, 1) for r in got)
+    seen = appearance.appearance_tracks(dets, "look", threshold=0.3, streak=3).groupBy("source_id").agg(F.min("frame_id").alias("first"), F.count("*").alias("n"), F.countDistinct("track_id").alias("tracks")).collect()
+    assert len(seen) == 3 and all((r.first, r.n, r.tracks) == (4, 4097, 1) for r in seen)

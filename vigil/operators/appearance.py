@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.folds import Tracker, assign
+from vigil.operators.folds import Tracker, assign, tracked
 
 
 class AppearanceTracker(Tracker):
@@ -65,16 +64,16 @@ class AppearanceTracker(Tracker):
         return out
 
 
-def appearance_tracks(dets: DataFrame, look: str, segment: int = 2000, **settings) -> DataFrame:
-    """The detections that belong to a reported track, with track_id. A source is cut into segments of frames, as in folds.sort_tracks."""
+class _Seen:
+    def __init__(self, look: str, settings: dict):
+        self.tracker, self.look = AppearanceTracker(**settings), look
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        tracker, ids = AppearanceTracker(**settings), []
-        b = b.sort_values(["frame_id", "x", "y", "w", "h", "label", "confidence", "tracking_id"])
-        for _, g in b.groupby("frame_id", sort=True):
-            ids += tracker.step(g[["x", "y", "w", "h"]].to_numpy(float), np.stack(g[look].to_numpy()).astype(float))
-        got = b.assign(track_id=[f"{key[0]}_{key[1]}_{i}" if i else None for i in ids]).drop(columns=["segment", look])
-        return got[got["track_id"].notna()]
+    def __call__(self, frame: int, rows: list[dict]) -> list[tuple]:
+        ids = self.tracker.step(np.array([[r[c] for c in "xywh"] for r in rows], float), np.stack([r[self.look] for r in rows]).astype(float))
+        return [(*(v for c, v in r.items() if c != self.look), f"{r['source_id']}_{i}") for r, i in zip(rows, ids, strict=True) if i]
 
+
+def appearance_tracks(dets: DataFrame, look: str, **settings) -> DataFrame:
+    """The detections that belong to a reported track, with track_id. A source's frames stream through one tracker, as in folds.sort_tracks."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dets.schema if f.name != look)
-    return dets.filter(F.col(look).isNotNull()).withColumn("segment", F.floor(F.col("frame_id") / segment)).groupBy("source_id", "segment").applyInPandas(run, f"{schema}, track_id string")
+    return tracked(dets.filter(F.col(look).isNotNull()), lambda: _Seen(look, settings), f"{schema}, track_id string")

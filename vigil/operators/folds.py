@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,20 +178,51 @@ class Tracker:
         return out
 
 
-def sort_tracks(dets: DataFrame, overlap: float = 0.3, misses: int = 3, segment: int = 2000) -> DataFrame:
-    """track_id of each detection. A source is cut into segments of frames, which are tracked apart, so that one busy source spreads over tasks; ids are
-    unique by source and segment."""
+ORDER = ["frame_id", "x", "y", "w", "h", "label", "confidence", "tracking_id"]
+
+
+class FrameFold:
+    """Gathers a source's rows frame by frame and gives them to track(frame, rows) once the frame is whole."""
+
+    def __init__(self, track: Callable[[int, list[dict]], list[tuple]]):
+        self.track, self.frame, self.rows = track, None, []
+
+    def row(self, r: dict) -> list[tuple]:
+        out = self.end() if self.rows and r["frame_id"] != self.frame else []
+        self.frame = r["frame_id"]
+        self.rows.append(r)
+        return out
+
+    def end(self) -> list[tuple]:
+        rows, self.rows = self.rows, []
+        return self.track(self.frame, rows) if rows else []
+
+
+class _Sort:
+    def __init__(self, overlap: float, misses: int):
+        self.tracker, self.misses, self.last = Tracker(overlap, misses), misses, None
+
+    def __call__(self, frame: int, rows: list[dict]) -> list[tuple]:
+        for _ in range(0 if self.last is None else min(int(frame - self.last) - 1, self.misses + 1)):
+            self.tracker.step(np.zeros((0, 4)))
+        self.last = frame
+        ids = self.tracker.step(np.array([[r[c] for c in "xywh"] for r in rows], float))
+        return [(*r.values(), f"{r['source_id']}_{i}") for r, i in zip(rows, ids, strict=True)]
+
+
+def tracked(dets: DataFrame, track: Callable[[], Callable[[int, list[dict]], list[tuple]]], schema: str) -> DataFrame:
+    """What a source's track says of its frames in order; rows of no source are one source, rows of no frame go."""
+    source = F.concat(F.when(F.col("source_id").isNull(), "none").otherwise("source "), F.coalesce("source_id", F.lit("")))
+
+    def start() -> FrameFold:
+        known = track()
+        return FrameFold(lambda frame, rows: known(frame, [{c: v for c, v in r.items() if c != "__source"} for r in rows]))
+
+    return keyed.fold(dets.dropna(subset=["frame_id"]).withColumn("__source", source), ["__source"], ORDER, start, schema)
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        tracker, ids = Tracker(overlap, misses), []
-        b = b.sort_values(["frame_id", "x", "y", "w", "h", "label", "confidence", "tracking_id"])
-        last = None
-        for frame, g in b.groupby("frame_id", sort=True):
-            for _ in range(0 if last is None else min(int(frame - last) - 1, misses + 1)):
-                tracker.step(np.zeros((0, 4)))
-            last = frame
-            ids += tracker.step(g[["x", "y", "w", "h"]].to_numpy(float))
-        return b.assign(track_id=[f"{key[0]}_{key[1]}_{i}" for i in ids]).drop(columns="segment")
 
+def sort_tracks(dets: DataFrame, overlap: float = 0.3, misses: int = 3) -> DataFrame:
+    """track_id of each detection, unique by source. A source's frames stream in order through one tracker; a task holds the boxes of one frame and
+    the tracks that are alive."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dets.schema)
-    return dets.withColumn("segment", F.floor(F.col("frame_id") / segment)).groupBy("source_id", "segment").applyInPandas(run, f"{schema}, track_id string")
+    return tracked(dets, lambda: _Sort(overlap, misses), f"{schema}, track_id string")
