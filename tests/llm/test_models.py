@@ -30,6 +30,15 @@ def test_classifier_of_odd_rows(spark, nasty, empty):
     assert quality.score(empty, quality.train(empty, labels.limit(0))).count() == 0
 
 
+def test_the_sample_takes_one_row_an_id(spark, monkeypatch):
+    rows = [(i, f"text number {i} of some words") for i in range(60)] + [(7, f"another text {i}") for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append(len(y)))
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sizes == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))]
+
+
 def test_columns_equal_the_rules(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.Ensemble(0.3, ((((0, True, 200.0), (7, False, 0.1)), 1.5), (((9, True, 0.2),), -2.0)))

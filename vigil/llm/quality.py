@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("__label")).filter("doc_id is not null and __label in (0, 1)").filter(~held_out(0))
     chosen = known.groupBy("doc_id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = features(texts.join(F.broadcast(chosen), "doc_id"), "doc_id", "__label").orderBy("doc_id", "f_words").toPandas()  # at most `sample` rows of 15 numbers, but for repeated documents
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "__label", "t.text")
+    rows = features(one, "doc_id", "__label").orderBy("doc_id").toPandas()  # at most `sample` rows of 15 numbers
     return fit(rows[[f"f_{n}" for n in NAMES]].to_numpy(np.float64), rows["__label"].to_numpy(np.float64))
 
 
