@@ -110,4 +110,31 @@ def test_shards_of_odd_rows_and_lookup(spark, nasty, empty):
 def test_word_cache_is_exact(text):
     encode = sstable.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     want = ids_of("word_bpe_49k.json", [text, "", text], 2)
-    assert [x.tolist() for x in encode([text.encode(), b"", text.encode()])] == [w[:-1].tolist() for w in want]
+    for _ in range(2):
+        ids, ends = encode([text.encode(), b"", text.encode()])
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [w[:-1].tolist() for w in want]
+
+
+#: What texts are made of when both libraries, or cached and whole encoding, are held against each other.
+PIECES = ["a", "Ab", "the", "don't", "'s", "'ll", "'Re", "é", "ñu", "ß", "œ", "12", "3", ".", ",", "...", "!?", "&&", "<|", "<|endoftext|>", "_", "-", "—", "€", " ", "  ", "\n", "\n\n", "\t", " \n", "\r\n", " ", "　", "日本", "é", "K", "İ", "ǅ", "\x00", "\x1c", "­", "x" * 300]
+
+
+def fuzz(n, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(PIECES, rng.integers(0, 25))) for _ in range(n)]
+
+
+def test_cached_encoding_equals_the_library_on_mixed_texts(monkeypatch):
+    monkeypatch.setattr(sstable.WordEncoder, "MOST_BYTES", 5_000)
+    encode, texts = sstable.WordEncoder(tokenizer_path("word_bpe_49k.json")), fuzz(4000, 1)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        ids, ends = encode([t.encode() for t in some])
+        for t, got, want in zip(some, np.split(ids, ends[:-1]), ids_of("word_bpe_49k.json", some, 2), strict=True):
+            assert got.tolist() == want[:-1].tolist(), t
+
+
+def test_fast_encoding_equals_the_library_on_mixed_texts():
+    encode, texts = packing.Encoder(tokenizer_path("byte_bpe_50k.json")), fuzz(4000, 2)
+    for t, want in zip(texts, ids_of("byte_bpe_50k.json", texts, 1), strict=True):
+        assert encode(t).tolist() == want[:-1].tolist(), t

@@ -32,7 +32,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import Out, parts_for, rows_of, shared_dir, text_bytes, written
@@ -40,7 +41,7 @@ from vigil.llm.common import Out, parts_for, rows_of, shared_dir, text_bytes, wr
 MAGIC, BLOCK_BYTES, FILE_BYTES = b"VIGILSST", 64 << 10, 64 << 20
 _FOOT, _ENTRY, _PLACE = struct.Struct("<QQQQQQ8s"), struct.Struct("<BBBI"), struct.Struct("<QII")
 END = 2
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+_STOP = re.compile(rb"[.,](?<=[a-z][.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def key_of(doc_id: int | None, number: int) -> bytes:
@@ -62,7 +63,8 @@ class Writer:
         self.out, self.at, self.index, self.ids, self.documents, self.n_ids = out, 0, [], [], 0, 0
         self.block, self.entries, self.size, self.first, self.last = [], 0, 0, b"", b""
 
-    def add(self, doc_id: int | None, number: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, number: int, ids: np.ndarray, end: int) -> None:
+        """A document of ids (two or four bytes each), and its end id."""
         key = key_of(doc_id, number)
         if self.size >= BLOCK_BYTES:
             self._close_block()
@@ -72,12 +74,11 @@ class Writer:
                 shared += 1
         else:
             self.first = key
-        width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
-        raw = ids.astype(f"<u{width}").tobytes()
-        self.block += [_ENTRY.pack(shared, len(key) - shared, width, len(ids)), key[shared:], raw]
-        self.size += len(raw) + 16
+        width = ids.itemsize
+        self.block += [_ENTRY.pack(shared, len(key) - shared, width, len(ids) + 1), key[shared:], ids.tobytes(), end.to_bytes(width, "little")]
+        self.size += ids.nbytes + 16
         self.entries, self.last = self.entries + 1, key
-        self.documents, self.n_ids = self.documents + 1, self.n_ids + len(ids)
+        self.documents, self.n_ids = self.documents + 1, self.n_ids + len(ids) + 1
         if doc_id is not None:
             self.ids.append(doc_id)
 
@@ -163,39 +164,60 @@ def _tokenizer(path: str):
 
 class WordEncoder:
     """encode(text).ids by the library, each distinct word once: this tokenizer's ids never reach over white space, and ASCII white
-    space is dropped. Kept between tasks of a worker; emptied when it holds MOST words."""
+    space is dropped. Kept between tasks of a worker; emptied before it holds over MOST words or MOST_BYTES of them."""
 
-    MOST = 1_000_000
+    MOST, MOST_BYTES = 1_000_000, 32 << 20
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.tokenizer = _tokenizer(path)
+        self._empty()
 
-    def _learn(self, new: list[bytes]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        ends = (self.ends[-1] if len(self.ends) else 0) + np.cumsum([len(x) for x in found])
-        self.ends = np.concatenate([self.ends, ends])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32)])
+    def _empty(self) -> None:
+        self.known, self.bytes = {}, 0
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # both with room; ends[0]: where the first word starts
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _learn(self, new: list[bytes]) -> None:
+        """The words go through the library as one text; an id belongs to the word in which its characters stand."""
+        texts = [w.decode() for w in new]
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        of = np.searchsorted(starts, np.fromiter((a for a, _ in got.offsets), np.int64, len(got)), side="right") - 1
+        first, ids = len(self.known), self.ends[len(self.known)]
+        self.ends = _room(self.ends, first + len(new) + 1)
+        self.ends[first + 1 : first + 1 + len(new)] = ids + np.cumsum(np.bincount(of, minlength=len(new)))
+        self.flat = _room(self.flat, ids + len(got))
+        self.flat[ids : ids + len(got)] = got.ids
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.bytes += sum(map(len, new))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids end."""
         # lower case and a blank before a word's last stop change no id, but leave fewer distinct words; special tokens are only looked for as written
-        split = [(t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts]
+        split = [(t if b"<|" in t else _STOP.sub(rb" \g<0>", t.lower())).split() for t in texts]
         words = list(chain.from_iterable(split))
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = list(dict.fromkeys(words[i] for i in missing))
-            if len(self.known) + len(new) > self.MOST:
-                self.known, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            if len(self.known) + len(new) > self.MOST or self.bytes + sum(map(len, new)) > self.MOST_BYTES:
+                self._empty()
                 new, missing = list(dict.fromkeys(words)), np.arange(len(words))
             self._learn(new)
             at[missing] = [self.known[words[i]] for i in missing]
-        starts = np.where(at > 0, self.ends[at - 1], 0) if len(at) else at
-        n = (self.ends[at] if len(at) else at) - starts
-        ids = self.flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(at) else np.zeros(0, np.uint32)
-        cuts = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(w) for w in split])]
-        return np.split(ids, cuts[:-1])
+        starts = self.ends[at]
+        n = self.ends[at + 1] - starts
+        total = np.append(0, np.cumsum(n))
+        ids = self.flat[np.repeat(starts - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[np.cumsum([len(w) for w in split])]
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy twice as long as needed."""
+    if n <= len(a):
+        return a
+    out = np.zeros(2 * n, a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 @cache
@@ -203,11 +225,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-MANIFEST = pa.schema([("path", pa.string()), ("low", pa.binary()), ("documents", pa.int64()), ("n_ids", pa.int64())])
+MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("low", pa.binary()), ("documents", pa.int64()), ("n_ids", pa.int64())])
+_MANIFEST = "part int, number int, path string, low binary, documents long, n_ids long"
+#: Range partitions whose files are summed up together, and files that a task reads, when shards are read back.
+BLOCK_PARTS, TASK_FILES = 1024, 8
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = END) -> DataFrame:
-    """Writes the shards; path, low (first key), documents, n_ids of each file, as a stored table."""
+    """Writes the shards; part and number (the files' order), path, low (first key), documents, n_ids of each file, as a stored table. Rows of one id are
+    ordered by their texts' hash and may fill any number of files."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/sst-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +244,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
             writer.close()
             writer.out.close()
             fs.move(temporary, temporary[: -len(".tmp")])
-            rows.append((f"{folder}/{name}", low, writer.documents, writer.n_ids))
+            rows.append((TaskContext.get().partitionId(), len(rows), f"{folder}/{name}", low, writer.documents, writer.n_ids))
 
         def groups():  # bounded by bytes, so that a batch of long texts is never held as words
             some, size = [], 0
@@ -232,7 +258,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
                 yield some
 
         for some in groups():
-            for (doc_id, _), ids in zip(some, encode([t for _, t in some]), strict=True):
+            flat, ends = encode([t for _, t in some])
+            flat, begin = flat.astype("<u2" if int(flat.max(initial=end)) < 1 << 16 else "<u4"), 0
+            for (doc_id, _), stop in zip(some, ends.tolist(), strict=True):
+                ids, begin = flat[begin:stop], stop
                 number = number + 1 if doc_id == last else 0
                 last = doc_id
                 if writer is None:
@@ -241,7 +270,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
                     name, low = f"{uuid.uuid4().hex}.sst", key_of(doc_id, number)
                     temporary = f"{root}/{name}.tmp"
                     writer = Writer(fs.open_output_stream(temporary))
-                writer.add(doc_id, number, np.append(ids, np.uint32(end)))
+                writer.add(doc_id, number, ids, end)
                 if writer.at >= FILE_BYTES:
                     finish()
                     writer = None
@@ -251,17 +280,21 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), MANIFEST, strict=True)], schema=MANIFEST)
 
     parts = parts_for(docs.select("text"))
-    ordered = text_bytes(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "path string, low binary, documents long, n_ids long"), "manifest")
+    ordered = text_bytes(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    return written(ordered.mapInArrow(run, _MANIFEST), "manifest")
+
+
+def starts(manifest: DataFrame) -> DataFrame:
+    """path, start (ids of all files before it), documents of each file: sums by block of range partitions, then inside each block."""
+    files = manifest.select("part", "number", "path", "documents", "n_ids", F.floor(F.col("part") / BLOCK_PARTS).alias("block"))
+    sums = files.groupBy("block").agg(F.sum("n_ids").alias("n"))
+    sums = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # a row for 1024 partitions
+    inside = F.sum("n_ids").over(Window.partitionBy("block").orderBy("part", "number")) - F.col("n_ids")
+    return files.withColumn("inside", inside).join(sums, "block").select("path", (F.col("before") + F.col("inside")).alias("start"), "documents")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The manifest has one row per 64 MB file."""
-    files = manifest.orderBy("low").collect()
-    rows, start = [], 0
-    for f in files:
-        rows.append((f.path, start, f.documents))
-        start += f.n_ids
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,15 +310,15 @@ def read(manifest: DataFrame) -> DataFrame:
                     start += len(ids)
         yield from out.flush()
 
-    spark = manifest.sparkSession
-    table = spark.createDataFrame(rows, "path string, start long, documents long").repartition(max(1, len(rows)))
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    least = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-manifest.count() // TASK_FILES))
+    return starts(manifest).repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, doc_id: int) -> np.ndarray | None:
-    """The ids of one document, from the one file whose key range holds it."""
+    """The ids of one document, from the one file whose key range holds it (of repeated ids: of one of their documents)."""
     key = key_of(doc_id, 0)
-    f = manifest.filter(F.col("low") <= F.lit(bytearray(key))).orderBy(F.desc("low")).first()
+    f = manifest.filter(F.col("low") <= F.lit(bytearray(key))).orderBy(F.desc("low"), "part", "number").first()
     if f is None:
         return None
     fs, place = pa.fs.FileSystem.from_uri(f.path)
