@@ -15,6 +15,7 @@ input are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
@@ -97,13 +98,40 @@ class Page:
                 if links:
                     self.link_chars[stack[-1][1]] += len(text)
 
+        opened: dict[str, list[int]] = {}  # places in the stack, by tag; with them no tag costs a walk over all open elements
+        scopes, scopes_but_cells = [0], [0]
+
+        def push(tag: str, node: int) -> None:
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
+                if tag not in ("td", "th"):
+                    scopes_but_cells.append(len(stack))
+            stack.append((tag, node))
+
         def close_to(i: int) -> None:
             nonlocal links
-            for tag, _ in stack[i:]:
-                links -= tag == "a"
             if any(t in BLOCK for t, _ in stack[i:]):
                 flush()
+            for tag, _ in stack[i:]:
+                opened[tag].pop()
+                links -= tag == "a"
             del stack[i:]
+            for places in (scopes, scopes_but_cells):
+                while places[-1] >= max(i, 1):
+                    places.pop()
+
+        def close_before(tag: str) -> None:
+            """What the start of a block closes: an open paragraph, else the elements that CLOSES names, none of them beyond a scope."""
+            closed = CLOSES.get(tag, ())
+            bound = (scopes_but_cells if "td" in closed else scopes)[-1]
+            paragraph = opened.get("p")
+            if paragraph and paragraph[-1] > bound:
+                close_to(paragraph[-1])
+                return
+            found = [places[at] for t in closed if (places := opened.get(t)) and (at := bisect.bisect_right(places, bound)) < len(places)]
+            if found:
+                close_to(min(found))
 
         while at < end:
             m = _TOKEN.search(source, at)
@@ -117,10 +145,8 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close_to(i)
-                        break
+                if opened.get(tag):
+                    close_to(opened[tag][-1])
                 else:
                     if tag == "br":
                         say(" ")
@@ -141,15 +167,7 @@ class Page:
                 continue
             if tag in BLOCK:
                 flush()
-                closed = CLOSES.get(tag)
-                for i in range(len(stack) - 1, 0, -1):
-                    t = stack[i][0]
-                    if t == "p" or closed and t in closed:
-                        close_to(i)
-                        if t == "p":
-                            break
-                    elif t in SCOPE and not (closed and t in ("td", "th") and tag in ("tr", "tbody", "tfoot")):
-                        break
+                close_before(tag)
                 names: set[str] = set()
                 hidden = False
                 for k, v in _ATTRIBUTE.findall(attributes or ""):
@@ -163,10 +181,10 @@ class Page:
                 self.groups.append((*sorted(names), *(["hidden"] if hidden else [])))
                 self.chars.append(0)
                 self.link_chars.append(0)
-                stack.append((tag, len(self.parent) - 1))
+                push(tag, len(self.parent) - 1)
             else:
                 links += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
         flush()
 
     def features(self) -> list[list[int]]:
