@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,6 +35,10 @@ K1, B = 1.2, 0.75
 COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2010-\u2027\u20ac]*")
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same for texts in which no white space follows another: no look-ahead, so that one automaton does all of it.
+_SINGLE = _PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
+_RUN = re.compile(r"\s\s")
+
 
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from U+0100."""
@@ -55,10 +60,12 @@ class Encoder:
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in word): i for word, i in held["model"]["vocab"].items() if word not in special}
         self.fast = tiktoken.Encoding("same", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.faster = tiktoken.Encoding("no runs of white space", pat_str=_SINGLE, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if COMMON.fullmatch(text) and not self.special.search(text):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
+            same = self.fast if _RUN.search(text) else self.faster
+            return np.frombuffer(array("I", same.encode_ordinary(text)), np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -67,42 +74,66 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+ENCODED = pa.schema([("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary())])
+
+
+class TermCounts:
+    """How many documents hold each term, how many documents and ids there are."""
+
+    def __init__(self):
+        self.df, self.documents, self.ids = np.zeros(1 << 16, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray) -> None:
+        ids = np.sort(ids)
+        terms = ids[np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))]
+        self._room(int(terms[-1]))
+        self.df[terms] += 1
+        self.documents, self.ids = self.documents + 1, self.ids + len(ids)
+
+    def _room(self, last: int) -> None:
+        if last >= len(self.df):
+            self.df = np.concatenate([self.df, np.zeros(last + 1 - len(self.df), np.int64)])
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """Terms and their counts; term -1: documents; term -2: ids."""
+        at = np.flatnonzero(self.df)
+        return np.append([-1, -2], at).astype("<i8").tobytes(), np.append([self.documents, self.ids], self.df[at]).astype("<i8").tobytes()
+
+    def unpack(self, terms: bytes, counts: bytes) -> None:
+        t, n = np.frombuffer(terms, "<i8"), np.frombuffer(counts, "<i8")
+        self.documents, self.ids = self.documents + int(n[0]), self.ids + int(n[1])
+        self._room(int(t.max(initial=0)))
+        self.df[t[2:]] += n[2:]
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, ids (16-bit, or 32-bit where an id needs it; the end id last) of every document."""
+    """doc_id, ids (16-bit, or 32-bit where an id needs it; the end id last) of every document, and one row a task, its ids null, of
+    packed TermCounts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = encoder(tokenizer), Out(pa.schema([("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())]))
+        encode, out, seen = encoder(tokenizer), Out(ENCODED), TermCounts()
         for doc_id, text in rows_of(batches):
             ids = np.append(encode(text.decode()), np.uint32(end))
             wide = bool(ids.max() >= 1 << 16)
-            raw = ids.astype("<u4" if wide else "<u2").tobytes()
-            yield from out.add((doc_id, wide, raw), len(raw) + 32)
+            ids = ids.astype("<u4" if wide else "<u2")
+            seen.add(ids)
+            yield from out.add((doc_id, wide, ids.tobytes(), None, None), ids.nbytes + 32)
+        yield from out.add((None, None, None, *seen.packed()))
         yield from out.flush()
 
-    return text_bytes(docs).mapInArrow(run, "doc_id long, wide boolean, ids binary")
-
-
-def _ids(wide: bool, raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.uint32)
+    return text_bytes(docs).mapInArrow(run, "doc_id long, wide boolean, ids binary, terms binary, counts binary")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: documents that hold each term; term -1: documents; term -2: ids."""
-    df, n, total = np.zeros(1 << 16, np.int64), 0, 0
-    for wide, raw in rows_of(batches):
-        ids = _ids(wide, raw)
-        terms = np.unique(ids)
-        if int(terms[-1]) >= len(df):
-            df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
-        df[terms] += 1
-        n, total = n + 1, total + len(ids)
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], at]).astype(np.int64)), pa.array(np.concatenate([[n, total], df[at]]))], ["term", "n"])
+    total = TermCounts()
+    for terms, counts in rows_of(batches):
+        total.unpack(terms, counts)
+    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in total.packed()], ["term", "n"])
 
 
 def statistics(ids: DataFrame) -> tuple[int, float, np.ndarray]:
     """Documents, mean length and idf by term, over all documents. One row per id of the vocabulary: its size bounds what is gathered."""
-    rows = ids.select("wide", "ids").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = ids.filter("ids is null").select("terms", "counts").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r.term: r.n for r in rows}
     n, total = found.pop(-1, 0), found.pop(-2, 0)
     idf = np.zeros(max(found, default=0) + 1, np.float32)
@@ -111,12 +142,19 @@ def statistics(ids: DataFrame) -> tuple[int, float, np.ndarray]:
     return n, total / max(n, 1), idf
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and how often each stands there."""
+    ids = np.sort(ids)
+    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[at], np.diff(at, append=len(ids))
+
+
 class BM25:
     """The inverted index of one shard: postings by term, with their whole share of the score worked out. Terms of many documents have
     a row of weights over all documents instead; documents that are used up leave the index once they are a fifth of it."""
 
     def __init__(self, texts: list[np.ndarray], mean: float, idf: np.ndarray):
-        terms, counts = zip(*(np.unique(t, return_counts=True) for t in texts), strict=True)
+        terms, counts = zip(*map(_counted, texts), strict=True)
         doc = np.repeat(np.arange(len(texts)), [len(t) for t in terms])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float32)
         norm = K1 * (1 - B + B * np.array([len(t) for t in texts], np.float32) / max(mean, 1e-9))
@@ -133,7 +171,7 @@ class BM25:
         common = np.flatnonzero(df > max(64, len(docs) // 8))
         self.row = np.full(self.size, -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), len(docs)))
+        self.rows = np.zeros((len(common), len(docs)), np.float32)
         for i, t in enumerate(common):
             at = slice(self.start[t], self.start[t + 1])
             self.rows[i, doc[at]] = weight[at]
@@ -143,34 +181,38 @@ class BM25:
         place, at = np.cumsum(stays) - 1, stays[self.doc]
         self._index(self.docs[stays], self.term[at], place[self.doc[at]], self.weight[at])
 
-    def _scored(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unused documents that share a term, and their scores. A document once used stays so."""
+    def _scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Of each document in self.docs; 0: it is used, or shares no term. A document once used stays so."""
         if 1.25 * np.count_nonzero(unused) < len(self.docs):
             self._drop_used(unused)
-        terms = self.queries[seed]
+        terms, rows = self.queries[seed], self.rows
         row = self.row[terms]
-        score, rare = np.zeros(len(self.docs)), terms[row < 0].astype(np.int64)
+        score, rare = np.zeros(len(self.docs), np.float32), terms[row < 0].astype(np.int64)
         for r in row[row >= 0].tolist():
-            score += self.rows[r]
-        parts = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist(), strict=True)]
+            score += rows[r]
+        parts = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist(), strict=True) if b > a]
         if parts:
-            score += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(self.docs))
-        found = np.flatnonzero((score > 0) & unused[self.docs])
-        return self.docs[found], score[found]
+            score += np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(score))
+        score[~unused[self.docs]] = 0
+        return score
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term, best first; ties by place."""
-        docs, score = self._scored(seed, unused)
-        return docs[np.argsort(-score, kind="stable")]
+        score = self._scores(seed, unused)
+        return self._sorted(score, np.flatnonzero(score > 0))
+
+    def _sorted(self, score: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.docs[at[np.argsort(-score[at], kind="stable")]]
 
     def best_first(self, seed: int, unused: np.ndarray, some: int = 16) -> Iterator[int]:
         """neighbours(), one at a time: the rest is sorted only when the best are taken."""
-        docs, score = self._scored(seed, unused)
-        if len(docs) > some:
-            best = score >= np.partition(score, -some)[-some]
-            yield from docs[best][np.argsort(-score[best], kind="stable")].tolist()
-            docs, score = docs[~best], score[~best]
-        yield from docs[np.argsort(-score, kind="stable")].tolist()
+        score = self._scores(seed, unused)
+        least = np.partition(score, -some)[-some] if len(score) > some else np.float32(0)
+        if least > 0:
+            yield from self._sorted(score, np.flatnonzero(score >= least)).tolist()
+            yield from self._sorted(score, np.flatnonzero((score > 0) & (score < least))).tolist()
+        else:
+            yield from self._sorted(score, np.flatnonzero(score > 0)).tolist()
 
 
 def pack_shard(texts: list[np.ndarray], mean: float, idf: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -222,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        texts = [_ids(w.as_py(), x.as_py()) for w, x in zip(t["wide"], t["ids"], strict=True)]
+        texts = [np.frombuffer(x.as_py(), "<u4" if w.as_py() else "<u2") for w, x in zip(t["wide"], t["ids"], strict=True)]
         doc_ids = t["doc_id"].to_pylist()
         rows = pack_shard(texts, mean, idf_sent.value, length)
         d, start, n, sequence, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
@@ -230,5 +272,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
         base = key[0].as_py() << 32
         return pa.table([pa.array([doc_ids[i] for i in d], pa.int64()), start, n, pa.array(crc, pa.int64()), np.array([len(texts[i]) for i in d], np.int64), sequence + base, offset], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = ids.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
+    dealt = ids.filter("ids is not null").select("doc_id", "wide", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, PIECES)
