@@ -29,9 +29,9 @@ def statistics(text: Column) -> dict[str, Column]:
     words = F.filter(F.split(text, WHITE), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
-    of_words = let(words, lambda w: F.struct(F.size(w).cast("double").alias("n"), F.size(F.array_distinct(w)).cast("double").alias("distinct")))
+    of_words = let(words, lambda w: F.struct(F.size(w).cast("double").alias("n"), F.size(F.array_distinct(w)).cast("double").alias("distinct"), F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("double").alias("twice")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("double").alias("n"), F.size(F.array_distinct(x)).cast("double").alias("distinct"), F.size(F.filter(x, lambda s: s.contains(" | "))).cast("double").alias("bars")))
-    return {"_w": of_words, "_l": of_lines, "_chars": left(WHITE), "_letters": left("[^\\p{L}]+"), "_upper": left("[^\\p{Lu}]+"), "_digits": left("[^0-9]+"), "_symbols": left("[^#*$%&|<>{}\\[\\]=_/\\\\]+"), "_marks": left("[^!?]+"), "_stops": left("[^.,;:]+"), "_twice": F.length(F.regexp_replace(text, "(?s)\\b(\\w+)(?:\\W+\\1\\b)+", "")).cast("double"), "_length": F.length(text).cast("double")}
+    return {"_w": of_words, "_l": of_lines, "_chars": left(WHITE), "_letters": left("[^\\p{L}]+"), "_upper": left("[^\\p{Lu}]+"), "_digits": left("[^0-9]+"), "_symbols": left("[^#*$%&|<>{}\\[\\]=_/\\\\]+"), "_marks": left("[^!?]+"), "_stops": left("[^.,;:]+")}
 
 
 def features(docs: DataFrame, *keep: str) -> DataFrame:
@@ -41,7 +41,7 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     out = {
         "words": c("_w.n"), "distinct": c("_w.distinct") / w, "lines": c("_l.n"), "same_lines": 1 - c("_l.distinct") / F.greatest(c("_l.n"), F.lit(1.0)), "bars": c("_l.bars") / F.greatest(c("_l.n"), F.lit(1.0)),
         "word_length": c("_chars") / w, "letters": c("_letters") / x, "upper": c("_upper") / F.greatest(c("_letters"), F.lit(1.0)), "digits": c("_digits") / x, "symbols": c("_symbols") / w, "marks": c("_marks") / w, "stops": c("_stops") / w,
-        "twice": 1 - c("_twice") / F.greatest(c("_length"), F.lit(1.0)), "line_words": c("_w.n") / F.greatest(c("_l.n"), F.lit(1.0)), "root_distinct": c("_w.distinct") / F.sqrt(w),
+        "twice": c("_w.twice") / w, "line_words": c("_w.n") / F.greatest(c("_l.n"), F.lit(1.0)), "root_distinct": c("_w.distinct") / F.sqrt(w),
     }
     return df.select(*keep, *[v.alias(f"f_{k}") for k, v in out.items()])
 
