@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: All that a session writes stands under one folder, which clean() deletes.
+_RUN = f"vigil-run-{uuid.uuid4().hex}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{_RUN}"
+
+
+def written_at(df: DataFrame, name: str) -> str:
+    """The path of df as a table in the shared folder."""
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what stands at path, in any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this session's operators wrote for themselves; results not yet read are lost with it."""
+    delete(spark, run_dir(spark))
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -53,6 +78,52 @@ def text_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """docs with its columns called c0, c1 and so on: names with dots, or equal to those of an operator, can't clash."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def place_of(docs: DataFrame, name: str) -> str:
+    """The column's name in positional()."""
+    return f"c{docs.columns.index(name)}"
+
+
+def replaced(batch: pa.RecordBatch, names: list[str], new: list[str | None]) -> pa.RecordBatch:
+    """batch, of positional() columns called so before, with the new texts where there are any, and n_chars, if it is a whole number, to match."""
+    if all(t is None for t in new):
+        return batch
+    columns, i = list(batch.columns), names.index("text")
+    columns[i] = pa.array([o if t is None else t for o, t in zip(columns[i].to_pylist(), new, strict=True)], columns[i].type)
+    if "n_chars" in names and pa.types.is_integer(columns[n := names.index("n_chars")].type):
+        columns[n] = pa.array([o if t is None else len(t) for o, t in zip(columns[n].to_pylist(), new, strict=True)], columns[n].type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+def with_new_texts(docs: DataFrame, change: Callable[[Iterator[tuple[bytes]]], Iterator[str | None]]) -> DataFrame:
+    """docs, all rows and columns, with what change says of each text (None: it stays). change may read ahead of what it says."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def texts() -> Iterator[tuple[bytes]]:
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    for t in batch.column(names.index("text")):
+                        yield ((t.as_py() or "").encode(),)
+
+        got: list[str | None] = []
+        for new in change(texts()):
+            got.append(new)
+            if len(got) == waiting[0].num_rows:
+                yield replaced(waiting.popleft(), names, got)
+                got = []
+
+    rows = positional(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
+
+
 def held_out(remainder: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 5. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == remainder

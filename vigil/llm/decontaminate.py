@@ -1,35 +1,37 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-The benchmark (the stated query set) is cut into blocks of bounded size; each block's windows are searched in every shard
-of the documents. A shard is a run of documents in one task, of at most SHARD_WORDS indexed words. Words outside the block's
-vocabulary can't lie in any window, so they act as separators, and runs shorter than the shortest window are left out: the
-index holds all that can match. Over the rest stand a suffix array (sorted to the separators), its Burrows-Wheeler
-transform in a wavelet matrix with ranks, and suffix positions sampled every SAMPLE words and at the start of each run. Windows are
-searched backward, all at once; occurrences are located by walking back to a sampled position; their spans are merged.
+A shard is a run of documents in one task, of at least SHARD_WORDS words (the last one of a task may have less; a longer document is a
+shard by itself). All its words are indexed, over the shard's own vocabulary, with a separator after each document: a suffix array, its
+Burrows-Wheeler transform in a wavelet matrix with ranks, and suffix positions sampled every SAMPLE words and at each document's start.
+The benchmark (the stated query set) stands as a table in the shared folder; a task reads it in blocks of bounded size and searches the
+windows of every block in the shard's one index: backward, all at once. Occurrences are located by walking back to a sampled
+position; their spans are merged.
 
 Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z in lower case. A window is 10 consecutive words
 of an item; an item of fewer words, but not none, is one window.
 
-Defined cases: null texts have no words; an item without words never occurs; equal item ids count once; repeated
-documents give a row each; no benchmark or no documents: no hits or no rows; other columns are ignored.
+Defined cases: null texts have no words; an item without words never occurs; equal item ids count once, a null id as the empty one;
+repeated documents give a row each; no benchmark or no documents: no hits or no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Out, rows_of, text_bytes
+from vigil.llm.common import Out, rows_of, text_bytes, with_new_texts, written_at
 
 WINDOW, SHARD_WORDS, SAMPLE = 10, 400_000, 8
-#: Bytes of benchmark text that are sent to the executors at once; more are searched block after block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text, and of shard text, that a task holds at once.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 #: A-Z to lower case, other ASCII that isn't a letter or digit to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -44,49 +46,44 @@ class Queries:
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.items = sorted({i for i, _ in items})
         place = {x: n for n, x in enumerate(self.items)}
-        self.vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[at : at + window]), set()).add(place[item])
+        self.words = list(vocabulary)
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.padded = np.zeros((len(found), window), np.int64)  # at the right, as the search runs backward
         for n, w in enumerate(found):
             self.padded[n, window - len(w) :] = w
         self.of = [np.array(sorted(x), np.int64) for x in found.values()]
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+
+    def in_shard(self, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows whose words all stand in the shard, in the shard's ids, and their numbers."""
+        own = np.fromiter(chain([0], map(vocabulary.get, self.words, repeat(-1))), np.int64, len(self.words) + 1)
+        padded = own[self.padded]
+        which = np.flatnonzero((padded >= 0).all(1))
+        return padded[which], which
 
 
 class FMIndex:
-    """Over words (ids from 1) with separators (0). Positions count from the text's start."""
+    """Over words (ids from 1) with separators (0), the last of which ends the text. Positions count from the text's start."""
 
     def __init__(self, words: np.ndarray):
         n = len(words)
         gap = words == 0
-        symbols = np.where(gap, np.cumsum(gap) - 1, words + gap.sum())  # each separator is a symbol of its own, so runs never compare beyond their end
-        rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-        step = 1
-        while True:
-            key = rank * (n + 1) + np.concatenate([rank[step:] + 1, np.zeros(min(step, n), np.int64)])
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-            if n == 0 or rank[order[-1]] == n - 1:
-                break
-            step *= 2
-        self.n, suffix = n, order
+        self.n, suffix = n, _suffixes(words, gap)
         bwt = words[suffix - 1]  # before the first position stands the last, a separator
         self.before = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=1))])  # words less than w
         self.levels = max(1, int(words.max(initial=0)).bit_length())
         self.ones, self.zeros = [], []
         for level in range(self.levels - 1, -1, -1):
-            bit = (bwt >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(n - int(bit.sum()))
-            bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
-        start = np.concatenate([[True], gap[:-1]]) if n else np.zeros(0, bool)  # a walk back never crosses a separator
+            bit = (bwt >> level) & 1 == 1
+            self.ones.append(np.append(np.int32(0), np.cumsum(bit, dtype=np.int32)))
+            self.zeros.append(n - int(self.ones[-1][-1]))
+            bwt = np.concatenate([bwt[~bit], bwt[bit]])
+        start = np.append(True, gap[:-1]) if n else np.zeros(0, bool)  # a walk back never crosses a separator
         kept = start | (np.arange(n) % SAMPLE == 0)
         self.sampled = kept[suffix]
         self.slot = np.cumsum(self.sampled) - 1
@@ -139,6 +136,30 @@ class FMIndex:
         return out
 
 
+def _suffixes(words: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Suffix positions in order, by prefix doubling; only suffixes that aren't told apart yet are sorted again. Each separator is a symbol of
+    its own, so that texts never compare beyond their end, and copies are told apart there."""
+    n = len(words)
+    rank = np.where(gap, np.cumsum(gap) - 1, words + int(gap.sum())).astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    head = np.append(True, rank[order[1:]] != rank[order[:-1]]) if n else np.zeros(0, bool)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # the first place of the group
+    step, places = 1, np.arange(n)
+    while True:
+        alone = head & np.append(head[1:], True)
+        places = places[~alone]  # of the suffixes that share their group
+        if not len(places):
+            return order
+        some = order[places]
+        key = rank[some] * (n + 1) + rank[some + step]  # a group's suffixes all reach beyond step: none of their first symbols ends a text
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[places] = some
+        head = np.append(True, key[1:] != key[:-1])
+        rank[some] = np.maximum.accumulate(np.where(head, places, 0))
+        step *= 2
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -149,84 +170,135 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search_shard(docs: list[tuple[int, np.ndarray, np.ndarray]], queries: Queries) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-    """docs: (number, word position of each indexed word, its id; 0: separator after a run). Spans of words and items, by number."""
-    if not docs:
-        return {}
-    words = np.concatenate([d[2] for d in docs])
-    place = np.concatenate([d[1] for d in docs])
-    owner = np.repeat(np.arange(len(docs)), [len(d[2]) for d in docs])
-    index = FMIndex(words)
-    lo, hi = index.search(queries.padded)
-    found = np.flatnonzero(hi > lo)
-    out: dict[int, tuple[list, set]] = {}
-    for some in np.array_split(found, max(1, len(found) // 4096)):
-        counts = hi[some] - lo[some]
-        rows = np.repeat(lo[some], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        window = np.repeat(some, counts)
-        at = index.locate(rows)
-        for who, which in np.unique(np.stack([owner[at], window], 1), axis=0):
-            out.setdefault(docs[who][0], ([], set()))[1].update(queries.of[which].tolist())
-        cover = np.zeros(len(words) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + queries.lengths[window], -1)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover) > 0]).astype(np.int8)))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            out[docs[owner[a]][0]][0].append((int(place[a]), int(place[b - 1]) + 1))
-    return {k: (merge_spans(s), i) for k, (s, i) in out.items()}
-
-
-SCHEMA = "doc_id long, text binary, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
-
-
-def _searcher(queries: Queries, with_text: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
+class Shard:
+    """The index of some texts: words (ids from 1, 0 after each text) of the shard's vocabulary."""
+
+    def __init__(self, vocabulary: dict[bytes, int], texts: list[np.ndarray]):
+        self.vocabulary, self.words = vocabulary, np.concatenate([np.append(t, 0) for t in texts])
+        self.starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.cover = np.zeros(len(self.words) + 1, np.int64)
+        self.items: dict[int, set[str]] = {}
+        self.index = FMIndex(self.words)
+
+    def search(self, queries: Queries) -> None:
+        """Marks the words that the block's windows cover, and the items that occur, text by text."""
+        padded, which = queries.in_shard(self.vocabulary)
+        lo, hi = self.index.search(padded)
+        found = np.flatnonzero(hi > lo)
+        counts = hi[found] - lo[found]
+        for some in np.split(found, np.flatnonzero(np.diff(np.cumsum(counts) // 1_000_000)) + 1):
+            n = hi[some] - lo[some]
+            at = self.index.locate(np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            window = np.repeat(which[some], n)
+            np.add.at(self.cover, at, 1)
+            np.add.at(self.cover, at + queries.lengths[window], -1)
+            owner = np.searchsorted(self.starts, at, side="right") - 1
+            for text, w in np.unique(np.stack([owner, window], 1), axis=0).tolist():
+                self.items.setdefault(text, set()).update(queries.items[i] for i in queries.of[w].tolist())
+
+    def spans(self) -> dict[int, list[tuple[int, int]]]:
+        """Spans of covered words of each text that has any. No window reaches over a separator."""
+        edges = np.flatnonzero(np.diff(np.append(0, np.cumsum(self.cover) > 0).astype(np.int8)))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for a, b in edges.reshape(-1, 2).tolist():
+            text = bisect.bisect_right(self.starts, a) - 1
+            out.setdefault(text, []).append((a - int(self.starts[text]), b - int(self.starts[text])))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, shard, indexed, size = Out(schema), [], [], 0, 0
-
-        def flush():
-            nonlocal held, shard, indexed, size
-            hits = search_shard(shard, queries)
-            for n, (doc, text, n_words, spans, items) in enumerate(held):
-                if n in hits:
-                    spans = merge_spans(spans + hits[n][0])
-                    items = sorted({*items, *(queries.items[i] for i in hits[n][1])})
-                yield from out.add((doc, text, n_words, [{"a": a, "b": b} for a, b in spans], items), 64 + len(text or b""))
-            held, shard, indexed, size = [], [], 0, 0
-
-        get = queries.vocabulary.get
-        for doc, text, *before in rows_of(batches):
-            words = words_of(text)
-            if queries.shortest:
-                ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8)))
-                runs = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= queries.shortest]
-                if runs:
-                    at = np.concatenate([np.arange(a, b + 1) for a, b in runs])
-                    own = np.append(ids, 0)[at]  # the word after a run is none of the vocabulary's
-                    shard.append((len(held), at, own))
-                    indexed += len(own)
-            held.append((doc, text if with_text else None, len(words), [(s["a"], s["b"]) for s in before[1]] if before else [], before[2] if before else []))
-            size += len(text) if with_text else 0
-            if indexed >= SHARD_WORDS or len(held) >= 20_000 or size >= 32 << 20:
-                yield from flush()
-        yield from flush()
-        yield from out.flush()
 
-    return run
+def blocks_of(path: str, window: int, block_bytes: int) -> Iterator[Queries]:
+    """The benchmark's blocks, of the table at path."""
+    fs, place = pa.fs.FileSystem.from_uri(path)
+    items, size = [], 0
+    for batch in pa.dataset.dataset(place, filesystem=fs, format="parquet").to_batches(columns=["item", "text"], batch_size=1024):
+        for item, text in rows_of([batch]):
+            items.append((item, text))
+            size += len(text)
+            if size >= block_bytes:
+                yield Queries(items, window)
+                items, size = [], 0
+    if items:
+        yield Queries(items, window)
+
+
+class Blocks:
+    """blocks_of(), read anew for each shard unless there is only one."""
+
+    def __init__(self, path: str, window: int, block_bytes: int):
+        self.args, self.only = (path, window, block_bytes), None
+
+    def __iter__(self) -> Iterator[Queries]:
+        if self.only is None:
+            first = list(islice(found := blocks_of(*self.args), 2))
+            if len(first) == 2:
+                yield from chain(first, found)
+                return
+            self.only = first
+        yield from self.only
+
+
+def searched(rows: Iterator[tuple], blocks: Blocks) -> Iterator[tuple[tuple, int, list[tuple[int, int]], list[str]]]:
+    """Each row (its last field: the text), the number of its words, the merged spans of hit words, and the items that occur, sorted."""
+    held, texts, vocabulary, indexed, size = [], [], {}, 0, 0
+
+    def flush() -> Iterator[tuple]:
+        shard = Shard(vocabulary, texts) if indexed else None
+        if shard:
+            for queries in blocks:
+                shard.search(queries)
+        spans = shard.spans() if shard else {}
+        for n, row in enumerate(held):
+            yield row, len(texts[n]), spans.get(n, []), sorted(shard.items[n]) if n in spans else []
+
+    for row in rows:
+        words = words_of(row[-1])
+        if len(words) > 2 * SHARD_WORDS:
+            yield from flush()
+            held, texts, vocabulary, indexed, size = [], [], {}, 0, 0
+            yield row, len(words), *_in_pieces(words, blocks)
+            continue
+        for w in set(words).difference(vocabulary):
+            vocabulary[w] = len(vocabulary) + 1
+        texts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+        held.append(row)
+        indexed, size = indexed + len(words), size + len(row[-1])
+        if indexed >= SHARD_WORDS or size >= SHARD_BYTES or len(held) >= 100_000:
+            yield from flush()
+            held, texts, vocabulary, indexed, size = [], [], {}, 0, 0
+    yield from flush()
+
+
+def _in_pieces(words: list[bytes], blocks: Blocks) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans and items of a text too long for one shard; its shards have all but one word of a window in common."""
+    spans, items = [], set()
+    for at in range(0, len(words), SHARD_WORDS):
+        vocabulary: dict[bytes, int] = {}
+        piece = words[at : at + SHARD_WORDS + blocks.args[1] - 1]
+        shard = Shard(vocabulary, [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in piece], np.int64)])
+        for queries in blocks:
+            shard.search(queries)
+        spans += [(a + at, b + at) for a, b in shard.spans().get(0, [])]
+        items |= shard.items.get(0, set())
+    return merge_spans(spans), sorted(items)
+
+
+def stored(benchmark: DataFrame) -> str:
+    """The path of the benchmark's items (as text) and texts, in the shared folder."""
+    return written_at(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")), "benchmark")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, spans (of words, half open, merged), items (ids as strings, sorted) of every document."""
+    blocks = Blocks(stored(benchmark), window, block_bytes)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(schema)
+        for (doc_id, _), n_words, spans, items in searched(rows_of(batches), blocks):
+            yield from out.add((doc_id, n_words, [{"a": a, "b": b} for a, b in spans], items))
+        yield from out.flush()
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, spans (of words, half open, merged), items (ids as strings, sorted) of every document; text if asked for."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    blocks = max(1, math.ceil((bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    df = text_bytes(docs)
-    for n in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()
-        queries = Queries([(r.item or "", bytes(r.text)) for r in rows], window)
-        df = df.mapInArrow(_searcher(queries, with_text or n + 1 < blocks), SCHEMA)
-    return df if with_text else df.drop("text")
+    return text_bytes(docs).mapInArrow(run, "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -252,17 +324,15 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, changed_only: bool = False, **options) -> DataFrame:
-    """doc_id, text: each text without its spans. Texts without a hit stay as they are, or with changed_only are left out."""
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, all rows and columns, with each text (and n_chars, where there is one) without its spans; texts without a hit stay as they are."""
+    blocks = Blocks(stored(benchmark), window, block_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
-        for doc, text, spans in rows_of(batches):
-            yield from out.add((doc, cut(text, [(s["a"], s["b"]) for s in spans]).decode("utf-8", "replace") if spans else text.decode("utf-8", "replace")), 64 + len(text))
-        yield from out.flush()
+    def new_texts(rows: Iterator[tuple]) -> Iterator[str | None]:
+        for (text,), _, spans, _ in searched(rows, blocks):
+            yield cut(text, spans).decode() if spans else None
 
-    found = find(docs, benchmark, with_text=True, **options).select("doc_id", "text", "spans")
-    return (found.filter(F.size("spans") > 0) if changed_only else found).mapInArrow(run, "doc_id long, text string")
+    return with_new_texts(docs, new_texts)
 
 
 ORACLE = r"""
