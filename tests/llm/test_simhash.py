@@ -36,13 +36,17 @@ def brute_components(fps):
 
 
 def expected(rows):
+    return sorted(expected_in_order(rows), key=str)
+
+
+def expected_in_order(rows):
     fp = [(i, brute_fingerprint(t)) for i, t in rows]
     root = brute_components({f for _, f in fp})
     least = {}
     for i, f in fp:
         if i is not None:
             least[root[f]] = min(least.get(root[f], i), i)
-    return sorted(((i, f"{f:016x}", least.get(root[f])) for i, f in fp), key=str)
+    return [(i, f"{f:016x}", least.get(root[f])) for i, f in fp]
 
 
 def signed(x):
@@ -61,8 +65,12 @@ def test_odd_rows(spark, nasty, empty):
     assert got == expected([(r.doc_id, r.text) for r in nasty.collect()])
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_first(nasty)
-    assert kept.columns == nasty.columns
-    assert [r.doc_id for r in kept.filter("text = 'a'").collect()] .count(3) == 1
+    assert kept.schema == nasty.schema
+    rows = nasty.collect()
+    groups = {}
+    for r, (_, _, group) in zip(rows, expected_in_order([(r.doc_id, r.text) for r in rows]), strict=True):
+        groups.setdefault(group, []).append((r.doc_id is None, r.doc_id or 0))
+    assert sorted(min(g) for g in groups.values()) == sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
 
 
 def test_trie_finds_every_link_split_or_not(spark):
@@ -78,9 +86,10 @@ def test_trie_finds_every_link_split_or_not(spark):
     fps |= {base[0] & (2**48 - 1) | (0xABCD << 48) ^ 0 for _ in range(1)} | {(0xABCD << 48) | rnd.getrandbits(48) for _ in range(400)}
     want = brute_components(fps)
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    for split in (10_000, 40):
+    for split, count in ((10_000, 0), (40, 0), (40, 10_000_000), (300, 10**13)):  # whole subtrees, split ones, 10 tries, 20 tries
+        chosen = simhash.tries(count, 50_000 if count < 10**8 else 1)
         root = {f: f for f in fps}
-        for r in simhash.components(simhash.links(df, split)).collect():
+        for r in simhash.components(simhash.links(df, split, chosen)).collect():
             root[r.node & (2**64 - 1)] = r.root & (2**64 - 1)
         groups = lambda m: {frozenset(f for f in fps if m[f] == g) for g in set(m.values())}
         assert groups(root) == groups(want)
@@ -92,3 +101,12 @@ def test_bit_counts_of_long_texts():
     assert len(hs) == 69_998
     want = sum(1 << b for b in range(64) if 2 * int(((hs >> np.uint64(b)) & np.uint64(1)).sum()) > len(hs))
     assert simhash.fingerprint(text) == want
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    text = "some words that stand in one text only and in no other"
+    rows = [(None, text), (5, text), (5, "another text of other words, one two three four five six"), (2, text), (2, text), (None, "lone words without any id"), (None, "lone words without any id")]
+    df = spark.createDataFrame([(*r, 1.5, "x") for r in rows], "`doc_id` long, text string, `a.b` double, fp string")
+    kept = simhash.keep_first(df)
+    assert kept.schema == df.schema
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(2, text, 1.5, "x"), (5, rows[2][1], 1.5, "x"), (None, rows[5][1], 1.5, "x")], key=str)
