@@ -1,6 +1,6 @@
 """Counts of 64-bit (or two times 64-bit) hashes over a whole corpus, exchanged in packed form.
 
-Documents are dealt into buckets by their id. A task that reads documents gathers the distinct hashes of each bucket
+Documents are dealt into buckets by their id and content, so that neither null nor repeated ids meet in one. A task that reads documents gathers the distinct hashes of each bucket
 and sends them to the hash's partition as bytes, not as rows; the partition sorts them with numpy and answers each bucket with what it
 asked about. A hash that stands in every document costs one entry per task and bucket, so no group is ever gathered.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 HELD = 2_000_000
 
 
-def bucket_of(buckets: int, key: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def bucket_of(buckets: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 def unique_counts(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:

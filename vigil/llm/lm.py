@@ -439,7 +439,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     parts = parts_for(docs.select("text"))
-    table = written(encoded(docs, path), "subwords").withColumn("b", bucket_of(parts))
+    table = written(encoded(docs, path), "subwords").withColumn("b", bucket_of(parts, "doc_id", "ids"))
     counts = written(table.select("held_out", "ids", "b").mapInArrow(_word_counts(path, parts), PACKED).groupBy("p").applyInArrow(_totals, "b int, keys binary, counts binary"), "words")
     distinct = tokens = 0
     for r in counts.filter("b = -1").select("keys").collect():  # one row per hash partition

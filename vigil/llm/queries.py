@@ -37,7 +37,7 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_sha256"))
+    return substring.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import mix, parts_for, rows_of, text_bytes, written
+from vigil.llm.common import mix, parts_for, place_of, positional, replaced, rows_of, text_bytes, written
 from vigil.llm.exchange import HELD, PACKED, PACKED_SCHEMA, bucket_of, buckets_of, packed, unique_counts
 
 WINDOW = 35
@@ -52,8 +53,9 @@ def rolling(h: np.ndarray, size: int, r: int = _R1) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * down[: len(h) - size + 1])
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    """The two lanes of a window's 128 bits rest on two hashes of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)) if seed else map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def block_size(window: int) -> int:
@@ -61,7 +63,7 @@ def block_size(window: int) -> int:
 
 
 def _probes(window: int, parts: int):
-    """(doc_id, text, b) -> packed hashes of every rolling window; in counts, bit 7 marks that a block of the index is among them."""
+    """(text, b) -> packed hashes of every rolling window; in counts, bit 7 marks that a block of the index is among them."""
     size = block_size(window)
 
     def send(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +82,7 @@ def _probes(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         n = 0
-        for _, text, b in rows_of(batches):
+        for text, b in rows_of(batches):
             words = text.split()
             if len(words) < window:
                 continue
@@ -157,7 +159,7 @@ def _extend(window: int, parts: int):
                 n = len(h) - window + 1
                 starts = np.unique((at[:, None] - np.arange(window - size + 1)).ravel())
                 starts = starts[(starts >= 0) & (starts < n)]
-                out.append(np.stack([rolling(h, window)[starts], rolling(h, window, _R2)[starts]], 1))
+                out.append(np.stack([rolling(h, window)[starts], rolling(word_hashes(words, 1), window, _R2)[starts]], 1))
         if not out:
             return PACKED_SCHEMA.empty_table()
         keys = np.concatenate(out)
@@ -169,49 +171,75 @@ def _extend(window: int, parts: int):
     return run
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+def _kept(words: list[bytes], known: np.ndarray, pairs: set[tuple[int, int]], window: int) -> np.ndarray:
+    """Which words stay."""
+    gone = np.zeros(len(words) + 1, np.int64)
+    if len(words) >= window and len(known):
+        one = rolling(word_hashes(words), window)
+        at = np.flatnonzero(_within(one, known))
+        if len(at):
+            two = rolling(word_hashes(words, 1), window, _R2)
+            at = np.array([i for i in at if (int(one[i]), int(two[i])) in pairs], np.int64)
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + window, -1)
+    return np.cumsum(gone)[:-1] == 0
 
 
-def _remove(window: int, keep: str):
-    """A bucket's documents and the windows found twice or more -> what is left. keep: 'sha256' of the kept words, or the 'text' itself."""
+def _known(hits: pa.Table) -> tuple[np.ndarray, set[tuple[int, int]]]:
+    keys = _keys_of(hits, True) if hits.num_rows else np.zeros((0, 2), np.uint64)
+    return np.ascontiguousarray(keys[:, 0]), set(map(tuple, keys.tolist()))
 
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+
+def _digest(window: int):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        known = _keys_of(hits, True) if hits.num_rows else np.zeros((0, 2), np.uint64)
-        first = known[:, 0] if len(known) else known.reshape(-1)
-        pairs = set(map(tuple, known.tolist())) if len(known) else set()
-        out = []
+        known, out = _known(hits), []
         for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
-            text = text.as_py()
-            words = text.split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            if len(words) >= window and len(known):
-                h = word_hashes(words)
-                one = rolling(h, window)
-                at = np.flatnonzero(_within(one, first))
-                if len(at):
-                    two = rolling(h, window, _R2)
-                    at = np.array([i for i in at if (int(one[i]), int(two[i])) in pairs], np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-            left = np.cumsum(gone)[:-1] == 0
+            words = text.as_py().split()
+            left = _kept(words, *known, window)
             n = len(words) - int(left.sum())
             kept = b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]) if n else b" ".join(words)
-            out.append({"doc_id": doc.as_py(), "n_words": len(words), "n_removed": n, "kept": hashlib.sha256(kept).hexdigest().encode() if keep == "sha256" else kept if n else text})
-        return pa.Table.from_pylist(out, schema=RESULT)
+            out.append((doc.as_py(), len(words), n, hashlib.sha256(kept).hexdigest()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RESULT.types, strict=True)], schema=RESULT) if out else RESULT.empty_table()
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, keep: str = "sha256") -> DataFrame:
-    """doc_id, n_words, n_removed, kept of every document: as bytes, the hex digest or the text of the kept words (unchanged if all are kept)."""
-    texts = text_bytes(docs)
-    parts = parts_for(docs.select("text"))
-    texts = texts.withColumn("b", bucket_of(parts))
+def _repeats(texts: DataFrame, window: int, parts: int) -> DataFrame:
+    """b, keys: what each bucket needs to know of the windows that are found twice or more. texts: text (as bytes), b."""
     hits = written(_answers(texts.mapInArrow(_probes(window, parts), PACKED), False), "anchors")
-    grouped = texts.groupBy("b")
-    candidates = grouped.cogroup(hits.groupBy("b")).applyInArrow(_extend(window, parts), PACKED)
-    repeats = written(_answers(candidates, True), "repeats")
-    return grouped.cogroup(repeats.groupBy("b")).applyInArrow(_remove(window, keep), "doc_id long, n_words long, n_removed long, kept binary")
+    candidates = texts.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(_extend(window, parts), PACKED)
+    return written(_answers(candidates, True), "repeats")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the hex digest of the kept words) of every document."""
+    parts = parts_for(docs.select("text"))
+    texts = text_bytes(docs).withColumn("b", bucket_of(parts, "doc_id", "text"))
+    repeats = _repeats(texts.select("text", "b"), window, parts)
+    return texts.groupBy("b").cogroup(repeats.groupBy("b")).applyInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, all rows and columns, with the repeats gone from the texts (their other words joined by one blank) and n_chars, where there is
+    one, to match; texts without any stay as they are."""
+    parts, names = parts_for(docs.select("text")), docs.columns
+    rows, text = positional(docs), place_of(docs, "text")
+    dealt = rows.withColumn("b", bucket_of(parts, *([place_of(docs, "doc_id")] if "doc_id" in names else []), text))
+    texts = dealt.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), "b")
+
+    def run(some: pa.Table, hits: pa.Table) -> pa.Table:
+        known, new = _known(hits), []
+        for t in some[text]:
+            words = (t.as_py() or "").encode().split()
+            left = _kept(words, *known, window)
+            new.append(None if left.all() else b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]).decode())
+        some = some.drop_columns(["b"]).combine_chunks()
+        return pa.Table.from_batches([replaced(x, names, new) for x in some.to_batches()], some.schema) if len(new) else some
+
+    return dealt.groupBy("b").cogroup(_repeats(texts, window, parts).groupBy("b")).applyInArrow(run, rows.schema).toDF(*names)
 
 
 ORACLE = r"""
