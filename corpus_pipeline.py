@@ -1,25 +1,19 @@
-"""The corpus pipeline: five of the training-data operators, one after the other, each over all that its predecessor kept."""
+"""The corpus pipeline: five of the training-data operators, one after the other, each over all that its predecessor kept.
+
+Defined cases: every stage works on rows, not on ids, so rows whose doc_id is null or repeated are judged, deduplicated and cut like any other; a
+null text counts as empty and stays null; of equal rows the near-duplicate stage leaves one; an empty table passes all stages; columns of any
+other name and type come through unchanged, but n_chars, where it is a whole number, follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, packing, quality, simhash, substring
 from vigil.llm.common import written
 from vigil.llm.queries import tokenizer_path
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the new texts (doc_id, text), and n_chars, where there is one, counted anew. A row per row, as ids are unique
-    after the near-duplicate stage; rows without an id keep their text."""
-    new = texts.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    joined = docs.join(new, F.col("doc_id") == F.col("__id"), "left")
-    text = F.coalesce("__text", "text")
-    columns = {"text": text, "n_chars": F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return joined.select(*[columns[c].alias(c) if columns.get(c) is not None else F.col(c) for c in docs.columns])
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -32,14 +26,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; documents stay."""
-    left = substring.dedup(docs, keep="text").filter("n_removed > 0")
-    return _with_text(docs, left.select("doc_id", F.col("kept").cast("string").alias("text")))
+    return substring.remove(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark go from the texts; documents stay."""
-    left = decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), changed_only=True)
-    return _with_text(docs, left)
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
