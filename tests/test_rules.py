@@ -7,27 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from tests.test_engine import SF, TABLES, rows_of
+from tests.test_engine import SF
 from vigil.functions import scalars, shapes
 from vigil.functions.geometry import Box, in_known_polygon, in_polygon
 from vigil.operators import appearance, folds, keyed, rules
 from vigil.operators.appearance import AppearanceTracker
-from vigil.plans import pipelines
-from vigil.plans.queries import ORACLES, QUERIES
+from vigil.plans import pipelines, shipped
 from vigil.sources import sinks, views
 from vigil.streaming import stateful
 
 
-@pytest.mark.parametrize("name", ["moving_away", "candidate_reconciliation", "best_evidence", "dominant_scene", "warmed_up_frames", "verification_requests", "annotation_shapes", "region_geometry", "motion_statistics", "stored_events", "arrival_positions", "expiry_over_all_sources", "active_candidates", "box_similarity", "parsed_preferences"])
-def test_query_equals_sql(spark, name):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(con.execute(ORACLES[name]).fetchdf())
-
-
 @pytest.mark.parametrize("points", [[(0, 0), (4, 0), (4, 4), (2, 2), (0, 4)], [(1, 1), (6, 2), (3, 7)], [(0, 0), (5, 5), (5, 0), (0, 5)]])
 def test_known_polygon_equals_polygon(spark, points):
     df = spark.createDataFrame([(x / 2, y / 2) for x in range(-2, 16) for y in range(-2, 16)], "px double, py double")
@@ -131,22 +120,12 @@ def test_line_and_area_shapes_are_numbered(spark):
     assert [s.id for s in row.l] == ["Line_1", "Line_2", "Line_3", "Line_4"] and [s.id for s in row.a] == ["Area_1"]
 
 
-def test_config_is_checked_and_defaulted():
-    base = {"region": [(0, 0), (1, 0), (1, 1)], "algorithms": [{"name": "ObjectDensity", "target": "person", "max": 1}]}
-    c = pipelines.Config.of({**base, "stride": 0, "inner_ratio": 7, "target_types": [" Person "]})
-    assert (c.stride, c.inner_ratio, c.target_types) == (1, 0.0, ["person"])
-    for wrong in ({}, {**base, "algorithms": [{"name": "Nothing"}]}, {**base, "odd": 1}, {**base, "region": [(0, 0)]}):
-        with pytest.raises(pipelines.ConfigError):
-            pipelines.Config.of(wrong)
-
-
 def test_pipeline_events_are_stored(spark, tmp_path):
-    document = {"region": [(0.1, 0.1), (0.7, 0.1), (0.7, 0.8), (0.1, 0.8)], "algorithms": [{"name": "ObjectDensity", "target": "person", "max": 1, "throttle_seconds": 3}, {"name": "ObjectOccurrence", "targets": ["boat"], "min_frames": 2}]}
-    got = pipelines.stored(views.detections(spark, SF), document)
-    assert got.columns == sinks.EVENT_COLUMNS and got.count() > 0 and got.filter("event_id is null or bucket_name is null").count() == 0
-    sinks.to_day_folders(got, str(tmp_path / "events"))
-    back = spark.read.parquet(str(tmp_path / "events"))
-    assert back.count() == got.count() and sinks.expired_days(back, "1970-01-09", 7).count() == 1
+    got = pipelines.stored(views.detections(spark, SF), shipped.PIPELINES["people_density"], shipped._FILES)
+    assert got.columns == sinks.EVENT_COLUMNS
+    sinks.to_day_folders(got, f"{tmp_path}/events")
+    back = spark.read.parquet(f"{tmp_path}/events")
+    assert back.count() == got.count() > 0 and sinks.expired_days(back, "2030-01-01", 7).count() == back.select("day").distinct().count()
 
 
 def test_datagrams(spark):

@@ -1,27 +1,16 @@
 import itertools
 import random
 
-import duckdb
 import pandas as pd
-import pytest
 
-from tests.test_engine import SF, TABLES, rows_of
+from tests.test_engine import SF, rows_of
 from vigil.operators import frames
 from vigil.plans import streams  # noqa: F401
-from vigil.plans.queries import ORACLES, QUERIES
+from vigil.plans.queries import QUERIES
 from vigil.sources import views
 from vigil.streaming import stateful
 
 
-@pytest.mark.parametrize("name", ["stream_throttled_events", "stream_hourly_counts", "stream_expired_sessions", "gatherings"])
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = rows_of(con.execute(ORACLES[name]).fetchdf())
-    assert want and rows_of(QUERIES[name](spark, SF).toPandas()) == want
-
-
 def test_throttle_state_outlives_a_micro_batch(spark, tmp_path):
     times = random.Random(4).sample(range(1000), 120)
     for i, part in enumerate([sorted(times)[:50], sorted(times)[50:]]):

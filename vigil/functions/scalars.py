@@ -14,6 +14,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def mean_cosine_distance(known: Column, look: Column) -> Column:
+    """Of the vectors of an array to one vector; null for an empty array."""
+    return F.aggregate(known, F.lit(0.0), lambda s, v: s + 1 - cosine(v, look)) / F.nullif(F.size(known), F.lit(0))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def times(a: Column, factor: Column | float) -> Column:
+    return F.transform(a, lambda x: x * factor)
+
+
+def over(a: Column, divisor: Column | float) -> Column:
+    return F.transform(a, lambda x: x / divisor)
+
+
 def l2_normalised(a: Column) -> Column:
     n = F.sqrt(dot(a, a))
     return F.transform(a, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
@@ -30,8 +51,9 @@ def softmax(a: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """One leading and one trailing code fence go, then white space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^(?:```|''')(?:json)?", ""), "(?:```|''')$", ""))
+    """One leading and one trailing code fence go, and white space around what they hold."""
+    bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    return bare(F.regexp_replace(F.regexp_replace(bare(text), "^(?:```|''')(?:json)?", ""), "(?:```|''')$", ""))
 
 
 def flexible_string(json: Column, path: str) -> Column:
@@ -59,6 +81,34 @@ def number_or(text: Column, default: float, least: float | None = None, most: fl
     return F.when(ok & (n <= most) if most is not None else ok, n).otherwise(F.lit(float(default)))
 
 
+def pair(text: Column) -> Column:
+    """a,b as a struct of whole numbers; null unless there are two."""
+    n = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("int"))
+    return F.when((F.size(n) == 2) & ~F.exists(n, lambda v: v.isNull()), F.struct(F.get(n, F.lit(0)).alias("a"), F.get(n, F.lit(1)).alias("b")))
+
+
+def flag_or(text: Column, default: bool) -> Column:
+    """true or false in any case, else the default."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("true", "false"), t == "true").otherwise(F.lit(default))
+
+
+def base64_image(jpeg: Column) -> Column:
+    return F.base64(jpeg)
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """A model's answer: fences stripped, then read by the schema; null where it is no JSON object, and so is a field of another type."""
+    read = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.startswith("{"), F.from_json(t, schema))
+    return F.get(F.transform(F.array(strip_fences(text)), read), F.lit(0))
+
+
+#: Fields of the models' answers.
+OCCURRED = "isObjOccurred boolean, occurredObjects array<struct<type:string,conf:double,bbox_2d:array<int>>>"
+ACTION = "Conclusion string, Action string"
+SHIP = "ShipTypeGroup string, ShipTypeDetail string, ShipColor array<string>, ShipDraught string, ShipViewAngle string, ShipLoadTypes array<string>, ShipPaintedText array<struct<Text:string,Bbox:array<int>>>"
+
+
 def rectangle(text: Column) -> Column:
     """x,y,w,h as a struct of whole numbers; null unless there are four."""
     n = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("int"))
@@ -95,3 +145,19 @@ def event_bucket(algorithm: Column, ts: Column) -> Column:
 
 def artefact_path(folder: str, stable_id: Column, ts: Column, number: Column) -> Column:
     return F.concat_ws("_", F.concat(F.lit(folder + "/"), file_safe(stable_id)), F.date_format(ts, "yyyyMMddHHmmssSSS"), F.lpad(number.cast("string"), 6, "0"))
+
+
+def snapshot_path(folder: str, source: Column, object_id: Column, ts: Column, width: Column, height: Column, least: tuple[int, int]) -> Column:
+    """Where an object's best picture goes; null unless it is wider and higher than the least size."""
+    day, at = F.date_format(ts, "yyyyMMdd"), F.date_format(ts, "yyyyMMddHHmmssSSS")
+    path = F.concat(F.concat_ws("/", F.lit(folder), F.lit("Best"), day, file_safe(source), file_safe(object_id)), F.lit("_"), at, F.lit(".jpg"))
+    return F.when((width > least[0]) & (height > least[1]), path)
+
+
+def score_factor(by: str, confidence: Column, width: Column, height: Column) -> Column:
+    """What snapshots are ranked by: confidence, area, width or height."""
+    return {"confidence": confidence.cast("double"), "area": (width.cast("long") * height).cast("double"), "width": width.cast("double"), "height": height.cast("double")}[by.strip().lower()]
+
+
+def four_digits(x: Column) -> Column:
+    return F.format_string("%.4f", x.cast("double"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vigil.functions.geometry import Box
 
-STYLE = "color string, fill_color string, stroke_color string, stroke_width int, font_size int, opacity double, visible boolean"
+#: The fields of a style.
+STYLE = "stroke_color string, fill_color string, stroke_width int, opacity double, dash array<int>, z_index int, visible boolean, color string, font_size int, font_family string, font_weight string, background_color string"
 POINTS = "array<struct<x:int,y:int>>"
 
 
@@ -58,9 +59,9 @@ def line_shapes(pairs: Column, name: str, look: Column) -> Column:
 
 
 def drawn(shapes: Column) -> Column:
-    """Visible shapes by z (none: 0); of equal ones in the order they were added."""
+    """Visible shapes by their own z, else their style's (none: 0); of equal ones in the order they were added."""
     seen = F.filter(shapes, lambda s: F.coalesce(s["style"]["visible"], F.lit(True)))
-    keyed = F.transform(seen, lambda s, i: F.struct(F.coalesce(s["z"], F.lit(0)).alias("z"), i.alias("i")))
+    keyed = F.transform(seen, lambda s, i: F.struct(F.coalesce(s["z"], s["style"]["z_index"], F.lit(0)).alias("z"), i.alias("i")))
     return F.transform(F.array_sort(keyed), lambda k: F.get(seen, k["i"]))
 
 

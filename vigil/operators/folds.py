@@ -1,23 +1,98 @@
-"""Rules that are truly sequential: folds over a key's ordered rows, on the JVM; trackers in numpy per source."""
+"""Rules that are truly sequential: throttling block by block, averages, access states and inner suppression on the JVM; trackers in numpy
+per source."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators import keyed
+from vigil.functions.geometry import Box
+from vigil.operators import keyed, windows
+
+#: Intervals of one block of a throttled key's time.
+SPAN = 64
+
+
+def _entries(us: np.ndarray, interval: int, start: int) -> tuple[list[int], list[int]]:
+    """What a block does to the time that a throttle last passed: if the next row may pass from a time a on, the last one that passes is
+    exits[first i with times[i] >= a]; none passes if a is over all times. Only times within the first interval matter, and the first one after."""
+    t = np.unique(us)
+    n = len(t)
+    follow = np.searchsorted(t, t + interval)
+    last = np.where(follow == n, np.arange(n), follow)
+    while not np.array_equal(further := last[last], last):
+        last = further
+    k = min(int(np.searchsorted(t, start + interval)) + 1, n)
+    exits = t[last[:k]]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return t[:k][keep].tolist(), exits[keep].tolist()
+
+
+class _Blocks:
+    """The blocks of one key in order: the time last passed before each."""
+
+    def __init__(self, interval: int):
+        self.interval, self.last = interval, None
+
+    def row(self, r: dict) -> list[tuple]:
+        out = [(r["k"], r["block"], self.last)]
+        at = 0 if self.last is None else int(np.searchsorted(r["times"], self.last + self.interval))
+        if at < len(r["times"]):
+            self.last = int(r["exits"][at])
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def throttle(rows: DataFrame, key: str, micros: str, interval: int, *keep: str) -> DataFrame:
-    """Greedy: a row passes if the last one that passed is interval microseconds or more behind. The fold carries time and row
-    number only; a key's rows meet in one task in packed form."""
-    h = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(micros, *keep))).alias("h"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("passed"))
-    fold = F.aggregate("h", F.struct(start["last"].alias("last"), start["passed"].alias("passed"), F.lit(0).alias("i")), lambda a, x: F.struct(F.when(a["last"].isNull() | (x[micros] - a["last"] >= interval), x[micros]).otherwise(a["last"]).alias("last"), F.when(a["last"].isNull() | (x[micros] - a["last"] >= interval), F.concat(a["passed"], F.array(a["i"]))).otherwise(a["passed"]).alias("passed"), (a["i"] + 1).alias("i")), lambda a: a["passed"])
-    return h.withColumn("i", F.explode(fold)).select(key, F.get("h", F.col("i")).alias("r")).select(key, "r.*")
+    """Greedy: a row passes if the last one that passed is interval microseconds or more behind; of rows of one time the least may. Rows without
+    a key or a time go.
+
+    A key's time is cut into blocks of SPAN intervals. Each block first says what it does to the time last passed; these answers, a row a block,
+    are followed in order, and each block then gives its rows. No task holds more than a block of a key."""
+    rows = rows.select(key, micros, *keep).dropna(subset=[key, micros])
+    if interval <= 0:
+        return rows
+    span, kind = interval * SPAN, rows.schema[key].dataType.simpleString()
+    dealt = rows.withColumn("__block", F.floor(F.col(micros) / span))
+
+    def answer(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        times, exits = _entries(b[micros].to_numpy(np.int64), interval, int(k[1]) * span)
+        return pd.DataFrame([(k[0], int(k[1]), times, exits)], columns=["k", "block", "times", "exits"])
+
+    answers = dealt.select(key, micros, "__block").groupBy(key, "__block").applyInPandas(answer, f"k {kind}, block long, times array<long>, exits array<long>")
+    states = keyed.fold(answers, ["k"], ["block"], lambda: _Blocks(interval), f"k {kind}, block long, last double")
+
+    def passing(k: tuple, b: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values([micros, *keep], kind="stable")
+        t, at, last = b[micros].to_numpy(np.int64), [], state["last"].iloc[0] if len(state) else None
+        i = 0 if last is None or np.isnan(last) else int(np.searchsorted(t, int(last) + interval))
+        while i < len(t):
+            at.append(i)
+            i = int(np.searchsorted(t, t[i] + interval))
+        return b.iloc[at][[key, micros, *keep]]
+
+    return dealt.groupBy(key, "__block").cogroup(states.withColumnRenamed("k", "__k").groupBy("__k", "block")).applyInPandas(passing, rows.schema)
+
+
+def suppressed(events: DataFrame, intervals: dict[str, int], enabled: bool = True) -> DataFrame:
+    """Events that are posted: of a source, those of a name with an interval (in seconds) are throttled, all others pass; so do all unless enabled.
+    events: source_id, event_name, ts, and others."""
+    if not enabled or not intervals:
+        return events
+    columns = events.columns
+    named = F.create_map(*[F.lit(x) for kv in intervals.items() for x in kv])
+    df = events.withColumn("__seconds", F.try_element_at(named, F.col("event_name")))
+    passed = df.filter("__seconds is null").select(*columns)
+    for name, seconds in intervals.items():
+        some = df.filter(F.col("event_name") == name).withColumns({"__us": F.unix_micros(F.col("ts").cast("timestamp")), "__key": F.concat_ws("_", "source_id", "event_name")})
+        passed = passed.unionByName(throttle(some, "__key", "__us", seconds * 1_000_000, *columns).select(*columns))
+    return passed
 
 
 def ema(values: Column, alpha: float) -> Column:
@@ -25,29 +100,36 @@ def ema(values: Column, alpha: float) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * (1 - alpha) + x * alpha))
 
 
-#: next state by geometry and previous state.
-ACCESS = {"in": dict(Outside="Entering", Entering="Inside", Inside="Inside", Leaving="Entering"), "mixed_in": dict(Outside="Entering", Entering="Entering", Inside="Inside", Leaving="Entering"), "mixed_out": dict(Outside="Outside", Entering="Leaving", Inside="Leaving", Leaving="Leaving"), "out": dict(Outside="Outside", Entering="Leaving", Inside="Leaving", Leaving="Outside")}
-
-
-class _Access:
-    """A region-access machine. A row of no geometry leaves its state."""
-
-    def __init__(self, names: tuple[str, str, str]):
-        self.names, self.state = names, "Outside"
+def ema_by(rows: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
+    """key, ema: the exponential average of a key's values at its end, as the sum that it comes to: no history is gathered."""
+    n = rows.groupBy(key).agg(F.count("*").alias("__of"))
+    r = windows.ranked(rows, key, order, "__n").join(n, key)
+    after = F.col("__of") - F.col("__n")
+    weight = F.pow(F.lit(1 - alpha), after) * F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
+    return r.groupBy(key).agg(F.sum(F.col(value) * weight).alias("ema"))
 
-    def row(self, r: dict) -> list[tuple]:
-        key, order, geometry = (r[n] for n in self.names)
-        self.state = ACCESS[geometry][self.state] if geometry in ACCESS else self.state
-        return [(key, order, self.state)]
 
-    def end(self) -> list[tuple]:
-        return []
+#: next state by geometry and previous state.
+ACCESS = {"in": dict(Outside="Entering", Entering="Inside", Inside="Inside", Leaving="Entering"), "mixed_in": dict(Outside="Entering", Entering="Entering", Inside="Inside", Leaving="Entering"), "mixed_out": dict(Outside="Outside", Entering="Leaving", Inside="Leaving", Leaving="Leaving"), "out": dict(Outside="Outside", Entering="Leaving", Inside="Leaving", Leaving="Outside")}
 
 
 def access_states(rows: DataFrame, key: str, order: str, geometry: str) -> DataFrame:
-    """key, order and state after each row of a region-access machine that starts Outside. A key's rows stream by; its state is one word."""
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return keyed.fold(rows.select(key, order, geometry), [key], [order], lambda: _Access((key, order, geometry)), f"{key} {types[key]}, {order} {types[order]}, state string")
+    """key, order and state after each row of a region-access machine that starts Outside. A row of no geometry leaves its state.
+
+    By ACCESS a state depends on the stay alone, the rows since the centre last changed sides: a stay on the inner side begins with Entering
+    and is Inside once a later row of it is wholly in; one on the outer side begins with Leaving (the first of all: Outside) and is
+    Outside once a later row of it is wholly out. So window functions say it."""
+    w = windows.over(key, order)
+    upto = w.rowsBetween(windows.Window.unboundedPreceding, 0)
+    g = F.when(F.col(geometry).isin(*ACCESS), F.col(geometry))
+    df = rows.select(key, order, g.alias("__g")).withColumn("__side", F.last(F.when(F.col("__g").isNotNull(), F.col("__g").isin("in", "mixed_in")), ignorenulls=True).over(upto))
+    df = df.withColumn("__turn", F.coalesce((F.col("__side") != F.lag("__side").over(w)).cast("int"), F.lit(0)))
+    df = df.withColumn("__stay", F.sum("__turn").over(upto))
+    stay = windows.over([key, "__stay"], order).rowsBetween(windows.Window.unboundedPreceding, 0)
+    df = df.withColumns({"__seen": F.count("__g").over(stay), "__whole": F.count_if(F.col("__g").isin("in", "out")).over(stay), "__first": F.first("__g", ignorenulls=True).over(stay)})
+    later = F.col("__whole") - F.col("__first").isin("in", "out").cast("int") > 0  # the stay's first row only begins it
+    state = F.when(F.col("__side"), F.when(later, "Inside").otherwise("Entering")).otherwise(F.when(later | (F.col("__stay") == 0), "Outside").otherwise("Leaving"))
+    return df.select(key, order, F.when(F.col("__side").isNull(), "Outside").otherwise(state).alias("state"))
 
 
 def _iof(a, b) -> float:
@@ -70,25 +152,31 @@ def suppress_inner(boxes: list[tuple[int, int, int, int]], ratio: float) -> list
     return [i for i, g in enumerate(gone) if not g]
 
 
-class _Inner:
-    """The boxes of one frame and label."""
-
-    def __init__(self, ratio: float):
-        self.ratio, self.boxes = ratio, []
-
-    def row(self, r: dict) -> list[tuple]:
-        self.boxes.append(r)
-        return []
-
-    def end(self) -> list[tuple]:
-        if len(self.boxes) == 1:
-            return [tuple(self.boxes[0].values())]
-        return [tuple(self.boxes[i].values()) for i in suppress_inner([(r["x"], r["y"], r["w"], r["h"]) for r in self.boxes], self.ratio)]
-
-
 def inner_suppression(dets: DataFrame, ratio: float) -> DataFrame:
-    """Frame by frame and label by label, the surest box first. Rows stream by in order; a task holds the boxes of one frame."""
-    return keyed.fold(dets, ["source_id", "frame_id", "label"], [F.desc("confidence"), "x", "y", "w", "h", "tracking_id"], lambda: _Inner(ratio), dets.schema)
+    """suppress_inner() frame by frame and label by label, the surest box first, as a fold over the small array of a frame's boxes of one label.
+
+    Box i, if it is still there, meets the first later box that is larger and overlaps it enough: up to that one all that overlap it go,
+    and with that one box i itself."""
+    names = dets.columns
+    order = F.struct((-F.col("confidence")).alias("__c"), "x", "y", "w", "h", "tracking_id", F.struct(*names).alias("__row"))
+    g = dets.dropna(subset=["source_id", "frame_id", "label"]).groupBy("source_id", "frame_id", "label").agg(F.sort_array(F.collect_list(order)).alias("b"))
+    box = lambda r: Box(r["x"], r["y"], r["w"], r["h"])
+    at = lambda i: F.get("b", i)
+    n = F.size("b")
+
+    def meets(i: Column, j: Column) -> Column:
+        return box(at(i)).iof(box(at(j))) > ratio
+
+    def step(gone: Column, i: Column) -> Column:
+        larger = F.filter(F.sequence(i + 1, n - 1), lambda j: ~F.get(gone, j) & (box(at(i)).area < box(at(j)).area) & meets(i, j))
+        stop = F.coalesce(F.get(larger, F.lit(0)), n)
+        new = F.transform(gone, lambda was, k: was | ((k == i) & (stop < n)) | ((k > i) & (k < stop) & meets(i, k)))
+        return F.when(F.get(gone, i) | (i == n - 1), gone).otherwise(new)
+
+    none = F.transform("b", lambda _: F.lit(False))
+    gone = F.when(n == 1, none).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), none, step))
+    kept = F.filter(F.zip_with("b", gone, lambda r, out: F.struct(r["__row"].alias("r"), out.alias("out"))), lambda x: ~x["out"])
+    return g.select(F.explode(kept).alias("k")).select("k.r.*")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

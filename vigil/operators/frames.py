@@ -1,16 +1,16 @@
 """Rules over the boxes of one frame in which order matters: merging of boxes, and stitching over the seams of tiles.
 
-A frame's boxes meet in one task, many frames to an Arrow batch; no group is set up per frame.
+Each rule is a fold over the small array of a frame's boxes, on the JVM; plain versions over lists stand beside them for use outside Spark and
+for tests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.geometry import Box
+
 Rect = tuple[int, int, int, int]  # x, y, w, h
 
 
@@ -68,41 +68,64 @@ def merge_all(boxes: list[Rect], threshold: float) -> list[Rect]:
 MERGES = {"first": merge_first, "forward": merge_forward, "largest": merge_largest, "all": merge_all}
 
 
-def by_frame(rows: DataFrame, key: list[str], order: list, rule: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """rule over the rows of each key, in order."""
+def _box(r: Column) -> Box:
+    return Box(r["x"], r["y"], r["w"], r["h"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: list[pd.DataFrame] = []  # the rows of the last key so far
-        for b in batches:
-            if b.empty:
-                continue
-            last = (b[key] == b[key].iloc[-1]).all(axis=1)
-            if tail and not (b[key].iloc[0] == tail[0][key].iloc[0]).all():
-                yield apply(pd.concat(tail, ignore_index=True))
-                tail = []
-            if last.all():
-                tail.append(b)
-                continue
-            yield apply(pd.concat([*tail, b[~last]], ignore_index=True))
-            tail = [b[last]]
-        if tail:
-            yield apply(pd.concat(tail, ignore_index=True))
 
-    def apply(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([rule(b.iloc[at]) for at in b.groupby(key, sort=False).indices.values()], ignore_index=True)
+def _around(a: Column, b: Column) -> Column:
+    return _box(a).merged(_box(b)).struct()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.dropna(subset=key).repartition(parts, *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
+def _rest(a: Column) -> Column:
+    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
 
-def merged(rows: DataFrame, variant: str, threshold: float) -> DataFrame:
-    """source_id, frame_id, x, y, w, h of the merged boxes of each frame, by one of MERGES; boxes come from left to right, then down."""
 
-    def rule(b: pd.DataFrame) -> pd.DataFrame:
-        got = MERGES[variant]([tuple(map(int, r)) for r in b[["x", "y", "w", "h"]].to_numpy()], threshold)
-        return pd.DataFrame([(b.source_id.iloc[0], b.frame_id.iloc[0], *r) for r in got], columns=["source_id", "frame_id", "x", "y", "w", "h"])
+def first_merged(boxes: Column, threshold: float) -> Column:
+    """merge_first() of an array of boxes."""
+
+    def step(out: Column, b: Column) -> Column:
+        hits = F.transform(out, lambda m: _box(m).iou(_box(b)) >= threshold)
+        at = F.array_position(hits, True) - 1
+        return F.when(at < 0, F.concat(out, F.array(b))).otherwise(F.transform(out, lambda m, i: F.when(i == at, _around(m, b)).otherwise(m)))
+
+    return F.aggregate(boxes, F.slice(boxes, 1, 0), step)
+
+
+def forward_merged(boxes: Column, threshold: float) -> Column:
+    """merge_forward() of an array of boxes: as many rounds as there are boxes, the last ones with nothing left."""
+
+    def grow(acc: Column, b: Column) -> Column:
+        meets = _box(acc["grown"]).iou(_box(b)) > threshold
+        return F.struct(F.when(meets, _around(acc["grown"], b)).otherwise(acc["grown"]).alias("grown"), F.when(meets, acc["rest"]).otherwise(F.concat(acc["rest"], F.array(b))).alias("rest"))
+
+    def round_(state: Column, _: Column) -> Column:
+        left = state["left"]
+        grown = F.aggregate(_rest(left), F.struct(F.get(left, F.lit(0)).alias("grown"), F.slice(left, 1, 0).alias("rest")), grow)
+        new = F.aggregate(F.array(grown), F.struct(left.alias("left"), state["out"].alias("out")), lambda _, g: F.struct(g["rest"].alias("left"), F.concat(state["out"], F.array(g["grown"])).alias("out")))
+        return F.when(F.size(left) == 0, state).otherwise(new)
+
+    start = F.struct(boxes.alias("left"), F.slice(boxes, 1, 0).alias("out"))
+    return F.when(F.size(boxes) < 2, boxes).otherwise(F.aggregate(boxes, start, round_, lambda s: s["out"]))
+
 
-    return by_frame(rows.select("source_id", "frame_id", "x", "y", "w", "h"), ["source_id", "frame_id"], ["x", "y", "w", "h"], rule, "source_id string, frame_id long, x int, y int, w int, h int")
+def largest_merged(boxes: Column, threshold: float) -> Column:
+    by_area = F.transform(F.array_sort(F.transform(boxes, lambda b, i: F.struct((-_box(b).area).alias("a"), i.alias("i"), b.alias("b")))), lambda x: x["b"])
+    return forward_merged(by_area, threshold)
+
+
+def all_merged(boxes: Column, threshold: float) -> Column:
+    """merge_all(): a round that merges nothing changes nothing, so rounds go on as long as there are boxes."""
+    return F.when(F.size(boxes) < 2, boxes).otherwise(F.aggregate(F.slice(F.transform(boxes, lambda _, i: i), 2, F.size(boxes)), boxes, lambda now, _: F.transform(F.array(now), lambda b: forward_merged(b, threshold))[0]))
+
+
+#: The rules by name, over columns.
+MERGED = {"first": first_merged, "forward": forward_merged, "largest": largest_merged, "all": all_merged}
+
+
+def merged(rows: DataFrame, variant: str, threshold: float) -> DataFrame:
+    """source_id, frame_id, x, y, w, h of the merged boxes of each frame, by one of MERGED; boxes come from left to right, then down."""
+    g = rows.dropna(subset=["source_id", "frame_id"]).groupBy("source_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("x", "y", "w", "h"))).alias("b"))
+    return g.select("source_id", "frame_id", F.explode(MERGED[variant](F.col("b"), threshold)).alias("m")).select("source_id", "frame_id", "m.*")
 
 
 def tile_seams(size: int, tiles: int) -> list[int]:
@@ -110,50 +133,78 @@ def tile_seams(size: int, tiles: int) -> list[int]:
     return [size // tiles * i for i in range(1, tiles)]
 
 
-def _joined(a: Rect, b: Rect, seams: list[int], axis: int, gap: int, overlap: float) -> bool:
-    """Does a end, and b begin, within gap of a seam, with enough in common along it?"""
-    other = 1 - axis
-    common = min(a[other] + a[other + 2], b[other] + b[other + 2]) - max(a[other], b[other])
-    if common <= 0 or common < overlap * min(a[other + 2], b[other + 2]):
-        return False
-    end, begin = a[axis] + a[axis + 2], b[axis]
-    return abs(begin - end) <= gap and any(abs(end - s) <= gap and abs(begin - s) <= gap for s in seams)
+def tile_grid(width: int, height: int, columns: int, rows: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Column, row, x, y, width, height of each tile; the last of a row or column takes the remainder."""
+    w, h = width // columns, height // rows
+    return [(c, r, c * w, r * h, width - c * w if c == columns - 1 else w, height - r * h if r == rows - 1 else h) for r in range(rows) for c in range(columns)]
+
+
+def modal_size(sizes: list[int]) -> int:
+    """The most frequent one; of equally frequent ones the first."""
+    return max(dict.fromkeys(sizes), key=lambda s: sizes.count(s))
+
+
+def shares_seam(a: Rect, b: Rect, seams: tuple[list[int], list[int]], gap: int, overlap: float) -> bool:
+    """The boxes lie on opposite sides of a seam, at most gap apart, and have at least overlap of the shorter one in common along it."""
+    for axis, other in ((0, 1), (1, 0)):
+        common = max(0, min(a[other] + a[other + 2], b[other] + b[other + 2]) - max(a[other], b[other]))
+        shorter = min(a[other + 2], b[other + 2])
+        if shorter <= 0 or common / shorter < overlap:
+            continue
+        for one, two in ((a, b), (b, a)):
+            if any(one[axis] + one[axis + 2] <= s <= two[axis] for s in seams[axis]) and two[axis] - one[axis] - one[axis + 2] <= gap:
+                return True
+    return False
 
 
 def stitch_groups(boxes: list[Rect], labels: list[str], seams: tuple[list[int], list[int]], gap: int, overlap: float) -> list[int]:
     """The group of each box: its least member. Boxes of one label that meet at a seam belong together, also by way of others."""
-    root = list(range(len(boxes)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for axis in (0, 1):
-        near = lambda edge: any(abs(edge - s) <= gap for s in seams[axis])
-        ends = [i for i, b in enumerate(boxes) if near(b[axis] + b[axis + 2])]
-        begins = [i for i, b in enumerate(boxes) if near(b[axis])]
-        for i in ends:
-            for j in begins:
-                if i != j and labels[i] == labels[j] and _joined(boxes[i], boxes[j], seams[axis], axis, gap, overlap):
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(boxes))]
-
-
-def stitched(dets: DataFrame, width: int, height: int, columns: int, rows: int, gap: int = 2, overlap: float = 0.9) -> DataFrame:
-    """Detections whose boxes meet at the seams of a tile grid become one: the box around them, the highest confidence, the least
-    track other than 0 (0 if there is none), and how many parts it has."""
+    group = list(range(len(boxes)))
+    for i in range(len(boxes)):
+        for j in range(i):
+            if labels[i] == labels[j] and shares_seam(boxes[i], boxes[j], seams, gap, overlap):
+                least, most = sorted((group[i], group[j]))
+                group = [least if g == most else g for g in group]
+    return group
+
+
+def _share_seam(a: Box, b: Box, seams: tuple[list[int], list[int]], gap: int, overlap: float) -> Column:
+    """shares_seam() over columns."""
+    found = F.lit(False)
+    for lines, (begin, end, low, high, size) in zip(seams, (("x", "xmax", "y", "ymax", "h"), ("y", "ymax", "x", "xmax", "w")), strict=True):
+        of = lambda box, name: getattr(box, name)
+        shorter = F.least(of(a, size), of(b, size))
+        common = F.greatest(F.lit(0), F.least(of(a, high), of(b, high)) - F.greatest(of(a, low), of(b, low))) / F.nullif(shorter, F.lit(0))
+        for one, two in ((a, b), (b, a)):
+            apart = F.lit(False)
+            for s in lines:
+                apart = apart | ((of(one, end) <= s) & (of(two, begin) >= s))
+            found = found | (apart & (of(two, begin) - of(one, end) <= gap) & (common >= overlap))
+    return F.coalesce(found, F.lit(False))
+
+
+def stitched(dets: DataFrame, width: int, height: int, columns: int, rows: int, gap: int = 2, overlap: float = 0.9, confidence: str = "max", keep_track: bool = True, same_label: bool = True) -> DataFrame:
+    """Detections whose boxes meet at the seams of a tile grid become one: the label of most of them (then of most area), the box around those of
+    that label, the highest (or with "mean" the mean) confidence, the least track other than 0 (0 if there is none, or tracks aren't
+    kept), and how many parts it has. A frame's boxes are labelled with the least of those they meet until nothing changes."""
     seams = tile_seams(width, columns), tile_seams(height, rows)
-    names = ["source_id", "frame_id", "label", "tracking_id", "confidence", "x", "y", "w", "h", "parts"]
-
-    def rule(b: pd.DataFrame) -> pd.DataFrame:
-        boxes = [tuple(map(int, r)) for r in b[["x", "y", "w", "h"]].to_numpy()]
-        out = []
-        for _, g in b.groupby(stitch_groups(boxes, b.label.tolist(), seams, gap, overlap), sort=True):
-            tracks = [t for t in g.tracking_id if t]
-            out.append((g.source_id.iloc[0], g.frame_id.iloc[0], g.label.iloc[0], min(tracks, default=0), g.confidence.max(), *around(*map(tuple, g[["x", "y", "w", "h"]].to_numpy())), len(g)))
-        return pd.DataFrame(out, columns=names)
-
-    schema = "source_id string, frame_id long, label string, tracking_id int, confidence double, x int, y int, w int, h int, parts int"
-    return by_frame(dets.select(*names[:-1]), ["source_id", "frame_id"], ["x", "y", "w", "h", "label", F.col("tracking_id"), "confidence"], rule, schema)
+    names = ["x", "y", "w", "h", "label", "tracking_id", "confidence"]
+    g = dets.dropna(subset=["source_id", "frame_id"]).groupBy("source_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("b"))
+    meets = lambda p, q: _share_seam(_box(p), _box(q), seams, gap, overlap) & ((p["label"] == q["label"]) if same_label else F.lit(True))
+    places = F.transform("b", lambda _, i: i)
+    near = F.transform("b", lambda p, i: F.filter(places, lambda j: (j == i) | meets(p, F.get("b", j))))
+    g = g.withColumn("near", F.when(F.size("b") == 1, F.array(F.array(F.lit(0)))).otherwise(near))
+    group = F.aggregate(places, places, lambda now, _: F.transform("near", lambda js: F.array_min(F.transform(js, lambda j: F.get(now, j)))))
+    g = g.withColumn("group", F.when(F.exists("near", lambda js: F.size(js) > 1), group).otherwise(places))
+    members = F.transform(F.array_distinct("group"), lambda k: F.filter("b", lambda _, i: F.get("group", i) == k))
+    m = g.select("source_id", "frame_id", F.explode(members).alias("m"))
+    area = lambda rs: F.aggregate(rs, F.lit(0).cast("long"), lambda s, r: s + _box(r).area)
+    of = lambda label: F.filter("m", lambda r: r["label"].eqNullSafe(label))
+    ranked = F.transform(F.array_distinct(F.transform("m", lambda r: r["label"])), lambda label: F.struct((-F.size(of(label))).alias("n"), (-area(of(label))).alias("a"), label.alias("label")))
+    m = m.withColumn("label", F.array_min(ranked)["label"]).withColumn("own", F.filter("m", lambda r: r["label"].eqNullSafe(F.col("label"))))
+    hull = F.aggregate("own", F.get("own", F.lit(0)), lambda a, r: F.struct(_box(a).merged(_box(r)).x.alias("x"), _box(a).merged(_box(r)).y.alias("y"), _box(a).merged(_box(r)).w.alias("w"), _box(a).merged(_box(r)).h.alias("h"), a["label"].alias("label"), a["tracking_id"].alias("tracking_id"), a["confidence"].alias("confidence")))
+    scores = F.transform("m", lambda r: r["confidence"])
+    sure = F.array_max(scores) if confidence == "max" else F.aggregate(scores, F.lit(0.0), lambda s, c: s + c) / F.size("m")
+    track = F.coalesce(F.array_min(F.filter(F.transform("m", lambda r: r["tracking_id"]), lambda t: t > 0)), F.lit(0)) if keep_track else F.lit(0)
+    m = m.withColumn("hull", hull)
+    return m.select("source_id", "frame_id", "label", track.alias("tracking_id"), sure.alias("confidence"), "hull.x", "hull.y", "hull.w", "hull.h", F.size("m").alias("parts"))

@@ -8,6 +8,7 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -17,6 +18,19 @@ class Rule(Protocol):
     def end(self) -> list[tuple]: ...
 
 
+#: Bytes of input that one task takes.
+TASK_BYTES = 128 << 20
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of about TASK_BYTES of the tables that rows come from, and no fewer than the session's shuffle partitions; no job runs. (What the optimizer
+    says of the rows themselves is no use: without statistics it takes a join for a product.)"""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(least, -(-size // TASK_BYTES)) if size < 1 << 60 else least
+
+
 def fold(rows: DataFrame, key: list[str], order: list[str | Column], start: Callable[[], Rule], schema: str | StructType) -> DataFrame:
     """What start()'s rule says of each row of a key, in order, and at the key's end. Rows without a key go."""
     names = schema.names if isinstance(schema, StructType) else [f.split()[0] for f in schema.split(",")]
@@ -36,8 +50,7 @@ def fold(rows: DataFrame, key: list[str], order: list[str | Column], start: Call
         if rule:
             yield pd.DataFrame(rule.end(), columns=names)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.dropna(subset=key).repartition(parts, *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    return rows.dropna(subset=key).repartition(tasks_for(rows), *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
 class Waiting:
@@ -49,7 +62,12 @@ class Waiting:
 
     @staticmethod
     def place(r: dict) -> tuple:
-        return {"latest_per_source": ("source", r["source_id"]), "best_per_object": ("object", r["object_id"])}.get(r["policy"], ("request", r["policy"], r["request_id"]))
+        """An object without a name stands for its track, one without a track for its request."""
+        if r["policy"] == "latest_per_source":
+            return "source", r["source_id"]
+        if r["policy"] == "best_per_object":
+            return "object", next(str(r[k]) for k in ("object_id", "track_key", "request_id") if r[k] is not None)
+        return "request", r["policy"], r["request_id"]
 
     def _leave(self, place: tuple, outcome: str) -> tuple:
         r = self.held.pop(place)
@@ -77,8 +95,9 @@ class Waiting:
 
 def scheduled(requests: DataFrame, capacity: int = 100) -> DataFrame:
     """queue, request_id, outcome (waiting, replaced, not_better, dropped, rejected, expired) of every request. requests: queue, request_id,
-    policy, source_id, object_id, quality, created_us, expire_us."""
-    rows = requests.select("queue", "request_id", "policy", "source_id", "object_id", "quality", "created_us", "expire_us").fillna({"quality": 0.0})
+    policy, source_id, object_id, quality, created_us, expire_us, and track_key where there is one."""
+    track = F.col("track_key") if "track_key" in requests.columns else F.lit(None).cast("string").alias("track_key")
+    rows = requests.select("queue", "request_id", "policy", "source_id", "object_id", track, "quality", "created_us", "expire_us").fillna({"quality": 0.0})
     return fold(rows, ["queue"], ["created_us", "request_id"], lambda: Waiting(capacity), "queue string, request_id long, outcome string")
 
 
@@ -109,3 +128,105 @@ def admitted(evidence: DataFrame, per_source: int = 30, total_bytes: int = 128 <
     """store, request_id, admitted. evidence: store, request_id, source_id, size_bytes, created_us, expire_us."""
     rows = evidence.select("store", "request_id", "source_id", "size_bytes", "created_us", "expire_us").fillna({"size_bytes": 0})
     return fold(rows, ["store"], ["created_us", "request_id"], lambda: Store(per_source, total_bytes), "store string, request_id long, admitted boolean")
+
+
+class Candidates:
+    """A store of candidates that wait for their answer, of bounded size: a new one is refused when it is full. The first answer before the deadline
+    confirms (and so publishes) or rejects, each request once; a deadline that passes times out. What is decided stays so and makes room."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.pending = max(1, capacity), {}
+
+    def _late(self, us: int) -> list[tuple]:
+        gone = sorted((int(r["deadline_us"]), k) for k, r in self.pending.items() if r["deadline_us"] <= us)
+        return [(self.pending.pop(k)["store"], k, "timed_out", at) for at, k in gone]
+
+    def row(self, r: dict) -> list[tuple]:
+        out, k = self._late(r["us"]), r["candidate_id"]
+        if r["occurred"] is None:
+            if len(self.pending) >= self.capacity or k in self.pending:
+                return [*out, (r["store"], k, "refused", r["us"])]
+            self.pending[k] = r
+        elif k in self.pending:
+            out.append((self.pending.pop(k)["store"], k, "published" if r["occurred"] else "rejected", r["us"]))
+        return out
+
+    def end(self) -> list[tuple]:
+        return [(r["store"], k, "pending", r["us"]) for k, r in self.pending.items()]
+
+
+def decided(candidates: DataFrame, results: DataFrame, capacity: int = 1000) -> DataFrame:
+    """store, candidate_id, status (published, rejected, timed_out, refused, pending), us (of the decision). candidates: store, candidate_id, us,
+    deadline_us; results: store, candidate_id, us, occurred. At one instant candidates come before results."""
+    c = candidates.select("store", "candidate_id", "us", "deadline_us", F.lit(None).cast("boolean").alias("occurred"))
+    r = results.filter("occurred is not null").select("store", "candidate_id", "us", F.lit(None).cast("long").alias("deadline_us"), "occurred")
+    return fold(c.unionByName(r), ["store"], ["us", F.col("occurred").isNotNull(), "candidate_id"], lambda: Candidates(capacity), "store string, candidate_id long, status string, us long")
+
+
+class Verification:
+    """One life of an object whose label a language model is to verify. A request goes out when none waits and nothing is verified, or on a frame that is
+    looked at when the quality beats the best one asked about by over 0.03. An answer to the request that waits counts, a broken one only ends the wait.
+    The label is published when the object expires, or by an answer that comes in time after that."""
+
+    def __init__(self, wait_us: int, frame_us: int):
+        self.wait, self.frame = wait_us, frame_us
+        self.pending = self.label = self.deadline = None
+        self.best, self.over = 0.0, False
+
+    def row(self, r: dict) -> list[tuple]:
+        if self.over:
+            return []
+        if r["turn"] == 1:
+            if (self.label is None and self.pending is None) or (r["looked"] and r["quality"] > self.best + 0.03):
+                self.pending, self.best = f"{r['life']}@{r['frame_id']}", r["quality"]
+            return []
+        if r["turn"] == 2:
+            if self.label:
+                self.over = True
+                return [(r["source_id"], r["object_id"], r["frame_id"], *self.label)]
+            self.over, self.deadline = self.pending is None, r["us"] + self.wait
+            return []
+        if r["request_id"] != self.pending:
+            return []
+        self.pending = None
+        if not r["result"]:
+            return []
+        self.label = (r["request_id"], r["result"])
+        if self.deadline is None:
+            return []
+        self.over = True
+        return [(r["source_id"], r["object_id"], -(-r["us"] // self.frame), *self.label)] if r["us"] <= self.deadline else []
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+class Queue:
+    """A bounded queue that overwrites its oldest when full. At its end: how many came in, went out, were overwritten, the greatest filling as a share
+    of the capacity, and how many came in by second."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.depth, self.most, self.came, self.went, self.lost = max(1, capacity), 0, 0, 0, 0, 0
+        self.key = self.first = self.last = None
+
+    def row(self, r: dict) -> list[tuple]:
+        self.key, self.last = r["queue"], r["us"]
+        self.first = r["us"] if self.first is None else self.first
+        if r["push"]:
+            self.came += 1
+            self.lost += self.depth == self.capacity
+            self.depth = min(self.capacity, self.depth + 1)
+            self.most = max(self.most, self.depth)
+        elif self.depth:
+            self.depth, self.went = self.depth - 1, self.went + 1
+        return []
+
+    def end(self) -> list[tuple]:
+        seconds = max((self.last - self.first) / 1e6, 1e-6)
+        return [(self.key, self.came, self.went, self.lost, self.depth, self.depth / self.capacity, self.most / self.capacity, self.came / seconds)]
+
+
+def queue_metrics(log: DataFrame, capacity: int) -> DataFrame:
+    """queue, enqueued, dequeued, overwritten, depth, utilisation, max_utilisation, throughput. log: queue, us, id, push (else: something is taken)."""
+    schema = "queue string, enqueued long, dequeued long, overwritten long, depth long, utilisation double, max_utilisation double, throughput double"
+    return fold(log.select("queue", "us", "id", "push"), ["queue"], ["us", "id"], lambda: Queue(capacity), schema)

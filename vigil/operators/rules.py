@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators import frames, keyed, windows
+from vigil.functions.geometry import Box
+from vigil.operators import frames, windows
 
 
 def last_known(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
     """Adds the last value that wasn't null, this row's included."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(windows.over(key, order).rowsBetween(Window.unboundedPreceding, 0)))
+    df = windows.running(rows, key, order, {"__known": ("last", value)})
+    return df.withColumn(name, F.col("__known")).drop("__known")
 
 
 def moving_away(people: DataFrame, length: int, share: float) -> DataFrame:
@@ -51,29 +53,29 @@ def kept_gatherings(boxes: list[tuple], factor: float, least: int) -> list[tuple
 
 
 def gatherings(people: DataFrame, factor: float, least: int) -> DataFrame:
-    """source_id, frame_id, anchor, size, fleeing (members that move away), x, y, w, h of each gathering that stays. people: source_id, frame_id,
-    tracking_id, x, y, w, h, moving_away; they come from left to right, then down."""
-
-    rows = people.select("source_id", "frame_id", "tracking_id", "x", "y", "w", "h", "moving_away")
-    return keyed.fold(rows, ["source_id", "frame_id"], ["x", "y", "w", "h", "tracking_id"], lambda: _Gatherings(factor, least), "source_id string, frame_id long, anchor int, size long, fleeing long, x int, y int, w int, h int")
-
-
-class _Gatherings:
-    """The people of one frame."""
-
-    def __init__(self, factor: float, least: int):
-        self.factor, self.least, self.people = factor, least, []
-
-    def row(self, r: dict) -> list[tuple]:
-        self.people.append(r)
-        return []
-
-    def end(self) -> list[tuple]:
-        if len(self.people) < self.least:
-            return []
-        p = self.people
-        kept = kept_gatherings([(r["x"], r["y"], r["w"], r["h"]) for r in p], self.factor, self.least)
-        return [(p[i]["source_id"], p[i]["frame_id"], p[i]["tracking_id"], len(m), sum(bool(p[j]["moving_away"]) for j in m), *box) for i, m, box in kept]
+    """source_id, frame_id, anchor, size, fleeing (members that move away), x, y, w, h of each gathering that stays: kept_gatherings() as a fold over
+    the array of a frame's people. people: source_id, frame_id, tracking_id, x, y, w, h, moving_away; they come from left to right, then down."""
+    rows = people.dropna(subset=["source_id", "frame_id"]).groupBy("source_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("x", "y", "w", "h", "tracking_id", F.col("moving_away").cast("boolean").alias("away")))).alias("p"))
+    box = lambda r: Box(r["x"], r["y"], r["w"], r["h"])
+    near = lambda a, b: box(a).edge_distance(box(b)) < factor * F.greatest(a["w"], a["h"], b["w"], b["h"])
+
+    def around_person(a: Column, i: Column) -> Column:
+        m = F.filter("p", lambda b, j: (i == j) | near(a, b))
+        lo = lambda c: F.array_min(F.transform(m, lambda r: r[c]))
+        hi = lambda c, d: F.array_max(F.transform(m, lambda r: r[c] + r[d]))
+        return F.struct(a["tracking_id"].alias("anchor"), F.size(m).cast("long").alias("size"), F.size(F.filter(m, lambda r: F.coalesce(r["away"], F.lit(False)))).cast("long").alias("fleeing"), lo("x").alias("x"), lo("y").alias("y"), (hi("x", "w") - lo("x")).alias("w"), (hi("y", "h") - lo("y")).alias("h"))
+
+    def keep(kept: Column, g: Column) -> Column:
+        # within an earlier one: it goes; of the earlier ones, up to that, that lie within it the last goes
+        outer = F.array_position(F.transform(kept, lambda k: ~box(g).empty & ~box(k).empty & box(k).contains(box(g))), True)
+        before = F.when(outer > 0, F.slice(kept, 1, (outer - 1).cast("int"))).otherwise(kept)
+        inner = F.array_max(F.transform(before, lambda k, i: F.when(~box(k).empty & ~box(g).empty & box(g).contains(box(k)), i)))
+        grown = F.when(outer > 0, kept).otherwise(F.concat(kept, F.array(g)))
+        return F.when(inner.isNull(), grown).otherwise(F.filter(grown, lambda _, i: i != inner))
+
+    found = rows.filter(F.size("p") >= least).withColumn("g", F.filter(F.transform("p", around_person), lambda g: g["size"] >= least))
+    kept = F.aggregate("g", F.slice("g", 1, 0), keep)
+    return found.select("source_id", "frame_id", F.explode(kept).alias("g")).select("source_id", "frame_id", "g.*")
 
 
 #: What is published of a candidate that had no answer in time.
@@ -99,18 +101,19 @@ def best_evidence(rows: DataFrame, key: str, order: str, known: Column, confiden
 
 def dominant(rows: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
     """Adds dominant: the most frequent value of the last n rows; of equally frequent ones the one seen first."""
-    h = F.collect_list(value).over(windows.over(key, order).rowsBetween(-(n - 1), 0))
+    df = windows.with_context(rows, key, order, n - 1)
+    h = F.collect_list(value).over(windows.over([key, "__b"], order).rowsBetween(-(n - 1), 0))
     times = lambda v: F.size(F.filter("__h", lambda x: x == v))
     best = lambda: F.array_max(F.transform("__h", times))
-    return rows.withColumn("__h", h).withColumn("dominant", F.get(F.filter("__h", lambda v: times(v) == best()), F.lit(0))).drop("__h")
+    return df.withColumn("__h", h).filter("not __context").withColumn("dominant", F.get(F.filter("__h", lambda v: times(v) == best()), F.lit(0))).drop("__h", "__b", "__context", "rank")
 
 
 def warmed_up(rows: DataFrame, key: str, order: str, size: Column, n: int) -> DataFrame:
-    """Rows after the first n of each stretch of one frame size."""
-    w = windows.over(key, order)
-    new = rows.withColumn("__s", size).withColumn("__c", F.coalesce((F.col("__s") != F.lag("__s").over(w)).cast("int"), F.lit(0)))
-    new = new.withColumn("__i", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return new.withColumn("__n", F.row_number().over(windows.over([key, "__i"], order))).filter(F.col("__n") > n).drop("__s", "__c", "__i", "__n")
+    """Rows after the first n of each stretch of one frame size: the n rows before such a row are of its size."""
+    df = windows.with_context(rows.withColumn("__s", size), key, order, n)
+    w = windows.over([key, "__b"], order).rowsBetween(-n, 0)
+    df = df.withColumn("__same", (F.min("__s").over(w) == F.max("__s").over(w)) & (F.count("*").over(w) == n + 1))
+    return df.filter("not __context and __same").drop("__s", "__same", "__b", "__context", "rank")
 
 
 def verifications(rows: DataFrame, every: int, gain: float = 0.03) -> DataFrame:

@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions import scalars
-from vigil.functions.geometry import Box, crosses, evidence_quality, in_known_polygon
+from vigil.functions import messages, scalars
+from vigil.functions.geometry import Box, crosses, evidence_quality
 from vigil.operators import folds, windows
-from vigil.sources import views
-from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, pixels, table
+from vigil.sources import regions, views
+from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Regions of every source: rectangles, so that the oracle can say them; the operator takes any polygon.
-ANALYSIS, EXCLUDED = [(0.1, 0.1), (0.7, 0.1), (0.7, 0.8), (0.1, 0.8)], [(0.4, 0.4), (0.5, 0.4), (0.5, 0.5), (0.4, 0.5)]
-LANES = {1: [(0.2, 0.2), (0.4, 0.2), (0.4, 0.6), (0.2, 0.6)], 2: [(0.35, 0.2), (0.6, 0.2), (0.6, 0.6), (0.35, 0.6)]}
+#: Each source's region file; the last one is missing, so that the default file holds for its source.
+_FILES = Path(__file__).parent / "regions"
+REGIONS = regions.rows_of({f"cam-{i}": _FILES / f"cam-{i}.json" for i in range(4)}, views.WIDTH, views.HEIGHT, _FILES / "default.json")
+WATCH = "watch"  # the interest area that each source has
 _CX, _CY = "(x + w / 2.0)", "(y + h / 2.0)"
-
-
-def _inside(rect: list[tuple[float, float]]) -> str:
-    xs, ys = [round(views.WIDTH * a) for a, _ in rect], [round(views.HEIGHT * b) for _, b in rect]
-    return f"({_CX} BETWEEN {min(xs)} AND {max(xs)} AND {_CY} BETWEEN {min(ys)} AND {max(ys)})"
+_EDGES = regions.edges_sql(REGIONS)
 
 
 def query(sql: str | None = None):
@@ -37,36 +35,35 @@ def query(sql: str | None = None):
     return add
 
 
+def dimension(spark: SparkSession) -> DataFrame:
+    return regions.dimension(spark, REGIONS)
+
+
 def _tagged(dets: DataFrame) -> DataFrame:
-    b = Box.of()
-    inside = lambda pts: in_known_polygon(b.cx, b.cy, pixels(pts))
-    df = dets.withColumn("under_analysis", inside(ANALYSIS) & ~inside(EXCLUDED))
-    lane = F.lit(None).cast("int")
-    for index, pts in LANES.items():  # the last lane that matches wins
-        lane = F.when(inside(pts), F.lit(index)).otherwise(lane)
-    return df.withColumn("lane", F.when(F.col("under_analysis"), lane))
+    return regions.tagged(dets, dimension(dets.sparkSession))
 
 
-_TAGGED_SQL = f"""tag AS (SELECT *, {_inside(ANALYSIS)} AND NOT {_inside(EXCLUDED)} AS under_analysis FROM det),
-tagged AS (SELECT *, CASE WHEN under_analysis THEN CASE WHEN {_inside(LANES[2])} THEN 2 WHEN {_inside(LANES[1])} THEN 1 END END AS lane FROM tag)"""
+#: tagged: the detections with their regions; tsight: the sightings with theirs.
+_TAGGED_SQL = f"{_EDGES}, {regions.tagged_sql('det', 'tagged')}"
+_TSIGHT_SQL = f"{_EDGES}, {regions.tagged_sql('sight', 'tsight')}"
 
 
 def _density(spark: SparkSession, d: str) -> DataFrame:
-    """Objects of a label under analysis, per frame, with zeros."""
-    return _tagged(views.detections(spark, d)).groupBy("source_id", "frame_id").agg(F.count_if((F.col("label") == "person") & F.col("under_analysis")).alias("n"))
+    """Objects of a label under analysis in the watched area, per frame, with zeros."""
+    return _tagged(views.detections(spark, d)).groupBy("source_id", "frame_id").agg(F.count_if((F.lower("label") == "person") & F.col("under_analysis") & regions.in_area(WATCH)).alias("n"))
 
 
-_DENSITY_SQL = f"WITH {DETECTIONS_SQL}, {_TAGGED_SQL}, dens AS (SELECT source_id, frame_id, count(*) FILTER (label = 'person' AND under_analysis) AS n FROM tagged GROUP BY ALL)"
+_DENSITY_SQL = f"WITH {DETECTIONS_SQL}, {_TAGGED_SQL}, dens AS (SELECT source_id, frame_id, count(*) FILTER (label = 'person' AND under_analysis AND list_contains(areas, 'watch')) AS n FROM tagged GROUP BY ALL)"
 
 
-@query(_DENSITY_SQL + " SELECT source_id, frame_id, n, 'Count exceeds 1: ' || n AS message FROM dens WHERE n > 1")
+@query(_DENSITY_SQL + " SELECT source_id, frame_id, n, 'person number: ' || n || ' in detection region:watch, exceed max thresh: 1.' AS message FROM dens WHERE n > 1")
 def density_events(spark, d):
-    return _density(spark, d).filter("n > 1").select("source_id", "frame_id", "n", F.concat(F.lit("Count exceeds 1: "), "n").alias("message"))
+    return _density(spark, d).filter("n > 1").select("source_id", "frame_id", "n", messages.density(F.lit("person"), F.col("n"), F.lit(WATCH), F.lit(1)).alias("message"))
 
 
 @query(_DENSITY_SQL + " SELECT source_id, frame_id, n, max(n) OVER (PARTITION BY source_id ORDER BY frame_id) AS max_n FROM dens")
 def density_running_max(spark, d):
-    return _density(spark, d).withColumn("max_n", F.max("n").over(windows.over("source_id", "frame_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return windows.running(_density(spark, d), "source_id", "frame_id", {"max_n": ("max", F.col("n"))})
 
 
 @query(f"WITH {DETECTIONS_SQL} SELECT source_id, frame_id, x, y, w, h, x + w AS xmax, y + h AS ymax, {_CX} AS cx, {_CY} AS cy, w::BIGINT * h AS area, 2 * (w + h) AS perimeter, w = h AS is_square, x / 1920.0 AS nx, y / 1080.0 AS ny FROM det")
@@ -86,15 +83,16 @@ def filter_chain(spark, d):
     return df.select("source_id", "frame_id", F.when(F.col("label").isin("car", "boat"), "vehicle").otherwise(F.col("label")).alias("label"), "confidence", "x", "y", "w", "h")
 
 
-@query(f"WITH {DETECTIONS_SQL}, {_TAGGED_SQL} SELECT source_id, frame_id, label, x, y, w, h, under_analysis, lane FROM tagged")
+@query(f"WITH {DETECTIONS_SQL}, {_TAGGED_SQL} SELECT source_id, frame_id, label, x, y, w, h, under_analysis, lane, array_to_string(areas, ',') AS areas FROM tagged")
 def region_tagging(spark, d):
-    return _tagged(views.detections(spark, d)).select("source_id", "frame_id", "label", "x", "y", "w", "h", "under_analysis", "lane")
+    """By each source's own definition: quadrilaterals, a hollow polygon, several areas, and the default file."""
+    return _tagged(views.detections(spark, d)).select("source_id", "frame_id", "label", "x", "y", "w", "h", "under_analysis", "lane", F.array_join("areas", ",").alias("areas"))
 
 
-@query(f"WITH {SIGHTINGS_SQL}, t AS (SELECT *, {_inside(ANALYSIS)} AND NOT {_inside(EXCLUDED)} AS u FROM sight) SELECT object_id, frame_id, max(u::INT) OVER (PARTITION BY object_id ORDER BY frame_id) AS retained FROM t")
+@query(f"WITH {SIGHTINGS_SQL}, {_TSIGHT_SQL}, g AS (SELECT object_id, frame_id, under_analysis AS u, retain, coalesce((frame_id - lag(frame_id) OVER (PARTITION BY object_id ORDER BY frame_id) >= 50)::INT, 0) AS g FROM tsight), n AS (SELECT *, sum(g) OVER (PARTITION BY object_id ORDER BY frame_id) AS session_no FROM g) SELECT object_id, frame_id, u OR retain AND max(u::INT) OVER (PARTITION BY object_id, session_no ORDER BY frame_id) = 1 AS under_analysis FROM n")
 def region_retain(spark, d):
-    df = _tagged(views.sightings(views.detections(spark, d)))
-    return df.select("object_id", "frame_id", F.max(F.col("under_analysis").cast("int")).over(windows.over("object_id", "frame_id").rowsBetween(Window.unboundedPreceding, 0)).alias("retained"))
+    """Once under analysis an object stays so until it expires, where its source's definition says so."""
+    return regions.retained(_tagged(views.sightings(views.detections(spark, d))), 50).select("object_id", "frame_id", "under_analysis")
 
 
 _PAIR = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))::BIGINT * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
@@ -108,19 +106,52 @@ def overlapping_pairs(spark, d):
     return s.join(o, ["source_id", "frame_id"]).filter((F.col("object_id") < F.col("o_object_id")) & (a.intersection(b) > 0)).select("source_id", "frame_id", F.col("object_id").alias("one"), F.col("o_object_id").alias("other"), a.iou(b).alias("iou"), a.iof(b).alias("iof"))
 
 
-@query(f"WITH {SIGHTINGS_SQL}, f AS (SELECT DISTINCT source_id, frame_id FROM sight), m AS (SELECT DISTINCT a.source_id, a.frame_id FROM sight a JOIN sight b ON a.source_id = b.source_id AND a.frame_id = b.frame_id AND a.label = 'person' AND b.label = 'boat' WHERE sqrt(pow(a.x + a.w / 2.0 - b.x - b.w / 2.0, 2) + pow(a.y + a.h / 2.0 - b.y - b.h / 2.0, 2)) < 4 * a.w) SELECT f.*, m.frame_id IS NOT NULL AS proximity_met FROM f LEFT JOIN m USING (source_id, frame_id)")
+_OCC = f"WITH {SIGHTINGS_SQL}, {_TSIGHT_SQL}, occ AS (SELECT * FROM tsight WHERE under_analysis AND list_contains(areas, 'watch'))"
+
+
+@query(f"{_OCC}, f AS (SELECT DISTINCT source_id, frame_id FROM sight), m AS (SELECT DISTINCT a.source_id, a.frame_id FROM occ a JOIN occ b ON a.source_id = b.source_id AND a.frame_id = b.frame_id AND a.label = 'person' AND b.label = 'boat' WHERE sqrt(pow(a.x + a.w / 2.0 - b.x - b.w / 2.0, 2) + pow(a.y + a.h / 2.0 - b.y - b.h / 2.0, 2)) < 4 * a.w) SELECT f.*, m.frame_id IS NOT NULL AS proximity_met FROM f LEFT JOIN m USING (source_id, frame_id)")
 def proximity_occurrence(spark, d):
-    """Per frame, in one aggregation: does any person stand near any boat? Arrays of a frame, no pair rows."""
-    box = lambda label: F.collect_list(F.when(F.col("label") == label, Box.of().struct()))
+    """Per frame, in one aggregation: does any person that occurs stand near any boat that does? Arrays of a frame, no pair rows."""
+    occurs = F.col("under_analysis") & regions.in_area(WATCH)
+    box = lambda label: F.collect_list(F.when((F.col("label") == label) & occurs, Box.of().struct()))
     near = F.exists("people", lambda p: F.exists("boats", lambda b: Box(p["x"], p["y"], p["w"], p["h"]).centre_distance(Box(b["x"], b["y"], b["w"], b["h"])) < 4 * p["w"]))
-    return views.sightings(views.detections(spark, d)).groupBy("source_id", "frame_id").agg(box("person").alias("people"), box("boat").alias("boats")).select("source_id", "frame_id", near.alias("proximity_met"))
+    return _tagged(views.sightings(views.detections(spark, d))).groupBy("source_id", "frame_id").agg(box("person").alias("people"), box("boat").alias("boats")).select("source_id", "frame_id", near.alias("proximity_met"))
+
+
+@query(f"{_OCC}, p AS (SELECT a.source_id, a.frame_id, a.object_id AS one, b.object_id AS other FROM occ a JOIN occ b ON a.source_id = b.source_id AND a.frame_id = b.frame_id AND a.label = 'person' AND b.label = 'boat' WHERE sqrt(pow(a.x + a.w / 2.0 - b.x - b.w / 2.0, 2) + pow(a.y + a.h / 2.0 - b.y - b.h / 2.0, 2)) < 4 * a.w) SELECT source_id, frame_id, one AS object_id, max(other) AS partner FROM p GROUP BY ALL UNION ALL SELECT source_id, frame_id, other, max(one) FROM p GROUP BY ALL")
+def proximity_partners(spark, d):
+    """Each person and boat of a near pair with its partner, of several the last by id."""
+    s = _tagged(views.sightings(views.detections(spark, d))).filter(F.col("under_analysis") & regions.in_area(WATCH)).select("source_id", "frame_id", "label", "object_id", "x", "y", "w", "h")
+    o = s.filter("label = 'boat'").select("source_id", "frame_id", *[F.col(c).alias(f"o_{c}") for c in ("object_id", "x", "y", "w", "h")])
+    near = s.filter("label = 'person'").join(o, ["source_id", "frame_id"]).filter(Box.of().centre_distance(Box.of("o_")) < 4 * F.col("w"))
+    both = near.select("source_id", "frame_id", F.explode(F.array(F.struct(F.col("object_id").alias("a"), F.col("o_object_id").alias("b")), F.struct(F.col("o_object_id").alias("a"), F.col("object_id").alias("b")))).alias("p"))
+    return both.groupBy("source_id", "frame_id", F.col("p.a").alias("object_id")).agg(F.max("p.b").alias("partner"))
+
+
+def occurrence(tagged: DataFrame, targets: list[str], area: str) -> DataFrame:
+    """Per frame: any_of (a target under analysis lies in the area), all_of (there are targets under analysis, and each lies there), labels (those that
+    occur, sorted; none: all targets)."""
+    target = F.col("under_analysis") & F.lower("label").isin(targets)
+    inside = regions.in_area(area)
+    g = tagged.groupBy("source_id", "frame_id").agg(F.count_if(target).alias("n"), F.count_if(target & inside).alias("k"), F.array_sort(F.collect_set(F.when(target & inside, F.lower("label")))).alias("s"))
+    return g.select("source_id", "frame_id", (F.col("k") > 0).alias("any_of"), ((F.col("n") > 0) & (F.col("k") == F.col("n"))).alias("all_of"), F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(*map(F.lit, targets))).alias("labels"))
+
 
+_OCCURRENCE_SQL = f"WITH {DETECTIONS_SQL}, {_TAGGED_SQL}, t AS (SELECT *, under_analysis AND label IN ('boat', 'car') AS target, list_contains(areas, 'watch') AS inside FROM tagged), occ AS (SELECT source_id, frame_id, bool_or(target AND inside) AS any_of, bool_or(target) AND bool_and(inside OR NOT target) AS all_of, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (target AND inside)), ', '), 'boat, car') AS labels FROM t GROUP BY ALL)"
 
-@query(f"WITH {SIGHTINGS_SQL} SELECT source_id, frame_id, bool_or(label IN ('boat', 'car')) AS any_of, count(*) FILTER (label = 'boat') > 0 AND count(*) FILTER (label = 'car') > 0 AS all_of, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IN ('boat', 'car'))), ','), 'boat,car') AS labels FROM sight GROUP BY ALL")
+
+@query(_OCCURRENCE_SQL + " SELECT * FROM occ")
 def label_occurrence(spark, d):
-    seen = F.array_sort(F.collect_set(F.when(F.col("label").isin("boat", "car"), F.col("label"))))
-    g = views.sightings(views.detections(spark, d)).groupBy("source_id", "frame_id").agg(F.bool_or(F.col("label").isin("boat", "car")).alias("any_of"), ((F.count_if(F.col("label") == "boat") > 0) & (F.count_if(F.col("label") == "car") > 0)).alias("all_of"), seen.alias("s"))
-    return g.select("source_id", "frame_id", "any_of", "all_of", F.when(F.size("s") > 0, F.array_join("s", ",")).otherwise("boat,car").alias("labels"))
+    return occurrence(_tagged(views.detections(spark, d)), ["boat", "car"], WATCH).withColumn("labels", F.array_join("labels", ", "))
+
+
+@query(_OCCURRENCE_SQL + """, i AS (SELECT *, sum((NOT any_of)::INT) OVER (PARTITION BY source_id ORDER BY frame_id) AS g FROM occ), s AS (SELECT *, (frame_id - min(frame_id) OVER (PARTITION BY source_id, g)) / 10.0 AS duration FROM i WHERE any_of)
+ SELECT source_id, frame_id, duration::DOUBLE AS duration, 'Objects: ' || labels || ' have occurred in region:watch for ' || round_even(duration, 0)::INT || ' seconds.' AS message FROM s WHERE duration >= 1""")
+def occurrence_by_seconds(spark, d):
+    """Every frame of a run of occurrence that has lasted a second or more. A frame stands for 100 ms."""
+    o = occurrence(_tagged(views.detections(spark, d)), ["boat", "car"], WATCH).withColumn("ts", F.timestamp_millis(F.col("frame_id") * 100))
+    e = windows.lasting(o, "source_id", "frame_id", "ts", F.col("any_of"), 1)
+    return e.select("source_id", "frame_id", "duration", messages.occurrence(F.col("labels"), F.lit(WATCH), F.bround("duration").cast("int")).alias("message"))
 
 
 @query(f"WITH {SIGHTINGS_SQL}, e AS (SELECT source_id, max(frame_id) AS last_frame FROM sight GROUP BY 1), n AS (SELECT *, lead(frame_id) OVER (PARTITION BY object_id ORDER BY frame_id) AS nx FROM sight) SELECT n.source_id, object_id, frame_id, frame_id + 50 AS expired_at FROM n JOIN e USING (source_id) WHERE (nx IS NULL OR nx - frame_id >= 50) AND frame_id + 50 <= last_frame")
@@ -151,17 +182,16 @@ def occurrence_runs(spark, d):
     return windows.runs(o, "source_id", "frame_id", F.col("occ")).filter("occ").select("source_id", "frame_id", "run_start", "run_length")
 
 
-@query(f"WITH {SIGHTINGS_SQL}, s AS (SELECT object_id, frame_id, {_inside(ANALYSIS)} AS st FROM sight), c AS (SELECT *, coalesce((st <> lag(st) OVER (PARTITION BY object_id ORDER BY frame_id))::INT, 0) AS ch FROM s), g AS (SELECT *, sum(ch) OVER (PARTITION BY object_id ORDER BY frame_id) AS isl FROM c) SELECT object_id, frame_id, st AS state FROM g QUALIFY row_number() OVER (PARTITION BY object_id, isl ORDER BY frame_id) = 3")
+@query(f"WITH {SIGHTINGS_SQL}, {_TSIGHT_SQL}, s AS (SELECT object_id, frame_id, under_analysis AS st FROM tsight), c AS (SELECT *, coalesce((st <> lag(st) OVER (PARTITION BY object_id ORDER BY frame_id))::INT, 0) AS ch FROM s), g AS (SELECT *, sum(ch) OVER (PARTITION BY object_id ORDER BY frame_id) AS isl FROM c) SELECT object_id, frame_id, st AS state FROM g QUALIFY row_number() OVER (PARTITION BY object_id, isl ORDER BY frame_id) = 3")
 def state_stability(spark, d):
-    b = Box.of()
-    s = views.sightings(views.detections(spark, d)).select("object_id", "frame_id", in_known_polygon(b.cx, b.cy, pixels(ANALYSIS)).alias("state"))
+    s = _tagged(views.sightings(views.detections(spark, d))).select("object_id", "frame_id", F.col("under_analysis").alias("state"))
     return windows.stable(s, "object_id", "frame_id", "state", 3)
 
 
 @query(f"WITH {DETECTIONS_SQL}, f AS (SELECT source_id, frame_id FROM det WHERE label = 'person' GROUP BY ALL), n AS (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY frame_id) - 1) // 5 AS batch_no FROM f) SELECT source_id, batch_no, min(frame_id) AS first_frame, max(frame_id) AS last_frame FROM n GROUP BY 1, 2 HAVING count(*) = 5")
 def sequence_batches(spark, d):
     f = views.detections(spark, d).filter("label = 'person'").select("source_id", "frame_id").distinct()
-    return windows.tumbling_count(f, "source_id", ["frame_id"], 5).groupBy("source_id", "batch_no").agg(F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"))
+    return windows.tumbling_count(f, "source_id", "frame_id", 5).groupBy("source_id", "batch_no").agg(F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"))
 
 
 @query(f"WITH {DETECTIONS_SQL}, f AS (SELECT source_id, frame_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_id) AS r FROM (SELECT DISTINCT source_id, frame_id FROM det)) SELECT a.source_id, a.frame_id AS anchor, b.frame_id FROM f a JOIN f b ON a.source_id = b.source_id AND b.r BETWEEN a.r - 3 AND a.r + 3 WHERE a.frame_id % 100 = 0")
@@ -198,10 +228,13 @@ def ttl_flags(spark, d):
     return e.select("event_id", "gathering", "boat", (F.col("gathering") & F.col("boat")).alias("alarm"))
 
 
-@query(_EVENTS + " SELECT object_id, list_reduce(list(score ORDER BY us), lambda a, x: a * 0.9 + x * 0.1) AS ema, min(score) AS low, max(score) AS high, count(*) AS n FROM e GROUP BY 1")
+@query(_EVENTS + " SELECT object_id, round(list_reduce(list(score ORDER BY us), lambda a, x: a * 0.9 + x * 0.1), 6) AS ema, min(score) AS low, max(score) AS high, sum(score)::DECIMAL(30, 4)::DOUBLE AS total, count(*) AS n, round(count(*) / ((max(us) - min(us)) / 1000000.0 + 1), 9) AS rate FROM e GROUP BY 1")
 def score_ema(spark, d):
-    g = views.object_stream(spark, d).groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("ts", "score"))).alias("h"), F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"))
-    return g.select("object_id", folds.ema(F.transform("h", lambda x: x["score"]), 0.1).alias("ema"), "low", "high", "n")
+    """Exponential average, least, most, total, number and rate by second of an object's scores."""
+    e = views.object_stream(spark, d)
+    span = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6 + 1
+    g = e.groupBy("object_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("score").cast("decimal(30,4)").cast("double").alias("total"), F.count("*").alias("n"), F.round(F.count("*") / span, 9).alias("rate"))
+    return g.join(folds.ema_by(e, "object_id", "ts", "score", 0.1).withColumn("ema", F.round("ema", 6)), "object_id")
 
 
 @query(f"WITH {SIGHTINGS_SQL}, m AS (SELECT *, 0.60 * confidence + 0.25 * (w::BIGINT * h / 2073600.0) + 0.15 * greatest(0, least(1, 1 - sqrt(pow({_CX} - 960, 2) + pow({_CY} - 540, 2)) / sqrt(960.0 * 960 + 540 * 540))) AS q FROM sight) SELECT object_id, max(q) AS quality, max(confidence) AS confidence FROM m GROUP BY 1")
@@ -276,13 +309,13 @@ def runtime_counters(spark, d):
 def retention(spark, d):
     e = table(spark, d, "events")
     today = e.agg(F.max(F.to_date("ts")).alias("today"))
-    return e.crossJoin(F.broadcast(today)).filter(F.datediff("today", F.to_date("ts")) > 7).select("event_id", "ts", "user_id", "event_type")  # one row is sent
+    return e.crossJoin(today).filter(F.datediff("today", F.to_date("ts")) > 7).select("event_id", "ts", "user_id", "event_type")  # one row is sent
 
 
 @query("SELECT n_name, date_part('year', o_orderdate)::INT AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total, grouping(n_name) AS all_nations FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (year, n_name)")
 def orders_rollup(spark, d):
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.rollup(F.year("o_orderdate").alias("year"), "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping("n_name").cast("long").alias("all_nations"))
 
 
@@ -295,20 +328,36 @@ def as_of_join(spark, d):
     return e.unionByName(o).withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(w)).filter("side = 1").select("event_id", "o_orderkey")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DETECTIONS_SQL}, g AS (SELECT source_id, frame_id, label, list({{'x': x, 'y': y, 'w': w, 'h': h, 't': tracking_id, 'c': confidence}} ORDER BY confidence DESC, x, y, w, h, tracking_id) AS b FROM det GROUP BY ALL),
+p AS (SELECT *, list_transform(range(0, len(b) * len(b)), lambda k: {{'i': k // len(b) + 1, 'j': k % len(b) + 1}}) AS ps FROM g),
+s(source_id, frame_id, label, b, ps, n, gone) AS (SELECT source_id, frame_id, label, b, list_filter(ps, lambda q: q.i < q.j), 1, list_transform(b, lambda r: false) FROM p
+ UNION ALL SELECT source_id, frame_id, label, b, ps, n + 1,
+  CASE WHEN gone[ps[n].i] OR gone[ps[n].j] OR NOT (greatest(0, least(b[ps[n].i].x + b[ps[n].i].w, b[ps[n].j].x + b[ps[n].j].w) - greatest(b[ps[n].i].x, b[ps[n].j].x))::BIGINT * greatest(0, least(b[ps[n].i].y + b[ps[n].i].h, b[ps[n].j].y + b[ps[n].j].h) - greatest(b[ps[n].i].y, b[ps[n].j].y)) / least(b[ps[n].i].w * b[ps[n].i].h, b[ps[n].j].w * b[ps[n].j].h) > 0.5) THEN gone
+  ELSE list_transform(gone, lambda v, k: v OR k = CASE WHEN b[ps[n].i].w * b[ps[n].i].h >= b[ps[n].j].w * b[ps[n].j].h THEN ps[n].j ELSE ps[n].i END) END FROM s WHERE n <= len(ps)),
+e AS (SELECT source_id, frame_id, label, unnest(list_filter(b, lambda r, k: NOT gone[k])) AS r FROM s WHERE n = len(ps) + 1)
+SELECT source_id, frame_id, label, r.t AS tracking_id, r.c AS confidence, r.x AS x, r.y AS y, r.w AS w, r.h AS h FROM e""")
 def inner_suppression(spark, d):
     return folds.inner_suppression(views.detections(spark, d), 0.5)
 
 
-@query()
+_CORNERS = "SELECT s.*, trunc(q.px) AS px, trunc(q.py) AS py, q.c FROM sight s, LATERAL (VALUES (x::DOUBLE, y::DOUBLE, 1), (x + w, y, 1), (x + w, y + h, 1), (x, y + h, 1), (x + w / 2.0, y + h / 2.0, 0)) q(px, py, c)"
+_GEOMETRY_SQL = f"""{_EDGES}, corner AS ({_CORNERS}), cpt AS (SELECT DISTINCT source_id, px, py FROM corner), {regions.pip_sql('cpt', 'cin')},
+geo AS (SELECT object_id, frame_id, count(*) FILTER (c = 1 AND kind IS NOT NULL) AS n, bool_or(c = 0 AND kind IS NOT NULL) AS mid FROM corner LEFT JOIN (SELECT * FROM cin WHERE kind = 'interest' AND name = 'watch') i USING (source_id, px, py) GROUP BY ALL),
+geom AS (SELECT object_id, frame_id, CASE WHEN n = 4 THEN 'in' WHEN n = 0 THEN 'out' WHEN mid THEN 'mixed_in' ELSE 'mixed_out' END AS geometry FROM geo)"""
+
+
+def watched_geometry(spark: SparkSession, d: str) -> DataFrame:
+    return regions.geometry(views.sightings(views.detections(spark, d)), dimension(spark), WATCH)
+
+
+@query(f"""WITH RECURSIVE {SIGHTINGS_SQL}, {_GEOMETRY_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY frame_id) AS n FROM geom),
+s(object_id, frame_id, n, state) AS (SELECT object_id, frame_id, n, CASE WHEN geometry IN ('in', 'mixed_in') THEN 'Entering' ELSE 'Outside' END FROM o WHERE n = 1
+ UNION ALL SELECT o.object_id, o.frame_id, o.n, CASE o.geometry WHEN 'in' THEN CASE WHEN s.state IN ('Entering', 'Inside') THEN 'Inside' ELSE 'Entering' END WHEN 'mixed_in' THEN CASE WHEN s.state = 'Inside' THEN 'Inside' ELSE 'Entering' END
+ WHEN 'mixed_out' THEN CASE WHEN s.state = 'Outside' THEN 'Outside' ELSE 'Leaving' END ELSE CASE WHEN s.state IN ('Entering', 'Inside') THEN 'Leaving' ELSE 'Outside' END END FROM s JOIN o ON o.object_id = s.object_id AND o.n = s.n + 1)
+SELECT object_id, frame_id, state FROM s""")
 def region_access(spark, d):
-    """Region-access states by how much of a box lies in the region."""
-    b = Box.of()
-    pts = pixels(ANALYSIS)
-    corners = [in_known_polygon(x.cast("double"), y.cast("double"), pts) for x in (b.x, b.xmax) for y in (b.y, b.ymax)]
-    held = sum((c.cast("int") for c in corners), F.lit(0))
-    geometry = F.when(held == 4, "in").when(held == 0, "out").when(in_known_polygon(b.cx, b.cy, pts), "mixed_in").otherwise("mixed_out")
-    return folds.access_states(views.sightings(views.detections(spark, d)).select("object_id", "frame_id", geometry.alias("geometry")), "object_id", "frame_id", "geometry")
+    """Region-access states by how much of a box lies in its source's watched area."""
+    return folds.access_states(watched_geometry(spark, d), "object_id", "frame_id", "geometry")
 
 
 @query()

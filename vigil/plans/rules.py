@@ -5,63 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars, shapes
-from vigil.functions.geometry import Box, in_known_polygon
-from vigil.operators import appearance, folds, keyed, rules, windows
-from vigil.plans import pipelines
-from vigil.plans.queries import _CX, _CY, _EVENTS, _TAGGED_SQL, ANALYSIS, EXCLUDED, _inside, _tagged, query
-from vigil.sources import views
-from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, pixels, table
-
-
-def _sight(spark, d):
-    return _tagged(views.sightings(views.detections(spark, d))).drop("lane")
-
-
-def people_and_boat(spark, d, history: int = 10, share: float = 0.5):
-    """People under analysis of frames in which a boat's place is known, with moving_away; a boat's place is kept until another is seen."""
-    s = _sight(spark, d)
-    b = Box.of()
-    centre = F.struct(F.bround(b.cx).alias("bx"), F.bround(b.cy).alias("by"))
-    boat = F.min_by(F.when((F.col("label") == "boat") & F.col("under_analysis"), centre), F.when((F.col("label") == "boat") & F.col("under_analysis"), F.struct("x", "y", "w", "h")))
-    known = rules.last_known(s.groupBy("source_id", "frame_id").agg(boat.alias("b")), "source_id", "frame_id", F.col("b"), "b")
-    p = s.filter((F.col("label") == "person") & F.col("under_analysis")).join(known.filter("b is not null"), ["source_id", "frame_id"])
-    p = p.select("source_id", "frame_id", "object_id", "tracking_id", "x", "y", "w", "h", F.bround(b.cx).alias("px"), F.bround(b.cy).alias("py"), "b.*")
-    return rules.moving_away(p, history, share)
-
-
-_AWAY_SQL = f"""WITH {SIGHTINGS_SQL}, u AS (SELECT *, {_inside(ANALYSIS)} AND NOT {_inside(EXCLUDED)} AS under_analysis, round_even({_CX}, 0) AS rx, round_even({_CY}, 0) AS ry FROM sight),
-f AS (SELECT source_id, frame_id, first(rx ORDER BY x, y, w, h) FILTER (label = 'boat' AND under_analysis) AS bx, first(ry ORDER BY x, y, w, h) FILTER (label = 'boat' AND under_analysis) AS by_ FROM u GROUP BY ALL),
-k AS (SELECT source_id, frame_id, last_value(bx IGNORE NULLS) OVER w AS bx, last_value(by_ IGNORE NULLS) OVER w AS by_ FROM f WINDOW w AS (PARTITION BY source_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT source_id, frame_id, object_id, bx, by_, list({{'x': rx, 'y': ry}}) OVER (PARTITION BY object_id ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM u JOIN k USING (source_id, frame_id) WHERE label = 'person' AND under_analysis AND bx IS NOT NULL),
-d AS (SELECT *, list_transform(h, lambda q: sqrt(pow(q.x - bx, 2) + pow(q.y - by_, 2))) AS d FROM p)
-SELECT source_id, frame_id, object_id, len(d) >= 5 AND len(list_filter(range(1, len(d)), lambda i: d[i + 1] > d[i])) / len(d) >= 0.5 AS moving_away FROM d"""
-
-
-@query(_AWAY_SQL)
-def moving_away(spark, d):
-    return people_and_boat(spark, d).select("source_id", "frame_id", "object_id", "moving_away")
-
-
-@query()
-def kept_gatherings(spark, d):
-    return rules.gatherings(people_and_boat(spark, d), 3, 2)
-
-
-def smuggling(spark, d, factor: float = 3, most: int = 2, sustain: int = 10, flee: float = 0.6):
-    """Frames at which a gathering, a boat and flight from it have all been seen of late. A frame stands for 100 ms."""
-    g = rules.gatherings(people_and_boat(spark, d), factor, most).groupBy("source_id", "frame_id")
-    g = g.agg(F.bool_or(F.col("size") > most).alias("g"), F.bool_or(F.col("fleeing") / F.col("size") > flee).alias("a"), F.count("*").alias("gathering_count"), F.sum("size").alias("person_count"))
-    f = _sight(spark, d).groupBy("source_id", "frame_id").agg(F.bool_or((F.col("label") == "boat") & F.col("under_analysis")).alias("b"))
-    f = f.join(g, ["source_id", "frame_id"], "left").fillna({"g": False, "a": False, "gathering_count": 0, "person_count": 0}).withColumn("ts", F.timestamp_millis(F.col("frame_id") * 100))
-    for flag, seconds, name in (("g", sustain, "people_gathering"), ("b", 2 * sustain, "boat_existence"), ("a", sustain, "people_away")):
-        f = windows.ttl_active(f, "source_id", "ts", F.col(flag), seconds, name)
-    incident = F.concat_ws("_", F.lit("smg"), "source_id", F.date_format("ts", "yyyyMMddHHmmssSSS"))
-    return f.filter("people_gathering and boat_existence and people_away").select("source_id", "frame_id", "ts", incident.alias("incident_id"), "gathering_count", "person_count")
-
-
-@query()
-def smuggling_alarms(spark, d):
-    return smuggling(spark, d)
+from vigil.functions.geometry import Box
+from vigil.operators import appearance, folds, keyed, motion, rules, windows
+from vigil.plans.queries import _EVENTS, _GEOMETRY_SQL, query, watched_geometry
+from vigil.sources import sinks, views
+from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, table
 
 
 @query("""WITH r AS (SELECT l_orderkey AS candidate_id, l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS completed, l_returnflag = 'N' AS occurred FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber < 6),
@@ -130,14 +78,9 @@ def annotation_shapes(spark, d):
     return s.select("source_id", "frame_id", (F.col("i") + 1).cast("long").alias("place"), "s.id", "s.x", "s.y", "s.text")
 
 
-_HIT = " + ".join(f"({x} BETWEEN 192 AND 1344 AND {y} BETWEEN 108 AND 864)::INT" for x in ("x", "(x + w)") for y in ("y", "(y + h)"))
-
-
-@query(f"WITH {SIGHTINGS_SQL}, c AS (SELECT *, {_HIT} AS n, {_inside(ANALYSIS)} AS c FROM sight) SELECT object_id, frame_id, CASE WHEN n = 4 THEN 'in' WHEN n = 0 THEN 'out' WHEN c THEN 'mixed_in' ELSE 'mixed_out' END AS geometry FROM c")
+@query(f"WITH {SIGHTINGS_SQL}, {_GEOMETRY_SQL} SELECT * FROM geom")
 def region_geometry(spark, d):
-    b, pts = Box.of(), pixels(ANALYSIS)
-    n = sum((in_known_polygon(x.cast("double"), y.cast("double"), pts).cast("int") for x in (b.x, b.xmax) for y in (b.y, b.ymax)), F.lit(0))
-    return views.sightings(views.detections(spark, d)).select("object_id", "frame_id", F.when(n == 4, "in").when(n == 0, "out").when(in_known_polygon(b.cx, b.cy, pts), "mixed_in").otherwise("mixed_out").alias("geometry"))
+    return watched_geometry(spark, d).select("object_id", "frame_id", "geometry")
 
 
 @query(f"""WITH {DETECTIONS_SQL}, p AS (SELECT a.source_id, a.frame_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))::BIGINT * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w::BIGINT * a.h + b.w::BIGINT * b.h AS s FROM det a JOIN det b ON a.source_id = b.source_id AND a.frame_id = b.frame_id + 1),
@@ -146,11 +89,11 @@ SELECT source_id, frame_id, count(*) AS regions, sum(w::BIGINT * h)::BIGINT AS t
 def motion_statistics(spark, d):
     """Per frame: regions, their area, and the mean overlap of each with each of the frame before."""
     f = views.detections(spark, d).groupBy("source_id", "frame_id").agg(F.collect_list(Box.of().struct()).alias("now"))
-    w = windows.over("source_id", "frame_id")
-    f = f.withColumn("before", F.when(F.lag("frame_id").over(w) == F.col("frame_id") - 1, F.lag("now").over(w)))
+    f = motion.remembered(f.withColumn("tagged", F.transform("now", lambda r: F.struct(F.col("frame_id").alias("f"), r.alias("r")))), "source_id", "frame_id", "tagged", 1)
+    f = f.withColumn("before", F.transform(F.filter("history", lambda x: x["f"] < F.col("frame_id")), lambda x: x["r"]))
     box = lambda r: Box(r["x"], r["y"], r["w"], r["h"])
     overlaps = F.flatten(F.transform("now", lambda a: F.transform("before", lambda b: box(a).iou(box(b)))))
-    mean = F.aggregate(overlaps, F.lit(0.0), lambda a, x: a + x) / F.size(overlaps)
+    mean = F.aggregate(overlaps, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(overlaps), F.lit(0))
     area = F.aggregate("now", F.lit(0).cast("long"), lambda a, r: a + r["w"].cast("long") * r["h"])
     return f.select("source_id", "frame_id", F.size("now").cast("long").alias("regions"), area.alias("total_area"), (area / 2073600.0).alias("coverage"), F.round(F.coalesce(mean, F.lit(0.0)), 9).alias("mean_iou"))
 
@@ -163,31 +106,10 @@ def appearance_tracking(spark, d):
     return appearance.appearance_tracks(dets.join(looks, dets.tracking_id == F.col("__v")).drop("__v"), "embedding", threshold=0.3, streak=3)
 
 
-#: Pipelines of the kinds that are in use: crowds, boats, occurrences, guarded zones, sequences, motion.
-PIPELINES = {
-    "density": {"region": ANALYSIS, "target_types": ["person", "boat"], "min_size": 30, "algorithms": [{"name": "ObjectDensity", "target": "person", "max": 1, "throttle_seconds": 3}, {"name": "ObjectDensity", "target": "boat", "max": 2, "throttle_seconds": 3}]},
-    "occurrence": {"region": ANALYSIS, "algorithms": [{"name": "ObjectOccurrence", "targets": ["boat", "car"], "mode": "and", "min_frames": 2, "throttle_seconds": 3}]},
-    "guard": {"region": ANALYSIS, "inner_ratio": 0.8, "algorithms": [{"name": "RegionAccess", "target": "boat", "region": ANALYSIS, "stability": 2}]},
-    "sequence": {"region": ANALYSIS, "stride": 2, "algorithms": [{"name": "SequenceToImage", "target": "person", "frames": 5}, {"name": "MotionDetection", "coverage": 0.02, "throttle_seconds": 5}]},
-}
-
-
-def _pipeline_query(name: str, sql: str | None):
-    def run(spark, d):
-        return pipelines.events(views.detections(spark, d), PIPELINES[name])
-
-    run.__name__ = f"pipeline_{name}"
-    return query(sql)(run)
-
-
-for _name in PIPELINES:
-    _pipeline_query(_name, None)
-
-
 @query("SELECT user_id AS source_id, event_type AS event_name, strftime(ts, '%Y%m%d') AS day, 'peoplecount' || strftime(ts, '%Y%m%d') AS bucket_name, event_id::VARCHAR AS event_id FROM events")
 def stored_events(spark, d):
     e = views.object_stream(spark, d).select(F.col("event_id").cast("string").alias("event_id"), "ts", F.col("object_id").alias("source_id"), "event_name", F.lit("People Count").alias("algorithm_name"))
-    return pipelines.sinks.stored_events(e).select("source_id", "event_name", F.date_format("ts", "yyyyMMdd").alias("day"), "bucket_name", "event_id")
+    return sinks.stored_events(e).select("source_id", "event_name", F.date_format("ts", "yyyyMMdd").alias("day"), "bucket_name", "event_id")
 
 
 _POS = "f AS (SELECT source_id, frame_id, row_number() OVER (ORDER BY frame_id, source_id) AS pos FROM (SELECT DISTINCT source_id, frame_id FROM det))"
@@ -224,14 +146,6 @@ def box_similarity(spark, d):
     return s.select("object_id", "frame_id", F.round(a.giou(b), 9).alias("giou"), F.round(a.diou(b), 9).alias("diou"))
 
 
-@query()
-def new_best_events(spark, d):
-    """Each new best of an object asks for its class; a source's events are a second or more apart. A frame stands for 100 ms."""
-    s = views.sightings(views.detections(spark, d)).select("source_id", "object_id", "frame_id", "confidence")
-    best = windows.running_best(s, "object_id", "frame_id", "confidence").withColumn("us", F.col("frame_id") * 100_000)
-    return folds.throttle(best, "source_id", "us", 1_000_000, "object_id", "confidence")
-
-
 @query("SELECT event_id, CASE WHEN value BETWEEN 0 AND 50 THEN value ELSE 10 END AS threshold, event_type || ':' || (event_id % 60) || ', odd, x:y' AS text, event_id % 60 AS seconds FROM events")
 def parsed_preferences(spark, d):
     e = views.object_stream(spark, d)

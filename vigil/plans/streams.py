@@ -46,19 +46,63 @@ def gatherings(spark, d):
     return p.join(o, ["source_id", "frame_id"]).filter(near).groupBy("source_id", "frame_id", "x", "y", "w", "h").agg(F.count("*").alias("size")).filter("size >= 2")
 
 
+#: One comparison a step: grown is the box that takes others in, at the place in todo that it has come to, rest what it didn't take.
+_IOU = "(greatest(0, least(grown.x + grown.w, todo[pos].x + todo[pos].w) - greatest(grown.x, todo[pos].x))::BIGINT * greatest(0, least(grown.y + grown.h, todo[pos].y + todo[pos].h) - greatest(grown.y, todo[pos].y)))"
+_HULL = "{'x': least(grown.x, todo[pos].x), 'y': least(grown.y, todo[pos].y), 'w': greatest(grown.x + grown.w, todo[pos].x + todo[pos].w) - least(grown.x, todo[pos].x), 'h': greatest(grown.y + grown.h, todo[pos].y + todo[pos].h) - least(grown.y, todo[pos].y)}"
+
+
+def _forward_sql(order: str, again: str) -> str:
+    """again: may a pass that merged something be followed by another?"""
+    hit = f"{_IOU} / nullif(grown.w::BIGINT * grown.h + todo[pos].w::BIGINT * todo[pos].h - {_IOU}, 0) > 0.15"
+    return f"""WITH RECURSIVE {DETECTIONS_SQL}, g AS (SELECT source_id, frame_id, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY {order}) AS b FROM det GROUP BY ALL),
+s(source_id, frame_id, n, grown, todo, pos, rest, done, finished) AS (SELECT source_id, frame_id, len(b), b[1], b[2:], 1, b[1:0], b[1:0], false FROM g
+ UNION ALL SELECT source_id, frame_id, CASE WHEN pass_end THEN len(done) + 1 ELSE n END,
+  CASE WHEN pos <= len(todo) THEN CASE WHEN hit THEN {_HULL} ELSE grown END WHEN len(rest) > 0 THEN rest[1] ELSE list_append(done, grown)[1] END,
+  CASE WHEN pos <= len(todo) THEN todo WHEN len(rest) > 0 THEN rest[2:] ELSE list_append(done, grown)[2:] END,
+  CASE WHEN pos <= len(todo) THEN pos + 1 ELSE 1 END,
+  CASE WHEN pos <= len(todo) THEN CASE WHEN hit THEN rest ELSE list_append(rest, todo[pos]) END ELSE rest[1:0] END,
+  CASE WHEN pos <= len(todo) THEN done WHEN len(rest) > 0 OR last_pass THEN list_append(done, grown) ELSE done[1:0] END, last_pass
+ FROM (SELECT *, coalesce({hit}, false) AS hit, pos > len(todo) AND len(rest) = 0 AS pass_end, pos > len(todo) AND len(rest) = 0 AND NOT ({again} AND len(done) + 1 < n) AS last_pass FROM s WHERE NOT finished)),
+e AS (SELECT source_id, frame_id, unnest(done) AS r FROM s WHERE finished)
+SELECT source_id, frame_id, r.x AS x, r.y AS y, r.w AS w, r.h AS h FROM e"""
+
+
+_FIRST_SQL = f"""WITH RECURSIVE {DETECTIONS_SQL}, g AS (SELECT source_id, frame_id, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY x, y, w, h) AS b FROM det GROUP BY ALL),
+s(source_id, frame_id, b, n, m) AS (SELECT source_id, frame_id, b, 1, b[1:1] FROM g
+ UNION ALL SELECT source_id, frame_id, b, n + 1, CASE WHEN hit IS NULL THEN list_append(m, t) ELSE list_transform(m, lambda q, k: CASE WHEN k = hit THEN {{'x': least(q.x, t.x), 'y': least(q.y, t.y), 'w': greatest(q.x + q.w, t.x + t.w) - least(q.x, t.x), 'h': greatest(q.y + q.h, t.y + t.h) - least(q.y, t.y)}} ELSE q END) END
+ FROM (SELECT *, b[n + 1] AS t, list_filter(range(1, len(m) + 1), lambda k: coalesce((greatest(0, least(m[k].x + m[k].w, b[n + 1].x + b[n + 1].w) - greatest(m[k].x, b[n + 1].x))::BIGINT * greatest(0, least(m[k].y + m[k].h, b[n + 1].y + b[n + 1].h) - greatest(m[k].y, b[n + 1].y)))
+  / nullif(m[k].w::BIGINT * m[k].h + b[n + 1].w::BIGINT * b[n + 1].h - (greatest(0, least(m[k].x + m[k].w, b[n + 1].x + b[n + 1].w) - greatest(m[k].x, b[n + 1].x))::BIGINT * greatest(0, least(m[k].y + m[k].h, b[n + 1].y + b[n + 1].h) - greatest(m[k].y, b[n + 1].y))), 0) >= 0.15, false))[1] AS hit FROM s WHERE n < len(b))),
+e AS (SELECT source_id, frame_id, unnest(m) AS r FROM s WHERE n = len(b))
+SELECT source_id, frame_id, r.x AS x, r.y AS y, r.w AS w, r.h AS h FROM e"""
+
+_MERGE_SQL = {"first": _FIRST_SQL, "forward": _forward_sql("x, y, w, h", "false"), "largest": _forward_sql("w::BIGINT * h DESC, x, y, w, h", "false"), "all": _forward_sql("x, y, w, h", "true")}
+
+
 def _merge_query(variant: str):
     def run(spark, d):
         return frames.merged(views.detections(spark, d), variant, 0.15)
 
     run.__name__ = f"box_merge_{variant}"
-    return query()(run)
+    return query(_MERGE_SQL[variant])(run)
 
 
-for _variant in frames.MERGES:
+for _variant in frames.MERGED:
     _merge_query(_variant)
 
 
-@query()
+def _apart(axis: str, size: str, seams: list[int]) -> str:
+    far = " OR ".join(f"(a.{axis} + a.{size} <= {s} AND b.{axis} >= {s})" for s in seams)
+    other, width = ("y", "h") if axis == "x" else ("x", "w")
+    along = f"greatest(0, least(a.{other} + a.{width}, b.{other} + b.{width}) - greatest(a.{other}, b.{other})) / least(a.{width}, b.{width})"
+    return f"(({far}) AND b.{axis} - a.{axis} - a.{size} <= 60 AND {along} >= 0.3)"
+
+
+@query(f"""WITH RECURSIVE {DETECTIONS_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY source_id, frame_id ORDER BY x, y, w, h, label, tracking_id, confidence) AS n FROM det),
+e AS (SELECT a.source_id, a.frame_id, a.n AS i, b.n AS j FROM d a JOIN d b ON a.source_id = b.source_id AND a.frame_id = b.frame_id AND a.label = b.label AND a.n <> b.n WHERE {_apart("x", "w", [480, 960, 1440])} OR {_apart("y", "h", [360, 720])}),
+u AS (SELECT * FROM e UNION SELECT source_id, frame_id, j, i FROM e),
+r(source_id, frame_id, i, j) AS (SELECT source_id, frame_id, n, n FROM d UNION SELECT r.source_id, r.frame_id, r.i, u.j FROM r JOIN u ON r.source_id = u.source_id AND r.frame_id = u.frame_id AND r.j = u.i),
+c AS (SELECT source_id, frame_id, i AS n, min(j) AS g FROM r GROUP BY ALL)
+SELECT source_id, frame_id, any_value(label) AS label, coalesce(min(tracking_id) FILTER (tracking_id > 0), 0) AS tracking_id, max(confidence) AS confidence, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, count(*)::INT AS parts FROM d JOIN c USING (source_id, frame_id, n) GROUP BY source_id, frame_id, g""")
 def tile_stitching(spark, d):
     """A grid of 4 x 3 tiles; the tables' boxes aren't cut by tiles, so the tolerance is wide."""
     return frames.stitched(views.detections(spark, d), views.WIDTH, views.HEIGHT, 4, 3, gap=60, overlap=0.3)

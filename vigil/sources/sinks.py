@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import socket
 from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,38 @@ def expired_days(events: DataFrame, today, days: int) -> DataFrame:
     return events.select("day").distinct().filter(F.datediff(F.lit(today).cast("date"), F.to_date(F.col("day").cast("string"), "yyyyMMdd")) > days)
 
 
+def load_event(spark, path: str, event_id: str) -> DataFrame:
+    """The stored event of an id, from day folders."""
+    return spark.read.parquet(path).filter(F.col("event_id") == event_id)
+
+
+def delete_events(spark, path: str, ids: DataFrame) -> None:
+    """Writes the days that hold any of the ids (event_id) anew without them. Each day is written beside the old one first and put in its place when it is
+    whole; other days aren't touched."""
+    held = spark.read.parquet(path)
+    days = [r.day for r in held.join(ids.select("event_id"), "event_id", "left_semi").select(F.col("day").cast("string").alias("day")).distinct().collect()]  # a row a day
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for day in days:
+        old, new = jvm.Path(f"{path}/day={day}"), jvm.Path(f"{path}/_new_{day}")
+        left = spark.read.parquet(f"{path}/day={day}").join(ids.select("event_id"), "event_id", "left_anti")
+        left.write.mode("overwrite").parquet(f"{path}/_new_{day}")
+        fs = old.getFileSystem(conf)
+        fs.delete(old, True)
+        fs.rename(new, old)
+
+
+def delete_expired(spark, path: str, today, days: int) -> int:
+    """Deletes the day folders that are over so many days old; how many went. Only the folders' names are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for s in fs.listStatus(root):
+        name = s.getPath().getName()
+        if name.startswith("day=") and name[4:].isdigit() and (today - datetime.strptime(name[4:], "%Y%m%d").date()).days > days:
+            gone += bool(fs.delete(s.getPath(), True))
+    return gone
+
+
 def send_datagrams(lines: DataFrame, host: str, port: int) -> int:
     """Sends each line as a datagram, from the executors; how many were sent."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.operators import windows
+
 WIDTH, HEIGHT = 1920, 1080
 
 
@@ -57,18 +59,21 @@ def object_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stride(frames: DataFrame, every: int) -> DataFrame:
     """Every n-th frame of a source, counting from 1."""
-    return frames.withColumn("__n", F.row_number().over(Window.partitionBy("source_id").orderBy("frame_id"))).filter(F.col("__n") % every == 0).drop("__n")
+    return windows.ranked(frames, "source_id", "frame_id", "__n").filter(F.col("__n") % every == 0).drop("__n")
 
 
-def gap_fill(frames: DataFrame) -> DataFrame:
-    """Every frame number between a source's first and last; is_blank marks those that stood in no row."""
-    span = frames.groupBy("source_id").agg(F.min("frame_id").alias("a"), F.max("frame_id").alias("b")).select("source_id", F.explode(F.sequence("a", "b")).alias("frame_id"))
+def gap_fill(frames: DataFrame, block: int = 4096) -> DataFrame:
+    """Every frame number between a source's first and last; is_blank marks those that stood in no row. Numbers are made block by block."""
+    ends = frames.groupBy("source_id").agg(F.min("frame_id").alias("a"), F.max("frame_id").alias("b"))
+    blocks = ends.select("source_id", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))).alias("n")).repartition("source_id", "n")
+    span = blocks.select("source_id", F.explode(F.sequence(F.greatest("a", F.col("n") * block), F.least("b", F.col("n") * block + block - 1))).alias("frame_id"))
     return span.join(frames.withColumn("__there", F.lit(True)), ["source_id", "frame_id"], "left").withColumn("is_blank", F.col("__there").isNull()).drop("__there")
 
 
-def seek(frames: DataFrame, source: str, first: int, last: int) -> DataFrame:
-    """A positioned scan: the range reaches the reader as a pushed filter."""
-    return frames.filter((F.col("source_id") == source) & F.col("frame_id").between(first, last))
+def seek(frames: DataFrame, source: str, first: int, last: int | None = None, by: str = "frame_id") -> DataFrame:
+    """A positioned scan from a frame number, or with by="offset_ms" from a time: the range reaches the reader as a pushed filter."""
+    here = F.col("source_id") == source
+    return frames.filter(here & (F.col(by) >= first) if last is None else here & F.col(by).between(first, last))
 
 
 def last_n(rows: DataFrame, n: int, key: str, order: str) -> DataFrame:
@@ -76,19 +81,6 @@ def last_n(rows: DataFrame, n: int, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("__n") <= n).drop("__n")
 
 
-def regions_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per polygon of a region file: kind, name, place in its list, points in 0..1."""
-    point = "STRUCT<NormalizedX: DOUBLE, NormalizedY: DOUBLE>"
-    area = f"ARRAY<STRUCT<Name: STRING, Index: INT, Type: STRING, Points: ARRAY<{point}>>>"
-    raw = spark.read.schema(f"Name STRING, IsObjectAnalyzableRetain BOOLEAN, AnalysisAreas {area}, ExcludedAreas {area}, Lanes {area}, InterestAreas {area}").json(path, multiLine=True)
-    kinds = {"analysis": "AnalysisAreas", "excluded": "ExcludedAreas", "lane": "Lanes", "interest": "InterestAreas"}
-    rows = [raw.select(F.lit(k).alias("kind"), F.posexplode(c).alias("place", "a")) for k, c in kinds.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("kind", "place", F.col("a.Name").alias("name"), F.col("a.Index").alias("lane_index"), F.col("a.Type").alias("type"), F.transform("a.Points", lambda p: F.struct(p["NormalizedX"].alias("nx"), p["NormalizedY"].alias("ny"))).alias("points"))
-
-
 def pixels(points: list[tuple[float, float]]) -> list[tuple[int, int]]:
     """Normalised points in pixels, rounded half to even."""
     return [(round(WIDTH * x), round(HEIGHT * y)) for x, y in points]

@@ -9,7 +9,6 @@ Null keys or times: the row is dropped. Checkpoints and results stand in the sha
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,29 +18,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.operators.folds import ACCESS, Tracker
+from vigil.operators.keyed import Rule
+from vigil.sources.shared import delete, shared_dir
 
 
-def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table's files as a stream; the schema is the table's."""
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream, all that are there in one micro-batch; the schema is the table's."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parque[t]")
-
-
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="vigil-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs an append stream over what its source holds now, to the end, and gives the table it wrote."""
     spark = stream.sparkSession
-    at = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    delete(spark, f"{at}/state")
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
@@ -66,6 +58,21 @@ def throttle(stream: DataFrame, key: str, micros: str, interval: int) -> DataFra
     return stream.select(key, micros).dropna().groupBy(key).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def fold(stream: DataFrame, key: str, order: list[str], start: Callable[[], Rule], schema: str) -> DataFrame:
+    """What a rule of keyed says of each row of a key. Its state, of bounded size by the rule, is carried on; its end never comes."""
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rule, out = pickle.loads(state.get[0]) if state.exists else start(), []
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable")
+        for values in rows.itertuples(index=False, name=None):
+            out += rule.row(dict(zip(rows.columns, values, strict=True)))
+        state.update((pickle.dumps(rule),))
+        yield pd.DataFrame(out, columns=names)
+
+    return stream.dropna(subset=[key]).groupBy(key).applyInPandasWithState(run, schema, "rule binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def access_states(stream: DataFrame, key: str, order: str, geometry: str) -> DataFrame:
     """key, order and state of the region-access machine, which starts Outside."""
 
