@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -171,23 +171,34 @@ def _extend(window: int, parts: int):
     return run
 
 
-def _kept(words: list[bytes], known: np.ndarray, pairs: set[tuple[int, int]], window: int) -> np.ndarray:
-    """Which words stay."""
+def _among(one: np.ndarray, two: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which pairs of (one, two) are rows of known, which is sorted."""
+    first = np.ascontiguousarray(known[:, 0])
+    lo, hi = np.searchsorted(first, one), np.searchsorted(first, one, side="right")
+    hit = known[np.minimum(lo, len(known) - 1), 1] == two
+    hit &= hi > lo
+    for i in np.flatnonzero(hi - lo > 1):  # several rows of one first half
+        hit[i] = two[i] in known[lo[i] : hi[i], 1]
+    return hit
+
+
+def _kept(words: list[bytes], known: np.ndarray, window: int) -> np.ndarray:
+    """Which words stay; known: the windows found twice or more."""
     gone = np.zeros(len(words) + 1, np.int64)
     if len(words) >= window and len(known):
         one = rolling(word_hashes(words), window)
-        at = np.flatnonzero(_within(one, known))
+        at = np.flatnonzero(_within(one, np.ascontiguousarray(known[:, 0])))
         if len(at):
-            two = rolling(word_hashes(words, 1), window, _R2)
-            at = np.array([i for i in at if (int(one[i]), int(two[i])) in pairs], np.int64)
+            start, stop = int(at[0]), int(at[-1]) + window  # no other word takes part
+            two = rolling(word_hashes(words[start:stop], 1), window, _R2)
+            at = at[_among(one[at], two[at - start], known)]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
     return np.cumsum(gone)[:-1] == 0
 
 
-def _known(hits: pa.Table) -> tuple[np.ndarray, set[tuple[int, int]]]:
-    keys = _keys_of(hits, True) if hits.num_rows else np.zeros((0, 2), np.uint64)
-    return np.ascontiguousarray(keys[:, 0]), set(map(tuple, keys.tolist()))
+def _known(hits: pa.Table) -> np.ndarray:
+    return _keys_of(hits, True) if hits.num_rows else np.zeros((0, 2), np.uint64)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -198,9 +209,9 @@ def _digest(window: int):
         known, out = _known(hits), []
         for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
             words = text.as_py().split()
-            left = _kept(words, *known, window)
+            left = _kept(words, known, window)
             n = len(words) - int(left.sum())
-            kept = b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]) if n else b" ".join(words)
+            kept = b" ".join(compress(words, left.tolist()) if n else words)
             out.append((doc.as_py(), len(words), n, hashlib.sha256(kept).hexdigest()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RESULT.types, strict=True)], schema=RESULT) if out else RESULT.empty_table()
 
@@ -234,8 +245,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         known, new = _known(hits), []
         for t in some[text]:
             words = (t.as_py() or "").encode().split()
-            left = _kept(words, *known, window)
-            new.append(None if left.all() else b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]).decode())
+            left = _kept(words, known, window)
+            new.append(None if left.all() else b" ".join(compress(words, left.tolist())).decode())
         some = some.drop_columns(["b"]).combine_chunks()
         return pa.Table.from_batches([replaced(x, names, new) for x in some.to_batches()], some.schema) if len(new) else some
 
