@@ -52,7 +52,9 @@ def measures(text: Column) -> dict[str, Column]:
     return {"__w": of_words, "word_chars": left(WHITE), "n_symbols": left("[^#*$%&|<>]+"), "__l": of_lines, "n_upper": left("[^\\p{Lu}]+"), "n_digits": left("[^0-9]+")}
 
 
-#: Bit number = place in this list; new rules are appended, so old ledgers keep their meaning.
+#: Bit number = place in this list; new rules are appended, so old ledgers keep their meaning. A ledger says which version of the list it was made by:
+#: SINCE[version] is how many rules that version has.
+RULES_VERSION, SINCE = 1, {1: 8}
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
@@ -79,7 +81,7 @@ def mask(names: tuple[str, ...] | list[str]) -> int:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, fails (a long, bit i: rule i failed)."""
+    """doc_id, the measurements, fails (a long, bit i: rule i failed), rules_version. Made to be stored: policies and ablations read only this."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(F.col("doc_id").alias("doc_id"), *[v.alias(k) for k, v in measures(text).items()])
     df = df.select("doc_id", "__w.n_words", "word_chars", "n_symbols", "__l.n_dup_lines", "__l.n_lines", "__w.n_repeat_words", "__w.n_distinct_words", "n_upper", "n_digits")
@@ -87,13 +89,15 @@ def ledger(docs: DataFrame) -> DataFrame:
     fails = bits[0]
     for b in bits[1:]:
         fails = fails.bitwiseOR(b)
-    return df.withColumn("fails", fails)
+    return df.withColumns({"fails": fails, "rules_version": F.lit(RULES_VERSION)})
 
 
 def apply_policy(rows: DataFrame, version: str = PRODUCTION) -> DataFrame:
-    """Adds base_failed and kept (no rule of the policy or of the base failed)."""
+    """Adds base_failed and kept (no rule of the policy or of the base failed; null for rows of a ledger older than one of the rules)."""
+    names = [*POLICIES["base"], *POLICIES[version]]
+    needed = min(v for v, n in SINCE.items() if n > max(map(list(RULES).index, names)))
     bad = lambda names: F.col("fails").bitwiseAND(F.lit(mask(names)).cast("long")) != 0
-    return rows.withColumns({"base_failed": bad(POLICIES["base"]), "kept": ~bad([*POLICIES["base"], *POLICIES[version]])})
+    return rows.withColumns({"base_failed": bad(POLICIES["base"]), "kept": F.when(F.col("rules_version") >= needed, ~bad(names))})
 
 
 def ablation(rows: DataFrame, version: str = PRODUCTION) -> DataFrame:

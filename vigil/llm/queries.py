@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import chat, decontaminate, html, ledger, lm, packing, quality, simhash, sstable, substring
-
-from vigil.llm.common import held_out
+from vigil.llm.common import held_out, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op6_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger.apply_policy(ledger.ledger(_table(spark, sf_dir, "documents")))
+    rows = ledger.apply_policy(written(ledger.ledger(_table(spark, sf_dir, "documents")), "ledger"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
