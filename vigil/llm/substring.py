@@ -111,16 +111,15 @@ def _answer(p: pa.Table, wide: bool) -> pa.Table:
     bucket = buckets_of(p)
     found, total, block = unique_counts(keys, (raw & 127).astype(np.int64), raw >> 7)
     good = found[(total > 1) & (wide | (block > 0))]
-    if wide:
-        packed = np.ascontiguousarray(keys).view([("", "<u8")] * 2)[:, 0]
-        hit = np.isin(packed, np.ascontiguousarray(good).view([("", "<u8")] * 2)[:, 0])
-    else:
-        hit = good[np.minimum(np.searchsorted(good, keys), max(len(good) - 1, 0))] == keys if len(good) else np.zeros(len(keys), bool)
+    hit = _among(keys[:, 0], keys[:, 1], _halves(good)) if wide else _within(keys, good)
     keys, bucket = keys[hit], bucket[hit]
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((keys[:, 1], keys[:, 0], bucket) if wide else (keys, bucket))
     keys, bucket = keys[order], bucket[order]
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    return pa.table({"b": pa.array(bucket[at].astype(np.int32)), "keys": pa.array([np.unique(k, axis=0).tobytes() for k in np.split(keys, at[1:])] if len(at) else [], pa.binary())}, schema=pa.schema([("b", pa.int32()), ("keys", pa.binary())]))
+    same = (keys[1:] == keys[:-1]).all(1) if wide else keys[1:] == keys[:-1]
+    new = np.append(True, ~same | (bucket[1:] != bucket[:-1]))[: len(keys)]
+    keys, bucket = keys[new], bucket[new]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    return pa.table({"b": pa.array(bucket[at].astype(np.int32)), "keys": pa.array([k.tobytes() for k in np.split(keys, at[1:])] if len(at) else [], pa.binary())}, schema=pa.schema([("b", pa.int32()), ("keys", pa.binary())]))
 
 
 def _answers(rows: DataFrame, wide: bool) -> DataFrame:
@@ -128,9 +127,17 @@ def _answers(rows: DataFrame, wide: bool) -> DataFrame:
 
 
 def _keys_of(hits: pa.Table, wide: bool) -> np.ndarray:
+    """The keys that a bucket was told, in order, each once: each partition told its own ones so, and no two the same."""
     blobs = [np.frombuffer(x.as_py(), "<u8") for x in hits["keys"]]
     flat = np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)
-    return np.unique(flat.reshape(-1, 2), axis=0) if wide else np.unique(flat)
+    if not wide:
+        return np.unique(flat)
+    rows = flat.reshape(-1, 2)
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def _halves(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])
 
 
 def _within(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -171,23 +178,24 @@ def _extend(window: int, parts: int):
     return run
 
 
-def _among(one: np.ndarray, two: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which pairs of (one, two) are rows of known, which is sorted."""
-    first = np.ascontiguousarray(known[:, 0])
+def _among(one: np.ndarray, two: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs of (one, two) are known; known: the two halves of rows in order, each in one piece, as a search in a column would copy it."""
+    first, second = known
+    if not len(first) or not len(one):
+        return np.zeros(len(one), bool)
     lo, hi = np.searchsorted(first, one), np.searchsorted(first, one, side="right")
-    hit = known[np.minimum(lo, len(known) - 1), 1] == two
-    hit &= hi > lo
+    hit = (second[np.minimum(lo, len(first) - 1)] == two) & (hi > lo)
     for i in np.flatnonzero(hi - lo > 1):  # several rows of one first half
-        hit[i] = two[i] in known[lo[i] : hi[i], 1]
+        hit[i] = two[i] in second[lo[i] : hi[i]]
     return hit
 
 
-def _kept(words: list[bytes], known: np.ndarray, window: int) -> np.ndarray:
+def _kept(words: list[bytes], known: tuple[np.ndarray, np.ndarray], window: int) -> np.ndarray:
     """Which words stay; known: the windows found twice or more."""
     gone = np.zeros(len(words) + 1, np.int64)
-    if len(words) >= window and len(known):
+    if len(words) >= window and len(known[0]):
         one = rolling(word_hashes(words), window)
-        at = np.flatnonzero(_within(one, np.ascontiguousarray(known[:, 0])))
+        at = np.flatnonzero(_within(one, known[0]))
         if len(at):
             start, stop = int(at[0]), int(at[-1]) + window  # no other word takes part
             two = rolling(word_hashes(words[start:stop], 1), window, _R2)
@@ -197,8 +205,8 @@ def _kept(words: list[bytes], known: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(gone)[:-1] == 0
 
 
-def _known(hits: pa.Table) -> np.ndarray:
-    return _keys_of(hits, True) if hits.num_rows else np.zeros((0, 2), np.uint64)
+def _known(hits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _halves(_keys_of(hits, True) if hits.num_rows else np.zeros((0, 2), np.uint64))
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
