@@ -234,3 +234,51 @@ def test_run_equals_brute_force(spark):
         if hit:
             now[d] = "".join([*out, t[last:]])
     check_packing(cp.run(spark, SF).collect(), list(now), ids_of("byte_bpe_50k.json", now.values(), 1))
+
+
+def test_scores_of_odd_rows(spark, nasty, empty):
+    """Row by row, null and repeated ids included; without training documents; of nothing."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.held_out) for r in lm.score(nasty, path).collect())
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, len((r.text or "").encode().split()) + 1, held(r.doc_id)) for r in nasty.collect())
+    only = spark.createDataFrame([(i, "a b") for i in range(200) if held(i)], "doc_id long, text string")
+    rows = lm.score(only, path).collect()
+    assert rows and all((r.train_tokens, r.n_known, r.held_out) == (0, 0, True) and math.isfinite(r.score) for r in rows)
+    assert lm.score(empty, path).count() == 0
+
+
+def test_shards_of_null_and_repeated_ids(spark, nasty, monkeypatch):
+    """Whole rows of every id, in as many files as it takes, with gapless starts."""
+    monkeypatch.setattr(sstable, "FILE_BYTES", 1)
+    path = tokenizer_path("word_bpe_49k.json")
+    manifest = sstable.write(nasty, path)
+    got = sorted((tuple(r) for r in sstable.read(manifest).collect()), key=lambda r: r[1])
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    ids = [(r.doc_id is not None, r.doc_id or 0) for r in nasty.collect()]
+    assert [(d is not None, d or 0) for d, *_ in got] == sorted(ids)
+    want = Counter((r.doc_id, zlib.crc32(i.tobytes())) for r, i in zip(nasty.collect(), ids_of("word_bpe_49k.json", [r.text for r in nasty.collect()], 2), strict=True))
+    assert Counter((d, crc) for d, _, _, crc in got) == want
+    assert sstable.lookup(manifest, 3).tolist() == ids_of("word_bpe_49k.json", ["a"], 2)[0].tolist()
+
+
+def test_packing_of_repeated_rows(spark, nasty):
+    """Every row is packed, those of one id and text too."""
+    rows = [r.text for r in nasty.collect()]
+    got = packing.pack(nasty, tokenizer_path("byte_bpe_50k.json")).collect()
+    ids = ids_of("byte_bpe_50k.json", rows, 1)
+    assert sum(p.length for p in got) == sum(map(len, ids)) and sum(p.start == 0 for p in got) == len(rows)
+    assert Counter((p.ids_crc32 if p.start == 0 and p.length == p.doc_tokens else None) for p in got if p.doc_tokens < 50) == Counter(zlib.crc32(i.tobytes()) for i in ids if len(i) < 50)
+
+
+def test_what_operators_wrote_can_be_deleted(spark):
+    df = common.written(spark.range(3).toDF("x"), "t")
+    assert df.count() == 3
+    place = common.run_dir(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place))
+    common.clean(spark)
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place))
