@@ -384,3 +384,86 @@ def test_rows_are_compared_whole():
     assert frames.tile_grid(10, 7, 3, 2)[-1] == (2, 1, 6, 3, 4, 4)
     assert frames.stitch_groups([(0, 0, 130, 50), (90, 0, 110, 50)], ["a", "a"], ([100], []), 60, 0.5) == [0, 1]  # they overlap over the seam
     assert frames.stitch_groups([(0, 0, 98, 50), (101, 0, 99, 50)], ["a", "a"], ([100], []), 3, 0.5) == [0, 0]
+
+
+def whole_requests(spark):
+    names = ["latest_per_source", "best_per_object", "anchored", "drop_oldest"]
+    rows = [r.asDict() for r in spark.read.parquet(f"{BIG}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).collect()]
+    rows.sort(key=lambda r: (r["us"], r["event_id"]))
+    return [(f"queue-{r['user_id'] % 8}", r["event_id"], names[r["event_id"] % 4], r["event_type"], str(r["user_id"]), r["value"], r["us"]) for r in rows]
+
+
+def test_request_schedule_equals_a_loop(spark):
+    """Over the whole table: a list of waiting requests a queue."""
+    day, want, queues = 86_400_000_000, {}, {}
+    for queue, i, policy, source, oid, quality, us in whole_requests(spark):
+        waiting = queues.setdefault(queue, [])
+        for w in [w for w in waiting if w["us"] + day <= us]:
+            waiting.remove(w)
+            want[w["i"]] = "expired"
+        mine = {"latest_per_source": ("s", source), "best_per_object": ("o", oid)}.get(policy, ("i", i))
+        same = [w for w in waiting if w["place"] == mine]
+        if len(waiting) >= 20 and policy == "drop_oldest":
+            oldest = min(waiting, key=lambda w: w["us"])
+            waiting.remove(oldest)
+            want[oldest["i"]] = "dropped"
+        elif len(waiting) >= 20 and not same:
+            want[i] = "rejected"
+            continue
+        if same:
+            if policy == "best_per_object" and quality <= same[0]["quality"]:
+                want[i] = "not_better"
+                continue
+            waiting.remove(same[0])
+            want[same[0]["i"]] = "replaced"
+        waiting.append({"i": i, "us": us, "place": mine, "quality": quality})
+    want |= {w["i"]: "waiting" for ws in queues.values() for w in ws}
+    assert {r.request_id: r.outcome for r in QUERIES["request_schedule"](spark, BIG).collect()} == want
+
+
+def test_evidence_admission_equals_a_loop(spark):
+    day, want, stores = 86_400_000_000, {}, {}
+    for store, i, _, source, _, _, us in whole_requests(spark):
+        held = stores.setdefault(store, {})
+        for k in [k for k, (_, _, at) in held.items() if at + day <= us]:
+            del held[k]
+        size = i * 7919 % 4_000_000
+        want[i] = sum(s == source for s, _, _ in held.values()) < 30 and sum(b for _, b, _ in held.values()) + size <= 64 << 20
+        if want[i]:
+            held[i] = (source, size, us)
+    assert {r.request_id: r.admitted for r in QUERIES["evidence_admission"](spark, BIG).collect()} == want
+
+
+def test_appearance_tracks_of_whole_sources_equal_one_tracker_each(spark):
+    from vigil.operators.appearance import AppearanceTracker
+
+    looks = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    want = []
+    for source, found in by_source(spark, SF):
+        tracker = AppearanceTracker(threshold=0.3, streak=3)
+        for frame, rows in found:
+            rows = [r for r in rows if r["tracking_id"] in looks]
+            if rows:
+                ids = tracker.step(np.array([[r[c] for c in "xywh"] for r in rows], float), np.array([looks[r["tracking_id"]] for r in rows], float))
+                want += [(frame, *(r[c] for c in "xywh"), f"{source}_{i}") for r, i in zip(rows, ids, strict=True) if i]
+    got = [tuple(r) for r in QUERIES["appearance_tracking"](spark, SF).select("frame_id", "x", "y", "w", "h", "track_id").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_pixel_inclusive_overlap(spark):
+    """As the tracker counts it."""
+    df = spark.createDataFrame([(0, 0, 9, 9, 0, 0, 9, 9), (0, 0, 9, 9, 5, 0, 9, 9), (0, 0, 9, 9, 50, 50, 9, 9)], "x int, y int, w int, h int, o_x int, o_y int, o_w int, o_h int")
+    got = [r[0] for r in df.select(Box.of().iou_plus_one(Box.of("o_"))).collect()]
+    assert got == pytest.approx([100 / (100 + 1e-5), 50 / (150 + 1e-5), 0])
+
+
+def test_posting_sends_each_row_once_from_the_executors(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/sent"
+
+    def send(texts):
+        with open(out, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+
+    stateful.post_each(spark.readStream.schema("k string, n long").parquet(f"{tmp_path}/in"), send, f"{tmp_path}/c").awaitTermination()
+    assert sorted(open(out).read().split()) == ['{"k":"a","n":1}', '{"k":"b","n":2}']

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigil.functions import geometry, scalars
 from vigil.functions.geometry import Box
 from vigil.operators import detections, folds, frames, keyed, motion, windows
-from vigil.plans.queries import _EDGES, REGIONS, dimension, query
+from vigil.plans.queries import REGIONS, dimension, query
 from vigil.sources import regions, views
 from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, table
 

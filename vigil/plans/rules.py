@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scalars, shapes
 from vigil.functions.geometry import Box
-from vigil.operators import appearance, folds, keyed, motion, rules, windows
-from vigil.plans.queries import _EVENTS, _GEOMETRY_SQL, query, watched_geometry
+from vigil.operators import appearance, keyed, motion, rules, windows
+from vigil.plans.queries import _GEOMETRY_SQL, query, watched_geometry
 from vigil.sources import sinks, views
 from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, table
 

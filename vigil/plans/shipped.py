@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars
+from vigil.operators import rules
 from vigil.plans import pipelines
-from vigil.plans.queries import _EDGES, _FILES, _GEOMETRY_SQL, _TAGGED_SQL, _TSIGHT_SQL, query
+from vigil.plans.queries import _FILES, _GEOMETRY_SQL, _TAGGED_SQL, _TSIGHT_SQL, query
 from vigil.sources import regions, views
 from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL
 
@@ -174,8 +175,6 @@ def moving_away(spark, d):
 
 @query()
 def kept_gatherings(spark, d):
-    from vigil.operators import rules
-
     return rules.gatherings(pipelines.people_and_boat(_frames(spark, d), 10, 0.5), 3, 2)
 
 
