@@ -157,9 +157,10 @@ def inner_suppression(dets: DataFrame, ratio: float) -> DataFrame:
 
     Box i, if it is still there, meets the first later box that is larger and overlaps it enough: up to that one all that overlap it go,
     and with that one box i itself."""
-    names = dets.columns
-    order = F.struct((-F.col("confidence")).alias("__c"), "x", "y", "w", "h", "tracking_id", F.struct(*names).alias("__row"))
-    g = dets.dropna(subset=["source_id", "frame_id", "label"]).groupBy("source_id", "frame_id", "label").agg(F.sort_array(F.collect_list(order)).alias("b"))
+    names, key = dets.columns, ["source_id", "frame_id", "label"]
+    first = ["x", "y", "w", "h", "tracking_id"]
+    order = F.struct((-F.col("confidence")).alias("__c"), *first, *[c for c in names if c not in (*key, *first)])
+    g = dets.dropna(subset=key).groupBy(*key).agg(F.sort_array(F.collect_list(order)).alias("b"))
     box = lambda r: Box(r["x"], r["y"], r["w"], r["h"])
     at = lambda i: F.get("b", i)
     n = F.size("b")
@@ -170,13 +171,13 @@ def inner_suppression(dets: DataFrame, ratio: float) -> DataFrame:
     def step(gone: Column, i: Column) -> Column:
         larger = F.filter(F.sequence(i + 1, n - 1), lambda j: ~F.get(gone, j) & (box(at(i)).area < box(at(j)).area) & meets(i, j))
         stop = F.coalesce(F.get(larger, F.lit(0)), n)
-        new = F.transform(gone, lambda was, k: was | ((k == i) & (stop < n)) | ((k > i) & (k < stop) & meets(i, k)))
-        return F.when(F.get(gone, i) | (i == n - 1), gone).otherwise(new)
+        leave = lambda stop: F.transform(gone, lambda was, k: was | ((k == i) & (stop < n)) | ((k > i) & (k < stop) & meets(i, k)))
+        return F.when(F.get(gone, i) | (i == n - 1), gone).otherwise(F.get(F.transform(F.array(stop), leave), F.lit(0)))  # stop is worked out once
 
     none = F.transform("b", lambda _: F.lit(False))
-    gone = F.when(n == 1, none).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), none, step))
-    kept = F.filter(F.zip_with("b", gone, lambda r, out: F.struct(r["__row"].alias("r"), out.alias("out"))), lambda x: ~x["out"])
-    return g.select(F.explode(kept).alias("k")).select("k.r.*")
+    gone = F.aggregate(F.sequence(F.lit(0), n - 1), none, step)
+    kept = F.when(n == 1, F.col("b")).otherwise(F.get(F.transform(F.array(gone), lambda out: F.filter("b", lambda _, i: ~F.get(out, i))), F.lit(0)))
+    return g.select(*key, F.explode(kept).alias("k")).select(*[F.col(c) if c in key else F.col(f"k.{c}") for c in names])
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

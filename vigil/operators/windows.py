@@ -162,10 +162,11 @@ def clip(frames: DataFrame, anchors: DataFrame, half: int) -> DataFrame:
     return at_rank.join(at, ["source_id", "__block"]).filter(F.abs(F.col("rank") - F.col("__at")) <= half).select("source_id", "anchor", "frame_id")
 
 
-def ttl_active(rows: DataFrame, key: str, order: str, flag: Column, seconds: int, name: str) -> DataFrame:
-    """Adds a flag that stays set for so many seconds after it was last raised (no longer at that very instant)."""
-    df = running(rows, key, order, {"__last": ("max", F.when(flag, F.col(order)))})
-    return df.withColumn(name, F.coalesce(F.unix_micros(F.col(order)) < F.unix_micros("__last") + seconds * 1_000_000, F.lit(False))).drop("__last")
+def ttl_flags(rows: DataFrame, key: str, order: str, flags: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Adds flags: of each name one that stays set for so many seconds after its condition last held (no longer at that very instant)."""
+    df = running(rows, key, order, {f"__last_{n}": ("max", F.when(flag, F.col(order))) for n, (flag, _) in flags.items()})
+    active = {n: F.coalesce(F.unix_micros(F.col(order)) < F.unix_micros(f"__last_{n}") + seconds * 1_000_000, F.lit(False)) for n, (_, seconds) in flags.items()}
+    return df.withColumns(active).drop(*[f"__last_{n}" for n in flags])
 
 
 def positions(frames: DataFrame, block: int = 4096) -> DataFrame:

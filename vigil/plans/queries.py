@@ -222,9 +222,7 @@ def throttled_events(spark, d):
 
 @query(_EVENTS + ", f AS (SELECT *, max(us) FILTER (event_name = 'click') OVER w AS a, max(us) FILTER (event_name = 'view') OVER w AS b FROM e WINDOW w AS (PARTITION BY object_id ORDER BY us ROWS UNBOUNDED PRECEDING)) SELECT event_id, coalesce(us < a + 3600000000, false) AS gathering, coalesce(us < b + 7200000000, false) AS boat, coalesce(us < a + 3600000000, false) AND coalesce(us < b + 7200000000, false) AS alarm FROM f")
 def ttl_flags(spark, d):
-    e = views.object_stream(spark, d)
-    e = windows.ttl_active(e, "object_id", "ts", F.col("event_name") == "click", 3600, "gathering")
-    e = windows.ttl_active(e, "object_id", "ts", F.col("event_name") == "view", 7200, "boat")
+    e = windows.ttl_flags(views.object_stream(spark, d), "object_id", "ts", {"gathering": (F.col("event_name") == "click", 3600), "boat": (F.col("event_name") == "view", 7200)})
     return e.select("event_id", "gathering", "boat", (F.col("gathering") & F.col("boat")).alias("alarm"))
 
 
