@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, decontaminate, html, ledger, lm, packing, quality, repair, simhash, sstable, substring
+from vigil.llm import chat, decontaminate, html, langid, ledger, lm, packing, quality, repair, simhash, sstable, substring, wand
 from vigil.llm.common import held_out, written
 
 
@@ -66,10 +66,19 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(wand.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(_table(spark, sf_dir, "conversations")), F.col("dropped"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rule_ensemble, op2_bm25_packing, op3_simhash_trie, op4_anchor_dedup, op5_sstable, op6_tree_extraction, op7_rule_ledger, op8_chat_round_trip, op9_attention_lm, op10_fm_decontamination, op12_conversation_repair)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rule_ensemble, op2_bm25_packing, op3_simhash_trie, op4_anchor_dedup, op5_sstable, op6_tree_extraction, op7_rule_ledger, op8_chat_round_trip, op9_attention_lm, op10_fm_decontamination, op11_block_max_wand, op12_conversation_repair, op13_language_id)}
 
-ORACLES: dict[str, str] = {"op8_chat_round_trip": chat.ORACLE, "op4_anchor_dedup": substring.ORACLE, "op7_rule_ledger": ledger.ORACLE, "op10_fm_decontamination": decontaminate.ORACLE, "op12_conversation_repair": repair.ORACLE}
+ORACLES: dict[str, str] = {"op8_chat_round_trip": chat.ORACLE, "op4_anchor_dedup": substring.ORACLE, "op7_rule_ledger": ledger.ORACLE, "op10_fm_decontamination": decontaminate.ORACLE, "op11_block_max_wand": wand.ORACLE, "op12_conversation_repair": repair.ORACLE}
