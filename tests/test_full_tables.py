@@ -381,7 +381,6 @@ def test_datagrams_and_logged_events(spark):
 
 def test_rows_are_compared_whole():
     assert rows_of is not None and frames.modal_size([3, 5, 5, 3, 3]) == 3
-    assert frames.tile_grid(10, 7, 3, 2)[-1] == (2, 1, 6, 3, 4, 4)
     assert frames.stitch_groups([(0, 0, 130, 50), (90, 0, 110, 50)], ["a", "a"], ([100], []), 60, 0.5) == [0, 1]  # they overlap over the seam
     assert frames.stitch_groups([(0, 0, 98, 50), (101, 0, 99, 50)], ["a", "a"], ([100], []), 3, 0.5) == [0, 0]
 

@@ -13,86 +13,131 @@ from pyspark.sql import functions as F
 from vigil.functions.geometry import Box
 from vigil.operators import keyed, windows
 
-#: Intervals of one block of a throttled key's time.
+#: Rows of one block of a chain, at most.
+BLOCK_ROWS = 1 << 16
+#: Intervals of one span of a throttled key's time.
 SPAN = 64
+#: What a chain begins with: anything is due.
+FIRST = -(1 << 62)
 
 
-def _entries(us: np.ndarray, interval: int, start: int) -> tuple[list[int], list[int]]:
-    """What a block does to the time that a throttle last passed: if the next row may pass from a time a on, the last one that passes is
-    exits[first i with times[i] >= a]; none passes if a is over all times. Only times within the first interval matter, and the first one after."""
-    t = np.unique(us)
-    n = len(t)
-    follow = np.searchsorted(t, t + interval)
-    last = np.where(follow == n, np.arange(n), follow)
+def _links(times: np.ndarray, until: np.ndarray, late: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Of each row the place of the next one, if it is taken: the first from its until on (late: the one behind that), or the first of the next run, if that comes before."""
+    return np.minimum(np.searchsorted(times, until) + late, np.searchsorted(run, run, side="right"))
+
+
+def _exits(times: np.ndarray, until: np.ndarray, late: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Of each row, if the chain takes it: what the chain leaves the block with, as 2 * due + late. Pointers to next rows are doubled until all have left."""
+    n, follow = len(times), _links(times, until, late, run)
+    out = np.where(np.searchsorted(times, until) < n, 2 * (times[-1] + 1), 2 * until + late)  # the one passed over may be the block's last
+    last = np.where(follow < n, np.minimum(follow, n - 1), np.arange(n))
     while not np.array_equal(further := last[last], last):
         last = further
-    k = min(int(np.searchsorted(t, start + interval)) + 1, n)
-    exits = t[last[:k]]
-    keep = np.append(exits[1:] != exits[:-1], True)
-    return t[:k][keep].tolist(), exits[keep].tolist()
+    return out[last]
 
 
 class _Blocks:
-    """The blocks of one key in order: the time last passed before each."""
+    """The blocks of one key in order: what the chain comes into each with. Only a block's first run can go on from the block before."""
 
-    def __init__(self, interval: int):
-        self.interval, self.last = interval, None
+    def __init__(self):
+        self.run, self.code = None, FIRST
 
     def row(self, r: dict) -> list[tuple]:
-        out = [(r["k"], r["block"], self.last)]
-        at = 0 if self.last is None else int(np.searchsorted(r["times"], self.last + self.interval))
-        if at < len(r["times"]):
-            self.last = int(r["exits"][at])
+        *head, first_run, last_run, times, exits, second = r.values()
+        if self.run != first_run:
+            self.code = FIRST
+        out = [(*head, self.code)]
+        at = int(np.searchsorted(times, self.code >> 1))
+        passed = at == len(times)
+        at += self.code & 1
+        if at < len(times):
+            self.code = int(exits[at])
+        elif first_run != last_run:
+            self.code = int(second)
+        elif not passed:
+            self.code = 2 * (int(times[-1]) + 1)
+        self.run = last_run
         return out
 
     def end(self) -> list[tuple]:
         return []
 
 
-def throttle(rows: DataFrame, key: str, micros: str, interval: int, *keep: str) -> DataFrame:
-    """Greedy: a row passes if the last one that passed is interval microseconds or more behind; of rows of one time the least may. Rows without
-    a key or a time go.
+def chained(rows: DataFrame, key: str, order: str, until: Column, span: int, late: Column | None = None, run: str | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Greedy: of a key's rows in order the first is taken, then the first at or after `until` of the one taken last, and so on; where that one was late, the first is passed over and
+    the one behind it taken. With run (whole numbers that grow with order) each run of a key begins anew. Of rows of one place in order, the least by ties may be taken. Rows without a key
+    or a place go; without an until no other follows. until follows order by one at least, and is a function of key and order, as late is. order: whole numbers.
 
-    A key's time is cut into blocks of SPAN intervals. Each block first says what it does to the time last passed; these answers, a row a block,
-    are followed in order, and each block then gives its rows. No task holds more than a block of a key."""
-    rows = rows.select(key, micros, *keep).dropna(subset=[key, micros])
-    if interval <= 0:
-        return rows
-    span, kind = interval * SPAN, rows.schema[key].dataType.simpleString()
-    dealt = rows.withColumn("__block", F.floor(F.col(micros) / span))
+    A key's rows are cut by order into spans, these into blocks of BLOCK_ROWS at most. Each block first says what it does to what comes into it; these answers, a row a block, are followed in
+    order, and each block then gives its rows. No task holds more than a block of a key."""
+    names, ties, some_late = rows.columns, ties or [], late is not None
+    df = rows.dropna(subset=[key, order]).withColumns({
+        "__until": F.greatest(F.coalesce(until, F.lit(1 << 60)), F.col(order) + 1).cast("long"), "__late": F.coalesce(late, F.lit(False)).cast("int") if some_late else F.lit(0),
+        "__run": F.col(run).cast("long") if run else F.lit(0).cast("long"), "__span": F.floor(F.col(order) / span),
+    })
+    df = df.withColumn("__part", F.floor((F.row_number().over(windows.over([key, "__span"], order)) - 1) / BLOCK_ROWS))
+    block = [key, "__span", "__part"]
+    head = f"{key} {rows.schema[key].dataType.simpleString()}, __span long, __part long"
+    arrays = lambda b: [b[c].to_numpy(np.int64) for c in (order, "__until", "__late", "__run")]
 
     def answer(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        times, exits = _entries(b[micros].to_numpy(np.int64), interval, int(k[1]) * span)
-        return pd.DataFrame([(k[0], int(k[1]), times, exits)], columns=["k", "block", "times", "exits"])
-
-    answers = dealt.select(key, micros, "__block").groupBy(key, "__block").applyInPandas(answer, f"k {kind}, block long, times array<long>, exits array<long>")
-    states = keyed.fold(answers, ["k"], ["block"], lambda: _Blocks(interval), f"k {kind}, block long, last double")
+        times, until, late, runs = arrays(b.drop_duplicates(order).sort_values(order))
+        exits = _exits(times, until, late, runs)
+        n = int(np.searchsorted(runs, runs[0], side="right"))
+        second = int(exits[n]) if n < len(exits) else 0
+        times, exits = times[:n], exits[:n]
+        if not some_late:  # of equal exits the last says it all
+            stays = np.append(exits[1:] != exits[:-1], True)
+            times, exits = times[stays], exits[stays]
+        return pd.DataFrame([(*k, runs[0], runs[-1], times, exits, second)], columns=[*block, "first_run", "last_run", "times", "exits", "second"])
+
+    answers = df.select(*block, order, "__until", "__late", "__run").groupBy(*block).applyInPandas(answer, f"{head}, first_run long, last_run long, times array<long>, exits array<long>, second long")
+    states = keyed.fold(answers, [key], ["__span", "__part"], _Blocks, f"{head}, code long")
 
     def passing(k: tuple, b: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values([micros, *keep], kind="stable")
-        t, at, last = b[micros].to_numpy(np.int64), [], state["last"].iloc[0] if len(state) else None
-        i = 0 if last is None or np.isnan(last) else int(np.searchsorted(t, int(last) + interval))
-        while i < len(t):
+        b = b.sort_values([order, *ties], kind="stable").drop_duplicates(order)
+        times, until, late, runs = arrays(b)
+        follow, code, at = _links(times, until, late, runs), int(state["code"].iloc[0]) if len(state) else FIRST, []
+        i = min(int(np.searchsorted(times, code >> 1)) + (code & 1), int(np.searchsorted(runs, runs[0], side="right"))) if len(times) else 0
+        while i < len(times):
             at.append(i)
-            i = int(np.searchsorted(t, t[i] + interval))
-        return b.iloc[at][[key, micros, *keep]]
+            i = int(follow[i])
+        return b.iloc[at][names]
+
+    renamed = states.toDF(*(f"__k{i}" for i in range(len(block))), "code")
+    return df.groupBy(*block).cogroup(renamed.groupBy(*renamed.columns[:-1])).applyInPandas(passing, rows.schema)
+
+
+def throttle(rows: DataFrame, key: str, micros: str, interval: int, *keep: str) -> DataFrame:
+    """Greedy: a row passes if the last one that passed is interval microseconds or more behind; of rows of one time the least may. Rows without
+    a key or a time go."""
+    rows = rows.select(key, micros, *keep)
+    if interval <= 0:
+        return rows.dropna(subset=[key, micros])
+    return chained(rows, key, micros, F.col(micros) + interval, interval * SPAN, ties=list(keep))
+
 
-    return dealt.groupBy(key, "__block").cogroup(states.withColumnRenamed("k", "__k").groupBy("__k", "block")).applyInPandas(passing, rows.schema)
+def candidates(rows: DataFrame, key: str, order: str, flag: Column, least: int, until: Column | None = None, late: Column | None = None, size: int = windows.BLOCK) -> DataFrame:
+    """Rows at which a candidate is made: within a run of flag that has lasted least rows, the first, and again the first from `until` on, the place in order at which the last one was
+    decided. A late one is only found out by the first row from there on, behind which the next follows. Without an until there is one a run."""
+    held = windows.runs(rows, key, order, flag).filter(F.col("run_length") >= max(1, least))
+    if until is None:
+        return held.filter(F.col("run_length") == max(1, least))
+    return chained(held, key, order, until, size, late, "run_start")
 
 
 def suppressed(events: DataFrame, intervals: dict[str, int], enabled: bool = True) -> DataFrame:
     """Events that are posted: of a source, those of a name with an interval (in seconds) are throttled, all others pass; so do all unless enabled.
     events: source_id, event_name, ts, and others."""
+    intervals = {n: s for n, s in intervals.items() if s > 0}
     if not enabled or not intervals:
         return events
     columns = events.columns
     named = F.create_map(*[F.lit(x) for kv in intervals.items() for x in kv])
-    df = events.withColumn("__seconds", F.try_element_at(named, F.col("event_name")))
-    passed = df.filter("__seconds is null").select(*columns)
-    for name, seconds in intervals.items():
-        some = df.filter(F.col("event_name") == name).withColumns({"__us": F.unix_micros(F.col("ts").cast("timestamp")), "__key": F.concat_ws("_", "source_id", "event_name")})
-        passed = passed.unionByName(throttle(some, "__key", "__us", seconds * 1_000_000, *columns).select(*columns))
-    return passed
+    seconds = F.try_element_at(named, F.col("event_name"))
+    some = events.filter(seconds.isNotNull()).withColumns({"__us": F.unix_micros(F.col("ts").cast("timestamp")), "__key": F.concat_ws("_", "source_id", "event_name")})
+    passed = chained(some, "__key", "__us", F.col("__us") + seconds.cast("long") * 1_000_000, max(intervals.values()) * 1_000_000 * SPAN, ties=columns).select(*columns)
+    return events.filter(seconds.isNull()).unionByName(passed)
 
 
 def ema(values: Column, alpha: float) -> Column:
@@ -100,13 +145,17 @@ def ema(values: Column, alpha: float) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * (1 - alpha) + x * alpha))
 
 
-def ema_by(rows: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """key, ema: the exponential average of a key's values at its end, as the sum that it comes to: no history is gathered."""
-    n = rows.groupBy(key).agg(F.count("*").alias("__of"))
-    r = windows.ranked(rows, key, order, "__n").join(n, key)
-    after = F.col("__of") - F.col("__n")
-    weight = F.pow(F.lit(1 - alpha), after) * F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    return r.groupBy(key).agg(F.sum(F.col(value) * weight).alias("ema"))
+def ema_by(rows: DataFrame, key: str, order: str, value: str, alpha: float, size: int = windows.BLOCK) -> DataFrame:
+    """key, ema: the exponential average of a key's values at its end. A block of a key's rows comes to the sum of its values, each weighted by the rows behind it in the block; the blocks'
+    sums are weighted by the rows behind the block. The key's first value, which seeds the average, weighs 1 instead of alpha."""
+    inside = windows.over([key, "__block"], F.desc(order))
+    df = rows.select(key, order, value).withColumn("__block", windows.block_of(rows, order, size)).withColumn("__after", F.row_number().over(inside) - 1)
+    keeps = F.lit(1 - alpha)
+    blocks = df.groupBy(key, "__block").agg(F.sum(F.col(value) * alpha * F.pow(keeps, F.col("__after"))).alias("s"), F.count("*").alias("n"), F.min_by(value, order).alias("first"))
+    w = windows.over(key, F.desc("__block")).rowsBetween(windows.Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"behind": F.coalesce(F.sum("n").over(w), F.lit(0)), "__earliest": F.min("__block").over(windows.Window.partitionBy(key))})
+    seed = F.when(F.col("__block") == F.col("__earliest"), F.col("first") * (1 - alpha) * F.pow(keeps, F.col("n") - 1)).otherwise(0.0)
+    return blocks.groupBy(key).agg(F.sum((F.col("s") + seed) * F.pow(keeps, F.col("behind"))).alias("ema"))
 
 
 #: next state by geometry and previous state.

@@ -133,10 +133,15 @@ def tile_seams(size: int, tiles: int) -> list[int]:
     return [size // tiles * i for i in range(1, tiles)]
 
 
-def tile_grid(width: int, height: int, columns: int, rows: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Column, row, x, y, width, height of each tile; the last of a row or column takes the remainder."""
-    w, h = width // columns, height // rows
-    return [(c, r, c * w, r * h, width - c * w if c == columns - 1 else w, height - r * h if r == rows - 1 else h) for r in range(rows) for c in range(columns)]
+def tiles(width: Column, height: Column, columns: int, rows: int) -> Column:
+    """The tiles of a picture, row by row: an array of column_no, row_no, x, y, w, h; the last of a row or column takes the remainder."""
+    w, h = F.floor(width / columns).cast("int"), F.floor(height / rows).cast("int")
+
+    def tile(n: Column) -> Column:
+        c, r = (n % columns).cast("int"), F.floor(n / columns).cast("int")
+        return F.struct(c.alias("column_no"), r.alias("row_no"), (c * w).alias("x"), (r * h).alias("y"), F.when(c == columns - 1, width - c * w).otherwise(w).alias("w"), F.when(r == rows - 1, height - r * h).otherwise(h).alias("h"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(columns * rows - 1)), tile)
 
 
 def modal_size(sizes: list[int]) -> int:

@@ -3,11 +3,12 @@ regions are an array of boxes (x, y, w, h)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.geometry import Box
-from vigil.operators import frames, windows
+from vigil.operators import frames, keyed, windows
 
 #: A scene's thresholds in their order, and the sizes of its treatment.
 SCENES = (("noise", 0.15, "noisy"), ("complexity", 0.7, "complex"), ("intensity", 0.3, "high_motion"), ("density", 0.1, "crowded"))
@@ -77,12 +78,103 @@ def statistics(current: Column, history: Column, picture: tuple[int, int]) -> tu
     return area, area / float(picture[0] * picture[1])
 
 
-def heat(added: Column, decay: int = 4, add: int = 80) -> Column:
-    """The heat of one cell after each frame of an array of flags (was there motion): it cools, then warms, within 0..255."""
-    step = lambda h, hit: F.least(F.lit(255), F.greatest(F.lit(0), h - decay) + F.when(hit, add).otherwise(0))
-    return F.aggregate(added, F.lit(0), step)
+#: Heat that a frame takes from every cell, that a region adds to the cells it lies on, from which on a cell is hot, at most; regions of a picture.
+DECAY, ADD, HOT, MOST_HEAT, MOST_REGIONS = 4, 80, 60, 255, 20
 
 
-def centre_inside(region: Column, box: Box) -> Column:
-    b = Box(region["x"], region["y"], region["w"], region["h"])
-    return b.contains_point(box.cx, box.cy)
+class _Heat:
+    """A cell's heat from one block of frames with motion to the next, and on until it is cold. shift, low and high say what a block does to it."""
+
+    def __init__(self, every: int, decay: int):
+        self.every, self.decay, self.key, self.block, self.heat = every, decay, None, None, 0
+
+    def _cools(self, until: int | None) -> list[tuple]:
+        out = []
+        while self.heat > 0 and (until is None or self.block + 1 < until):
+            self.block, self.heat = self.block + 1, max(0, self.heat - self.every * self.decay)
+            if self.heat:
+                out.append((*self.key, self.block, self.heat))
+        return out
+
+    def row(self, r: dict) -> list[tuple]:
+        out = self._cools(r["block"]) if self.key else []
+        self.key, self.block = (r["source_id"], r["cx"], r["cy"]), r["block"]
+        self.heat = min(r["high"], max(r["low"], self.heat + r["shift"]))
+        return [*out, (*self.key, self.block, self.heat)] if self.heat else out
+
+    def end(self) -> list[tuple]:
+        return self._cools(None)
+
+
+def heat(rows: DataFrame, regions: str, every: int, cell: int, picture: tuple[int, int], decay: int = DECAY, add: int = ADD) -> DataFrame:
+    """source_id, block, cx, cy, heat: of every cell of the picture that isn't cold, its heat after each `every` frames of a source (block: how many times so many, from 0; frames that are still
+    missing to the last block are frames without motion). A frame takes decay from every cell, then each of its regions adds to the cells it lies on, within 0..255. rows: source_id,
+    frame_id and an array of boxes, a row a frame.
+
+    Cooling and warming shift a cell's heat and clamp it; shifts in a row come to one shift and one clamp. So each block of frames says what it does to a cell, whatever it had before, and the
+    blocks of a cell, a row each, are followed in order."""
+    wide, high = picture
+    steps = lambda a, size, most: F.sequence(F.floor(F.greatest(a, F.lit(0)) / cell), F.floor((F.least(a + size, F.lit(most)) - 1) / cell))
+    inside = F.filter(regions, lambda r: (r["w"] > 0) & (r["h"] > 0) & (r["x"] < wide) & (r["y"] < high) & (r["x"] + r["w"] > 0) & (r["y"] + r["h"] > 0))
+    at = windows.ranked(rows, "source_id", "frame_id", "__n").select("source_id", F.col("__n"), F.explode(inside).alias("r"))
+    at = at.select("source_id", "__n", F.explode(steps(F.col("r.x"), F.col("r.w"), wide)).alias("cx"), "r").select("source_id", "__n", "cx", F.explode(steps(F.col("r.y"), F.col("r.h"), high)).alias("cy"))
+    hits = at.groupBy("source_id", "cx", "cy", "__n").agg(F.count("*").alias("k")).withColumn("block", F.floor((F.col("__n") - 1) / every))
+    first = F.col("block") * every  # frames before the block
+    g = hits.groupBy("source_id", "cx", "cy", "block").agg(F.array_sort(F.collect_list(F.struct((F.col("__n") - first).cast("int").alias("at"), F.least(F.col("k") * add, F.lit(MOST_HEAT)).cast("int").alias("add")))).alias("hits"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("shift"), F.lit(0).alias("low"), F.lit(MOST_HEAT).alias("high"))
+
+    def after(s: Column, n: Column, add: Column) -> Column:
+        cold = (n - s["at"]) * decay
+        clamp = lambda c: F.least(F.lit(MOST_HEAT), F.greatest(F.lit(0), c - cold) + add)
+        return F.struct(n.cast("int").alias("at"), (s["shift"] - cold + add).cast("int").alias("shift"), clamp(s["low"]).cast("int").alias("low"), clamp(s["high"]).cast("int").alias("high"))
+
+    f = F.aggregate("hits", start, lambda s, h: after(s, h["at"], h["add"]), lambda s: after(s, F.lit(every), F.lit(0)))
+    blocks = g.select("source_id", "cx", "cy", "block", f.alias("f")).select("source_id", "cx", "cy", "block", "f.shift", "f.low", "f.high")
+    kind = rows.schema["source_id"].dataType.simpleString()
+    return keyed.fold(blocks, ["source_id", "cx", "cy"], ["block"], lambda: _Heat(every, decay), f"source_id {kind}, cx long, cy long, block long, heat int")
+
+
+def outer_components(hot: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h in cells) around the parts of a picture that hang together, by sides or corners; in order of their first cell, row by row. Parts in a hole of another are left out."""
+    rows, columns = hot.shape
+
+    def spread(mark: np.ndarray, on: np.ndarray, corners: bool) -> np.ndarray:
+        """The least mark of all cells that hang together, cell by cell."""
+        none = mark.max() + 1
+        mark = np.where(on, mark, none)
+        while True:
+            p = np.pad(mark, 1, constant_values=none)
+            moves = [(a, b) for a in (0, 1, 2) for b in (0, 1, 2) if corners or 1 in (a, b)]
+            new = np.where(on, np.minimum.reduce([p[a : a + rows, b : b + columns] for a, b in moves]), none)
+            if np.array_equal(new, mark):
+                return mark
+            mark = new
+
+    number = np.arange(rows * columns).reshape(rows, columns)
+    part = spread(number, hot, True)
+    rim = np.ones_like(hot)
+    rim[1:-1, 1:-1] = False
+    outside = ~hot & (spread(np.where(rim, -1, number), ~hot, False) == -1)
+    p = np.pad(outside, 1, constant_values=True)
+    seen = hot & (p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:])
+    out = []
+    for k in np.unique(part[seen]):
+        y, x = np.nonzero(part == k)
+        out.append((int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)))
+    return out
+
+
+def heat_regions(rows: DataFrame, regions: str, every: int, cell: int, picture: tuple[int, int], least_area: int, hot: int = HOT, most: int = MOST_REGIONS, **options: int) -> DataFrame:
+    """source_id, block, place, x, y, w, h: after each block the boxes, in pixels, around the hot parts of the picture: of the first so many parts those of least_area or more. A block's picture, of a
+    bounded number of cells, is one group."""
+    wide, high = -(-picture[0] // cell), -(-picture[1] // cell)
+    kind = rows.schema["source_id"].dataType.simpleString()
+
+    def find(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((high, wide), bool)
+        held[b["cy"].to_numpy(), b["cx"].to_numpy()] = True
+        found = [(*k, i, x * cell, y * cell, w * cell, h * cell) for i, (x, y, w, h) in enumerate(outer_components(held)[:most]) if w * h * cell * cell >= least_area]
+        return pd.DataFrame(found, columns=["source_id", "block", "place", "x", "y", "w", "h"])
+
+    cells = heat(rows, regions, every, cell, picture, **options).filter(F.col("heat") > hot)
+    return cells.groupBy("source_id", "block").applyInPandas(find, f"source_id {kind}, block long, place int, x int, y int, w int, h int")

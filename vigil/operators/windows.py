@@ -186,8 +186,3 @@ def global_expiry(sight: DataFrame, window: int) -> DataFrame:
     nxt = F.lead("pos").over(over("object_id", "pos"))
     gone = s.withColumn("__next", nxt).filter(F.col("__next").isNull() | (F.col("__next") - F.col("pos") >= window))
     return gone.crossJoin(last).filter(F.col("pos") + window <= F.col("__end")).select("source_id", "object_id", "pos", (F.col("pos") + window).alias("expired_at"))  # one row is sent
-
-
-def candidates(rows: DataFrame, key: str, order: str, flag: Column, least: int) -> DataFrame:
-    """One candidate a run: the row at which it has lasted least rows; no other until the run breaks."""
-    return runs(rows, key, order, flag).filter(F.col("run_length") == max(1, least))

@@ -243,10 +243,59 @@ def parsed_values(spark, d):
     return e.select("event_id", scalars.pair(text)["a"].alias("a"), scalars.flag_or(flag, False).alias("flag"), F.lit(True).alias("has"), scalars.base64_image(F.col("event_name").cast("binary")).alias("image"))
 
 
-@query("WITH t AS (SELECT unnest([0, 1, 2, 3]) AS c), r AS (SELECT unnest([0, 1, 2]) AS r) SELECT c AS column_no, r AS row_no, c * 479 AS x, r * 360 AS y, CASE WHEN c = 3 THEN 1918 - 3 * 479 ELSE 479 END AS w, CASE WHEN r = 2 THEN 1081 - 720 ELSE 360 END AS h FROM t, r")
+@query(f"""WITH {DETECTIONS_SQL}, p AS (SELECT source_id, max(x + w) AS pw, max(y + h) AS ph FROM det GROUP BY 1), t AS (SELECT unnest([0, 1, 2, 3]) AS c), r AS (SELECT unnest([0, 1, 2]) AS r)
+SELECT source_id, c AS column_no, r AS row_no, c * (pw // 4) AS x, r * (ph // 3) AS y, CASE WHEN c = 3 THEN pw - 3 * (pw // 4) ELSE pw // 4 END AS w, CASE WHEN r = 2 THEN ph - 2 * (ph // 3) ELSE ph // 3 END AS h FROM p, t, r""")
 def tile_grid(spark, d):
-    """The tiles of a picture of 1918 x 1081, whose last ones take the remainder."""
-    return spark.createDataFrame(frames.tile_grid(1918, 1081, 4, 3), "column_no int, row_no int, x int, y int, w int, h int")
+    """The tiles of each source's picture, as large as its boxes reach; the last ones take the remainder."""
+    b = Box.of()
+    pictures = views.detections(spark, d).groupBy("source_id").agg(F.max(b.xmax).alias("width"), F.max(b.ymax).alias("height"))
+    return pictures.select("source_id", F.explode(frames.tiles(F.col("width"), F.col("height"), 4, 3)).alias("t")).select("source_id", "t.*")
+
+
+def _heat_sql(every: int) -> str:
+    """Heat of cells of 60 pixels, hit by hit; snap: after each so many frames the cells that aren't cold."""
+    return f"""{DETECTIONS_SQL}, n AS (SELECT source_id, frame_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_id) AS n FROM (SELECT DISTINCT source_id, frame_id FROM det)),
+hx AS (SELECT source_id, n, y, h, unnest(range(x // 60, (least(x + w, 1920) - 1) // 60 + 1)) AS cx FROM det JOIN n USING (source_id, frame_id)),
+hy AS (SELECT source_id, n, cx, unnest(range(y // 60, (least(y + h, 1080) - 1) // 60 + 1)) AS cy FROM hx),
+hit AS (SELECT *, row_number() OVER w AS i, lead(n) OVER w AS nx FROM (SELECT source_id, cx, cy, n, least(80 * count(*), 255) AS add FROM hy GROUP BY ALL) WINDOW w AS (PARTITION BY source_id, cx, cy ORDER BY n)),
+v(source_id, cx, cy, i, n, nx, heat) AS (SELECT source_id, cx, cy, i, n, nx, add FROM hit WHERE i = 1
+ UNION ALL SELECT hit.source_id, hit.cx, hit.cy, hit.i, hit.n, hit.nx, least(255, greatest(0, v.heat - 4 * (hit.n - v.n)) + hit.add) FROM v JOIN hit ON hit.source_id = v.source_id AND hit.cx = v.cx AND hit.cy = v.cy AND hit.i = v.i + 1),
+snap AS (SELECT source_id, block, cx, cy, (heat - 4 * ((block + 1) * {every} - n))::INT AS heat FROM (SELECT *, (n - 1) // {every} + o AS block FROM v, (SELECT unnest([0, 1, 2]) AS o)) WHERE (block + 1) * {every} < coalesce(nx, 1000000000000) AND heat - 4 * ((block + 1) * {every} - n) > 0)"""
+
+
+def _moving(spark, d):
+    """The boxes of a frame as its regions of motion."""
+    return views.detections(spark, d).groupBy("source_id", "frame_id").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("regions"))
+
+
+@query(f"WITH RECURSIVE {_heat_sql(50)} SELECT source_id, block, cx, cy, heat FROM snap")
+def motion_heat(spark, d):
+    return motion.heat(_moving(spark, d), "regions", 50, 60, (views.WIDTH, views.HEIGHT)).select("source_id", "block", "cx", "cy", "heat")
+
+
+@query(f"""WITH RECURSIVE {_heat_sql(300)}, hot AS (SELECT source_id, block, cx, cy, cy * 32 + cx AS cell FROM snap WHERE heat > 60),
+near AS (SELECT * FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+joined AS (SELECT a.source_id, a.block, a.cell, b.cell AS other FROM (SELECT *, cx + dx AS ox, cy + dy AS oy FROM hot, near) a JOIN hot b ON b.source_id = a.source_id AND b.block = a.block AND b.cx = a.ox AND b.cy = a.oy),
+part(source_id, block, cell, root) AS (SELECT source_id, block, cell, cell FROM hot UNION SELECT p.source_id, p.block, j.other, p.root FROM part p JOIN joined j ON j.source_id = p.source_id AND j.block = p.block AND j.cell = p.cell),
+whole AS (SELECT source_id, block, cx, cy, min(root) AS root FROM part JOIN hot USING (source_id, block, cell) GROUP BY ALL),
+picture AS (SELECT source_id, block, x AS cx, y AS cy FROM (SELECT DISTINCT source_id, block FROM hot), (SELECT unnest(range(-1, 33)) AS x), (SELECT unnest(range(-1, 19)) AS y)),
+free AS (SELECT * FROM picture p ANTI JOIN hot h USING (source_id, block, cx, cy)),
+beside AS (SELECT a.source_id, a.block, a.cx, a.cy, b.cx AS ox, b.cy AS oy FROM (SELECT *, cx + dx AS nx, cy + dy AS ny FROM free, near WHERE abs(dx) + abs(dy) = 1) a JOIN free b ON b.source_id = a.source_id AND b.block = a.block AND b.cx = a.nx AND b.cy = a.ny),
+outside(source_id, block, cx, cy) AS (SELECT source_id, block, cx, cy FROM free WHERE cx = -1 AND cy = -1 UNION SELECT o.source_id, o.block, n.ox, n.oy FROM outside o JOIN beside n ON n.source_id = o.source_id AND n.block = o.block AND n.cx = o.cx AND n.cy = o.cy),
+seen AS (SELECT DISTINCT w.source_id, w.block, w.root FROM (SELECT *, cx + dx AS nx, cy + dy AS ny FROM whole, near WHERE abs(dx) + abs(dy) = 1) w JOIN outside o ON o.source_id = w.source_id AND o.block = w.block AND o.cx = w.nx AND o.cy = w.ny),
+box AS (SELECT source_id, block, root, min(cx) * 60 AS x, min(cy) * 60 AS y, (max(cx) - min(cx) + 1) * 60 AS w, (max(cy) - min(cy) + 1) * 60 AS h FROM whole JOIN seen USING (source_id, block, root) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source_id, block ORDER BY root) - 1 AS place FROM box)
+SELECT source_id, block, place::INT AS place, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM placed WHERE place < 20 AND w * h >= 10000""")
+def motion_heat_regions(spark, d):
+    """Around what is hot after each 300 frames."""
+    return motion.heat_regions(_moving(spark, d), "regions", 300, 60, (views.WIDTH, views.HEIGHT), 10_000)
+
+
+@query(f"WITH {DETECTIONS_SQL}, {regions.edges_sql(REGIONS)}, {regions.tagged_sql('det', 'tagged')} SELECT source_id, frame_id, label, x, y, w, h, under_analysis, lane, array_to_string(areas, ',') AS areas FROM tagged")
+def region_tagging_by_cells(spark, d):
+    """The same as by each source's polygons, by the polygons of a grid's cell."""
+    df = regions.tagged_by_cells(views.detections(spark, d), dimension(spark))
+    return df.select("source_id", "frame_id", "label", "x", "y", "w", "h", "under_analysis", "lane", F.array_join("areas", ",").alias("areas"))
 
 
 @query()

@@ -21,6 +21,7 @@ from vigil.operators import appearance, folds, keyed, motion, rules, windows
 from vigil.plans import settings
 from vigil.plans.settings import Component, ConfigError, Settings
 from vigil.sources import regions, sinks, views
+from vigil.sources.shared import stored as stored_table
 
 
 @dataclass
@@ -66,6 +67,8 @@ class Frames:
 #: name -> (frames, preferences) -> source_id, frame_id, message. THROTTLED: those whose events are throttled by source.
 ALGORITHMS: dict[str, Callable[[Frames, dict[str, Any]], DataFrame]] = {}
 THROTTLED: set[str] = set()
+#: Algorithms that read the frames many times over: the tagged frames are stored for them, so that tables are read, tracked and tagged once.
+SEVERAL = {"SmugglingDetection", "Labels", "LabelsByLLM", "RegionAccess", "OCR", "ObjectOccurrenceByLLM"}
 
 
 def algorithm(name: str, throttled: bool = True):
@@ -139,7 +142,9 @@ def frames(dets: DataFrame, document: dict[str, Any], folder: str | Path = ".",
         df = df.withColumn("tracking_id", F.substring_index("track_id", "_", -1).cast("int")).drop("track_id")
     rows = regions.rows_of({r["SourceId"]: Path(folder) / r["RegionDefinitionFile"] for r in s["RegionManager"]}, views.WIDTH, views.HEIGHT, Path(folder) / "default.json")
     dim = regions.dimension(spark, rows)
-    return Frames(regions.tagged(df, dim), dim, s, hooks)
+    tagged = (regions.tagged_by_cells if regions.many(rows) else regions.tagged)(df, dim)
+    several = len(s["Algorithms"]) > 1 or any(a.kind in SEVERAL for a in s["Algorithms"])
+    return Frames(stored_table(tagged, "frames") if several or s["Tracker"].kind else tagged, dim, s, hooks)
 
 
 def events(dets: DataFrame, document: dict[str, Any], folder: str | Path = ".", hooks: Hooks | None = None) -> DataFrame:
@@ -220,19 +225,31 @@ def answered(f: Frames, requests: DataFrame, policy: str, wait_seconds: int) ->
     return c.join(done, "candidate_id").join(answers.select("request_id", "completed_us", "result"), "request_id", "left").filter("published is not null")
 
 
+def decided(f: Frames, frames: DataFrame, wait_seconds: int) -> DataFrame:
+    """frames (candidate_id, source_id, frame_id, and others) with deadline and decided_us: when the candidate that a frame could make would be answered; null: not before its
+    deadline."""
+    if f.hooks.answers is None:
+        raise ConfigError("the algorithm needs answers of a language model")
+    c = frames.withColumn("deadline", f.us() + wait_seconds * 1_000_000)
+    first = f.hooks.answers(frames.filter("met")).groupBy("candidate_id").agg(F.min("completed_us").alias("decided_us"))
+    return c.join(first, "candidate_id", "left").withColumn("decided_us", F.when(F.col("decided_us") < F.col("deadline"), F.col("decided_us")))
+
+
 _POLICIES = {"Drop": "drop", "PublishTraditional": "publish_traditional", "PublishUnknown": "publish_unknown", "Retry": "retry"}
 
 
 @algorithm("ObjectOccurrenceByLLM")
 def occurrence_confirmed(f: Frames, a: dict[str, Any]) -> DataFrame:
-    """One candidate a run, once it has lasted so many frames; published when a language model confirms it, at the frame after its answer (unanswered
-    ones by the policy, at their deadline)."""
+    """A candidate once a run has lasted so many frames, and again, in the same run, once the last one is decided: by an answer, from its frame on, or by the first frame past its
+    deadline, from the next one on. Published when a language model confirms it, at the frame after its answer (unanswered ones by the policy, at their deadline)."""
     p = _pref(a, **_OCCURRENCE, TargetObjectNames=(settings._names, [], _any), MinDurationFrames=(_whole, 10, _any), CandidateEventTimeoutSeconds=(_whole, 12, _any), OnTimeout=(settings._one_of(*_POLICIES), "Drop", _any))
     o = occurring(f, p, p["TargetObjectNames"])
-    c = windows.candidates(o, "source_id", "frame_id", F.col("met"), p["MinDurationFrames"])
-    c = c.select(F.concat_ws("_", F.lit("occ"), "source_id", "frame_id").alias("candidate_id"), "source_id", "frame_id", "run_length")
-    done = answered(f, c, _POLICIES[p["OnTimeout"]], p["CandidateEventTimeoutSeconds"])
-    at = F.ceil(F.coalesce("completed_us", "deadline") / (f.hooks.frame_ms * 1000)).cast("long")
+    wait, at_frame = p["CandidateEventTimeoutSeconds"], lambda c: F.ceil(c / (f.hooks.frame_ms * 1000)).cast("long")
+    o = o.select(F.concat_ws("_", F.lit("occ"), "source_id", "frame_id").alias("candidate_id"), "source_id", "frame_id", "met")
+    o = decided(f, o, wait).withColumn("decided", at_frame(F.coalesce("decided_us", F.col("deadline"))))
+    c = folds.candidates(o, "source_id", "frame_id", F.col("met"), p["MinDurationFrames"], F.col("decided"), F.col("decided_us").isNull())
+    done = answered(f, c.select("candidate_id", "source_id", "frame_id", "run_length"), _POLICIES[p["OnTimeout"]], wait)
+    at = at_frame(F.coalesce("completed_us", "deadline"))
     targets = F.array(*map(F.lit, p["TargetObjectNames"]))
     return done.select("source_id", at.alias("frame_id"), messages.occurrence_confirmed(targets, F.lit(p["OccurrenceCheckRegionName"]), F.col("run_length")).alias("message"))
 
@@ -270,13 +287,13 @@ def smuggling(f: Frames, a: dict[str, Any]) -> DataFrame:
 
 
 def people_and_boat(f: Frames, history: int, share: float, person: str = "person", boat: str = "boat") -> DataFrame:
-    """People under analysis of frames in which a boat's place is known, with moving_away; a boat's place is kept until another is seen."""
+    """People under analysis of frames in which a boat's place is known, with moving_away; a boat's place is kept until another is seen. The corner (0, 0) stands for no place."""
     b = Box.of()
     centre = F.struct(F.bround(b.cx).alias("bx"), F.bround(b.cy).alias("by"))
     is_boat = (F.lower("label") == boat) & F.col("under_analysis")
     first = F.min_by(F.when(is_boat, centre), F.when(is_boat, F.struct("x", "y", "w", "h")))
     known = rules.last_known(f.sightings.groupBy("source_id", "frame_id").agg(first.alias("b")), "source_id", "frame_id", F.col("b"), "b")
-    p = f.sightings.filter((F.lower("label") == person) & F.col("under_analysis")).join(known.filter("b is not null"), ["source_id", "frame_id"])
+    p = f.sightings.filter((F.lower("label") == person) & F.col("under_analysis")).join(known.filter("b is not null and not (b.bx = 0 and b.by = 0)"), ["source_id", "frame_id"])
     p = p.select("source_id", "frame_id", "object_id", "tracking_id", "x", "y", "w", "h", F.bround(b.cx).alias("px"), F.bround(b.cy).alias("py"), "b.*")
     return rules.moving_away(p, history, share)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scalars, shapes
 from vigil.functions.geometry import Box
-from vigil.operators import appearance, keyed, motion, rules, windows
+from vigil.operators import appearance, folds, keyed, motion, rules, windows
 from vigil.plans.queries import _GEOMETRY_SQL, query, watched_geometry
 from vigil.sources import sinks, views
 from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, table
@@ -125,10 +125,21 @@ def expiry_over_all_sources(spark, d):
     return windows.global_expiry(views.sightings(views.detections(spark, d)), 200)
 
 
-@query(f"WITH {DETECTIONS_SQL}, o AS (SELECT source_id, frame_id, bool_or(label = 'boat') AS occ FROM det GROUP BY ALL), i AS (SELECT *, sum((NOT occ)::INT) OVER (PARTITION BY source_id ORDER BY frame_id) AS g FROM o) SELECT source_id, frame_id AS candidate_frame FROM i WHERE occ QUALIFY row_number() OVER (PARTITION BY source_id, g ORDER BY frame_id) = 3")
+#: A made-up decision about the candidate that a frame makes: an answer 3 to 202 frames later, or, from 120 frames on, none.
+_CHAIN = """e AS (SELECT *, frame_id + least(3 + frame_id * 7 % 200, 120) AS due, 3 + frame_id * 7 % 200 >= 120 AS late FROM held),
+n1 AS (SELECT a.*, (SELECT min(b.frame_id) FROM e b WHERE b.source_id = a.source_id AND b.g = a.g AND b.frame_id >= a.due) AS first, lead(frame_id) OVER (PARTITION BY source_id, g ORDER BY frame_id) AS behind FROM e a),
+n2 AS (SELECT a.*, CASE WHEN a.late THEN b.behind ELSE a.first END AS nxt FROM n1 a LEFT JOIN n1 b ON b.source_id = a.source_id AND b.g = a.g AND b.frame_id = a.first),
+chain AS (SELECT * FROM n2 QUALIFY row_number() OVER (PARTITION BY source_id, g ORDER BY frame_id) = 1 UNION ALL SELECT n2.* FROM chain JOIN n2 ON n2.source_id = chain.source_id AND n2.g = chain.g AND n2.frame_id = chain.nxt)"""
+
+
+@query(f"WITH RECURSIVE {DETECTIONS_SQL}, o AS (SELECT source_id, frame_id, bool_or(label = 'boat') AS occ FROM det GROUP BY ALL), i AS (SELECT *, sum((NOT occ)::INT) OVER (PARTITION BY source_id ORDER BY frame_id) AS g FROM o), held AS (SELECT source_id, g, frame_id, row_number() OVER (PARTITION BY source_id, g ORDER BY frame_id) AS k FROM i WHERE occ QUALIFY k >= 3), {_CHAIN} SELECT source_id, frame_id AS candidate_frame, k AS duration, due AS decided, late AS timed_out FROM chain")
 def active_candidates(spark, d):
+    """Candidates of runs with a boat, one after the other: the next one may come once the last one is answered or given up."""
     o = views.detections(spark, d).groupBy("source_id", "frame_id").agg(F.bool_or(F.col("label") == "boat").alias("occ"))
-    return windows.candidates(o, "source_id", "frame_id", F.col("occ"), 3).select("source_id", F.col("frame_id").alias("candidate_frame"))
+    wait = 3 + F.col("frame_id") * 7 % 200
+    o = o.withColumns({"decided": F.col("frame_id") + F.least(wait, F.lit(120)), "timed_out": wait >= 120})
+    c = folds.candidates(o, "source_id", "frame_id", F.col("occ"), 3, F.col("decided"), F.col("timed_out"))
+    return c.select("source_id", F.col("frame_id").alias("candidate_frame"), F.col("run_length").alias("duration"), "decided", "timed_out")
 
 
 _LAG = "lag(x) OVER w AS px, lag(y) OVER w AS py, lag(w) OVER w AS pw, lag(h) OVER w AS ph"

@@ -12,6 +12,7 @@ from vigil.functions import scalars
 from vigil.operators import rules
 from vigil.plans import pipelines
 from vigil.plans.queries import _FILES, _GEOMETRY_SQL, _TAGGED_SQL, _TSIGHT_SQL, query
+from vigil.plans.rules import _CHAIN
 from vigil.sources import regions, views
 from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL
 
@@ -110,7 +111,7 @@ SQL: dict[str, str] = {
     "people_density": _density_sql("person", 1),
     "boat_density": _density_sql("boat", 2, "w >= 30 AND h >= 30"),
     "fire_smoke": f"WITH RECURSIVE {_MET}, ev AS (SELECT source_id, frame_id, 'Objects: ' || labels || ' have occurred in region:watch for ' || round_even(lasted / 10.0, 0)::INT || ' seconds.' AS message FROM run WHERE lasted >= 10), {_throttled('ev', 30)} SELECT * FROM passed",
-    "fire_smoke_confirmed": f"WITH RECURSIVE {_MET}, ev AS (SELECT source_id, frame_id + 3 + frame_id * 7 % 200 AS frame_id, 'Objects: boat, car have occurred in region:watch for 3 seconds and were confirmed by LLM.' AS message FROM run WHERE k = 3 AND frame_id % 11 <> 0 AND frame_id % 3 <> 0 AND 3 + frame_id * 7 % 200 < 120), {_throttled('ev', 30)} SELECT * FROM passed",
+    "fire_smoke_confirmed": f"WITH RECURSIVE {_MET}, held AS (SELECT source_id, g, frame_id, k FROM run WHERE k >= 3), {_CHAIN}, ev AS (SELECT source_id, frame_id + 3 + frame_id * 7 % 200 AS frame_id, 'Objects: boat, car have occurred in region:watch for ' || k || ' seconds and were confirmed by LLM.' AS message FROM chain WHERE frame_id % 11 <> 0 AND frame_id % 3 <> 0 AND 3 + frame_id * 7 % 200 < 120), {_throttled('ev', 30)} SELECT * FROM passed",
     "fight": f"WITH {DETECTIONS_SQL}, f AS (SELECT source_id, frame_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_id) - 1 AS n FROM (SELECT DISTINCT source_id, frame_id FROM det WHERE label = 'person')), c AS (SELECT source_id, frame_id, n // 2 // 5 AS b FROM f WHERE n % 2 = 0), s AS (SELECT source_id, b, min(frame_id) AS a, max(frame_id) AS frame_id FROM c GROUP BY ALL HAVING count(*) = 5) SELECT source_id, frame_id, 'Sequence image seq_' || source_id || '_' || b || ' (' || a || '-' || frame_id || ', Horizontal, 5 frames) was analyzed by LLM ''m''.' AS message FROM s WHERE frame_id % 11 <> 0 AND frame_id % 3 <> 0 AND 3 + frame_id * 7 % 200 < 120",
     "guard_zone": f"""WITH RECURSIVE det0 AS (SELECT * FROM (WITH {DETECTIONS_SQL} SELECT * FROM det)), det AS (SELECT * REPLACE (CASE WHEN label = 'car' THEN 'boat' ELSE label END AS label) FROM det0),
 sight AS (SELECT *, source_id || '_' || label || '_' || tracking_id AS object_id FROM det QUALIFY row_number() OVER (PARTITION BY source_id, frame_id, label, tracking_id ORDER BY confidence DESC, w DESC, h DESC, x DESC, y DESC) = 1),
@@ -163,7 +164,7 @@ def _frames(spark, d, name: str = "smuggling") -> pipelines.Frames:
 _AWAY_SQL = f"""WITH {SIGHTINGS_SQL}, {_TSIGHT_SQL}, u AS (SELECT *, round_even(x + w / 2.0, 0) AS rx, round_even(y + h / 2.0, 0) AS ry FROM tsight),
 f AS (SELECT source_id, frame_id, first(rx ORDER BY x, y, w, h) FILTER (label = 'boat' AND under_analysis) AS bx, first(ry ORDER BY x, y, w, h) FILTER (label = 'boat' AND under_analysis) AS by_ FROM u GROUP BY ALL),
 k AS (SELECT source_id, frame_id, last_value(bx IGNORE NULLS) OVER w AS bx, last_value(by_ IGNORE NULLS) OVER w AS by_ FROM f WINDOW w AS (PARTITION BY source_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT source_id, frame_id, object_id, bx, by_, list({{'x': rx, 'y': ry}}) OVER (PARTITION BY object_id ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM u JOIN k USING (source_id, frame_id) WHERE label = 'person' AND under_analysis AND bx IS NOT NULL),
+p AS (SELECT source_id, frame_id, object_id, bx, by_, list({{'x': rx, 'y': ry}}) OVER (PARTITION BY object_id ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM u JOIN k USING (source_id, frame_id) WHERE label = 'person' AND under_analysis AND bx IS NOT NULL AND NOT (bx = 0 AND by_ = 0)),
 d AS (SELECT *, list_transform(h, lambda q: sqrt(pow(q.x - bx, 2) + pow(q.y - by_, 2))) AS d FROM p)
 SELECT source_id, frame_id, object_id, len(d) >= 5 AND len(list_filter(range(1, len(d)), lambda i: d[i + 1] > d[i])) / len(d) >= 0.5 AS moving_away FROM d"""
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions import messages
 from vigil.functions.geometry import Box
 from vigil.operators import frames
+from vigil.plans import shipped
 from vigil.plans.queries import ORACLES, query
 from vigil.sources import views
 from vigil.sources.views import DETECTIONS_SQL
-from vigil.streaming import stateful
+from vigil.streaming import stateful, windows
 
 
 def _events(spark, d):
@@ -113,3 +115,44 @@ def stream_sort_tracking(spark, d):
     """The relational table as a stream of detections, in one micro-batch, so that no frame is cut."""
     lines = stateful.source(spark, d, "lineitem")
     return stateful.drain(stateful.sort_tracks(views.detections_of(lines)), "tracks")
+
+
+def _sightings(spark, d):
+    dets = views.detections_of(stateful.source(spark, d, "lineitem"))
+    return dets.withColumn("object_id", F.concat_ws("_", "source_id", "label", "tracking_id"))
+
+
+@query(ORACLES["object_expiry"])
+def stream_object_expiry(spark, d):
+    """What leaves each source's window of 50 frames."""
+    gone = windows.sliding(_sightings(spark, d), 50).filter("object_id is not null")
+    return stateful.drain(gone, "expired", windows.STORE)
+
+
+@query(ORACLES["sequence_batches"])
+def stream_sequence_batches(spark, d):
+    got = windows.tumbling(_sightings(spark, d).filter("label = 'person'"), 5)
+    return stateful.drain(got.select("source_id", "batch_no", F.col("first").alias("first_frame"), F.col("frame_id").alias("last_frame")), "batches", windows.STORE)
+
+
+def better_evidence(stride: int):
+    """Of known, confidence, area, frame and others: an object is looked at when it comes and on every stride-th frame; a known label beats an unknown one, then confidence, then
+    (of unknown ones) area, then the first."""
+    rank = lambda e: (e[0], e[1], 0 if e[0] else e[2], -e[3])
+
+    def keep(old, new, place):
+        return new if old is None or place % stride == 0 and rank(new) > rank(old) else old
+
+    return keep
+
+
+@query(shipped.SQL["ship_labels"])
+def stream_ship_labels(spark, d):
+    """A boat's best evidence, given when the boat expires."""
+    s = _sightings(spark, d).withColumn("labels", shipped._labels())
+    s = s.withColumns({"object_id": F.when(F.lower("label") == "boat", F.col("object_id")), "detail": F.col("labels.detail"), "area": F.col("w").cast("long") * F.col("h"), "seen_at": F.col("frame_id")})
+    s = s.withColumn("known", F.lower("detail") != "unknown")
+    gone = windows.sliding(s, shipped.LIFETIME, ["known", "confidence", "area", "seen_at", "detail"], ["confidence", "w", "h", "x", "y"], better_evidence(5))
+    gone = gone.filter("object_id is not null and area >= 6000")
+    said = messages.ship(F.col("object_id"), F.lit("ship"), F.col("detail"), F.array(F.lit("red"), F.lit("white")))
+    return stateful.drain(gone.select("source_id", F.col("expired_at").alias("frame_id"), said.alias("message")), "ships", windows.STORE)

@@ -2,7 +2,10 @@
 
 A definition is a JSON file: analysis and excluded areas, lanes, interest areas, pairs of count lines, in points from 0 to 1. It is read by
 the driver, as configuration is; a file that is missing or broken gives way to the default file. Points become pixels, rounded half to even.
-Which side of the join is sent follows from its size: a dimension of many sources is shuffled.
+The driver holds the rows, so it knows their size: up to LOCAL bytes they are a local relation, beyond a Parquet table; Spark knows the size of both, sends a small one to all tasks, and so
+doesn't shuffle detections by source.
+
+A source of many polygons has them laid out on a grid (cells): a detection meets the polygons of its cell alone, by an equi join on source and cell; those that hold the whole cell aren't tested.
 """
 
 from __future__ import annotations
@@ -13,11 +16,15 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vigil.functions.geometry import Box
 from vigil.operators import windows
+from vigil.sources.shared import stored
 
 EDGES = "array<struct<ax:double,ay:double,bx:double,by:double>>"
 SHAPE = f"x0:double,y0:double,x1:double,y1:double,edges:{EDGES}"
@@ -30,6 +37,13 @@ DIMENSION = (
 )
 
 
+#: Bytes of a dimension that may be sent with the plan.
+LOCAL = 4 << 20
+#: Pixels of a side of a cell, and polygons of a source from which they are laid out on the grid.
+CELL, MANY = 64, 32
+KINDS = ("analysis", "excluded", "lanes", "interest")
+
+
 class RegionError(ValueError):
     pass
 
@@ -82,8 +96,15 @@ def rows_of(files: Mapping[str, str | Path], width: int, height: int, default: s
     return [{"source_id": source, **load(path, width, height, default)} for source, path in files.items()]
 
 
-def dimension(spark: SparkSession, rows: list[dict[str, Any]]) -> DataFrame:
-    return spark.createDataFrame(rows, DIMENSION)
+def dimension(spark: SparkSession, rows: list[dict[str, Any]], local: int = LOCAL) -> DataFrame:
+    held = pa.Table.from_pylist(rows, to_arrow_schema(StructType.fromDDL(DIMENSION)))
+    df = spark.createDataFrame(held, StructType.fromDDL(DIMENSION))
+    return df if held.nbytes <= local else stored(df, "regions")
+
+
+def many(rows: list[dict[str, Any]]) -> bool:
+    """Has any source so many polygons that they are better laid out on the grid?"""
+    return any(sum(len(r[k]) for k in KINDS) > MANY for r in rows)
 
 
 def within(px: Column, py: Column, shape: Column) -> Column:
@@ -120,6 +141,47 @@ def tagged(dets: DataFrame, regions: DataFrame, missing: str = "error") -> DataF
     return df.withColumns({"lane": F.when(F.col("under_analysis"), lane), "areas": areas, "retain": F.col("region.retain")}).drop("__x", "__y", "region")
 
 
+def cells(regions: DataFrame, size: int = CELL) -> DataFrame:
+    """source_id, cx, cy and shapes: the polygons of each cell of the grid, with those edges alone that a test in the cell needs; whole: the polygon holds all of the cell. Cells
+    outside all polygons have no row."""
+    shape = lambda kind: F.transform(kind, lambda a, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), a["name"].alias("name"), (a["index"] if kind == "lanes" else F.lit(None).cast("int")).alias("index"), *[a[c].alias(c) for c in ("x0", "y0", "x1", "y1", "edges")]))
+    each = regions.select("source_id", F.explode(F.concat(*map(shape, KINDS))).alias("s"))
+    steps = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    at = each.select("source_id", "s", steps("s.x0", "s.x1").alias("cx")).select("source_id", "s", "cx", steps("s.y0", "s.y1").alias("cy"))
+    at = at.withColumns({"l": (F.col("cx") * size).cast("double"), "t": (F.col("cy") * size).cast("double")}).withColumns({"r": F.col("l") + size, "b": F.col("t") + size})
+
+    def touches(e: Column) -> Column:
+        """Does the edge meet the closed cell: their boxes do, and the cell's corners don't lie all on one side of the edge."""
+        side = lambda x, y: F.signum((e["bx"] - e["ax"]) * (F.col(y) - e["ay"]) - (e["by"] - e["ay"]) * (F.col(x) - e["ax"]))
+        corners = side("l", "t") + side("r", "t") + side("l", "b") + side("r", "b")
+        boxes = (F.least(e["ax"], e["bx"]) <= F.col("r")) & (F.greatest(e["ax"], e["bx"]) >= F.col("l")) & (F.least(e["ay"], e["by"]) <= F.col("b")) & (F.greatest(e["ay"], e["by"]) >= F.col("t"))
+        return boxes & (F.abs(corners) < 4)
+
+    at = at.withColumn("whole", ~F.exists("s.edges", touches))
+    at = at.filter(~F.col("whole") | within(F.col("l"), F.col("t"), F.col("s")))
+    level = F.filter("s.edges", lambda e: (F.least(e["ay"], e["by"]) <= F.col("b")) & (F.greatest(e["ay"], e["by"]) >= F.col("t")))
+    edges = F.when(F.col("whole"), F.array().cast(EDGES)).otherwise(level)
+    kept = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("kind", "place", "name", "index", "x0", "y0", "x1", "y1")], edges.alias("edges"), F.col("whole").alias("whole"))
+    return at.groupBy("source_id", "cx", "cy").agg(F.collect_list(kept).alias("shapes"))
+
+
+def tagged_by_cells(dets: DataFrame, regions: DataFrame, missing: str = "error", size: int = CELL) -> DataFrame:
+    """tagged(), by the grid."""
+    px, py = centre(Box.of())
+    df = placed(dets, regions.select("source_id", "retain"), missing).withColumn("retain", F.col("region.retain")).drop("region")
+    df = df.withColumns({"__x": px, "__y": py}).withColumns({"__cx": F.floor(F.col("__x") / size), "__cy": F.floor(F.col("__y") / size)})
+    grid = cells(regions, size).select(F.col("source_id").alias("__s"), F.col("cx").alias("__gx"), F.col("cy").alias("__gy"), "shapes")
+    df = df.join(grid, (F.col("source_id") == F.col("__s")) & (F.col("__cx") == F.col("__gx")) & (F.col("__cy") == F.col("__gy")), "left")
+    held = F.filter(F.coalesce("shapes", F.array().cast(df.schema["shapes"].dataType)), lambda s: s["whole"] | within(F.col("__x"), F.col("__y"), s))
+    df = df.withColumn("__held", held)
+    of = lambda kind: F.filter("__held", lambda s: s["kind"] == kind)
+    df = df.withColumn("under_analysis", (F.size(of("analysis")) > 0) & (F.size(of("excluded")) == 0))
+    lane = F.array_max(F.transform(of("lanes"), lambda s: F.struct(s["place"].alias("p"), s["index"].alias("i"))))["i"]
+    areas = F.transform(F.array_sort(F.transform(of("interest"), lambda s: F.struct(s["place"].alias("p"), s["name"].alias("n")))), lambda s: s["n"])
+    df = df.withColumns({"lane": F.when(F.col("under_analysis"), lane), "areas": areas})
+    return df.select(*dets.columns, "under_analysis", "lane", "areas", "retain")
+
+
 def in_area(name: str) -> Column:
     """Of tagged(): the centre lies in the interest area of that name; false where the source has none."""
     return F.array_contains("areas", name)

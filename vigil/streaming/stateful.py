@@ -19,22 +19,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.operators.folds import ACCESS, Tracker
 from vigil.operators.keyed import Rule
-from vigil.sources.shared import delete, shared_dir
+from vigil.sources.shared import delete, run_dir
 
 
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream, all that are there in one micro-batch; the schema is the table's."""
+def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A table's files as a stream, so many in a micro-batch (None: all that are there); the schema is the table's."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def proceed(stream: DataFrame, at: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs an append stream over what its source holds now, on from where the last run stopped, and gives the table at this place. conf holds while it starts."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def drain(stream: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Runs an append stream over what its source holds now, to the end, and gives the table it wrote."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    at = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out = proceed(stream, at, conf)
     delete(spark, f"{at}/state")
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    return out
 
 
 def _ordered(chunks: Iterator[pd.DataFrame], micros: str) -> pd.DataFrame:
@@ -74,19 +89,19 @@ def fold(stream: DataFrame, key: str, order: list[str], start: Callable[[], Rule
 
 
 def access_states(stream: DataFrame, key: str, order: str, geometry: str) -> DataFrame:
-    """key, order and state of the region-access machine, which starts Outside."""
+    """key, order and state of the region-access machine, which starts Outside. A row of no geometry, or of an unknown one, leaves its state."""
 
     def run(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, states = state.get[0] if state.exists else "Outside", []
         rows = _ordered(chunks, order)
         for g in rows[geometry]:
-            now = ACCESS[g][now]
+            now = ACCESS[g][now] if g in ACCESS else now
             states.append(now)
         state.update((now,))
         yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].to_numpy(), "state": states})
 
     schema = f"{key} {stream.schema[key].dataType.simpleString()}, {order} long, state string"
-    return stream.select(key, F.col(order).cast("long").alias(order), geometry).dropna().groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, F.col(order).cast("long").alias(order), geometry).dropna(subset=[key, order]).groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def sort_tracks(stream: DataFrame, overlap: float = 0.3, misses: int = 3) -> DataFrame:
