@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 _RUN = f"vigil-run-{uuid.uuid4().hex}"
 
 
+#: By application: the folder that stands for the shared one in local mode, where none is set.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Unset, a temporary folder is set, in local mode only."""
+    """spark.checkpoint.dir. Unset, a temporary folder, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="vigil-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="vigil-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
