@@ -60,6 +60,20 @@ def test_neighbours_share_rare_terms():
     assert packing.BM25([t.astype(np.uint32) for t in texts], 15, idf).neighbours(0, np.array([False, True, True, True])).tolist() == [2]
 
 
+def test_pieces_do_not_follow_settings_and_are_full(spark):
+    """Shards follow from the corpus: the same pieces for any number of partitions, with little padding."""
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(tuple(r) for r in op2_bm25_packing(spark, SF).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    held = sum(r[2] for r in found[0])
+    assert held / (2048 * len({r[5] for r in found[0]})) >= 0.95
+
+
 def expected(docs, ids):
     at, out = 0, []
     for d, i in sorted(zip(docs, ids, strict=True), key=lambda x: x[0]):

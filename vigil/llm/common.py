@@ -9,23 +9,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.sources.shared import delete, shared_dir
+from vigil.sources.shared import clean, delete, run_dir
+
+__all__ = ["clean", "delete", "run_dir"]
 
 #: Separators of words, for Java's regular expressions; bytes.split() uses the same six characters.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
-#: All that a session writes stands under one folder, which clean() deletes.
-_RUN = f"vigil-run-{uuid.uuid4().hex}"
-
-
-def run_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{_RUN}"
-
-
 def written_at(df: DataFrame, name: str) -> str:
     """The path of df as a table in the shared folder."""
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -38,11 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name))
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes all that this session's operators wrote for themselves; results not yet read are lost with it."""
-    delete(spark, run_dir(spark))
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """What the optimizer knows of df's size; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

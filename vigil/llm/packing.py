@@ -1,10 +1,11 @@
 """Lexical retrieval packing: documents are packed into sequences of at most 2048 tokens next to their lexical neighbours.
 
-Documents are dealt into shards by their id. A shard holds a BM25 inverted index over its documents' whole texts (terms are
+Documents are dealt into shards of some SHARD_IDS ids by the hash of id and content; their number follows from the corpus's ids alone, not from files, partitions or settings, so that equal
+tables have equal pieces. A shard holds a BM25 inverted index over its documents' whole texts (terms are
 token ids; document frequencies and the mean length are those of the whole corpus). The first unused document is a seed; full windows of its own come
 first, and what is left of it opens a window. The index is asked with all distinct terms of the seed and returns its unused neighbours
 by score; they fill the window greedily, the last one cut to fit, its rest staying unused. When no neighbour shares a term, the next unused document
-follows in order. So only the last window of a shard can be padded; a shard holds some thousands of documents.
+follows in order. So only the last window of a shard can be padded, one of some two thousand; a shard holds some thousands of documents.
 
 Ids are those of `tokenizers` for the given file; texts of common characters go through the same vocabulary in tiktoken,
 which gives the same ids faster; any other text goes through tokenizers itself.
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Out, parts_for, rows_of, text_bytes, written
+from vigil.llm.common import Out, rows_of, text_bytes, written
 
 LENGTH, END = 2048, 1
+#: Ids of a shard.
+SHARD_IDS = 4_000_000
 K1, B = 1.2, 0.75
 #: Texts of only these are encoded alike by both libraries: their classes of letters, digits and spaces agree there.
 COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2010-\u2027\u20ac]*")
@@ -257,9 +260,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     """One row per piece. Sequence ids are the shard's number times 2 ** 32 plus a running number."""
     spark = docs.sparkSession
     ids = written(encoded(docs, tokenizer, end), "ids")
-    _, mean, idf = statistics(ids)
+    n, mean, idf = statistics(ids)
     idf[end : end + 1] = 0  # no word of a text: it stands in every document
-    shards = parts_for(docs.select("text"))
+    shards = max(1, round(n * mean / SHARD_IDS))
     idf_sent = spark.sparkContext.broadcast(idf)  # bounded by the vocabulary
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
