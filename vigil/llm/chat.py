@@ -8,7 +8,7 @@ recovered turn isn't the source, the text's conflicting content (control strings
 rendered and parsed again until it is identical. The escape is a backslash before each control string and each backslash.
 
 Turns of a conversation are taken as a stream, in order of turn (ties: by role, then text; nulls first), so a conversation of any size needs
-memory for one turn only. Defined cases: null text and null role count as empty; a null conv_id is a conversation of its own;
+memory for one turn only. The digest is taken of the formatted pieces as they stand in a table, read and put in order again. Defined cases: null text and null role count as empty; a null conv_id is a conversation of its own;
 repeated rows are turns of their own; an empty table gives no row; other columns of the input are ignored.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Out, rows_of
+from vigil.llm.common import Out, rows_of, written
 
 #: The control strings, longest first where one could begin another.
 CONTROLS = ("[/INST]", "[INST", "</s>", "<s>")
@@ -106,31 +106,40 @@ def _ordered(conversations: DataFrame) -> DataFrame:
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, piece (the rendered turn; the conversation's first one begins with <s>), loss_start, loss_length (code points in
+    """conv_id, place (of the turn in its conversation, from 0), turn, piece (the rendered turn; the conversation's first one begins with <s>), loss_start, loss_length (code points in
     the piece under the loss mask; null: none). A conversation's pieces, in order, are its formatted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("piece", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64())]))
+        out = Out(pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("turn", pa.int64()), ("piece", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64())]))
         last: object = run
+        place = 0
         for conv, turn, role, text in rows_of(batches):
             s, _, _, (a, b) = render_turn(role, text)
             head = START if conv != last else ""
+            place = 0 if conv != last else place + 1
             last = conv
             loss = role == "assistant"
-            yield from out.add((conv, turn, head + s, a + len(head) if loss else None, b - a if loss else None), len(s) + 64)
+            yield from out.add((conv, place, turn, head + s, a + len(head) if loss else None, b - a if loss else None), len(s) + 64)
         yield from out.flush()
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, turn long, piece string, loss_start long, loss_length long")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, place long, turn long, piece string, loss_start long, loss_length long")
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted pieces: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """read_back() of the formatted conversations, as they are stored."""
+    return read_back(written(formatted(conversations), "chat"))
+
+
+def read_back(pieces: DataFrame) -> DataFrame:
+    """Per conversation, parsed from the pieces of formatted(): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now = Out(schema), None
-        for conv, _, piece, loss_start, loss_length in rows_of(batches):
-            first = piece.startswith(START)
+        for conv, place, _, piece, loss_start, loss_length in rows_of(batches):
+            first = place == 0
+            if first != piece.startswith(START):
+                raise ParseError("a conversation begins with <s>, once")
             if first:
                 if now is not None:
                     yield from out.add(row(now))
@@ -153,7 +162,8 @@ def digest(conversations: DataFrame) -> DataFrame:
     def row(x: list) -> tuple:
         return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]
 
-    return formatted(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return ordered.select("conv_id", "place", "turn", "piece", "loss_start", "loss_length").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 ORACLE = r"""
