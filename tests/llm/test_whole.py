@@ -5,6 +5,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from tests.llm.test_models import brute_dedup
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.llm.test_tokens import check_packing, ids_of
 from vigil.llm import chat, common, decontaminate, html, ledger, lm, packing, quality, simhash, sstable, substring
-from vigil.llm.queries import op6_tree_extraction, op9_attention_lm, tokenizer_path
+from vigil.llm.queries import QUERIES, op6_tree_extraction, op9_attention_lm, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 WHITE = re.compile("[\x20\x09-\x0d]+")
@@ -275,10 +276,17 @@ def test_packing_of_repeated_rows(spark, nasty):
 
 
 def test_what_operators_wrote_can_be_deleted(spark):
+    """Nothing stands in the shared folder afterwards that didn't before, whatever ran."""
+    from vigil.plans.streams import stream_throttled_events
+    from vigil.sources.shared import run_dir, shared_dir
+
+    common.clean(spark)
+    place = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(place.iterdir()) if place.exists() else set()
+    for query in ("op2_bm25_packing", "op3_simhash_trie", "op4_anchor_dedup", "op5_sstable", "op8_chat_round_trip", "op10_fm_decontamination", "op11_block_max_wand", "op12_conversation_repair"):
+        assert QUERIES[query](spark, SF).count() > 0
+    assert stream_throttled_events(spark, SF).count() > 0
     df = common.written(spark.range(3).toDF("x"), "t")
-    assert df.count() == 3
-    place = common.run_dir(spark)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration())
-    assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place))
+    assert df.count() == 3 and common.run_dir(spark) == run_dir(spark) and set(place.iterdir()) > before
     common.clean(spark)
-    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place))
+    assert set(place.iterdir()) == before

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Out, parts_for, rows_of, shared_dir, text_bytes, written
+from vigil.llm.common import Out, parts_for, rows_of, run_dir, text_bytes, written
 
 MAGIC, BLOCK_BYTES, FILE_BYTES = b"VIGILSST", 64 << 10, 64 << 20
 _FOOT, _ENTRY, _PLACE = struct.Struct("<QQQQQQ8s"), struct.Struct("<BBBI"), struct.Struct("<QII")
@@ -232,9 +232,9 @@ BLOCK_PARTS, TASK_FILES = 1024, 8
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = END) -> DataFrame:
-    """Writes the shards; part and number (the files' order), path, low (first key), documents, n_ids of each file, as a stored table. Rows of one id are
+    """Writes the shards, by default under the session's own folder, which clean() deletes with what lost tasks left; part and number (the files' order), path, low (first key), documents, n_ids of each file, as a stored table. Rows of one id are
     ordered by their texts' hash and may fill any number of files."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/sst-{uuid.uuid4().hex}"
+    folder = folder or f"{run_dir(docs.sparkSession)}/sst-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fs, writer, rows = encoder(tokenizer), None, None, []
