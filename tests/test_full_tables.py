@@ -288,12 +288,14 @@ def test_stored_days_are_loaded_and_deleted(spark, tmp_path):
     rows = [(f"e{i}", datetime(2024, 1, 1 + i % 3), "s", "n", "Alg One") for i in range(9)]
     e = spark.createDataFrame(rows, "event_id string, ts timestamp, source_id string, event_name string, algorithm_name string")
     path = f"{tmp_path}/ev"
-    sinks.to_day_folders(sinks.stored_events(e), path)
-    assert sinks.load_event(spark, path, "e4").first().bucket_name == "algone20240102"
-    sinks.delete_events(spark, path, spark.createDataFrame([("e4",), ("e8",)], "event_id string"))
-    assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == ["e0", "e1", "e2", "e3", "e5", "e6", "e7"]
-    assert sinks.delete_expired(spark, path, date(2024, 1, 9), 7) == 1
-    assert {str(r.day) for r in spark.read.parquet(path).select("day").distinct().collect()} == {"20240102", "20240103"}
+    held = sinks.DayFolders(spark, path)
+    assert held.read() is None and held.delete(e.select("event_id")) == 0
+    held.append(sinks.stored_events(e))
+    assert held.load("e4").first().bucket_name == "algone20240102"
+    held.delete(spark.createDataFrame([("e4",), ("e8",)], "event_id string"))
+    assert sorted(r.event_id for r in held.read().collect()) == ["e0", "e1", "e2", "e3", "e5", "e6", "e7"]
+    assert held.expire(date(2024, 1, 9), 7) == 1
+    assert {r.day for r in held.read().select("day").distinct().collect()} == {"20240102", "20240103"}
 
 
 def test_sources_open_loop_and_retry(spark, tmp_path):

@@ -123,8 +123,9 @@ def test_line_and_area_shapes_are_numbered(spark):
 def test_pipeline_events_are_stored(spark, tmp_path):
     got = pipelines.stored(views.detections(spark, SF), shipped.PIPELINES["people_density"], shipped._FILES)
     assert got.columns == sinks.EVENT_COLUMNS
-    sinks.to_day_folders(got, f"{tmp_path}/events")
-    back = spark.read.parquet(f"{tmp_path}/events")
+    held = sinks.DayFolders(spark, f"{tmp_path}/events")
+    held.append(got)
+    back = held.read()
     assert back.count() == got.count() > 0 and sinks.expired_days(back, "2030-01-01", 7).count() == back.select("day").distinct().count()
 
 

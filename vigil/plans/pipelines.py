@@ -39,19 +39,23 @@ class Hooks:
 
 @dataclass
 class Frames:
-    """The tagged detections of a pipeline, and what follows from them."""
+    """The tagged detections of a pipeline, and what follows from them. store: what is read many times over stands in the shared folder, worked out once."""
 
     dets: DataFrame
     dimension: DataFrame
     settings: Settings
     hooks: Hooks
+    store: bool = False
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return stored_table(df, name) if self.store else df
 
     @cached_property
     def sightings(self) -> DataFrame:
         tagged = ("under_analysis", "lane", "areas", "retain")
         best = F.max(F.struct("confidence", "w", "h", "x", "y")).alias("b")
         s = self.dets.groupBy("source_id", "frame_id", "label", "tracking_id").agg(best, *[F.max_by(c, F.struct("confidence", "w", "h", "x", "y")).alias(c) for c in tagged])
-        return s.select("source_id", "frame_id", "label", "tracking_id", F.concat_ws("_", "source_id", "label", "tracking_id").alias("object_id"), "b.*", *tagged)
+        return self.kept(s.select("source_id", "frame_id", "label", "tracking_id", F.concat_ws("_", "source_id", "label", "tracking_id").alias("object_id"), "b.*", *tagged), "sightings")
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -144,7 +148,8 @@ def frames(dets: DataFrame, document: dict[str, Any], folder: str | Path = ".",
     dim = regions.dimension(spark, rows)
     tagged = (regions.tagged_by_cells if regions.many(rows) else regions.tagged)(df, dim)
     several = len(s["Algorithms"]) > 1 or any(a.kind in SEVERAL for a in s["Algorithms"])
-    return Frames(stored_table(tagged, "frames") if several or s["Tracker"].kind else tagged, dim, s, hooks)
+    store = several or bool(s["Tracker"].kind)
+    return Frames(stored_table(tagged, "frames") if store else tagged, dim, s, hooks, store)
 
 
 def events(dets: DataFrame, document: dict[str, Any], folder: str | Path = ".", hooks: Hooks | None = None) -> DataFrame:
@@ -156,7 +161,7 @@ def events(dets: DataFrame, document: dict[str, Any], folder: str | Path = ".",
             continue
         e = ALGORITHMS[a.kind](f, a.of).select("source_id", "frame_id", "message").withColumns({"event_name": F.lit(a["EventName"]), "algorithm_name": F.lit(a.kind), "us": f.us()})
         if a.kind in THROTTLED:
-            e = folds.throttle(e, "source_id", "us", a["LocalEventIntervalSec"] * 1_000_000, "frame_id", "event_name", "message", "algorithm_name")
+            e = folds.throttle(f.kept(e, "events"), "source_id", "us", a["LocalEventIntervalSec"] * 1_000_000, "frame_id", "event_name", "message", "algorithm_name")
         found.append(e.select("source_id", "frame_id", F.timestamp_micros("us").alias("ts"), "event_name", "algorithm_name", "message"))
     if not found:
         return f.dets.select("source_id", "frame_id", f.ts().alias("ts"), F.lit("").alias("event_name"), F.lit("").alias("algorithm_name"), F.lit("").alias("message")).limit(0)
@@ -300,10 +305,10 @@ def people_and_boat(f: Frames, history: int, share: float, person: str = "person
 
 def smuggling_alarms(f: Frames, factor: float, most: int, sustain: int, history: int, share: float, flee: float, person: str = "person", boat: str = "boat") -> DataFrame:
     """Frames at which a gathering, a boat and flight from it have all been seen of late."""
-    g = rules.gatherings(people_and_boat(f, history, share, person, boat), factor, most).groupBy("source_id", "frame_id")
+    g = rules.gatherings(f.kept(people_and_boat(f, history, share, person, boat), "people"), factor, most).groupBy("source_id", "frame_id")
     g = g.agg(F.bool_or(F.col("size") > most).alias("g"), F.bool_or(F.col("fleeing") / F.col("size") > flee).alias("a"), F.count("*").alias("gathering_count"), F.sum("size").alias("person_count"))
     s = f.sightings.groupBy("source_id", "frame_id").agg(F.bool_or((F.lower("label") == boat) & F.col("under_analysis")).alias("b"))
-    s = s.join(g, ["source_id", "frame_id"], "left").fillna({"g": False, "a": False, "gathering_count": 0, "person_count": 0}).withColumn("ts", f.ts())
+    s = s.join(f.kept(g, "gatherings"), ["source_id", "frame_id"], "left").fillna({"g": False, "a": False, "gathering_count": 0, "person_count": 0}).withColumn("ts", f.ts())
     last = {n: ("max", F.when(F.col(c), F.col("frame_id"))) for n, c in (("last_g", "g"), ("last_b", "b"), ("last_a", "a"))}
     s = windows.running(s, "source_id", "frame_id", last)
     lasts = lambda c, seconds: F.col("frame_id") * f.hooks.frame_ms < F.col(c) * f.hooks.frame_ms + seconds * 1000
