@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 
 from vigil.llm import html
@@ -53,3 +56,30 @@ def test_odd_rows(spark, weights):
     text = "Some words stand here, enough for a paragraph of text."
     assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, text, len(text))], key=str)
     assert html.extract(pages.limit(0), weights).count() == 0
+
+
+def test_messages_node_by_node_equal_those_by_levels(monkeypatch):
+    rnd = np.random.default_rng(3)
+    tags = ["div", "p", "ul", "li", "section", "table"]
+    pages = [html.Page("".join(f"<{t}>x y" if rnd.random() < 0.6 else f"</{t}>" for t in rnd.choice(tags, 80))) for _ in range(30)]
+    unary, pair = rnd.normal(size=html.N_FEATURES), rnd.normal(size=(html.KINDS * html.KINDS, 2, 2))
+    found = []
+    for wide in (1, 16, 10**9):
+        monkeypatch.setattr(html, "WIDE", wide)
+        forest = html.Forest(pages)
+        found.append(forest.pass_messages(unary, pair))
+        assert sum(map(len, forest.levels)) + len(forest.deep) == len(forest.parent)
+    for p, edge in found[1:]:
+        assert np.allclose(p, found[0][0]) and np.allclose(edge, found[0][1])
+
+
+def test_a_deep_page_takes_time_in_proportion():
+    unary, pair = np.zeros(html.N_FEATURES), np.zeros((html.KINDS * html.KINDS, 2, 2))
+    took = []
+    for n in (25_000, 200_000):
+        start = time.process_time()
+        forest = html.Forest([html.Page("<div>" * n + "<p>text</p>")] + [html.Page("<div><p>a</p></div>")] * 20)
+        p, _ = forest.pass_messages(unary, pair)
+        took.append(time.process_time() - start)
+        assert len(forest.parent) > n and np.allclose(p, 0.5)
+    assert took[1] < 24 * took[0]

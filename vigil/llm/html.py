@@ -16,6 +16,7 @@ input are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import html as entities
 import random
 import re
@@ -208,8 +209,16 @@ class Page:
         return out
 
 
+#: Nodes of a level from which it is worked on as arrays.
+WIDE = 16
+
+
+def _log_sum(a: float, b: float) -> float:
+    return (a if a > b else b) + math.log1p(math.exp(-abs(a - b)))
+
+
 class Forest:
-    """The nodes of many pages, for messages depth by depth."""
+    """The nodes of many pages, for messages depth by depth: levels of many nodes as arrays, and below the last of them node by node, so that a page's time follows from its nodes, however deep."""
 
     def __init__(self, pages: list[Page]):
         starts = np.cumsum([0] + [len(p.parent) for p in pages])
@@ -225,13 +234,49 @@ class Forest:
             for i, up in enumerate(p.parent):
                 if up >= 0:
                     depth[s + i] = depth[s + up] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        wide = max((i for i, level in enumerate(levels) if len(level) >= WIDE), default=0) + 1
+        self.levels, self.deep = levels[:wide], np.concatenate([order[:0], *levels[wide:]])
+        place = np.full(len(depth), -1)
+        place[self.deep] = np.arange(len(self.deep))
+        self.deep_parent = place[self.parent[self.deep]].tolist() if len(self.deep) else []  # -1: the parent is of a wide level
+
+    def _upward(self, u: np.ndarray, up: np.ndarray, theta: np.ndarray) -> None:
+        """Messages of the deep nodes, last ones first."""
+        own, pair, got, parents = u[self.deep].tolist(), theta[self.deep].tolist(), [], self.parent[self.deep].tolist()
+        for k in range(len(own) - 1, -1, -1):
+            (a, b), ((aa, ab), (ba, bb)) = own[k], pair[k]
+            m = (_log_sum(aa + a, ab + b), _log_sum(ba + a, bb + b))
+            got.append(m)
+            if (above := self.deep_parent[k]) >= 0:
+                own[above][0] += m[0]
+                own[above][1] += m[1]
+            else:
+                u[parents[k]] += m
+        u[self.deep], up[self.deep] = own, got[::-1]
+
+    def _downward(self, u: np.ndarray, up: np.ndarray, theta: np.ndarray, full: np.ndarray, edge: np.ndarray) -> None:
+        own, pair, got, parents, whole, edges = u[self.deep].tolist(), theta[self.deep].tolist(), up[self.deep].tolist(), self.parent[self.deep].tolist(), [], []
+        for k, (a, b) in enumerate(own):
+            fa, fb = whole[above] if (above := self.deep_parent[k]) >= 0 else full[parents[k]].tolist()
+            (aa, ab), (ba, bb) = pair[k]
+            ra, rb = fa - got[k][0], fb - got[k][1]
+            j = (ra + aa + a, ra + ab + b, rb + ba + a, rb + bb + b)
+            whole.append((_log_sum(j[0], j[2]), _log_sum(j[1], j[3])))
+            top = max(j)
+            e = [math.exp(x - top) for x in j]
+            total = sum(e)
+            edges.append(((e[0] / total, e[1] / total), (e[2] / total, e[3] / total)))
+        full[self.deep], edge[self.deep] = whole, edges
 
     def pass_messages(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """unary: the logit of content by feature. pair[kind][parent][child]. Marginals [n, 2], and of each edge [n, 2, 2]."""
         u = np.zeros((len(self.parent), 2))
         u[:, 1] = np.bincount(self.owner, unary[self.feature], len(u))
         theta, up = pair[self.kind], np.zeros_like(u)
+        if len(self.deep):
+            self._upward(u, up, theta)
         for level in self.levels[:0:-1]:  # upward
             m = np.logaddexp(theta[level, :, 0] + u[level, None, 0], theta[level, :, 1] + u[level, None, 1])
             up[level] = m
@@ -245,6 +290,8 @@ class Forest:
             joint -= joint.max((1, 2), keepdims=True)
             e = np.exp(joint)
             edge[level] = e / e.sum((1, 2), keepdims=True)
+        if len(self.deep):
+            self._downward(u, up, theta, full, edge)
         full -= full.max(1, keepdims=True)
         p = np.exp(full)
         return p / p.sum(1, keepdims=True), edge
