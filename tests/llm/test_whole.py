@@ -82,7 +82,7 @@ def test_texts_of_several_shards_equal_one(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice(list("abc"), n)) for n in (0, 5, 39, 81, 300, 1000)]
-    items = decontaminate.Queries([("i", b"a b c a b c a b c a b"), ("j", b"c c"), ("k", b"")])
+    items = decontaminate.Queries(decontaminate.prepared([("i", b"a b c a b c a b c a b"), ("j", b"c c"), ("k", b"")]))
 
     class Blocks:
         args = (10, 10, 0)

@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Out, rows_of, text_bytes, with_new_texts, written_at
+from vigil.llm.common import Out, rows_of, size_in_bytes, text_bytes, with_new_texts, written_at
 
 WINDOW, SHARD_WORDS, SAMPLE = 10, 400_000, 8
 #: Bytes of benchmark text, and of shard text, that a task holds at once.
@@ -40,24 +40,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
+#: A block of the benchmark, made ready: its items, its vocabulary, the distinct windows as ids of it (from 1; zeros on the left), and which items have each: ends and places of items.
+PREPARED = pa.schema([("items", pa.list_(pa.string())), ("words", pa.binary()), ("padded", pa.binary()), ("ends", pa.binary()), ("of", pa.binary())])
+
+
+def prepared(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict:
+    names = sorted({i for i, _ in items})
+    place = {x: n for n, x in enumerate(names)}
+    vocabulary: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], set[int]] = {}
+    for item, text in items:
+        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        for at in range(max(1, len(ids) - window + 1) if ids else 0):
+            found.setdefault(tuple(ids[at : at + window]), set()).add(place[item])
+    padded = np.zeros((len(found), window), "<i4")  # at the right, as the search runs backward
+    for n, w in enumerate(found):
+        padded[n, window - len(w) :] = w
+    of = [sorted(x) for x in found.values()]
+    return {"items": names, "words": b" ".join(vocabulary), "padded": padded.tobytes(), "ends": np.cumsum([len(x) for x in of], dtype="<i8").tobytes(), "of": np.array(list(chain(*of)), "<i4").tobytes()}
+
+
 class Queries:
-    """The distinct windows of some items, as ids of the items' vocabulary (from 1)."""
+    """The distinct windows of a block of items, as ids of the items' vocabulary (from 1)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.items = sorted({i for i, _ in items})
-        place = {x: n for n, x in enumerate(self.items)}
-        vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(place[item])
-        self.words = list(vocabulary)
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.padded = np.zeros((len(found), window), np.int64)  # at the right, as the search runs backward
-        for n, w in enumerate(found):
-            self.padded[n, window - len(w) :] = w
-        self.of = [np.array(sorted(x), np.int64) for x in found.values()]
+    def __init__(self, row: dict, window: int = WINDOW):
+        self.items, self.words = row["items"], row["words"].split()
+        self.padded = np.frombuffer(row["padded"], "<i4").reshape(-1, window).astype(np.int64)
+        self.lengths = (self.padded > 0).sum(1)
+        self.of = np.split(np.frombuffer(row["of"], "<i4"), np.frombuffer(row["ends"], "<i8")[:-1]) if len(self.padded) else []
 
     def in_shard(self, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """The windows whose words all stand in the shard, in the shard's ids, and their numbers."""
@@ -206,26 +216,19 @@ class Shard:
         return out
 
 
-def blocks_of(path: str, window: int, block_bytes: int) -> Iterator[Queries]:
+def blocks_of(path: str, window: int) -> Iterator[Queries]:
     """The benchmark's blocks, of the table at path."""
     fs, place = pa.fs.FileSystem.from_uri(path)
-    items, size = [], 0
-    for batch in pa.dataset.dataset(place, filesystem=fs, format="parquet").to_batches(columns=["item", "text"], batch_size=1024):
-        for item, text in rows_of([batch]):
-            items.append((item, text))
-            size += len(text)
-            if size >= block_bytes:
-                yield Queries(items, window)
-                items, size = [], 0
-    if items:
-        yield Queries(items, window)
+    for batch in pa.dataset.dataset(place, filesystem=fs, format="parquet").to_batches(columns=PREPARED.names, batch_size=1, batch_readahead=0, fragment_readahead=0):
+        for row in batch.to_pylist():
+            yield Queries(row, window)
 
 
 class Blocks:
-    """blocks_of(), read anew for each shard unless there is only one."""
+    """blocks_of(), read anew for each shard unless there is only one: as arrays, nothing is split or counted again."""
 
-    def __init__(self, path: str, window: int, block_bytes: int):
-        self.args, self.only = (path, window, block_bytes), None
+    def __init__(self, path: str, window: int):
+        self.args, self.only = (path, window), None
 
     def __iter__(self) -> Iterator[Queries]:
         if self.only is None:
@@ -282,14 +285,28 @@ def _in_pieces(words: list[bytes], blocks: Blocks) -> tuple[list[tuple[int, int]
     return merge_spans(spans), sorted(items)
 
 
-def stored(benchmark: DataFrame) -> str:
-    """The path of the benchmark's items (as text) and texts, in the shared folder."""
-    return written_at(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")), "benchmark")
+def stored(benchmark: DataFrame, window: int, block_bytes: int) -> str:
+    """The path of the benchmark's blocks, made ready once, in the shared folder. Items' ids are text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, size = [], 0
+        for item, text in rows_of(batches):
+            items.append((item, text))
+            size += len(text)
+            if size >= block_bytes:
+                yield pa.RecordBatch.from_pylist([prepared(items, window)], PREPARED)
+                items, size = [], 0
+        if items:
+            yield pa.RecordBatch.from_pylist([prepared(items, window)], PREPARED)
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    tasks = max(1, -(-size_in_bytes(rows) // block_bytes))  # no blocks for parts of a small table
+    return written_at(rows.coalesce(min(tasks, 10_000)).mapInArrow(run, "items array<string>, words binary, padded binary, ends binary, of binary"), "benchmark")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (of words, half open, merged), items (ids as strings, sorted) of every document."""
-    blocks = Blocks(stored(benchmark), window, block_bytes)
+    blocks = Blocks(stored(benchmark, window, block_bytes), window)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +343,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all rows and columns, with each text (and n_chars, where there is one) without its spans; texts without a hit stay as they are."""
-    blocks = Blocks(stored(benchmark), window, block_bytes)
+    blocks = Blocks(stored(benchmark, window, block_bytes), window)
 
     def new_texts(rows: Iterator[tuple]) -> Iterator[str | None]:
         for (text,), _, spans, _ in searched(rows, blocks):
