@@ -1,6 +1,7 @@
 """Windows as streams: over several micro-batches, on from a stop, and equal to the batch forms."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -75,3 +76,24 @@ def test_access_states_are_equal_in_batch_and_stream(spark, tmp_path):
     got = stateful.drain(stateful.access_states(stream(spark, tmp_path, [rows[:5], rows[5:]], schema), "k", "at", "g"), "t").collect()
     want = folds.access_states(spark.createDataFrame(rows, schema).dropna(subset=["k"]), "k", "at", "g").collect()
     assert sorted((r.k, r["at"], r.state) for r in got) == sorted((r.k, r["at"], r.state) for r in want)
+
+
+def test_answers_meet_their_requests(spark, tmp_path):
+    """The first answer in time counts, whatever comes first; late ones and those of no request count for nothing; without an answer a request comes out once its deadline is past."""
+    rnd = random.Random(7)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    requests = [(i, day(rnd.randrange(100))) for i in range(60)]
+    answers = [(100 * i + k, rnd.randrange(70), day(rnd.randrange(120)), rnd.random() < 0.5) for i in range(60) for k in range(2)]
+    want = {}
+    for c, created in requests:
+        mine = sorted((t, r, o) for r, a, t, o in answers if a == c and created <= t < created + timedelta(days=10))
+        want[c] = (mine[0][1], mine[0][2]) if mine else (None, None)
+    for name, rows, schema in (("requests", sorted(requests, key=lambda r: r[1]), "candidate_id int, created timestamp"), ("answers", sorted(answers, key=lambda r: r[2]), "request_id int, candidate_id int, completed timestamp, occurred boolean")):
+        half = len(rows) // 2
+        last = [(999, day(400))] if name == "requests" else [(99_999, 998, day(400), True)]
+        for i, part in enumerate([rows[:half], rows[half:], last]):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/part={i}")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/part=*")
+    met = windows.reconciled(read("requests", "candidate_id int, created timestamp"), read("answers", "request_id int, candidate_id int, completed timestamp, occurred boolean"), "10 days")
+    got = {r.candidate_id: (r.request_id, r.occurred) for r in stateful.drain(met, "t", windows.STORE).collect()}
+    assert got == want and any(v[0] is None for v in got.values())

@@ -156,3 +156,17 @@ def stream_ship_labels(spark, d):
     gone = gone.filter("object_id is not null and area >= 6000")
     said = messages.ship(F.col("object_id"), F.lit("ship"), F.col("detail"), F.array(F.lit("red"), F.lit("white")))
     return stateful.drain(gone.select("source_id", F.col("expired_at").alias("frame_id"), said.alias("message")), "ships", windows.STORE)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS candidate_id, l_orderkey * 10 + l_linenumber AS request_id, l_shipdate AS completed, l_returnflag = 'N' AS occurred FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber < 6),
+f AS (SELECT candidate_id, first(request_id ORDER BY completed, request_id) AS request_id, first(occurred ORDER BY completed, request_id) AS occurred FROM r JOIN orders ON o_orderkey = candidate_id WHERE completed >= o_orderdate AND completed < o_orderdate + INTERVAL 60 DAY GROUP BY 1)
+SELECT o_orderkey AS candidate_id, CASE WHEN request_id IS NULL THEN 'timed_out' WHEN occurred THEN 'published' ELSE 'rejected' END AS status, request_id FROM orders LEFT JOIN f ON o_orderkey = candidate_id
+WHERE o_orderdate + INTERVAL 60 DAY < least((SELECT max(o_orderdate) FROM orders), (SELECT max(completed) FROM r))""")
+def stream_candidate_reconciliation(spark, d):
+    """Orders as requests with a deadline of 60 days, their lines as answers, as two streams; those whose deadline the watermark has passed."""
+    requests = stateful.source(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderdate").cast("timestamp").alias("created"))
+    lines = stateful.source(spark, d, "lineitem").filter("l_linestatus = 'O' and l_linenumber < 6")
+    answers = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_orderkey").alias("candidate_id"), F.col("l_shipdate").cast("timestamp").alias("completed"), (F.col("l_returnflag") == "N").alias("occurred"))
+    status = F.when(F.col("request_id").isNull(), "timed_out").when(F.col("occurred"), "published").otherwise("rejected")
+    met = windows.reconciled(requests, answers, "60 days")
+    return stateful.drain(met.select("candidate_id", status.alias("status"), "request_id"), "answers", windows.STORE)
