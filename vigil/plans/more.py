@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vigil.functions import geometry, scalars
 from vigil.functions.geometry import Box
-from vigil.operators import detections, folds, frames, keyed, motion, windows
+from vigil.operators import detections, detector, folds, frames, keyed, motion, windows
 from vigil.plans.queries import REGIONS, dimension, query
 from vigil.sources import regions, views
 from vigil.sources.views import DETECTIONS_SQL, SIGHTINGS_SQL, table
@@ -305,3 +307,42 @@ def candidate_store(spark, d):
     c = e.filter("event_name = 'click'").select("store", "candidate_id", "us", (F.col("us") + 86_400_000_000).alias("deadline_us"))
     r = e.filter("event_name = 'purchase'").select("store", "candidate_id", "us", (F.col("score") > 50).alias("occurred"))
     return keyed.decided(c, r, 5)
+
+
+class BrightParts:
+    """A model that finds the box around what is bright; a picture without any has none."""
+
+    def detect(self, pictures):
+        out = []
+        for p in pictures:
+            ys, xs = np.nonzero(p)
+            out.append([("bright", float(p.max()) / 255, xs.min(), ys.min(), xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)] if len(xs) else [])
+        return out
+
+
+def drawn(boxes):
+    """Pictures of 96 x 54 pixels, a row a box, with the box (in pixels) bright."""
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pydict()
+            pixels = []
+            for x, y, w, h in zip(rows["x"], rows["y"], rows["w"], rows["h"], strict=True):
+                p = np.zeros((54, 96), np.uint8)
+                p[y : y + h, x : x + w] = 204
+                pixels.append(p.tobytes())
+            n = len(pixels)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["source_id"], pa.string()), pa.array(rows["frame_id"], pa.int64()), pa.array([96] * n, pa.int32()), pa.array([54] * n, pa.int32()), pa.array(pixels, pa.binary())], ["source_id", "frame_id", "width", "height", "pixels"])
+
+    return boxes.mapInArrow(run, "source_id string, frame_id long, width int, height int, pixels binary")
+
+
+@query(f"WITH {DETECTIONS_SQL}, b AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY source_id, frame_id ORDER BY confidence DESC, x, y, w, h) = 1) SELECT mode, source_id, frame_id, 'bright' AS label, 0.8 AS confidence, x // 20 AS x, y // 20 AS y, greatest(1, w // 20) AS w, greatest(1, h // 20) AS h FROM b, (SELECT unnest(['whole', 'batches', 'tiles']) AS mode)")
+def detector_hook(spark, d):
+    """The surest box of each frame, drawn and found again by a model: in whole pictures, in small batches, and in tiles whose boxes are stitched."""
+    small = lambda c: F.floor(F.col(c) / 20).cast("int")
+    best = views.detections(spark, d).groupBy("source_id", "frame_id").agg(F.min_by(F.struct("x", "y", "w", "h"), F.struct((-F.col("confidence")).alias("c"), "x", "y", "w", "h")).alias("b")).select("source_id", "frame_id", "b.*")
+    pictures = drawn(best.select("source_id", "frame_id", small("x").alias("x"), small("y").alias("y"), F.greatest(F.lit(1), small("w")).alias("w"), F.greatest(F.lit(1), small("h")).alias("h")))
+    modes = {"whole": {}, "batches": {"batch_bytes": 20_000}, "tiles": {"tiles": (4, 3)}}
+    found = [detector.detect(pictures, "bright", BrightParts, **options).withColumn("mode", F.lit(mode)) for mode, options in modes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
