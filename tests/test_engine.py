@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars
 from vigil.functions.geometry import Box, in_polygon
 from vigil.operators import folds, windows
-from vigil.plans import more, rules, shipped, streams  # noqa: F401  (they register their queries)
+from vigil.plans import answers, more, rules, shipped, streams  # noqa: F401  (they register their queries)
 from vigil.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

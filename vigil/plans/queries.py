@@ -197,7 +197,7 @@ def sequence_batches(spark, d):
 @query(f"WITH {DETECTIONS_SQL}, f AS (SELECT source_id, frame_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_id) AS r FROM (SELECT DISTINCT source_id, frame_id FROM det)) SELECT a.source_id, a.frame_id AS anchor, b.frame_id FROM f a JOIN f b ON a.source_id = b.source_id AND b.r BETWEEN a.r - 3 AND a.r + 3 WHERE a.frame_id % 100 = 0")
 def video_clips(spark, d):
     f = views.detections(spark, d).select("source_id", "frame_id").distinct()
-    return windows.clip(f, f.filter("frame_id % 100 = 0"), 3)
+    return windows.clip(f, f.filter("frame_id % 100 = 0"), windows.clip_half(0.7, 10))
 
 
 @query(f"WITH {DETECTIONS_SQL}, f AS (SELECT source_id, frame_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_id) AS n FROM (SELECT DISTINCT source_id, frame_id FROM det)) SELECT source_id, frame_id FROM f WHERE n % 3 = 0")
