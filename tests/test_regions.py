@@ -97,3 +97,15 @@ def test_a_boat_in_the_corner_has_no_place(spark):
     """Nobody flees from a boat whose centre is (0, 0)."""
     f = pipelines.Frames(spark.createDataFrame([("s", i, "boat", 1, 0.9, 0, 0, 0, 0, True, None, [], True) for i in range(8)] + [("s", i, "person", 2, 0.9, 10 * i, 10, 4, 4, True, None, [], True) for i in range(8)], "source_id string, frame_id long, label string, tracking_id int, confidence double, x int, y int, w int, h int, under_analysis boolean, lane int, areas array<string>, retain boolean"), None, None, pipelines.Hooks())
     assert pipelines.people_and_boat(f, 10, 0.5).count() == 0
+
+
+def test_a_positioned_scan_reads_only_files_in_its_range(spark, tmp_path):
+    """The range of frames is one of the stored key: files and row groups beyond it are skipped."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.repartitionByRange(8, "l_orderkey").sortWithinPartitions("l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["positioned_scan"](spark, str(tmp_path))
+    assert sorted(map(str, df.collect())) == sorted(map(str, QUERIES["positioned_scan"](spark, SF).collect()))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_orderkey,400)" in plan and "LessThanOrEqual(l_orderkey,903)" in plan
+    metrics = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics()
+    assert metrics.apply("numOutputRows").value() < lines.count() / 2

@@ -205,7 +205,7 @@ def inner_suppression(dets: DataFrame, ratio: float) -> DataFrame:
     """suppress_inner() frame by frame and label by label, the surest box first, as a fold over the small array of a frame's boxes of one label.
 
     Box i, if it is still there, meets the first later box that is larger and overlaps it enough: up to that one all that overlap it go,
-    and with that one box i itself."""
+    and with that one box i itself. Frames in which no two boxes overlap enough stay as they are, without the fold."""
     names, key = dets.columns, ["source_id", "frame_id", "label"]
     first = ["x", "y", "w", "h", "tracking_id"]
     order = F.struct((-F.col("confidence")).alias("__c"), *first, *[c for c in names if c not in (*key, *first)])
@@ -225,7 +225,8 @@ def inner_suppression(dets: DataFrame, ratio: float) -> DataFrame:
 
     none = F.transform("b", lambda _: F.lit(False))
     gone = F.aggregate(F.sequence(F.lit(0), n - 1), none, step)
-    kept = F.when(n == 1, F.col("b")).otherwise(F.get(F.transform(F.array(gone), lambda out: F.filter("b", lambda _, i: ~F.get(out, i))), F.lit(0)))
+    apart = ~F.exists(F.transform("b", lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda p: F.exists(F.slice("b", p["i"] + 2, n), lambda q: box(p["r"]).iof(box(q)) > ratio))
+    kept = F.when(n == 1, F.col("b")).when(apart, F.col("b")).otherwise(F.get(F.transform(F.array(gone), lambda out: F.filter("b", lambda _, i: ~F.get(out, i))), F.lit(0)))
     return g.select(*key, F.explode(kept).alias("k")).select(*[F.col(c) if c in key else F.col(f"k.{c}") for c in names])
 
 

@@ -112,8 +112,8 @@ def live_objects(spark, d):
 
 @query(f"WITH {DETECTIONS_SQL} SELECT frame_id, label, x FROM det WHERE source_id = 'cam-2' AND frame_id * 40 BETWEEN 4000 AND 9000")
 def positioned_scan(spark, d):
-    """A source from one time to another; a frame stands for 40 ms."""
-    df = views.detections(spark, d).withColumn("offset_ms", F.col("frame_id") * 40)
+    """A source from one time to another; a frame stands for 40 ms. The frames' range reaches the reader."""
+    df = views.detections(spark, d, (4000 // 40, 9000 // 40)).withColumn("offset_ms", F.col("frame_id") * 40)
     return views.seek(df, "cam-2", 4000, 9000, "offset_ms").select("frame_id", "label", "x")
 
 
