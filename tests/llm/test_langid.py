@@ -61,6 +61,16 @@ def test_random_texts_have_the_same_subwords():
         assert shared_edges(text) == brute_buckets(text), repr(text)
 
 
+def test_slices_do_not_matter():
+    rnd = random.Random(3)
+    for _ in range(60):
+        text = "".join(rnd.choices("abcÉé ß.1\n-", k=rnd.randrange(200)))
+        whole = Counter(langid.subwords(langid.words_of(text)[0]).tolist())
+        for size in (1, 2, 3, 7, 50):
+            n = langid.totals(text, size)
+            assert {int(b): int(n[b]) for b in np.flatnonzero(n)} == whole, (text, size)
+
+
 def test_gradients_are_those_of_the_loss():
     rnd = np.random.default_rng(1)
     embedded, linear, bias, share = rnd.normal(size=(5, 3)), rnd.normal(size=(3, 4)), rnd.normal(size=4), rnd.random(5)

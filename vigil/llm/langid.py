@@ -2,7 +2,7 @@
 
 A text's subwords are the runs of one to four lower-case letters of its words, with the word's edges as letters of their own, whole text, hashed into BUCKETS. The mean of their
 embeddings goes through a linear layer and a softmax over the languages. Both are learned together from texts and from pieces of texts (so that short texts are met in
-training), document by document. A part of the sample that isn't trained on calibrates: the logits' slope and how it grows with the number of subwords are fitted, so that a score is
+training), document by document. A text is read a slice at a time, so that one of any length takes the memory of a slice. A part of the sample that isn't trained on calibrates: the logits' slope and how it grows with the number of subwords are fitted, so that a score is
 the chance of being right, and the least score is found down to which at most MISSES of the answers are wrong; below it an answer is marked as rejected.
 
 What is learned comes from a bounded sample: about SAMPLE texts of each language (chosen by the hash of language and text at a rate of SAMPLE over the language's rows; copies count once), of each
@@ -54,33 +54,56 @@ class Letters:
 _LETTERS = Letters()
 
 
+#: Characters of a text that are worked on at once.
+SLICE = 1 << 20
+
+
+def flats(text: str, size: int = SLICE) -> Iterator[np.ndarray]:
+    """The lower-case letters of a text with 0 before, between and after its words, some at a time."""
+    yield np.zeros(1, np.uint32)
+    last = False  # was the last character a letter?
+    for i in range(0, len(text), size):
+        points = np.frombuffer(text[i : i + size].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _LETTERS(points)
+        yield np.where(letter, points, 0)[letter | np.append(last, letter[:-1])]
+        last = bool(letter[-1]) if len(letter) else last
+    if last:
+        yield np.zeros(1, np.uint32)
+
+
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-case letters of a text with 0 before, between and after its words, and where the words begin."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTERS(points)
-    after = np.append(False, letter[:-1])
-    flat = np.append(0, np.where(letter, points, 0)[letter | after])
-    if len(flat) > 1 and flat[-1]:
-        flat = np.append(flat, 0)
+    """The letters and edges of a whole text, and where the words begin."""
+    flat = np.concatenate(list(flats(text)))
     return flat, np.flatnonzero((flat[:-1] == 0) & (flat[1:] != 0)) if len(flat) > 1 else np.zeros(0, np.int64)
 
 
-def subwords(flat: np.ndarray) -> np.ndarray:
-    """The bucket of each subword; a subword holds no edge but as its first or last letter."""
+def subwords(flat: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """The bucket of each subword (of those that begin at the first so many places); a subword holds no edge but as its first or last letter."""
     found, letters = [], flat != 0
     h, inner = np.zeros(len(flat), np.uint64), np.ones(len(flat), bool)
     for n in range(1, LONGEST + 1):
-        size = len(flat) - n + 1
+        size = min(len(flat) - n + 1, len(flat) if starts is None else starts)
         if size <= 0:
             break
-        h = h[:size] * np.uint64(1_000_003) + flat[n - 1 :].astype(np.uint64) + np.uint64(1)
+        h = h[:size] * np.uint64(1_000_003) + flat[n - 1 : n - 1 + size].astype(np.uint64) + np.uint64(1)
         if n > 2:  # letters between the first and the last
             inner = inner[:size] & letters[n - 2 : n - 2 + size]
-        some = inner[:size] & (letters[:size] | letters[n - 1 :]) if n < 3 else inner[:size]
+        some = inner[:size] & (letters[:size] | letters[n - 1 : n - 1 + size]) if n < 3 else inner[:size]
         found.append(mix(h[some] + np.uint64(n)) >> np.uint64(64 - BUCKETS.bit_length() + 1))
     return np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
 
 
+def totals(text: str, size: int = SLICE) -> np.ndarray:
+    """How often each bucket comes up in a text of any length; the last letters of a slice wait for the next one."""
+    n, held = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint32)
+    for flat in flats(text, size):
+        held = np.concatenate([held, flat])
+        if (ready := len(held) - LONGEST + 1) >= size // 2:
+            n += np.bincount(subwords(held, ready), minlength=BUCKETS)
+            held = held[ready:]
+    return n + np.bincount(subwords(held), minlength=BUCKETS)
+
+
 def counted(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares of the text's subwords."""
     at, n = np.unique(subwords(flat), return_counts=True)
@@ -133,20 +156,19 @@ class Model:
     slope: tuple[float, float]  # of the logits, and how it grows with the subwords' number
     least: float  # score from which an answer is accepted
 
-    def logits(self, buckets: np.ndarray) -> np.ndarray:
+    def logits(self, counts: np.ndarray) -> np.ndarray:
         """The linear layer over the mean embedding: each bucket's weights as often as it comes up."""
-        return np.bincount(buckets, minlength=BUCKETS).astype(np.float32) @ self.weights / len(buckets) + self.bias
+        return counts.astype(np.float32) @ self.weights / counts.sum() + self.bias
 
     def scale(self, n: np.ndarray | int) -> np.ndarray:
         return np.exp(self.slope[0] + self.slope[1] * np.log(n))
 
     def answer(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether it is rejected."""
-        flat, starts = words_of(text or "")
-        if not len(starts) or not self.languages:
+        counts = totals(text or "")
+        if not counts.any() or not self.languages:
             return UNKNOWN, 0.0, True
-        buckets = subwords(flat)
-        z = self.logits(buckets) * self.scale(len(buckets))
+        z = self.logits(counts) * self.scale(counts.sum())
         best = int(z.argmax())
         score = float(1 / np.exp(z - z[best]).sum())
         return self.languages[best], score, score < self.least
