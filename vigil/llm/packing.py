@@ -5,7 +5,7 @@ tables have equal pieces. A shard holds a BM25 inverted index over its documents
 token ids; document frequencies and the mean length are those of the whole corpus). The first unused document is a seed; full windows of its own come
 first, and what is left of it opens a window. The index is asked with all distinct terms of the seed and returns its unused neighbours
 by score; they fill the window greedily, the last one cut to fit, its rest staying unused. When no neighbour shares a term, the next unused document
-follows in order. So only the last window of a shard can be padded, one of some two thousand; a shard holds some thousands of documents.
+follows in order. So only the last window of a shard can be padded, one of some five hundred; a shard holds about a thousand documents.
 
 Ids are those of `tokenizers` for the given file; texts of common characters go through the same vocabulary in tiktoken,
 which gives the same ids faster; any other text goes through tokenizers itself.
@@ -32,7 +32,7 @@ from vigil.llm.common import Out, rows_of, text_bytes, written
 
 LENGTH, END = 2048, 1
 #: Ids of a shard.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 1_000_000
 K1, B = 1.2, 0.75
 #: Texts of only these are encoded alike by both libraries: their classes of letters, digits and spaces agree there.
 COMMON = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2010-\u2027\u20ac]*")
