@@ -5,7 +5,8 @@ needs a later one). Corpus statistics cover every training document: counts of w
 (see exchange), and of subword pairs, whose size the vocabulary bounds. From the pair counts follow P(subword | class,
 subword before) and a prior P(class | subword before); self-attention over the context corrects the prior. Its
 weights are fitted on every window of every training document: in rounds that take disjoint and growing shares of the documents, each
-task runs Adam in numpy over its part from the round's weights, and the tasks' weights are averaged by their windows.
+task runs Adam in numpy over its part from the round's weights, and the tasks' weights are averaged by their windows. Where all windows make fewer than FIT_STEPS steps, they are gone
+over again, up to 30 times.
 
 Scoring: the subwords of a text are cut into windows of WINDOW with CONTEXT overlapping ones; each subword is scored once, with a
 causal mask, many windows at a time. A word's probability by attention, that its subwords come and that the word then ends, is mixed
