@@ -147,3 +147,58 @@ def test_two_that_cross_keep_their_tracks_and_end_when_all_is_empty():
     a, b = [(0.8, 0.3 + 0.05 * i, 0.1, 0.1) for i in range(5)], [(0.1 + 0.1 * i, 0.1 + 0.1 * i, 0.15, 0.15) for i in range(5)]
     got, tracker = numbers([[a[0], b[0]], [a[1], b[1]], [b[2], a[2]], [b[3], a[3]], [b[4], a[4]], [], [], [], [], []], overlap=0.2)
     assert got[:5] == [[1, 2], [1, 2], [2, 1], [2, 1], [2, 1]] and tracker.tracks == []
+
+
+def scattered(sources, frames, steady=False):
+    """Boxes here and there, which overlap now and then; and with steady one that is always there."""
+    rnd, rows = random.Random(5), []
+    for s in sources:
+        for f in range(frames):
+            for k in range(rnd.randrange(5)):
+                rows.append((s, f, "boat", k, 0.5, rnd.randrange(300), rnd.randrange(200), rnd.randrange(30, 90), rnd.randrange(30, 90), [1.0, 0.5] if rnd.random() < 0.5 else [rnd.random() - 0.5, 1.0]))
+            rows += [(s, f, "car", 9, 0.5, 600 + f % 3, 600, 50, 60, [0.0, 1.0])] if steady else []
+    return rows
+
+
+BOXES = "source_id string, frame_id long, label string, tracking_id int, confidence double, x int, y int, w int, h int, look array<double>"
+
+
+@pytest.mark.parametrize("steady", [False, True])
+@pytest.mark.parametrize("appearance", [False, True])
+def test_blocks_of_frames_have_the_tracks_of_one_tracker(spark, steady, appearance, monkeypatch):
+    """Blocks that go on alike are put together; sources of which that isn't true, as one object is always there, go through one tracker."""
+    from vigil.operators.appearance import AppearanceTracker, appearance_tracks
+
+    dets, want = spark.createDataFrame(scattered(("a", None), 400, steady), BOXES), []
+    rows = sorted((tuple(r) for r in dets.collect()), key=lambda r: (str(r[0]), r[1], *r[5:9], *r[2:5]))
+    for s in ("None", "a"):
+        tracker, last = AppearanceTracker(threshold=0.6, streak=2, misses=4) if appearance else folds.Tracker(), None
+        for f in sorted({r[1] for r in rows if str(r[0]) == s}):
+            g = [r for r in rows if str(r[0]) == s and r[1] == f]
+            boxes = np.array([r[5:9] for r in g], float)
+            if not appearance:
+                for _ in range(0 if last is None else min(f - last - 1, 4)):
+                    tracker.step(np.zeros((0, 4)))
+                last = f
+            ids = tracker.step(boxes, np.array([r[9] for r in g])) if appearance else tracker.step(boxes)
+            want += [(*r[1:9], f"{s}_{i}") for r, i in zip(g, ids, strict=True) if i]
+    alone = []
+    monkeypatch.setattr(folds, "_by_blocks", lambda rows, *a, plain=folds._by_blocks: alone.append(rows) or plain(rows, *a))
+    cut = {"size": 100, "warm_up": 60}
+    got = appearance_tracks(dets, "look", **cut, threshold=0.6, streak=2, misses=4) if appearance else folds.sort_tracks(dets.drop("look"), **cut)
+    assert want and sorted(tuple(r)[1:] for r in got.collect()) == sorted(want)
+    assert steady <= (len(alone) == 2)
+
+
+def test_boxes_that_meet_no_track_need_no_assignment(monkeypatch):
+    monkeypatch.setattr(folds, "assign", None)
+    got, _ = numbers([[(100 * i, 0, 20, 20), (0, 100 + 100 * i, 20, 20)] for i in range(6)])
+    assert got == [[2 * i + 1, 2 * i + 2] for i in range(6)]
+
+
+def test_assignments_number_by_number_are_those_of_arrays():
+    rnd = np.random.default_rng(1)
+    for t in range(300):
+        n, m = sorted(rnd.integers(1, 9, 2))
+        c = rnd.integers(-4, 3, (n, m)).astype(float) if t % 2 else rnd.random((n, m))
+        assert list(folds._paths(c))[1:] == folds._paths_of_few(c.tolist())[1:]
