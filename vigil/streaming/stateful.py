@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vigil.operators.folds import ACCESS, Tracker
+from vigil.operators.folds import ACCESS, _Sort, starts
 from vigil.operators.keyed import Rule
 from vigil.sources.shared import delete, run_dir
 
@@ -110,14 +110,13 @@ def sort_tracks(stream: DataFrame, overlap: float = 0.3, misses: int = 3) -> Dat
     order = ["frame_id", "x", "y", "w", "h"]
 
     def run(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(overlap, misses), None)
-        rows, ids = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable"), []
-        for frame, g in rows.groupby("frame_id", sort=True):
-            for _ in range(0 if last is None else min(int(frame) - last - 1, misses + 1)):
-                tracker.step(g[["x", "y", "w", "h"]].to_numpy(float)[:0])
-            last = int(frame)
-            ids += tracker.step(g[["x", "y", "w", "h"]].to_numpy(float))
-        state.update((pickle.dumps((tracker, last)),))
+        track, ids = pickle.loads(state.get[0]) if state.exists else _Sort(overlap, misses), []
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        boxes, frames = rows[["x", "y", "w", "h"]].to_numpy(float), rows["frame_id"].to_numpy()
+        begins = starts(frames)
+        for frame, i, j in zip(frames[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(rows)], strict=True):
+            ids += track(frame, boxes[i:j])
+        state.update((pickle.dumps(track),))
         yield rows.assign(track_id=[f"{k[0]}_{i}" for i in ids])
 
     rows = stream.select("source_id", "frame_id", "label", "x", "y", "w", "h").dropna()
