@@ -83,3 +83,14 @@ def test_regions_of_heat(spark):
     assert got == [("a", 0, 0, 0, 0, 20, 20)]
     assert sorted(tuple(r)[2:] for r in motion.heat_regions(df, "regions", 10, 10, (100, 75), 0, most=2).filter("block = 0").collect()) == [(0, 0, 0, 20, 20), (1, 50, 50, 10, 10)]
     assert motion.heat_regions(df.limit(0), "regions", 10, 10, (100, 75), 0).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [7, 20, 30])
+def test_heat_by_stretches_equals_frame_by_frame(spark, stretch):
+    """Cells come into a stretch cold, warm and at their most; no row a cell and block is shuffled."""
+    rnd = random.Random(stretch)
+    frames = [[(rnd.randrange(-30, 120), rnd.randrange(-30, 90), rnd.choice([5, 30, 90]), rnd.randrange(1, 60)) for _ in range(rnd.choice([0, 0, 1, 3]))] for _ in range(211)]
+    rows = [("a", n, [dict(zip("xywh", r)) for r in frame] or None) for n, frame in enumerate(frames)]
+    df = spark.createDataFrame(rows, "source_id string, frame_id long, regions array<struct<x:int,y:int,w:int,h:int>>")
+    got = {(r.block, r.cx, r.cy): r.heat for r in motion.heat(df, "regions", 7, 10, (100, 75), stretch=stretch).collect()}
+    assert got == picture(frames, 7, 10, 100, 75)
