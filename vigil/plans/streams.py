@@ -112,13 +112,13 @@ def tile_stitching(spark, d):
 
 @query()
 def stream_sort_tracking(spark, d):
-    """The relational table as a stream of detections, in one micro-batch, so that no frame is cut."""
-    lines = stateful.source(spark, d, "lineitem")
+    """The relational table as a stream of detections in order; no frame is cut."""
+    lines = stateful.in_order(spark, d, "lineitem", F.expr("l_orderkey div 4"))
     return stateful.drain(stateful.sort_tracks(views.detections_of(lines)), "tracks")
 
 
 def _sightings(spark, d):
-    dets = views.detections_of(stateful.source(spark, d, "lineitem"))
+    dets = views.detections_of(stateful.in_order(spark, d, "lineitem", F.expr("l_orderkey div 4")))
     return dets.withColumn("object_id", F.concat_ws("_", "source_id", "label", "tracking_id"))
 
 

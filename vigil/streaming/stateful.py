@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,6 +29,24 @@ def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+#: Rows of a micro-batch of a table that is fed in order.
+AT_ONCE = 4_000_000
+
+
+def in_order(spark: SparkSession, sf_dir: str, name: str, order: Column, rows: int | None = None) -> DataFrame:
+    """A table as a stream in order, about so many rows in a micro-batch, so that state is all that grows; rows of one place in order come together. The table is laid out anew in the shared folder, a file a micro-batch;
+    the files' times say their order."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    at = f"{run_dir(spark)}/feed-{uuid.uuid4().hex}"
+    table.repartitionByRange(max(1, -(-table.count() // (rows or AT_ONCE))), order).write.parquet(at)
+    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath() for f in files.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, path in enumerate(found):
+        files.setTimes(path, 1_000_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def proceed(stream: DataFrame, at: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Runs an append stream over what its source holds now, on from where the last run stopped, and gives the table at this place. conf holds while it starts."""
     spark = stream.sparkSession
