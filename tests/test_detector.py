@@ -51,3 +51,18 @@ def test_tiles_cover_a_picture_once():
             assert part.size and (again[y : y + part.shape[0], x : x + part.shape[1]] == -1).all()
             again[y : y + part.shape[0], x : x + part.shape[1]] = part
         assert (again == p).all()
+
+
+def test_looks_share_one_pass_and_stacks_say_what_lists_say(spark):
+    boxes = [(0, 0, 1, 1), (20, 10, 30, 30), (24, 18, 24, 18), (95, 50, 6, 11)]
+    rows = [("s", i, 101, 61, bytearray(picture(101, 61, b).tobytes())) for i, b in enumerate(boxes)] + [("s", 9, 7, 5, bytearray(picture(7, 5, (6, 4, 1, 1)).tobytes() + b"rest")), ("s", 10, 7, 5, bytearray(35))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = detector.looks(df, "b", BrightParts, {"whole": {}, "small": {"batch_bytes": 1}, "tiles": {"tiles": (4, 3), "batch_bytes": 7000}})
+    want = [("s", i, *b) for i, b in enumerate(boxes)] + [("s", 9, 6, 4, 1, 1)]
+    for look in ("whole", "small", "tiles"):
+        assert rows_of(found.filter(found.look == look).drop("look")) == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    stack = np.stack([picture(96, 54, b) for b in ((3, 4, 5, 6), (0, 0, 96, 54), (0, 0, 0, 0), (95, 53, 1, 1))])
+    listed = [(i, *f) for i, boxes in enumerate(BrightParts().detect(list(stack))) for f in boxes]
+    for s in (stack, np.repeat(np.repeat(stack, 2, 1), 2, 2)[:, ::2, ::2]):
+        assert [tuple(r) for r in zip(*BrightParts().detect_stack(s), strict=True)] == listed
