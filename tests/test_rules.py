@@ -174,3 +174,12 @@ def test_tracks_of_long_sources_are_whole(spark):
     assert len(got) == 3 and all((r.n, r.tracks) == (4100, 1) for r in got)
     seen = appearance.appearance_tracks(dets, "look", threshold=0.3, streak=3).groupBy("source_id").agg(F.min("frame_id").alias("first"), F.count("*").alias("n"), F.countDistinct("track_id").alias("tracks")).collect()
     assert len(seen) == 3 and all((r.first, r.n, r.tracks) == (4, 4097, 1) for r in seen)
+
+
+def test_drawing_works_shapes_out_once(spark):
+    """Before, the array of shapes stood again in the function of each of its elements."""
+    box = Box(*map(F.lit, (1, 2, 3, 4)))
+    marks = F.transform("n", lambda i: shapes.box_shape(F.concat(F.lit("mark"), i.cast("string")), box, z=F.when(i % 2 == 0, i)))
+    df = spark.createDataFrame([([4, 1, 2, 3, 0, 4],), ([],), (None,)], "n array<int>").select(shapes.drawn(marks).alias("s"))
+    assert [r.s and [x.id for x in r.s] for r in df.collect()] == [["bbox_mark1", "bbox_mark3", "bbox_mark0", "bbox_mark2", "bbox_mark4", "bbox_mark4"], [], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("mark") == 1

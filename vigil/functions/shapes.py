@@ -59,10 +59,10 @@ def line_shapes(pairs: Column, name: str, look: Column) -> Column:
 
 
 def drawn(shapes: Column) -> Column:
-    """Visible shapes by their own z, else their style's (none: 0); of equal ones in the order they were added."""
+    """Visible shapes by their own z, else their style's (none: 0); of equal ones in the order they were added. Each shape is sorted along with its place, so that the array is worked out once."""
     seen = F.filter(shapes, lambda s: F.coalesce(s["style"]["visible"], F.lit(True)))
-    keyed = F.transform(seen, lambda s, i: F.struct(F.coalesce(s["z"], s["style"]["z_index"], F.lit(0)).alias("z"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda k: F.get(seen, k["i"]))
+    keyed = F.transform(seen, lambda s, i: F.struct(F.coalesce(s["z"], s["style"]["z_index"], F.lit(0)).alias("z"), i.alias("i"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
 def bag_set(bag: Column, name: str, value: Column) -> Column:
