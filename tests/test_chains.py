@@ -111,3 +111,15 @@ def test_tables_are_read_once_or_twice(spark):
     df = QUERIES["pipeline_smuggling"](spark, "/root/testdata/sf0.001")
     assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString()  # the tagged frames are read, not the table
     assert windows.BLOCK == 4096
+
+
+def test_a_throttled_span_holds_many_intervals(spark):
+    """A group is a block of up to a thousand intervals, not of 64; the answer is the greedy one, across spans too."""
+    assert folds.SPAN >= 1024
+    n, interval = 6000, 3
+    rows = spark.range(n).select(F.lit("s").alias("k"), (F.col("id") * 7 % 11 + F.col("id") * 2).alias("us"))
+    want, last = [], None
+    for us in sorted({i * 7 % 11 + i * 2 for i in range(n)}):
+        if last is None or us >= last + interval:
+            want, last = [*want, us], us
+    assert sorted(r.us for r in folds.throttle(rows, "k", "us", interval).collect()) == want
