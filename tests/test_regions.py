@@ -109,3 +109,16 @@ def test_a_positioned_scan_reads_only_files_in_its_range(spark, tmp_path):
     assert "GreaterThanOrEqual(l_orderkey,400)" in plan and "LessThanOrEqual(l_orderkey,903)" in plan
     metrics = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics()
     assert metrics.apply("numOutputRows").value() < lines.count() / 2
+
+
+def test_the_box_in_a_polygon_never_says_otherwise_than_its_edges(spark):
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        points = [{"NormalizedX": rng.randrange(0, 11) / 10, "NormalizedY": rng.randrange(0, 11) / 10} for _ in range(rng.randrange(3, 8))]
+        rows.append((i, regions.polygon(points, 20, 20)))
+    square = regions.polygon([{"NormalizedX": x, "NormalizedY": y} for x, y in ((0.1, 0.1), (0.9, 0.1), (0.9, 0.8), (0.1, 0.8))], 20, 20)
+    assert square["inner"] == {"x0": 2.0, "y0": 2.0, "x1": 18.0, "y1": 16.0}
+    assert sum(r["inner"] is not None for _, r in rows) > 10
+    df = spark.createDataFrame(rows, f"i int, s struct<{regions.SHAPE}>").crossJoin(spark.range(22 * 22).select((F.col("id") % 22).cast("double").alias("px"), F.floor(F.col("id") / 22).cast("double").alias("py")))
+    px, py, s = F.col("px"), F.col("py"), F.col("s")
+    assert df.filter(~regions.within_shape(px, py, s).eqNullSafe(regions.within(px, py, s))).count() == 0
