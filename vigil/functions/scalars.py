@@ -53,7 +53,7 @@ def softmax(a: Column) -> Column:
 def strip_fences(text: Column) -> Column:
     """One leading and one trailing code fence go, and white space around what they hold."""
     bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
-    return bare(F.regexp_replace(F.regexp_replace(bare(text), "^(?:```|''')(?:json)?", ""), "(?:```|''')$", ""))
+    return F.when(text.startswith("{") & text.endswith("}"), text).otherwise(bare(F.regexp_replace(F.regexp_replace(bare(text), "^(?:```|''')(?:json)?", ""), "(?:```|''')$", "")))  # most have none
 
 
 def flexible_string(json: Column, path: str) -> Column:
@@ -103,6 +103,11 @@ def decoded(text: Column, schema: str) -> Column:
     return F.get(F.transform(F.array(strip_fences(text)), read), F.lit(0))
 
 
+def readable(text: Column) -> Column:
+    """Is decoded() of the text anything but null, whatever the schema: a JSON object is read to a struct, if to one of nulls."""
+    return F.coalesce(F.get(F.transform(F.array(strip_fences(text)), lambda t: F.try_parse_json(t).isNotNull() & t.startswith("{")), F.lit(0)), F.lit(False))
+
+
 #: Fields of the models' answers.
 OCCURRED = "isObjOccurred boolean, occurredObjects array<struct<type:string,conf:double,bbox_2d:array<int>>>"
 ACTION = "Conclusion string, Action string"
