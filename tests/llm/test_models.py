@@ -209,3 +209,25 @@ def test_word_hashes_tell_words_apart_and_only_words():
     assert len(set(got.tolist())) == len(set(words)) + 1
     assert (got[0], got[1]) == (got[9], got[8])
     assert len(lm._tokens(lm.encode(b" \n", path), path)) == 1
+
+
+def test_texts_together_equal_texts_alone():
+    path, rng = tokenizer_path("byte_bpe_50k.json"), np.random.default_rng(4)
+    texts = [lm.encode(b" ".join(rng.choice([b"the", b"cat", b"zyzzyva", b"12"], n)), path) for n in (0, 1, 40, 0, 300, 7)]
+    model = lm.Model(rng.integers(0, 3, (lm.SUBWORDS + 2, lm.SUBWORDS + 2)))
+    for got, want in zip(lm.windows_of(*texts), zip(*map(lm.windows_of, texts)), strict=True):
+        assert np.array_equal(got, np.concatenate(want))
+    h, lengths = lm._tokens_of(texts, path)
+    assert np.array_equal(h, np.concatenate([lm._tokens(t, path) for t in texts])) and lengths.tolist() == [len(lm._tokens(t, path)) for t in texts]
+    apart = model.with_boundaries(texts, path)
+    counts = np.split(np.arange(len(h)) % 5, np.cumsum(lengths)[:-1])
+    for tokens in (0, 100):
+        got = lm.mixed_of(texts, *map(np.concatenate, zip(*apart)), np.concatenate(counts), tokens, path)
+        assert np.allclose(got, [lm.mixed(t, *a, c, tokens, path) for t, a, c in zip(texts, apart, counts)], rtol=1e-12)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        asked = np.concatenate([keys, rng.integers(0, 1 << 64, 999, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert np.array_equal(lm._places_in(keys)(asked), np.searchsorted(keys, asked))
+    rows = [(i, b"x" * n) for i, n in enumerate([5] * 130 + [1 << 19] * 3 + [0] * 3)]
+    groups = list(lm._together(iter(rows), 1))
+    assert sum(groups, []) == rows and [len(g) for g in groups] == [64, 64, 3, 1, 1, 3]

@@ -20,6 +20,7 @@ of the input are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -57,7 +58,7 @@ def subwords(path: str):
 def encode(text: bytes, path: str) -> np.ndarray:
     """The subwords of the lower-case words, each with a blank before it."""
     words = b" ".join(text.lower().split())
-    return subwords(path).encode_to_numpy(" " + words.decode(), disallowed_special=()).astype(np.uint16) if words else np.zeros(0, np.uint16)
+    return np.frombuffer(array("H", subwords(path).encode_ordinary(" " + words.decode()) if words else ()), np.uint16)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -84,13 +85,54 @@ def _word_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
 def _tokens(ids: np.ndarray, path: str) -> np.ndarray:
     """Hashes of the words that the subwords spell, then of the end. A word has one sequence of subwords; its hash is the sum of
     its subwords' values, each times a value of the place in the word."""
-    if not len(ids):
-        return np.array([_END_WORD])
+    return _tokens_of([ids], path)[0]
+
+
+def _tokens_of(texts: list[np.ndarray], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """_tokens() of texts, one after the other, and how many each has."""
+    ids = np.concatenate(texts)
     begins, value = _word_tables(path)
     at = np.flatnonzero(begins[ids])
-    place = np.arange(len(ids)) - np.repeat(at, np.diff(at, append=len(ids)))
-    factor = mix(mix(np.arange(1, place.max() + 2, dtype=np.uint64))) | np.uint64(1)
-    return np.append(mix(np.add.reduceat(value[ids] * factor[place], at)), _END_WORD)
+    words = np.searchsorted(at, np.cumsum([len(t) for t in texts]))
+    ends = words + np.arange(len(texts))
+    out = np.full(len(at) + len(texts), _END_WORD)
+    if len(at):
+        place = np.arange(len(ids)) - np.repeat(at, np.diff(at, append=len(ids)))
+        factor = mix(mix(np.arange(1, place.max() + 2, dtype=np.uint64))) | np.uint64(1)
+        spelt = np.ones(len(out), bool)
+        spelt[ends] = False
+        out[spelt] = mix(np.add.reduceat(value[ids] * factor[place], at))
+    return out, np.diff(ends, prepend=-1)
+
+
+def _together(rows: Iterator[tuple], ids: int, size: int = 1 << 18) -> Iterator[list[tuple]]:
+    """The rows in lists of at most 64, which end once they hold so many bytes in the column ids."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[ids])
+        if n >= size or len(held) == 64:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _places_in(keys: np.ndarray):
+    """h -> np.searchsorted(keys, h), for sorted hashes: the leading bits of one nearly say its place, and a few steps lead there."""
+    bits = max(1, min(24, len(keys).bit_length() + 1))
+    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def places(h: np.ndarray) -> np.ndarray:
+        at = first[(h >> np.uint64(64 - bits)).astype(np.int64)]
+        behind = np.flatnonzero(keys[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[keys[at[behind]] < h[behind]]
+        return at
+
+    return places
 
 
 def _word_counts(path: str, parts: int):
@@ -107,9 +149,10 @@ def _word_counts(path: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         n = 0
-        for out_of_it, ids, b in rows_of(batches):
-            keys = _tokens(np.frombuffer(ids, np.uint16), path)
-            held.setdefault(b, []).append((keys, int(not out_of_it)))
+        for some in _together(rows_of(batches), 1):
+            keys, lengths = _tokens_of([np.frombuffer(ids, np.uint16) for _, ids, _ in some], path)
+            for (out_of_it, _, b), k in zip(some, np.split(keys, np.cumsum(lengths)[:-1]), strict=True):
+                held.setdefault(b, []).append((k, int(not out_of_it)))
             n += len(keys)
             if n >= HELD:
                 yield from send(held)
@@ -141,14 +184,21 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training ids -> per task, counts of (subword before, subword), one row per subword before."""
     side = SUBWORDS + 2
     table = np.zeros(side * side, np.int64)
+    held, size = [], 0
+
+    def add() -> None:
+        before = np.concatenate([x for ids in held for x in ([BEGIN], ids)]).astype(np.int64)
+        after = np.concatenate([x for ids in held for x in (ids, [END])]).astype(np.int64)
+        np.add(table, np.bincount(before * side + after, minlength=side * side), out=table)
+
     for (ids,) in rows_of(batches):
-        ids = np.frombuffer(ids, np.uint16).astype(np.int64)
-        pairs = np.concatenate([[BEGIN], ids]) * side + np.concatenate([ids, [END]])
-        if len(pairs) < 20_000:
-            found, n = np.unique(pairs, return_counts=True)
-            table[found] += n
-        else:
-            table += np.bincount(pairs, minlength=side * side)
+        held.append(np.frombuffer(ids, np.uint16))
+        size += len(ids)
+        if size >= 1 << 20:
+            add()
+            held, size = [], 0
+    if held:
+        add()
     table = table.reshape(side, side)
     at = np.flatnonzero(table.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([table[i].tobytes() for i in at], pa.binary())], ["before", "counts"])
@@ -197,6 +247,21 @@ def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | n
     return e, e @ one, top
 
 
+def _blocks(n: int) -> int:
+    """Into how many equal blocks n windows go: BLAS multiplies blocks of a few hundred rows by narrow matrices faster than all rows at once."""
+    return n // next(k for k in range(12, 0, -1) if n % k == 0) if n else 1
+
+
+def _times(a: np.ndarray, b: np.ndarray, blocks: int) -> np.ndarray:
+    """a @ b for many rows of a."""
+    return (a.reshape(blocks, -1, a.shape[1]) @ np.ascontiguousarray(b)).reshape(len(a), -1)
+
+
+def _over(a: np.ndarray, b: np.ndarray, blocks: int) -> np.ndarray:
+    """a.T @ b for many rows of both."""
+    return (a.reshape(blocks, -1, a.shape[1]).transpose(0, 2, 1) @ b.reshape(blocks, -1, b.shape[1])).sum(0)
+
+
 class Model:
     def __init__(self, pairs: np.ndarray, seed: int = 11):
         rnd, d = np.random.default_rng(seed), WIDTH
@@ -239,48 +304,58 @@ class Model:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability of the classes of y where real. forward() again, with fewer passes over large arrays."""
-        w, g, n, d = self.w, {}, len(x), WIDTH
-        root = np.float32(np.sqrt(d))
-        wide, flat = (lambda t: t.reshape(n, -1, d)), (lambda t: t.reshape(-1, d))
-        xe = w["e"][x]
+        w, g, n, d, before = self.w, {}, len(x), WIDTH, x[:, CONTEXT:].ravel()
+        root, cut = np.float32(np.sqrt(d)), _blocks(n)
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        turned = lambda t: t.transpose(0, 2, 1)
+        xe = np.take(w["e"], x, 0)
         xe += w["p"]
-        fx, fq = flat(xe), flat(xe[:, CONTEXT:])
-        q, k, v = wide(fq @ (w["q"] / root)), wide(fx @ w["k"]), wide(fx @ w["v"])
-        s = q @ k.transpose(0, 2, 1)
+        both = np.concatenate([w["k"], w["v"]], 1)
+        kv = _times(flat(xe), both, cut).reshape(n, -1, 2 * d)
+        k, v = kv[..., :d], kv[..., d:]
+        wide = np.empty((n, x.shape[1] - CONTEXT, 2 * d), np.float32)  # what the hidden layer gets
+        wide[..., :d] = xe[:, CONTEXT:]
+        fin = flat(wide)
+        q = wide[..., :d] @ (w["q"] / root)
+        s = q @ turned(k)
         s += self.mask
         a, total, _ = _exponentials(s)
         a *= (1 / total)[..., None]
-        seen = a @ v
-        fin = np.concatenate([fq, flat(seen)], 1)
-        hid = fin @ w["h"]
+        seen = np.matmul(a, v, out=wide[..., d:])
+        hid = _times(fin, w["h"], cut)
         hid += w["hb"]
         np.maximum(hid, 0, out=hid)
-        z = hid @ w["o"]
-        z += w["ob"]
-        z += self.prior[x[:, CONTEXT:].ravel()]
+        z = _times(hid, w["o"], cut)
+        z += np.take(self.prior + w["ob"], before, 0)
         dz, total, _ = _exponentials(z)
         share = (real.ravel() / max(real.sum(), 1)).astype(np.float32)
         dz *= (share / total)[:, None]
-        dz[np.arange(len(dz)), self.of[y].ravel()] -= share
-        g["o"], g["ob"] = hid.T @ dz, dz.sum(0)
-        dh = dz @ w["o"].T
+        dz.ravel()[np.arange(0, dz.size, CLASSES) + self.of[y].ravel()] -= share
+        one = np.ones(len(dz), np.float32)
+        g["o"], g["ob"] = _over(hid, dz, cut), one @ dz
+        dh = _times(dz, w["o"].T, cut)
         dh *= hid > 0
-        g["h"], g["hb"] = fin.T @ dh, dh.sum(0)
-        din = dh @ w["h"].T
-        da = wide(din[:, d:])
-        dv = flat(a.transpose(0, 2, 1) @ da)
-        ds = da @ v.transpose(0, 2, 1)
-        ds -= (da * seen).sum(2, keepdims=True)
+        g["h"], g["hb"] = _over(fin, dh, cut), one @ dh
+        da = _times(dh, w["h"][d:].T, cut).reshape(n, -1, d)
+        ds = da @ turned(v)
+        ds -= np.einsum("nij,nij->ni", da, seen)[..., None]
         ds *= a
-        dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
-        g["q"], g["k"], g["v"] = fq.T @ dq / root, fx.T @ dk, fx.T @ dv
-        dx = wide(dk @ w["k"].T + dv @ w["v"].T)
-        dx[:, CONTEXT:] += wide(din[:, :d] + dq @ (w["q"] / root).T)
-        g["p"], g["e"] = dx.sum(0), np.zeros_like(w["e"])
-        order = np.argsort(x, axis=None, kind="stable")
+        dq = flat(ds @ k)
+        dkv = np.empty_like(kv)
+        np.matmul(turned(ds), q, out=dkv[..., :d])
+        np.matmul(turned(a), da, out=dkv[..., d:])
+        g["q"], gkv = _over(fin[:, :d], dq, cut) / root, _over(flat(xe), flat(dkv), cut)
+        g["k"], g["v"] = gkv[:, :d], gkv[:, d:]
+        dx = _times(flat(dkv), both.T, cut).reshape(xe.shape)
+        dxq = _times(dh, w["h"][:d].T, cut)
+        dxq += _times(dq, (w["q"] / root).T, cut)
+        dx[:, CONTEXT:] += dxq.reshape(n, -1, d)
+        g["p"] = dx.sum(0)
+        g["e"] = np.zeros_like(w["e"])
+        order = np.argsort(x.astype(np.uint16), axis=None, kind="stable")  # 16 bits are sorted by radix
         of = x.ravel()[order]
         at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        g["e"][of[at]] = np.add.reduceat(flat(dx)[order], at, 0)
+        g["e"][of[at]] = np.add.reduceat(np.take(flat(dx), order, 0), at, 0)
         return g
 
     def start(self) -> dict[str, np.ndarray]:
@@ -290,8 +365,12 @@ class Model:
     def learn(self, state: dict[str, np.ndarray], texts: Iterator[np.ndarray], passes: int, rates: tuple[float, float], steps: float) -> tuple[dict[str, np.ndarray], int]:
         """The state after Adam over all windows of the texts, FIT_HELD windows at a time in mixed order, each `passes` times, and the
         number of windows. The rate falls from the first to the second of rates over so many steps."""
-        state = {k: v.copy() for k, v in state.items()}
-        self.w = {k: state[k] for k in self.w}
+        cuts, at = {}, 0
+        for k, v in self.w.items():
+            cuts[k], at = slice(at, at + v.size), at + v.size
+        flat = {t: np.concatenate([state[t + k].ravel() for k in cuts]) for t in ("", "m_", "s_")}  # one step for all weights
+        state = {t + k: flat[t][c].reshape(self.w[k].shape) for t in flat for k, c in cuts.items()} | {"steps": state["steps"].copy()}
+        self.w = {k: state[k] for k in cuts}
         rnd, n, done, held, size = np.random.default_rng(5), 0, 0, [], 0
 
         def step(x: np.ndarray, y: np.ndarray, real: np.ndarray) -> None:
@@ -300,26 +379,24 @@ class Model:
             state["steps"] += 1
             t = float(state["steps"][0])
             rate = (rates[0] + (rates[1] - rates[0]) * min(1, done / steps)) * min(1, t / 20)
-            for k, g in self.gradients(x, y, real).items():
-                m, s = state[f"m_{k}"], state[f"s_{k}"]
-                m += np.float32(0.1) * (g - m)
-                s += np.float32(0.01) * (g * g - s)
-                self.w[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            found = self.gradients(x, y, real)
+            g, m, s = np.concatenate([found[k].ravel() for k in cuts]), flat["m_"], flat["s_"]
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            flat[""] -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
 
         def flush() -> None:
-            x, y, real = (np.concatenate(c) for c in zip(*held, strict=True))
+            x, y, real = windows_of(*held)
             for _ in range(passes):
                 for at in np.array_split(rnd.permutation(len(x)), -(-len(x) // FIT_BATCH)):
                     step(x[at], y[at], real[at])
 
         for ids in texts:
-            windows = windows_of(ids)
-            for i in range(0, len(windows[0]), FIT_HELD):
-                held.append(tuple(c[i : i + FIT_HELD] for c in windows))
-                n, size = n + len(held[-1][0]), size + len(held[-1][0])
-                if size >= FIT_HELD:
-                    flush()
-                    held, size = [], 0
+            held.append(ids)
+            n, size = n + (more := windows_in(ids)), size + more
+            if size >= FIT_HELD:
+                flush()
+                held, size = [], 0
         if held:
             flush()
         return state, n
@@ -339,6 +416,7 @@ class Model:
     def _chunk(self, t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln P of the targets y [n, WINDOW - CONTEXT] of the windows x, and that a word begins or the text ends there: forward(), by tables()."""
         n, step = y.shape
+        cut = _blocks(n)
         before = x[:, CONTEXT:]
         key = np.take(t["key"], x, 0)
         key += t["key_place"]
@@ -349,10 +427,10 @@ class Model:
         e, total, _ = _exponentials(s)
         seen = (e @ key[..., WIDTH:]).reshape(-1, WIDTH)
         seen /= total.reshape(-1, 1)
-        hid = seen @ self.w["h"][WIDTH:]
+        hid = _times(seen, self.w["h"][WIDTH:], cut)
         hid += query[..., WIDTH:].reshape(-1, HIDDEN)
         np.maximum(hid, 0, out=hid)
-        z = hid @ self.w["o"]
+        z = _times(hid, self.w["o"], cut)
         z += np.take(t["prior"], before.ravel(), 0)
         own = z[np.arange(len(z)), self.of[y].ravel()]
         e, total, top = _exponentials(z)
@@ -361,46 +439,70 @@ class Model:
         boundary = np.log(np.maximum(boundary, np.float32(1e-30))) - log_total
         return (own - log_total - top + self.subword[before.ravel(), y.ravel()]).reshape(n, step), np.minimum(boundary, 0).reshape(n, step)
 
-    def log_probabilities(self, texts: list[np.ndarray], chunk: int = 32) -> list[np.ndarray]:
+    def log_probabilities(self, texts: list[np.ndarray], chunk: int = 96) -> list[np.ndarray]:
         """ln P of each subword and of the end, given all before it in its window."""
-        return [own for own, _ in self._scores(texts, np.zeros(END + 1, bool), chunk)]
+        return np.split(self._scores(texts, self.tables(np.zeros(END + 1, bool)), chunk)[0], np.cumsum([len(t) + 1 for t in texts])[:-1])
 
     def with_boundaries(self, texts: list[np.ndarray], path: str) -> list[tuple[np.ndarray, np.ndarray]]:
         """log_probabilities(), and ln P that a word begins or the text ends there."""
-        return self._scores(texts, np.append(_word_tables(path)[0], True))
+        cuts = np.cumsum([len(t) + 1 for t in texts])[:-1]
+        return list(zip(*(np.split(c, cuts) for c in self._scores(texts, self.tables(np.append(_word_tables(path)[0], True)))), strict=True))
 
-    def _scores(self, texts: list[np.ndarray], begins: np.ndarray, chunk: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
-        x, y, real = (np.concatenate(c) for c in zip(*map(windows_of, texts), strict=True))
-        out, ends, t = np.empty(y.shape, np.float32), np.empty(y.shape, np.float32), self.tables(begins)
+    def _scores(self, texts: list[np.ndarray], t: dict[str, np.ndarray], chunk: int = 96) -> tuple[np.ndarray, np.ndarray]:
+        """Both of with_boundaries(), texts one after the other; t: of tables()."""
+        x, y, real = windows_of(*texts)
+        out, ends = np.empty(y.shape, np.float32), np.empty(y.shape, np.float32)
         for i in range(0, len(x), chunk):
             out[i : i + chunk], ends[i : i + chunk] = self._chunk(t, x[i : i + chunk], y[i : i + chunk])
-        cuts = np.cumsum([len(t) + 1 for t in texts])[:-1]
-        return list(zip(np.split(out[real], cuts), np.split(ends[real], cuts), strict=True))
+        return out[real], ends[real]
 
 
 def mixed(ids: np.ndarray, own: np.ndarray, ends: np.ndarray, counts: np.ndarray, tokens: int, path: str) -> float:
     """log10 P(text, end) by words: MIXED times a word's probability by attention, and for the rest its count over all tokens. own and
     ends: of with_boundaries(); counts: of each word and of the end. Both parts sum to one over words and the end, given what is before."""
-    at = np.append(np.flatnonzero(_word_tables(path)[0][ids]) if len(ids) else np.zeros(0, int), len(ids))
+    return float(mixed_of([ids], own, ends, counts, tokens, path)[0])
+
+
+def mixed_of(texts: list[np.ndarray], own: np.ndarray, ends: np.ndarray, counts: np.ndarray, tokens: int, path: str) -> np.ndarray:
+    """mixed() of texts; own, ends and counts of one after the other."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    last = np.cumsum(sizes) - 1
+    begins = np.zeros(len(own), bool)
+    begins[last] = True
+    spelt = ~begins
+    begins[spelt] = _word_tables(path)[0][np.concatenate(texts)]
+    at = np.flatnonzero(begins)
     word = np.add.reduceat(own.astype(np.float64), at) - ends[at]
-    word[:-1] += ends[at[1:]]
-    if not tokens:
-        return float(word.sum() / np.log(10))
-    with np.errstate(divide="ignore"):
-        share = np.log(1 - MIXED) + np.log(counts) - np.log(tokens)
-    return float(np.logaddexp(np.log(MIXED) + word, share).sum() / np.log(10))
+    inside = spelt[at]
+    word[inside] += ends[at[1:]][inside[:-1]]
+    first = np.searchsorted(at, last - sizes + 1)
+    if tokens:
+        with np.errstate(divide="ignore"):
+            word = np.logaddexp(np.log(MIXED) + word, np.log(1 - MIXED) + np.log(counts) - np.log(tokens))
+    return np.add.reduceat(word, first) / np.log(10)
+
+
+def windows_in(ids: np.ndarray) -> int:
+    return -(-(len(ids) + 1) // (WINDOW - CONTEXT))
 
 
-def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of inputs [n, WINDOW], their targets [n, WINDOW - CONTEXT], and which targets are real: each subword and the end once."""
+def windows_of(*texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of inputs [n, WINDOW], their targets [n, WINDOW - CONTEXT], and which targets are real: each subword and the end once; of
+    texts one after the other."""
     step = WINDOW - CONTEXT
-    n = -(-(len(ids) + 1) // step)
-    x = np.full(CONTEXT + n * step, BEGIN, np.int32)
-    x[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids[: n * step - 1]
-    y = np.full(n * step, END, np.int32)
-    y[: len(ids)] = ids
-    real = (np.arange(n * step) <= len(ids)).reshape(n, step)
-    return np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::step], y.reshape(n, step), real
+    first = np.cumsum([0, *map(windows_in, texts)])
+    n = int(first[-1])
+    x, y, real = np.full((n, WINDOW), BEGIN, np.int32), np.full(n * step, END, np.int32), np.zeros(n * step, bool)
+    before = np.full(n * step, BEGIN, np.int32)
+    for at, ids in zip((first * step).tolist(), texts):
+        before[at + 1 : at + 1 + len(ids)] = ids
+        y[at : at + len(ids)] = ids
+        real[at : at + len(ids) + 1] = True
+    before = before.reshape(n, step)
+    x[:, CONTEXT:] = before
+    x[1:, :CONTEXT] = before[:-1, step - CONTEXT :]
+    x[first[:-1], :CONTEXT] = BEGIN
+    return x, y.reshape(n, step), real.reshape(n, step)
 
 
 def _mean(rows: Iterator[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
@@ -463,24 +565,27 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     for r in counts.filter("b = -1").select("keys").collect():  # one row per hash partition
         d, t = np.frombuffer(r["keys"], "<i8")
         distinct, tokens = distinct + int(d), tokens + int(t)
-    sent = spark.sparkContext.broadcast(train(table))  # its size follows from the vocabulary
+    model = train(table)
+    sent = spark.sparkContext.broadcast((model, model.tables(np.append(_word_tables(path)[0], True))))  # its size follows from the vocabulary
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        model = sent.value
+        model, ready = sent.value
         keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in words["keys"]] or [np.zeros(0, np.uint64)])
         found = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in words["counts"]] or [np.zeros(0, np.int64)])
         order = np.argsort(keys)
         keys, found = np.append(keys[order], np.uint64(0)), np.append(found[order], 0)
-        out = []
-        for at in range(0, docs.num_rows, 64):
-            some = docs.slice(at, 64)
-            ids = [np.frombuffer(x.as_py(), np.uint16) for x in some["ids"]]
-            for doc, held, i, (own, ends) in zip(some["doc_id"].to_pylist(), some["held_out"].to_pylist(), ids, model.with_boundaries(ids, path), strict=True):
-                h = _tokens(i, path)
-                place = np.minimum(np.searchsorted(keys[:-1], h), len(keys) - 1)
-                c = np.where(keys[place] == h, found[place], 0)
-                base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))).sum()
-                out.append({"doc_id": doc, "held_out": held, "n_tokens": len(h), "n_known": int((c > 0).sum()), "train_tokens": tokens, "base_score": float(base), "score": mixed(i, own, ends, c, tokens, path)})
-        return pa.Table.from_pylist(out, schema=RESULT)
+        places, out = _places_in(keys[:-1]), []
+        for some in _together(rows_of(docs.select(["doc_id", "held_out", "ids"]).to_batches()), 2):
+            doc, held, raw = zip(*some, strict=True)
+            ids = [np.frombuffer(x, np.uint16) for x in raw]
+            h, lengths = _tokens_of(ids, path)
+            place = places(h)
+            c = np.where(keys[place] == h, found[place], 0)
+            sums = lambda x, first=np.cumsum(lengths) - lengths: np.add.reduceat(x, first)
+            base = sums(np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))))
+            score = mixed_of(ids, *model._scores(ids, ready), c, tokens, path)
+            columns = doc, held, lengths, sums((c > 0).astype(np.int64)), np.full(len(ids), tokens), base, score
+            out.append(pa.table([pa.array(x, t.type) for x, t in zip(columns, RESULT, strict=True)], schema=RESULT))
+        return pa.concat_tables(out) if out else RESULT.empty_table()
 
     return table.groupBy("b").cogroup(counts.filter("b >= 0").groupBy("b")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
