@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.operators.folds import ACCESS, _Sort, starts
 from vigil.operators.keyed import Rule
+from vigil.operators.together import sort_ids
 from vigil.sources.shared import delete, run_dir
 
 
@@ -128,14 +129,13 @@ def sort_tracks(stream: DataFrame, overlap: float = 0.3, misses: int = 3) -> Dat
     order = ["frame_id", "x", "y", "w", "h"]
 
     def run(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        track, ids = pickle.loads(state.get[0]) if state.exists else _Sort(overlap, misses), []
+        track = pickle.loads(state.get[0]) if state.exists else _Sort(overlap, misses)
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
         boxes, frames = rows[["x", "y", "w", "h"]].to_numpy(float), rows["frame_id"].to_numpy()
         begins = starts(frames)
-        for frame, i, j in zip(frames[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(rows)], strict=True):
-            ids += track(frame, boxes[i:j])
+        ids = sort_ids(track, frames[begins], boxes, begins)
         state.update((pickle.dumps(track),))
-        yield rows.assign(track_id=[f"{k[0]}_{i}" for i in ids])
+        yield rows.assign(track_id=[f"{k[0]}_{i}" for i in ids.tolist()])
 
     rows = stream.select("source_id", "frame_id", "label", "x", "y", "w", "h").dropna()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
