@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from vigil.operators import folds, together
+from vigil.operators import appearance, folds, together
 
 
 class Counted(folds._Sort):
@@ -50,3 +50,26 @@ def test_few_frames_go_through_the_tracker():
     one, many = folds._Sort(0.3, 3), folds._Sort(0.3, 3)
     frames, boxes, begins = made(4, 50, False)
     assert together.sort_ids(many, frames, boxes, begins).tolist() == [i for f, b in zip(frames.tolist(), np.split(boxes, begins[1:]), strict=True) for i in one(f, b)]
+
+
+@pytest.mark.parametrize("lasting", [False, True])
+def test_pieces_of_boxes_with_looks_equal_one_tracker(lasting):
+    kinds = np.array([[1.0, 0, 0], [0.6, 0.8, 0], [0, 0, 1.0], [0, 0, 0]])
+    settings = {"threshold": 0.3, "streak": 2, "misses": 5, "smooth": 4}
+    one, many, reported = appearance._Seen(settings), CountedLooks(settings), 0
+    for seed in (1, 2):
+        frames, boxes, begins = made(seed, 1000 if lasting else 3000, lasting)
+        looks = kinds[(boxes[:, 2] + boxes[:, 3]).astype(int) % 4]
+        want = [i for f, b, k in zip(frames.tolist(), np.split(boxes, begins[1:]), np.split(looks, begins[1:]), strict=True) for i in one(f, b, k)]
+        many.steps = 0
+        assert appearance.look_ids(many, boxes, looks, begins, 300, 200).tolist() == want
+        assert lasting or many.steps < len(frames) / 4
+        assert one.tracker.digest() == many.tracker.digest() and one.tracker.of.tolist() == many.tracker.of.tolist() and one.tracker.next == many.tracker.next
+        reported += sum(map(bool, want))
+    assert reported
+
+
+class CountedLooks(appearance._Seen):
+    def __call__(self, *row):
+        self.steps += 1
+        return super().__call__(*row)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from vigil.operators.folds import Tracker, _Sort, assign
+from vigil.operators.folds import Tracker, _Sort, assign, ranges, renumbered
 
 #: Frames of a piece, and of those before it that it begins with.
 PIECE, BEFORE = 512, 128
@@ -13,11 +13,6 @@ PIECE, BEFORE = 512, 128
 State = tuple[np.ndarray, np.ndarray, int]
 
 
-def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers from each of begins on, so many each."""
-    return np.arange(lengths.sum()) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
-
-
 class _Pieces(Tracker):
     """The tracks of all pieces, in order of pieces; within a piece they stand, and are worked on, as in a Tracker of its own."""
 
@@ -42,7 +37,7 @@ class _Pieces(Tracker):
         x, y, w, h = tracks
         first = np.searchsorted(self.piece, np.arange(len(self.nexts) + 1))
         reps = (first[1:] - first[:-1])[of_piece]
-        i, j = np.repeat(np.arange(len(boxes)), reps), _ranges(first[of_piece], reps)
+        i, j = np.repeat(np.arange(len(boxes)), reps), ranges(first[of_piece], reps)
         bx, by, bw, bh = boxes.T
         wide = np.minimum((bx + bw)[i], (x + w)[j]) - np.maximum(bx[i], x[j]) + 1
         some = wide > 0
@@ -127,7 +122,7 @@ def sort_ids(track: _Sort, frames: np.ndarray, boxes: np.ndarray, begins: np.nda
         live = np.flatnonzero(steps > s)
         if len(live):
             at = start[live] + s
-            rows, of_piece = _ranges(lo[at], length[at]), np.repeat(live, length[at])
+            rows, of_piece = ranges(lo[at], length[at]), np.repeat(live, length[at])
             ids, mine = pieces.steps(boxes[rows], of_piece), mark[of_piece] <= s
             out[rows[mine]] = ids[mine]
     for k in range(count):
@@ -135,14 +130,8 @@ def sort_ids(track: _Sort, frames: np.ndarray, boxes: np.ndarray, begins: np.nda
         rows = slice(begins[a], ends[b - 1])
         (x, of, first), (end_x, end_of, end) = entered[k], left[k]
         if np.array_equal(x, t.x) and np.array_equal(of[:, 1:], t.of[:, 1:]):
-            known, shift = t.of[:, 0], t.next - first
-
-            def named(ids: np.ndarray) -> np.ndarray:
-                return np.where(ids >= first, ids + shift, np.concatenate([known, [0]])[np.searchsorted(of[:, 0], ids).clip(0, len(of))])
-
-            out[rows] = named(out[rows])
-            end_of[:, 0] = named(end_of[:, 0])
-            t.x, t.of, t.next, track.last = end_x, end_of, end + shift, int(frames[b - 1])
+            out[rows], end_of[:, 0] = (renumbered(ids, of[:, 0], first, t.of[:, 0], t.next) for ids in (out[rows], end_of[:, 0]))
+            t.x, t.of, t.next, track.last = end_x, end_of, end + t.next - first, int(frames[b - 1])
         else:
             out[rows] = alone(a, b)
     return out
